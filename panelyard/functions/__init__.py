@@ -1,0 +1 @@
+"""Part of panelyard; see the package docstring."""

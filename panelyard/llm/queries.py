@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, decontaminate, line_dedup, simhash
+from . import bitslice, decontaminate, line_dedup, packing, simhash
 from ._common import read
 
 
@@ -15,6 +15,13 @@ def _sha(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def word_tokenizer() -> str:
+    """The installed vocabulary file that the packing query counts tokens with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_bitslice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best inner products of every 20th embedding, over the bit-sliced index of all."""
     return bitslice.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
@@ -40,5 +47,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """A place in sequences of at most 4096 tokens for every piece of every document."""
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer or word_tokenizer(), capacity=4096, end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitslice_topk, op2_decontaminate, op3_line_dedup, op9_simhash)}
+    return {f.__name__: f for f in (op1_bitslice_topk, op2_decontaminate, op3_line_dedup, op9_simhash, op10_best_fit_packing)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, decontaminate, line_dedup, packing, simhash
+from . import bitslice, decontaminate, line_dedup, packing, quality, secrets, simhash
 from ._common import read
 
 
@@ -41,6 +41,20 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", _sha(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
+def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned from the labels that aren't held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, read(spark, sf_dir, "labels"), threshold=0.7).select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and learned secret spans of every document."""
+    out = secrets.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", of("assign"), of("access"), of("hex"), _sha(joined(F.filter("spans", lambda s: s["kind"] != "format"))).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     out = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), size=3, budget=3)
@@ -53,4 +67,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | Non
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitslice_topk, op2_decontaminate, op3_line_dedup, op9_simhash, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_bitslice_topk, op2_decontaminate, op3_line_dedup, op5_quality_mil, op8_secret_scan, op9_simhash, op10_best_fit_packing)}

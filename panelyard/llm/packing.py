@@ -33,8 +33,8 @@ from . import _common as C
 
 CAPACITY = 4096
 END_ID = 1
-#: Most words whose ids a worker remembers.
-CACHE_WORDS = 200_000
+#: Most words (and most stems) whose ids a worker remembers, twice at the turn of a generation.
+CACHE_WORDS = 250_000
 GROUPS = 48
 #: Lengths above this share of a sequence are large.
 LARGE = 1 / 4
@@ -50,32 +50,83 @@ def _tokenizer(path: str):
     return t
 
 
+#: Marks that end many words; a run of them behind an ASCII letter or digit is always a token run of its own.
+_MARKS = b",.!?;:$%&*#|"
+
+
+class _Memory:
+    """A dict of bounded size: when full, what wasn't used since the last time goes."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """The keys that aren't known; the others are in ``new`` from now on."""
+        if len(self.new) + len(keys) > self.most:
+            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
+        out = []
+        for k in keys:
+            if k not in new:
+                if k in old:
+                    new[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space and never joins across it: each stretch
-    between ASCII white space is encoded once and remembered."""
+    """Ids of whole texts by a tokenizer that lower-cases, drops white space and never joins across it.
+
+    Each stretch between ASCII white space is encoded once and remembered, and so is what is left of it without
+    trailing marks.  Stretches of ASCII letters are one token run each, so the model alone encodes them.
+    """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
-        self.tokenizer, self.most, self.known = _tokenizer(path), most, {}
+        self.tokenizer, self.words, self.stems = _tokenizer(path), _Memory(most), _Memory(most)
+
+    def _learn(self, words: list[bytes]) -> None:
+        parts = {}
+        for w in words:
+            low = w.lower()
+            stem = low.rstrip(_MARKS)
+            parts[w] = (stem, low[len(stem) :]) if len(stem) < len(low) and stem[-1:].isalnum() else (low,)
+        rest = []
+        model = self.tokenizer.model
+        missing = self.stems.missing({p for ps in parts.values() for p in ps})
+        known = self.stems.new
+        for p in missing:
+            if p.isalpha():
+                known[p] = np.array([t.id for t in model.tokenize(p.decode())], "<u4").tobytes()
+            else:
+                rest.append(p)
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
+            known[p] = np.array(e.ids, "<u4").tobytes()
+        new = self.words.new
+        for w, ps in parts.items():
+            new[w] = known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]]
 
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
         """Each text's ids and *end_id*, as little-endian 32-bit numbers."""
         words = [t.split() for t in texts]
-        if new := list({w for ws in words for w in ws if w not in self.known}):
-            if len(self.known) + len(new) > self.most:
-                self.known = {}
-                new = list({w for ws in words for w in ws})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        end, known = end_id.to_bytes(4, "little"), self.known
+        if new := self.words.missing({w for ws in words for w in ws}):
+            self._learn(new)
+        end, known = end_id.to_bytes(4, "little"), self.words.new
         return [b"".join([known[w] for w in ws]) + end for ws in words]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """The worker's encoder; what it knows serves later tasks, too."""
+    return WordEncoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of at most *capacity* ids of every row's text."""
     C.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in batches:
             rows, cells, raw = [], [], C.texts(batch)
             for lo in range(0, len(raw), 64):

@@ -73,3 +73,18 @@ def test_small_capacity_and_empty(spark, docs_of, capacity):
     rows = packing.pack(docs_of(["a b c d e f g h i j", None, "a"]), PATH, capacity=capacity).collect()
     assert sequences_hold(rows, capacity) == -(-14 // capacity)
     assert packing.pack(docs_of(["x"]).limit(0), PATH).count() == 0
+
+
+def test_encoder_equals_the_tokenizer():
+    tok = Tokenizer.from_file(PATH)
+    tok.encode_special_tokens = True
+    rng = np.random.default_rng(2)
+    bits = ["The", "é", "É", "ß", "'s", "'", "12", "½", ",", ".", "!!", "***", "ÿ", "ſ", "K", "İ", "Σ", "ς", "\u0301", "e\u0301", "“", "”", "—", "\u00a0", "\u2003", "\x1c", "\x85", "日本", "<|endoftext|>", "</w>", "a</w>", "_", "|", "$", "x" * 40, "\u200d", "\x00"]
+    texts = ["".join(rng.choice([*bits, " ", "\n", "\t ", "the", "Tion"], rng.integers(1, 30))) for _ in range(3000)]
+    for most in (20, 100_000):
+        enc = packing.WordEncoder(PATH, most)
+        for lo in range(0, len(texts), 50):
+            got = enc.encode([t.encode() for t in texts[lo : lo + 50]], 1)
+            want = tok.encode_batch_fast(texts[lo : lo + 50], add_special_tokens=False)
+            for t, g, e in zip(texts[lo:], got, want, strict=False):
+                assert np.frombuffer(g, "<u4").tolist() == [*e.ids, 1], t

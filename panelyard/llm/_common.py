@@ -51,6 +51,18 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k_hash")]
 
 
+def boxed(docs: DataFrame, *more: Column | str) -> DataFrame:
+    """All columns of *docs* in one struct ``row``, and beside it only *more*: no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
+def unboxed(df: DataFrame, columns: list[str], **new: Column | str) -> DataFrame:
+    """The columns of ``row`` again; those named in *new* are replaced, or come last if they weren't there."""
+    put = {k: F.col(v) if isinstance(v, str) else v for k, v in new.items()}
+    old = [(put[c] if c in put else F.col("row")[c]).alias(c) for c in columns]
+    return df.select(*old, *[v.alias(k) for k, v in put.items() if k not in columns])
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, row after the last, bytes, offsets) over a batch's UTF-8 texts (null: empty).
 

@@ -7,8 +7,8 @@ the other, each with a broadcast of bounded size.
 
 Defined cases: null and empty texts have no words and no hits; an item without words never hits; an item
 of fewer than n words is one window of all its words; repeated documents or items give the same answer each
-time; an empty benchmark leaves every document clean; further columns pass through untouched (the columns
-that the scan adds may not already be there: ValueError).
+time; an empty benchmark leaves every document clean; further columns pass through untouched, but
+one named like a result of the scan is replaced.
 """
 
 from __future__ import annotations
@@ -126,8 +126,7 @@ def _scanner(sets_of, state: bool):
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, part_bytes: int = PART_BYTES) -> DataFrame:
     """*docs* (with a column ``text``) and the columns of SCAN_FIELDS: what of each text is in *benchmark* (item_id, text)."""
     spark = docs.sparkSession
-    if clash := {f.name for f in SCAN_FIELDS} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are already there")
+    docs = docs.drop(*[f.name for f in SCAN_FIELDS])
     C.bound_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -142,7 +141,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, part_bytes: int = P
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = {f.name for f in SCAN_FIELDS}
     for batch in batches:
         spans, raw = batch.column("word_spans").to_pylist(), C.texts(batch)
         texts = batch.column("text").to_pylist()
@@ -155,15 +153,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     left.append(raw[i][at : starts[s["first"]]])
                     at = ends[s["stop"] - 1]
                 texts[i] = b"".join([*left, raw[i][at:]]).decode()
-        keep = [k for k in batch.schema.names if k not in names]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == "text" else batch.column(batch.schema.get_field_index(k)) for k in keep], names=keep)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "spans", part_bytes: int = PART_BYTES) -> DataFrame:
     """*docs* without what is in *benchmark*: ``remove='spans'`` cuts every run of hit words out of its text,
     ``remove='documents'`` drops each document with a hit.  Clean rows stay as they are, null texts too.
     Windows that only arise where two remainders meet are no occurrences and stay."""
-    found = scan(docs, benchmark, n, part_bytes)
+    found = scan(C.boxed(docs, "text"), benchmark, n, part_bytes)
     if remove == "documents":
-        return found.where(F.size("item_ids") == 0).select(*docs.columns)
-    return found.mapInArrow(_cut, T.StructType(list(docs.schema.fields)))
+        return C.unboxed(found.where(F.size("item_ids") == 0), docs.columns)
+    cut = found.mapInArrow(_cut, T.StructType([found.schema["row"], found.schema["text"]]))
+    return C.unboxed(cut, docs.columns, text="text")

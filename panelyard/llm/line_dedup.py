@@ -9,7 +9,8 @@ join back, its many positions are the side that adaptive execution splits.
 Defined cases: lines are split at "\\n" and compared with outer blanks trimmed; windows whose three lines are
 all blank are not counted; texts of fewer than three lines stay as they are; null texts stay null; rows that
 share an id but not a text are told apart by the text's hash; rows that repeat id and text act as one, so
-neither loses lines to the other; a null id sorts after all others.  Further columns pass through.
+neither loses lines to the other; a null id sorts after all others.  Further columns pass through, but one
+named like a result (``n_lines``, ``n_removed``) is replaced.
 """
 
 from __future__ import annotations
@@ -48,15 +49,13 @@ def covered_lines(docs: DataFrame, size: int = 3) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     """*docs* with repeated passages of *size* or more lines taken out of ``text``, and ``n_lines``, ``n_removed`` added."""
-    marks = covered_lines(docs, size)
-    id_, hash_ = C.row_key()
-    keyed = docs.withColumns({"k_id": id_, "k_hash": hash_}).join(marks, ["k_id", "k_hash"], "left")
-    lines = F.split("text", "\n", -1)
+    keyed = C.boxed(docs, "text", *C.row_key()).join(covered_lines(docs, size), ["k_id", "k_hash"], "left").withColumn("k_lines", F.split("text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("k_lines") - 1), F.col("covered"))
     kept = F.array_join(F.transform(left, lambda i: F.get("k_lines", i)), "\n")
-    return keyed.withColumn("k_lines", lines).select(
-        *[c for c in docs.columns if c != "text"],
-        F.when(F.col("covered").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("k_lines")).cast("long").alias("n_lines"),
-        F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long").alias("n_removed"),
+    return C.unboxed(
+        keyed,
+        docs.columns,
+        text=F.when(F.col("covered").isNull(), F.col("text")).otherwise(kept),
+        n_lines=F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("k_lines")).cast("long"),
+        n_removed=F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long"),
     )

@@ -209,5 +209,5 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3, key_rows: i
 def near_dedup(docs: DataFrame, size: int = 3, budget: int = 3) -> DataFrame:
     """*docs* with one row of each component: the one of the smallest doc_id."""
     keep = near_duplicates(docs, size, budget).where("keeper").select("k_id", "k_hash").distinct()
-    id_, hash_ = C.row_key()
-    return docs.withColumns({"k_id": id_, "k_hash": hash_}).join(keep, ["k_id", "k_hash"], "left_semi").dropDuplicates(["k_id", "k_hash"]).drop("k_id", "k_hash")
+    mine = C.boxed(docs, *C.row_key()).join(keep, ["k_id", "k_hash"], "left_semi").dropDuplicates(["k_id", "k_hash"])
+    return C.unboxed(mine, docs.columns)

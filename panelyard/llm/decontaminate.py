@@ -97,8 +97,9 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def _scanner(sets_of, state: bool):
-    """Scan with one part of the benchmark; *state*: the rows carry what earlier parts found."""
+def _scanner(sets_of, state: bool, then=None):
+    """Scan with one part of the benchmark; *state*: the rows carry what earlier parts found; *then*: what follows
+    in the same worker."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = sets_of.value
@@ -120,13 +121,16 @@ def _scanner(sets_of, state: bool):
             keep = [k for k in batch.schema.names if not state or k not in new]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keep), *new.values()], names=[*keep, *new])
 
-    return scan
+    return scan if then is None else lambda batches: then(scan(batches))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, part_bytes: int = PART_BYTES) -> DataFrame:
     """*docs* (with a column ``text``) and the columns of SCAN_FIELDS: what of each text is in *benchmark* (item_id, text)."""
+    return _scan(docs.drop(*[f.name for f in SCAN_FIELDS]), benchmark, n, part_bytes)
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, n: int, part_bytes: int, then=None, then_schema: T.StructType | None = None) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.drop(*[f.name for f in SCAN_FIELDS])
     C.bound_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -136,7 +140,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, part_bytes: int = P
     for k in range(parts):
         mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
         sets = window_sets([tuple(r) for r in mine.toLocalIterator()], n)
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(sets), k > 0), schema)
+        last = then is not None and k == parts - 1
+        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(sets), k > 0, then if last else None), then_schema if last else schema)
     return out
 
 
@@ -160,8 +165,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
     """*docs* without what is in *benchmark*: ``remove='spans'`` cuts every run of hit words out of its text,
     ``remove='documents'`` drops each document with a hit.  Clean rows stay as they are, null texts too.
     Windows that only arise where two remainders meet are no occurrences and stay."""
-    found = scan(C.boxed(docs, "text"), benchmark, n, part_bytes)
+    rows = C.boxed(docs, "text")
     if remove == "documents":
-        return C.unboxed(found.where(F.size("item_ids") == 0), docs.columns)
-    cut = found.mapInArrow(_cut, T.StructType([found.schema["row"], found.schema["text"]]))
+        return C.unboxed(scan(rows, benchmark, n, part_bytes).where(F.size("item_ids") == 0), docs.columns)
+    cut = _scan(rows, benchmark, n, part_bytes, _cut, T.StructType([rows.schema["row"], rows.schema["text"]]))
     return C.unboxed(cut, docs.columns, text="text")

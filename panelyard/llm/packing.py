@@ -19,6 +19,7 @@ import bisect
 import math
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,15 +55,25 @@ def _tokenizer(path: str):
 _MARKS = b",.!?;:$%&*#|"
 
 
+def _byte_chars() -> list[str]:
+    """The byte alphabet of byte-level models: printable bytes stand for themselves, others follow from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class _Memory:
     """A dict of bounded size: when full, what wasn't used since the last time goes."""
 
     def __init__(self, most: int):
         self.most, self.new, self.old = most, {}, {}
 
-    def missing(self, keys: set[bytes]) -> list[bytes]:
-        """The keys that aren't known; the others are in ``new`` from now on."""
-        if len(self.new) + len(keys) > self.most:
+    def missing(self, keys: set[bytes], room: int = 0) -> list[bytes]:
+        """The keys that aren't known; the others are in ``new`` from now on.  *room*: for how many more there must be place."""
+        if len(self.new) + max(room, len(keys)) > self.most:
             self.new, self.old = {}, self.new
         new, old = self.new, self.old
         out = []
@@ -85,26 +96,34 @@ class WordEncoder:
     def __init__(self, path: str, most: int = CACHE_WORDS):
         self.tokenizer, self.words, self.stems = _tokenizer(path), _Memory(most), _Memory(most)
 
+    def _ids(self, stem: bytes) -> bytes:
+        """The ids of one stretch."""
+        if stem.isalpha():
+            ids = [t.id for t in self.tokenizer.model.tokenize(stem.decode())]
+        elif (word := stem.decode()).isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+            # Latin letters: composed and one to one in lower case, so only the model's byte alphabet is left to apply.
+            ids = [t.id for t in self.tokenizer.model.tokenize("".join([_BYTE_CHARS[x] for x in word.lower().encode()]))]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
     def _learn(self, words: list[bytes]) -> None:
-        parts = {}
+        self.stems.missing(set(words[:1]), len(words))
+        new, old, out = self.stems.new, self.stems.old, self.words.new
         for w in words:
             low = w.lower()
             stem = low.rstrip(_MARKS)
-            parts[w] = (stem, low[len(stem) :]) if len(stem) < len(low) and stem[-1:].isalnum() else (low,)
-        rest = []
-        model = self.tokenizer.model
-        missing = self.stems.missing({p for ps in parts.values() for p in ps})
-        known = self.stems.new
-        for p in missing:
-            if p.isalpha():
-                known[p] = np.array([t.id for t in model.tokenize(p.decode())], "<u4").tobytes()
+            if len(stem) == len(low) or not stem[-1:].isalnum():
+                stem, tail = low, None
             else:
-                rest.append(p)
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        new = self.words.new
-        for w, ps in parts.items():
-            new[w] = known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]]
+                tail = low[len(stem) :]
+            ids = new.get(stem) or old.get(stem) or self._ids(stem)
+            new[stem] = ids
+            if tail is not None:
+                more = new.get(tail) or old.get(tail) or self._ids(tail)
+                new[tail] = more
+                ids += more
+            out[w] = ids
 
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
         """Each text's ids and *end_id*, as little-endian 32-bit numbers."""
@@ -129,8 +148,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         encoder = _encoder(tokenizer)
         for batch in batches:
             rows, cells, raw = [], [], C.texts(batch)
-            for lo in range(0, len(raw), 64):
-                for k, ids in enumerate(encoder.encode(raw[lo : lo + 64], end_id), lo):
+            for lo in range(0, len(raw), 256):
+                for k, ids in enumerate(encoder.encode(raw[lo : lo + 256], end_id), lo):
                     for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         rows.append((k, p, at // 4, len(part) // 4, zlib.crc32(part)))

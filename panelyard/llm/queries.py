@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, decontaminate, line_dedup, packing, quality, secrets, simhash, suffix_dedup
+from . import bitslice, decontaminate, line_dedup, lm_score, packing, quality, secrets, simhash, suffix_dedup
 from ._common import read
 
 
@@ -47,6 +47,12 @@ def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, read(spark, sf_dir, "labels"), threshold=0.7).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document between good, clean documents and all."""
+    target = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    return lm_score.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), target)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 100-byte strings of every document: how many bytes and spans go, and a digest of what stays."""
     out = suffix_dedup.dedup_substrings(read(spark, sf_dir, "documents"), length=100, with_text=False)
@@ -73,4 +79,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | Non
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitslice_topk, op2_decontaminate, op3_line_dedup, op5_quality_mil, op7_suffix_dedup, op8_secret_scan, op9_simhash, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_bitslice_topk, op2_decontaminate, op3_line_dedup, op5_quality_mil, op6_lm_score, op7_suffix_dedup, op8_secret_scan, op9_simhash, op10_best_fit_packing)}

@@ -79,8 +79,8 @@ def test_encoder_equals_the_tokenizer():
     tok = Tokenizer.from_file(PATH)
     tok.encode_special_tokens = True
     rng = np.random.default_rng(2)
-    bits = ["The", "é", "É", "ß", "'s", "'", "12", "½", ",", ".", "!!", "***", "ÿ", "ſ", "K", "İ", "Σ", "ς", "\u0301", "e\u0301", "“", "”", "—", "\u00a0", "\u2003", "\x1c", "\x85", "日本", "<|endoftext|>", "</w>", "a</w>", "_", "|", "$", "x" * 40, "\u200d", "\x00"]
-    texts = ["".join(rng.choice([*bits, " ", "\n", "\t ", "the", "Tion"], rng.integers(1, 30))) for _ in range(3000)]
+    bits = ["The", "é", "É", "ß", "'s", "'", "12", "½", ",", ".", "!!", "***", "ÿ", "ſ", "K", "İ", "ı", "Ǆ", "ŉ", "Ÿ", "Σ", "ς", "\u0301", "e\u0301", "“", "”", "—", "\u00a0", "\u2003", "\x1c", "\x85", "日本", "<|endoftext|>", "</w>", "a</w>", "_", "|", "$", "x" * 40, "\u200d", "\x00"]
+    texts = ["".join(rng.choice([*bits, " ", "\n", "\t ", "the", "Tion", "é", "Ä", "éàü"], rng.integers(1, 30))) for _ in range(3000)]
     for most in (20, 100_000):
         enc = packing.WordEncoder(PATH, most)
         for lo in range(0, len(texts), 50):

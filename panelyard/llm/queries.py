@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, decontaminate, line_dedup, lm_score, packing, quality, secrets, simhash, suffix_dedup
+from . import bitslice, decontaminate, line_dedup, lm_score, merkle, packing, quality, secrets, simhash, suffix_dedup
 from ._common import read
 
 
@@ -41,6 +41,27 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", _sha(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
+def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged records of a replica of the archive of all pages.
+
+    The second replica is derived from the pages by rule: of every 97 page ids one record has its payload's first
+    character overwritten, one its last five characters, and one is lost."""
+    pages = read(spark, sf_dir, "pages").where("page_id is not null")
+    id_, body = F.col("page_id"), F.coalesce("html", F.lit(""))
+    record = merkle.warc_text(id_, F.col("url"), body)
+    head = F.substring(record, 1, F.length(record) - F.length(body) - 4)
+    worn = (
+        F.when(id_ % 97 == 13, F.concat(head, F.lit("#"), F.substring(body, 2, 2**31 - 1), F.lit("\r\n\r\n")))
+        .when(id_ % 97 == 29, F.concat(head, F.substring(body, 1, F.greatest(F.length(body) - 5, F.lit(0))), F.lit("?????\r\n\r\n")))
+        .otherwise(record)
+    )
+    both = pages.select(id_.cast("long").alias("record_id"), merkle.digest(record).alias("sha"), F.octet_length(record).cast("long").alias("size"), F.when(~F.coalesce(id_ % 97 == 51, F.lit(False)), merkle.digest(worn)).alias("worn"))
+    placed = merkle.with_offsets(both)
+    one = placed.select(F.explode(F.array(F.struct(F.lit(0).alias("replica"), F.col("sha")), F.struct(F.lit(1).alias("replica"), F.col("worn").alias("sha")))).alias("r"), "record_id", "start", "stop")
+    records = one.where("r.sha is not null").select("r.replica", "record_id", "r.sha", "start", "stop")
+    return merkle.audit(records).select("record_id", "status", "start", "stop", "expected", "found")
+
+
 def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document, learned from the labels that aren't held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,4 +100,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | Non
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitslice_topk, op2_decontaminate, op3_line_dedup, op5_quality_mil, op6_lm_score, op7_suffix_dedup, op8_secret_scan, op9_simhash, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_bitslice_topk, op2_decontaminate, op3_line_dedup, op4_merkle_audit, op5_quality_mil, op6_lm_score, op7_suffix_dedup, op8_secret_scan, op9_simhash, op10_best_fit_packing)}

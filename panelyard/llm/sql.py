@@ -41,5 +41,18 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+OP4 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10) ||
+  'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) AS head, chr(13) || chr(10) || chr(13) || chr(10) AS tail
+  FROM pages WHERE page_id IS NOT NULL),
+r AS (SELECT page_id, sha256(head || body || tail) AS expected, strlen(head || body || tail) AS size,
+  CASE WHEN page_id % 97 = 13 THEN sha256(head || '#' || substr(body, 2) || tail) WHEN page_id % 97 = 29 THEN sha256(head || substr(body, 1, greatest(length(body) - 5, 0)) || '?????' || tail)
+       WHEN page_id % 97 = 51 THEN NULL ELSE sha256(head || body || tail) END AS found FROM p),
+o AS (SELECT *, sum(size) OVER (PARTITION BY page_id // 4096 ORDER BY page_id, expected ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM r)
+SELECT page_id AS record_id, CASE WHEN found IS NULL THEN 'missing' ELSE 'changed' END AS status, (stop - size)::BIGINT AS start, stop, expected, found
+FROM o WHERE found IS DISTINCT FROM expected
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bitslice_topk": OP1, "op2_decontaminate": OP2, "op3_line_dedup": OP3}
+    return {"op1_bitslice_topk": OP1, "op2_decontaminate": OP2, "op3_line_dedup": OP3, "op4_merkle_audit": OP4}

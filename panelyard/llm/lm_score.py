@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 MU = 10.0
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 _BEGIN = np.uint64(0x5851F42D4C957F2D)
 _ONE = np.uint64(1)
 
@@ -81,6 +81,18 @@ def _entries(docs: pa.Table, targets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key[first], add(np.where(hit, count, np.uint64(0))), add(count)
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Counts, most of them small: a byte each, and those from 255 on once more in full."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype(np.uint64).tobytes()
+
+
+def _unpack(raw: pa.Scalar, n: int) -> np.ndarray:
+    raw = np.frombuffer(raw.as_buffer(), np.uint8)
+    out = raw[:n].astype(np.uint64)
+    out[out == 255] = raw[n:].view(np.uint64) if n % 8 == 0 else np.frombuffer(raw[n:].tobytes(), np.uint64)
+    return out
+
+
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets are ranges of the hash, so that their order is the keys'."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -91,24 +103,23 @@ def _send(buckets: int):
         keys, t, b = _entries(*_split(table))
         to = _bucket(keys, buckets)
         cut = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]]) if len(to) else np.zeros(1, np.int64)
-        pack = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-        return pa.table({"bucket": pa.array(to[cut[:-1]].astype(np.int32)), "block": pa.array(np.full(len(cut) - 1, key[0].as_py(), np.int32)), "keys": pack(keys), "t": pack(t), "b": pack(b)})
+        pack = lambda x, how: pa.array([how(x[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+        return pa.table({"bucket": pa.array(to[cut[:-1]].astype(np.int32)), "block": pa.array(np.full(len(cut) - 1, key[0].as_py(), np.int32)), "keys": pack(keys, np.ndarray.tobytes), "t": pack(t, _pack), "b": pack(b, _pack)})
 
     return run
 
 
 def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Each block's entries again, with the counts of all blocks."""
-    sent = {c: [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(c)] for c in ("keys", "t", "b")}
-    every = np.concatenate(sent["keys"])
-    unique, back = np.unique(every, return_inverse=True)
-    out = {"bucket": table.column("bucket"), "block": table.column("block")}
-    cut = np.cumsum([0, *map(len, sent["keys"])])
+    sent = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
+    unique, back = np.unique(np.concatenate(sent), return_inverse=True)
+    cut = np.cumsum([0, *map(len, sent)])
+    out = {"bucket": table.column("bucket"), "block": table.column("block"), "n": pa.array(np.diff(cut), pa.int64())}
     for c in ("t", "b"):
         total = np.zeros(len(unique), np.uint64)
-        np.add.at(total, back, np.concatenate(sent[c]))
+        np.add.at(total, back, np.concatenate([_unpack(x, len(k)) for x, k in zip(table.column(c), sent, strict=True)]))
         mine = total[back]
-        out[c] = pa.array([mine[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+        out[c] = pa.array([_pack(mine[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
     return pa.table(out)
 
 
@@ -117,7 +128,7 @@ def _scorer(totals: tuple[int, int, int], mu: float):
         docs, targets = _split(table)
         keys, _, _ = _entries(docs, targets)
         order = np.argsort(answers.column("bucket").to_numpy())
-        t, b = (np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(answers.column(c)[int(k)].as_buffer(), np.uint64) for k in order)]).astype(np.float64) for c in ("t", "b"))
+        t, b = (np.concatenate([np.zeros(0, np.uint64), *(_unpack(answers.column(c)[int(k)], answers.column("n")[int(k)].as_py()) for k in order)]).astype(np.float64) for c in ("t", "b"))
         n_tokens, sums = np.zeros(docs.num_rows, np.int64), np.zeros((2, docs.num_rows))
         for lo, data, offs in _chunks(docs):
             words, row = _tokens(data, offs)
@@ -191,5 +202,5 @@ def score(docs: DataFrame, labels: DataFrame, is_target: Column, mu: float = MU)
     place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("int")
     dealt = rows.select(place.alias("block"), "doc_id", "text", "mark")
     sent = dealt.groupBy("block").applyInArrow(_send(blocks), "bucket int, block int, keys binary, t binary, b binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer, "bucket int, block int, t binary, b binary")
+    answers = sent.groupBy("bucket").applyInArrow(_answer, "bucket int, block int, n long, t binary, b binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(totals, mu), "doc_id long, n_tokens long, ce_target double, ce_background double, score double")

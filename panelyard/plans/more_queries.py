@@ -154,12 +154,12 @@ def analysis_context(spark, sf_dir):
 # --- risk and scopes: the order priority stands for the scope -------------------------
 
 _SCOPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-_SCOPE_SQL = f"""{PANEL_SQL}, rec AS (SELECT project_key, project_type, "year", o_orderpriority AS scope, CASE WHEN count(*) >= 2 THEN round(sum(round(o_totalprice * 100)::BIGINT) / count(*) / 1e7, 6) END AS value, min(o_orderkey) AS source_row FROM ords GROUP BY ALL)"""
+_SCOPE_SQL = f"""{PANEL_SQL}, rec AS (SELECT project_key, project_type, "year", o_orderpriority AS scope, CASE WHEN count(*) >= 2 THEN sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / 1e6 END AS value, min(o_orderkey) AS source_row FROM ords GROUP BY ALL)"""
 
 
 def _records(spark, sf_dir):
     n = F.count("*")
-    value = F.round(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / n / 1e7, 6)
+    value = F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / 1e6
     return panel.orders(spark, sf_dir).groupBy("project_key", "project_type", "year", F.col("o_orderpriority").alias("scope")).agg(F.when(n >= 2, value).alias("value"), F.min("o_orderkey").alias("source_row"))
 
 

@@ -45,8 +45,9 @@ def median_of_three(series: DataFrame, keys: Sequence[str], time: str = "year",
 
 def _fit(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column, syy: Column) -> tuple[Column, Column, Column]:
     """(slope, mean, squared error) of a line from running sums."""
+    n = F.greatest(n, F.lit(1.0))  # rows without a value have none
     cxx, cxy, cyy = sxx - sx * sx / n, sxy - sx * sy / n, syy - sy * sy / n
-    slope = F.when(cxx > 0, cxy / cxx)
+    slope = F.try_divide(cxy, F.nullif(cxx, F.lit(0.0)))
     return slope, sy / n, cyy - slope * cxy
 
 
@@ -57,7 +58,7 @@ def indicator_facts(series: DataFrame, keys: Sequence[str], time: str = "year",
     inner point from running sums, so a long series costs no more a point than a short one.
     """
     c = settings or TrendSettings()
-    rows = series.select(*keys, F.col(time).alias("t"), F.when(finite(F.col(value)), F.col(value)).alias("v"), F.col(value).isNull().alias("gone"))
+    rows = series.select(*keys, F.col(time).alias("t"), F.when(finite(F.col(value)), F.col(value)).alias("v"), F.col(value).isNull().alias("gone")).repartition(*keys)
     rows = rows.withColumn("ok", F.col("v").isNotNull())
     w = Window.partitionBy(*keys, "ok")
     o = w.orderBy("t")

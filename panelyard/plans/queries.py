@@ -46,12 +46,12 @@ def trend_v2(spark, sf_dir):
 
 
 @query(f"""WITH {PANEL_SQL}, {TREND_SQL}
-SELECT project_key, indicator, observations, start_year, end_year, round(start_value, 6) AS start_value, round(end_value, 6) AS end_value, round(end_value - start_value, 6) AS delta, round(slope, 6) AS slope_per_year, direction, pattern, recent AS recent_direction,
+SELECT project_key, indicator, observations, start_year, end_year, round(start_value, 6) AS start_value, round(end_value, 6) AS end_value, round(end_value - start_value, 6) AS delta, round(slope, 3) AS slope_per_year, direction, pattern, recent AS recent_direction,
   array_to_string(turning, ',') AS turning_years, round(lo, 6) AS minimum_value, loy AS minimum_year, round(hi, 6) AS maximum_value, hiy AS maximum_year FROM trends""")
 def trend_v1(spark, sf_dir):
     """The older trend evidence of the same series."""
     e = trend.trend_evidence(panel.long(spark, sf_dir), KEYS)
-    return e.select(*KEYS, "observations", "start_year", "end_year", r6("start_value"), r6("end_value"), r6("delta"), r6("slope_per_year"), "direction", "pattern", "recent_direction", joined("turning_years").alias("turning_years"), r6("minimum_value"), "minimum_year", r6("maximum_value"), "maximum_year")
+    return e.select(*KEYS, "observations", "start_year", "end_year", r6("start_value"), r6("end_value"), r6("delta"), F.round("slope_per_year", 3).alias("slope_per_year"), "direction", "pattern", "recent_direction", joined("turning_years").alias("turning_years"), r6("minimum_value"), "minimum_year", r6("maximum_value"), "maximum_year")
 
 
 @query(f"""WITH {PANEL_SQL}, w AS (SELECT *, lag(value) OVER o AS a, lead(value) OVER o AS b FROM long WHERE value IS NOT NULL WINDOW o AS (PARTITION BY project_key, indicator ORDER BY "year"))

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch between the JVM and Python; bounds a worker's memory.
 ARROW_ROWS = 1000
-#: Bytes of text that a numpy kernel handles at once (a longer text is one chunk).
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that a numpy kernel handles at once, so that its arrays stay in the cache (a longer text is one chunk).
+CHUNK_BYTES = 1 << 17
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,7 +108,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             np.multiply.accumulate(p, out=p)
             made.append(p)
-        if n > 4 * CHUNK_BYTES:  # a very long text; its tables aren't kept
+        if n > 32 * CHUNK_BYTES:  # a very long text; its tables aren't kept
             return made[0], made[1]
         _POWERS[:] = made
     return _POWERS[0], _POWERS[1]

@@ -116,27 +116,35 @@ def segment_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.
 # --- two-stage suffix sorting -------------------------------------------------------
 
 
+def _windows(text: np.ndarray, depth: int) -> np.ndarray:
+    """Every suffix's first *depth* symbols, as a view."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(depth, text.dtype)]), depth)
+
+
+def _as_strings(rows: np.ndarray) -> np.ndarray:
+    """Rows of symbols as byte strings that sort alike."""
+    rows = rows if rows.dtype == np.uint8 else rows.astype(">u2")
+    return np.ascontiguousarray(rows).view(f"S{rows.shape[1] * rows.itemsize}").ravel()
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of all suffixes of *text* (uint16; 0 ends a string and is less than all) by their first *depth* symbols.
+    """Order of all suffixes of *text* (unsigned; 0 ends a string and is less than all) by their first *depth* symbols.
 
     Suffixes less than their successor are sorted directly; each other suffix is (first symbol, rank of the
     successor), and its successor lies in no later bucket, so buckets in rising order induce them.
     """
     n = len(text)
     end = text == 0
-    nxt = np.append(text[1:], 0)
+    nxt = np.append(text[1:], text.dtype.type(0))
     differ = np.flatnonzero((text != nxt) | end)
     to = differ[np.searchsorted(differ, np.arange(n))]  # where the run of equal symbols ends
     small = (text[to] < nxt[to]) & ~end
     direct = np.flatnonzero(small)
-    wide = np.zeros(n + depth, np.uint16)
-    wide[:n] = text
-    # Symbols are bytes plus one; two bytes each keep the end mark apart.
     stop = np.flatnonzero(end)
-    left = stop[np.searchsorted(stop, direct)] - direct if len(stop) else n - direct
-    view = np.lib.stride_tricks.sliding_window_view(wide, depth)[direct].astype(">u2")
+    left = stop[np.searchsorted(stop, direct)] - direct
+    view = _windows(text, depth)[direct]
     view[np.arange(depth)[None, :] > left[:, None]] = 0
-    order = direct[np.argsort(np.ascontiguousarray(view).view(f"V{2 * depth}").ravel(), kind="stable")] if len(direct) else direct
+    order = direct[np.argsort(_as_strings(view), kind="stable")]
     sizes = np.bincount(text, minlength=258)
     heads = np.concatenate([[0], np.cumsum(sizes)])
     array = np.empty(n, np.int64)
@@ -169,21 +177,17 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return array
 
 
-def common_prefixes(text: np.ndarray, array: np.ndarray, depth: int) -> np.ndarray:
-    """Whether each suffix and the one before it in *array* have *depth* equal symbols (none of them an end)."""
+def common_prefixes(text: np.ndarray, array: np.ndarray, depth: int, rows: int = 1 << 15) -> np.ndarray:
+    """Whether each suffix of *array* (in order; some may be left out) and the one before it have *depth* equal symbols, none an end."""
     stop = np.flatnonzero(text == 0)
-    left = stop[np.searchsorted(stop, array)] - array
-    same = np.zeros(len(array), bool)
-    try_ = np.flatnonzero((left[1:] >= depth) & (left[:-1] >= depth)) + 1
-    a, b = array[try_], array[try_ - 1]
-    for k in range(0, depth, 4):
-        if not len(try_):
-            break
-        eq = np.ones(len(try_), bool)
-        for j in range(k, min(depth, k + 4)):
-            eq &= text[a + j] == text[b + j]
-        try_, a, b = try_[eq], a[eq], b[eq]
-    same[try_] = True
+    same = stop[np.searchsorted(stop, array)] - array >= depth
+    same[1:] &= same[:-1]
+    same[:1] = False
+    view = _windows(text, depth)
+    at = np.flatnonzero(same)
+    for lo in range(0, len(at), rows):
+        k = at[lo : lo + rows]
+        same[k] = _as_strings(view[array[k]]) == _as_strings(view[array[k - 1]])
     return same
 
 
@@ -193,17 +197,18 @@ def later_windows(strings: list[bytes], windows: np.ndarray, order: np.ndarray,
     String k has *windows*[k] starts; *order* gives its place among all strings, then starts count upward.
     """
     sizes = np.array([len(s) for s in strings], np.int64)
-    text = np.zeros(int(sizes.sum()) + len(strings), np.uint16)
+    every = np.frombuffer(b"".join(strings), np.uint8)
+    # A symbol is a byte plus one; UTF-8 has no byte 255, other bytes need wider symbols.
+    text = np.zeros(len(every) + len(strings), np.uint16 if (every == 255).any() else np.uint8)
     begin = np.cumsum(sizes + 1) - (sizes + 1)
     mask = np.ones(len(text), bool)
     mask[begin + sizes] = False
-    text[mask] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
+    text[mask] = every.astype(text.dtype) + text.dtype.type(1)
     array = suffix_array(text, length)
-    same = common_prefixes(text, array, length)
-    group = np.cumsum(~same)
     of = np.searchsorted(begin, array, "right") - 1
     inside = array - begin[of] < windows[of]
-    array, of, group = array[inside], of[inside], group[inside]
+    array, of = array[inside], of[inside]
+    group = np.cumsum(~common_prefixes(text, array, length))
     rank = np.argsort(np.lexsort((array - begin[of], order[of], group)))
     first = np.full(int(group.max(initial=0)) + 1, len(array))
     np.minimum.at(first, group, rank)

@@ -93,6 +93,15 @@ def _unpack(raw: pa.Scalar, n: int) -> np.ndarray:
     return out
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, all first bytes, then all second bytes and so on: the high ones compress away."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack_keys(raw: pa.Scalar) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw.as_buffer(), np.uint8).reshape(8, -1).T).view(np.uint64).ravel())
+
+
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets are ranges of the hash, so that their order is the keys'."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -104,14 +113,14 @@ def _send(buckets: int):
         to = _bucket(keys, buckets)
         cut = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]]) if len(to) else np.zeros(1, np.int64)
         pack = lambda x, how: pa.array([how(x[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-        return pa.table({"bucket": pa.array(to[cut[:-1]].astype(np.int32)), "block": pa.array(np.full(len(cut) - 1, key[0].as_py(), np.int32)), "keys": pack(keys, np.ndarray.tobytes), "t": pack(t, _pack), "b": pack(b, _pack)})
+        return pa.table({"bucket": pa.array(to[cut[:-1]].astype(np.int32)), "block": pa.array(np.full(len(cut) - 1, key[0].as_py(), np.int32)), "keys": pack(keys, _pack_keys), "t": pack(t, _pack), "b": pack(b, _pack)})
 
     return run
 
 
 def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Each block's entries again, with the counts of all blocks."""
-    sent = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
+    sent = [_unpack_keys(x) for x in table.column("keys")]
     unique, back = np.unique(np.concatenate(sent), return_inverse=True)
     cut = np.cumsum([0, *map(len, sent)])
     out = {"bucket": table.column("bucket"), "block": table.column("block"), "n": pa.array(np.diff(cut), pa.int64())}
@@ -161,7 +170,7 @@ def _totals(docs: DataFrame, is_target: DataFrame, buckets: int) -> tuple[int, i
             cut = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]])
             n = len(cut) - 1
             none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(to[cut[:-1]].astype(np.int32)), pa.array([keys[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "n", "bucket", "keys"])
+            return pa.RecordBatch.from_arrays([none, none, pa.array(to[cut[:-1]].astype(np.int32)), pa.array([_pack_keys(keys[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "n", "bucket", "keys"])
 
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
@@ -179,7 +188,7 @@ def _totals(docs: DataFrame, is_target: DataFrame, buckets: int) -> tuple[int, i
             yield words()
 
     def distinct(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return pa.table({"n": pa.array([len(np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])))], pa.int64())})
+        return pa.table({"n": pa.array([len(np.unique(np.concatenate([_unpack_keys(x) for x in table.column("keys")])))], pa.int64())})
 
     found = C.materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, bucket int, keys binary"))
     counts = found.where("bucket is null").select("doc_id", "n")

@@ -9,6 +9,9 @@ are thinned to a spanning forest within each task (union-find) before they leave
 ``key_rows`` fingerprints is dealt out as pairs of chunks, so that no task holds more than two chunks; no
 link is lost.  The links' connected components are found by a distributed star algorithm.
 
+``near_duplicates`` takes all links of the budget as they are.  ``near_dedup`` uses the same join to find candidates
+and then holds the texts themselves against each other.
+
 Defined cases: null and empty texts have no words and fingerprint zero, and are linked like others; texts of
 fewer words than a shingle are one shingle; repeated rows fall into one component; rows that share an id but
 not a text are told apart by the text's hash; a null id comes after all others and a component of null ids
@@ -29,15 +32,22 @@ from pyspark.sql import functions as F
 from . import _common as C
 from .components import components
 
-#: Blocks of the fingerprint and how many of them agree, by the number of fingerprints up to which that is used.
-CHOICES = [(30_000_000, 4, 1), (10_000_000_000, 5, 2), (2**63, 6, 3)]
+#: Most fingerprints that may be expected to share a key by chance; more blocks must agree beyond that.
+CHANCE_ROWS = 64
 KEY_ROWS = 20_000
 _FRONTIER = 1 << 19
 
 
-def fingerprint(text: bytes, size: int = 3) -> int:
-    """The SimHash of a text's shingles of *size* words, as an unsigned number."""
+def _blocks(n: int, budget: int) -> tuple[int, int]:
+    """Into how many blocks *n* fingerprints are cut, and how many of these agree at least: all but *budget*."""
+    return next(((budget + m, m) for m in (1, 2, 3) if n <= CHANCE_ROWS * 2 ** (64 * m / (budget + m))), (budget + 4, 4))
+
+
+def fingerprint(text: bytes, size: int = 3, distinct: bool = False) -> int:
+    """The SimHash of a text's shingles of *size* words, as an unsigned number; *distinct*: of its different words."""
     words = text.lower().split()
+    if distinct:
+        words, size = list(dict.fromkeys(words)), 1
     if not words:
         return 0
     if len(words) < size:
@@ -54,13 +64,13 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = 3, distinct: bool = False) -> DataFrame:
     """(k_id, k_hash, fp long): the fingerprint of every row of *docs* (doc_id, text)."""
     C.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x, size) for x in C.texts(batch)], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(x, size, distinct) for x in C.texts(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("k_id"), batch.column("k_hash"), pa.array(fp)], names=["k_id", "k_hash", "fp"])
 
     return docs.select(*C.row_key(), "text").mapInArrow(run, "k_id long, k_hash long, fp long")
@@ -84,7 +94,48 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
 
 
 def trie_links(fps: np.ndarray, groups: np.ndarray, budget: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (i, j) of rows within *budget* bits, inside each run of equal *groups*.
+    """Spanning links (row, root) of rows within *budget* bits, inside each run of equal *groups*."""
+    node, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for i, j, _ in trie_pairs(fps, groups, budget, side):
+        node, root = _forest(np.concatenate([node, i]), np.concatenate([root, j]), len(fps))
+    return node, root
+
+
+def trie_forest(fps: np.ndarray, groups: np.ndarray, budget: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) of a spanning forest of the fewest differing bits: the trie is joined once for every number of
+    bits, and a link counts if what fewer bits link doesn't connect its ends."""
+    found: list[tuple[int, int]] = []
+    node, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for bits in range(budget + 1):
+        for i, j, d in trie_pairs(fps, groups, bits, side):
+            top = np.arange(len(fps))
+            top[node] = root
+            new = (d == bits) & (top[i] != top[j])
+            if not new.any():
+                continue
+            i, j = i[new], j[new]
+            # One link for each pair of components, then those that still join two.
+            a, b = np.minimum(top[i], top[j]), np.maximum(top[i], top[j])
+            _, one = np.unique(a * len(fps) + b, return_index=True)
+            up: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while x in up:  # noqa: B023
+                    x = up[x]  # noqa: B023
+                return x
+
+            for k in one.tolist():
+                x, y = find(int(a[k])), find(int(b[k]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    found.append((int(i[k]), int(j[k])))
+            node, root = _forest(np.concatenate([node, a[one]]), np.concatenate([root, b[one]]), len(fps))
+    i, j = np.array(found, np.int64).reshape(-1, 2).T
+    return i, j
+
+
+def trie_pairs(fps: np.ndarray, groups: np.ndarray, budget: int, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All links (i, j, bits) of rows within *budget* bits, inside each run of equal *groups*, in slices.
 
     *fps* ascend within a group.  A trie node at depth d is a range of rows that share d leading bits.
     *side* 0, 1: only links from side 0 to side 1 are wanted; -1: any.
@@ -102,7 +153,6 @@ def trie_links(fps: np.ndarray, groups: np.ndarray, budget: int, side: np.ndarra
         return bits[depth]
 
     stack = [(0, *(x[k : k + _FRONTIER] for x in (lo, hi, lo, hi, np.zeros(len(lo), np.int8)))) for k in range(0, len(lo), _FRONTIER)]
-    node, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
     while stack:
         depth, alo, ahi, blo, bhi, d = stack.pop()
         small = ((ahi - alo) * (bhi - blo) <= 16) | (depth == 64)
@@ -115,11 +165,12 @@ def trie_links(fps: np.ndarray, groups: np.ndarray, budget: int, side: np.ndarra
                 k = np.arange(len(reps)) - np.repeat(np.cumsum(total[s]) - total[s], total[s])
                 i, j = la[reps] + k // wide[reps], lb[reps] + k % wide[reps]
                 ok = (i < j) | (lb[reps] != la[reps])
-                ok &= np.bitwise_count(fps[i] ^ fps[j]) <= budget
+                bits_ = np.bitwise_count(fps[i] ^ fps[j])
+                ok &= bits_ <= budget
                 if side is not None:
                     ok &= (side[i] < 0) | (side[i] != side[j])
-                more = _forest(np.concatenate([node, i[ok]]), np.concatenate([root, j[ok]]), n)
-                node, root = more
+                if ok.any():
+                    yield i[ok], j[ok], bits_[ok]
         rest = ~small
         if not rest.any():
             continue
@@ -135,7 +186,6 @@ def trie_links(fps: np.ndarray, groups: np.ndarray, budget: int, side: np.ndarra
         nxt = [x[live] for x in nxt]
         for k in range(0, len(nxt[0]), _FRONTIER):
             stack.append((depth + 1, *(x[k : k + _FRONTIER] for x in nxt)))
-    return node, root
 
 
 def _slices(total: np.ndarray, most: int = 1 << 21) -> Iterator[slice]:
@@ -146,12 +196,12 @@ def _slices(total: np.ndarray, most: int = 1 << 21) -> Iterator[slice]:
         lo = hi
 
 
-def _joiner(budget: int, flush: int = 1 << 18):
+def _joiner(budget: int, join=trie_links, flush: int = 1 << 18):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key and fingerprint; whole keys are joined together, about *flush* rows at a time."""
 
         def out(key, fp, side):
-            node, root = trie_links(fp, key, budget, side)
+            node, root = join(fp, key, budget, side)
             return pa.RecordBatch.from_arrays([pa.array(fp[node].view(np.int64) ^ np.int64(-(2**63))), pa.array(fp[root].view(np.int64) ^ np.int64(-(2**63)))], names=["a", "b"])
 
         held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)]
@@ -168,13 +218,12 @@ def _joiner(budget: int, flush: int = 1 << 18):
     return run
 
 
-def links(distinct: DataFrame, budget: int = 3, key_rows: int = KEY_ROWS) -> DataFrame:
-    """(a, b): spanning links between the distinct fingerprints (column fp) within *budget* bits of each other."""
+def links(distinct: DataFrame, budget: int = 3, key_rows: int = KEY_ROWS, join=trie_links) -> DataFrame:
+    """(a, b): spanning links between the distinct fingerprints (column fp) within *budget* bits of each other; with
+    *join* ``trie_forest`` they are links of the fewest bits themselves, with ``trie_links`` they may be short cuts."""
     spark = distinct.sparkSession
     n = distinct.count()
-    blocks, agree = next((b, m) for most, b, m in CHOICES if n <= most)
-    if budget > blocks - agree:
-        blocks, agree = budget + 1, 1
+    blocks, agree = _blocks(n, budget)
     cuts = [round(k * 64 / blocks) for k in range(blocks + 1)]
     masks = [sum(((1 << (cuts[k + 1] - cuts[k])) - 1) << cuts[k] for k in chosen) for chosen in combinations(range(blocks), agree)]
     signed = lambda m: m - 2**64 if m >= 2**63 else m
@@ -190,7 +239,7 @@ def links(distinct: DataFrame, budget: int = 3, key_rows: int = KEY_ROWS) -> Dat
     rows = spread.select(F.xxhash64("k", "bits", "pair.i", "pair.j").alias("part"), "fp", side.alias("side"))
     parts = max(1, -(-n * len(masks) // 500_000), int(spark.conf.get("spark.sql.shuffle.partitions")))
     C.bound_batches(spark)
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "fp").mapInArrow(_joiner(budget), "a long, b long")
+    return rows.repartition(parts, "part").sortWithinPartitions("part", "fp").mapInArrow(_joiner(budget, join), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3, key_rows: int = KEY_ROWS) -> DataFrame:
@@ -206,8 +255,52 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3, key_rows: i
     return fp.join(of, "fp").select(real("k_id").alias("doc_id"), "k_id", "k_hash", "fp", real("first.k_id").alias("component_id"), (F.struct("k_id", "k_hash") == F.col("first")).alias("keeper"))
 
 
-def near_dedup(docs: DataFrame, size: int = 3, budget: int = 3) -> DataFrame:
-    """*docs* with one row of each component: the one of the smallest doc_id."""
-    keep = near_duplicates(docs, size, budget).where("keeper").select("k_id", "k_hash").distinct()
+def _shingles(text: bytes, size: int) -> set[bytes]:
+    words = text.lower().split()
+    return {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
+
+
+def _verifier(size: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(C.texts(batch, "ta"), C.texts(batch, "tb"), strict=True):
+                a, b = _shingles(x, size), _shingles(y, size)
+                both = len(a & b)
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 7, key_rows: int = KEY_ROWS) -> DataFrame:
+    """(k_id, k_hash, keeper) for every row of *docs*: keeper marks the row to keep of each group of near-duplicates.
+
+    Candidates are links of a spanning forest of the fewest bits over fingerprints of the texts' different words,
+    which few edits hardly change; a link counts if the texts' sets of *words*-word shingles have a Jaccard
+    similarity of *similarity* or more.  Texts of one fingerprint are held against the first of them.
+    """
+    fp = C.materialize(fingerprints(docs, 1, True))
+    texts = fp.select("k_hash", "fp").distinct()
+    first = texts.groupBy("fp").agg(F.min("k_hash").alias("rep"))
+    found = links(first.select("fp"), budget, key_rows, trie_forest).distinct()
+    a, b = first.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), first.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
+    far = found.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    near = texts.join(first, "fp").where("k_hash <> rep").select(F.col("rep").alias("a"), F.col("k_hash").alias("b"))
+    pairs = C.materialize(far.unionByName(near))
+    wanted = pairs.select(F.col("a").alias("k_hash")).unionByName(pairs.select(F.col("b").alias("k_hash"))).distinct()
+    body = docs.select(C.row_key()[1], F.coalesce("text", F.lit("")).alias("text")).join(wanted, "k_hash", "left_semi").dropDuplicates(["k_hash"])
+    of = lambda k: body.select(F.col("k_hash").alias(k), F.col("text").alias(f"t{k}"))
+    C.bound_batches(docs.sparkSession)
+    same = pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_verifier(words, similarity), "a long, b long")
+    roots = components(same).withColumnRenamed("node", "k_hash")
+    mine = fp.select("k_id", "k_hash").join(roots, "k_hash", "left").withColumn("root", F.coalesce("root", "k_hash"))
+    least = mine.groupBy("root").agg(F.min(F.struct("k_id", "k_hash")).alias("first"))
+    return mine.join(least, "root").select("k_id", "k_hash", (F.struct("k_id", "k_hash") == F.col("first")).alias("keeper"))
+
+
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 7) -> DataFrame:
+    """*docs* with one row of each group of ``similar_texts``: the one of the smallest doc_id."""
+    keep = similar_texts(docs, words, similarity, budget).where("keeper").select("k_id", "k_hash").distinct()
     mine = C.boxed(docs, *C.row_key()).join(keep, ["k_id", "k_hash"], "left_semi").dropDuplicates(["k_id", "k_hash"])
     return C.unboxed(mine, docs.columns)

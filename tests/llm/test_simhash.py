@@ -74,6 +74,59 @@ def test_trie_links_on_dense_groups():
     assert mine.tolist() == [want[i] for i in range(len(fps))]
 
 
+def brute_similar(texts, words=5, least=0.8):
+    sets = [simhash._shingles((t or "").encode(), words) for t in texts]
+    top = list(range(len(texts)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= least * len(a | b):
+                x, y = find(i), find(j)
+                top[max(x, y)] = min(x, y)
+    return sorted({find(i) + 1 for i in range(len(texts))})
+
+
+def test_near_dedup_against_brute_force(spark, docs_of, prose):
+    base = [prose(prose.rng.randint(150, 400)) for _ in range(25)]
+    texts = list(base)
+    for _ in range(80):
+        words = prose.rng.choice(base).split()
+        for _ in range(prose.rng.randint(0, 3)):
+            words[prose.rng.randrange(len(words))] = prose(1)
+        texts.append(" ".join(words))
+    texts += [base[0], base[0].upper(), None, "", "one two", "One  two", "x y z w v", " ".join(sorted(base[1].split())), " ".join(base[1].split()[::-1])]
+    kept = sorted(r.doc_id for r in simhash.near_dedup(docs_of(texts)).collect())
+    want = brute_similar(texts)
+    assert set(kept) >= set(want)  # never one too few
+    assert len(kept) <= len(want) + 2
+
+
+def test_forest_has_the_fewest_bits():
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    fps = np.unique(np.concatenate([centre[k % 6 : k % 6 + 1] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 4).astype(np.uint64)) for k in range(300)]))
+    i, j = simhash.trie_forest(fps, np.zeros(len(fps), np.int64), 6)
+    cost = np.bitwise_count(fps[i] ^ fps[j])
+    top = list(range(len(fps)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    want = []
+    for d, a, b in sorted((int((x ^ y).bit_count()), a, b) for a, x in enumerate(fps.tolist()) for b, y in enumerate(fps.tolist()[:a]) if (x ^ y).bit_count() <= 6):
+        if find(a) != find(b):
+            top[find(a)] = find(b)
+            want.append(d)
+    assert sorted(cost.tolist()) == want
+
+
 def test_rows_with_nulls_repeats_and_more_columns(spark, docs_of):
     d = docs_of([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (5, "z y x w v"), (None, "only null id here now")]).withColumn("fp", F.lit(1)).withColumn("k_hash", F.lit(2))
     out = simhash.near_duplicates(d).collect()

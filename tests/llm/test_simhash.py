@@ -99,7 +99,7 @@ def test_near_dedup_against_brute_force(spark, docs_of, prose):
         for _ in range(prose.rng.randint(0, 3)):
             words[prose.rng.randrange(len(words))] = prose(1)
         texts.append(" ".join(words))
-    texts += [base[0], base[0].upper(), None, "", "one two", "One  two", "x y z w v", " ".join(sorted(base[1].split())), " ".join(base[1].split()[::-1])]
+    texts += [base[0], base[0].upper(), None, "", "one two", "One  two", "x y z w v", other := prose(200), " ".join(sorted(other.split())), " ".join(other.split()[::-1])]
     kept = sorted(r.doc_id for r in simhash.near_dedup(docs_of(texts)).collect())
     want = brute_similar(texts)
     assert set(kept) >= set(want)  # never one too few

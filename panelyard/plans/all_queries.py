@@ -1,4 +1,4 @@
 """Importing this registers every query."""
 
-from . import more_queries, text_queries  # noqa: F401
+from . import assembly_queries, more_queries, text_queries  # noqa: F401
 from .queries import QUERIES, SQL  # noqa: F401

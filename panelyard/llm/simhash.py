@@ -289,7 +289,8 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budg
     near = texts.join(first, "fp").where("k_hash <> rep").select(F.col("rep").alias("a"), F.col("k_hash").alias("b"))
     pairs = C.materialize(far.unionByName(near))
     wanted = pairs.select(F.col("a").alias("k_hash")).unionByName(pairs.select(F.col("b").alias("k_hash"))).distinct()
-    body = docs.select(C.row_key()[1], F.coalesce("text", F.lit("")).alias("text")).join(wanted, "k_hash", "left_semi").dropDuplicates(["k_hash"])
+    # Written once: the joins below then deal out both sides anew, and may split a text that many are held against.
+    body = C.materialize(docs.select(C.row_key()[1], F.coalesce("text", F.lit("")).alias("text")).join(wanted, "k_hash", "left_semi").dropDuplicates(["k_hash"]))
     of = lambda k: body.select(F.col("k_hash").alias(k), F.col("text").alias(f"t{k}"))
     C.bound_batches(docs.sparkSession)
     same = pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_verifier(words, similarity), "a long, b long")

@@ -281,16 +281,19 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budg
     similarity of *similarity* or more.  Texts of one fingerprint are held against the first of them.
     """
     fp = C.materialize(fingerprints(docs, 1, True))
-    texts = fp.select("k_hash", "fp").distinct()
+    texts = fp.groupBy("k_hash", "fp").agg(F.min("k_id").alias("k_id"))
     first = texts.groupBy("fp").agg(F.min("k_hash").alias("rep"))
     found = links(first.select("fp"), budget, key_rows, trie_forest).distinct()
     a, b = first.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), first.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
     far = found.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    near = texts.join(first, "fp").where("k_hash <> rep").select(F.col("rep").alias("a"), F.col("k_hash").alias("b"))
+    near = texts.select("k_hash", "fp").join(first, "fp").where("k_hash <> rep").select(F.col("rep").alias("a"), F.col("k_hash").alias("b"))
     pairs = C.materialize(far.unionByName(near))
     wanted = pairs.select(F.col("a").alias("k_hash")).unionByName(pairs.select(F.col("b").alias("k_hash"))).distinct()
-    # Written once: the joins below then deal out both sides anew, and may split a text that many are held against.
-    body = C.materialize(docs.select(C.row_key()[1], F.coalesce("text", F.lit("")).alias("text")).join(wanted, "k_hash", "left_semi").dropDuplicates(["k_hash"]))
+    # One row of each text is taken by its whole key, so that copies don't meet in one task; what is written once is
+    # dealt out anew by the joins below, which may split a text that many are held against.
+    keys = wanted.join(texts, "k_hash").select("k_id", "k_hash")
+    taken = docs.select(*C.row_key(), F.coalesce("text", F.lit("")).alias("text")).join(keys, ["k_id", "k_hash"], "left_semi").dropDuplicates(["k_id", "k_hash"])
+    body = C.materialize(taken.select("k_hash", "text"))
     of = lambda k: body.select(F.col("k_hash").alias(k), F.col("text").alias(f"t{k}"))
     C.bound_batches(docs.sparkSession)
     same = pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_verifier(words, similarity), "a long, b long")

@@ -9,8 +9,8 @@ are thinned to a spanning forest within each task (union-find) before they leave
 ``key_rows`` fingerprints is dealt out as pairs of chunks, so that no task holds more than two chunks; no
 link is lost.  The links' connected components are found by a distributed star algorithm.
 
-``near_duplicates`` takes all links of the budget as they are.  ``near_dedup`` uses the same join to find candidates
-and then holds the texts themselves against each other.
+``near_duplicates`` takes all links of the budget as they are.  ``near_dedup`` uses the same join to find candidates,
+holds the texts themselves against each other, and then adds by an exact join on rare shingles what fingerprints miss.
 
 Defined cases: null and empty texts have no words and fingerprint zero, and are linked like others; texts of
 fewer words than a shingle are one shingle; repeated rows fall into one component; rows that share an id but
@@ -35,6 +35,8 @@ from .components import components
 #: Most fingerprints that may be expected to share a key by chance; more blocks must agree beyond that.
 CHANCE_ROWS = 64
 KEY_ROWS = 20_000
+#: Texts under one shared shingle beyond which they are dealt out; texts and shingles that set the order of shingles.
+SHARED_ROWS, ORDER_TEXTS, ORDER_SHINGLES = 1000, 20_000, 500_000
 _FRONTIER = 1 << 19
 
 
@@ -273,31 +275,166 @@ def _verifier(size: int, similarity: float):
     return run
 
 
+def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those *pairs* (a, b of k_hash) whose texts are similar."""
+    wanted = pairs.select(F.col("a").alias("k_hash")).unionByName(pairs.select(F.col("b").alias("k_hash"))).distinct()
+    # One row of each text is taken by its whole key, so that copies don't meet in one task; what is written once is
+    # dealt out anew by the joins below, which may split a text that many are held against.
+    keys = wanted.join(texts, "k_hash").select("k_id", "k_hash")
+    taken = docs.select(*C.row_key(), F.coalesce("text", F.lit("")).alias("text")).join(keys, ["k_id", "k_hash"], "left_semi").dropDuplicates(["k_id", "k_hash"])
+    body = C.materialize(taken.select("k_hash", "text"))
+    of = lambda k: body.select(F.col("k_hash").alias(k), F.col("text").alias(f"t{k}"))
+    C.bound_batches(docs.sparkSession)
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_verifier(words, similarity), "a long, b long")
+
+
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """The ascending 64-bit hashes of ``_shingles``."""
+    words = text.lower().split()
+    if len(words) < size:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    return np.unique(C.ngram_hashes(np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64), size))
+
+
+def _common_shingles(docs: DataFrame, texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending hashes, level): shingles that recur in some ORDER_TEXTS of the texts and how often, as a power of two.
+    They only say which shingles come last in the order of ``exact_pairs``; any order gives the same links."""
+    every = max(1, -(-texts.count() // ORDER_TEXTS))
+    some = docs.select(*C.row_key(), "text").where(F.pmod(F.xxhash64("k_hash"), F.lit(every)) == 0).dropDuplicates(["k_hash"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in C.texts(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(x, words).view(np.int64))], names=["h"])
+
+    found = some.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count >= 4").orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(h)
+    return h[order], np.log2(n[order]).astype(np.uint64)
+
+
+def _prefixes(docs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(k_id, k_hash, n, sketch, hs) of every row: how many shingles a text has, the parities of their hashes' last six
+    bits, and the first shingles in a fixed order, rare ones first: so many that two similar texts share one of them."""
+    sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, texts, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, level = sent.value
+        for batch in batches:
+            ns, sketches, hs = [], [], []
+            for x in C.texts(batch):
+                h = shingle_hashes(x, words)
+                late = np.zeros(len(h), np.uint64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    late = np.where(common[at] == h, level[at], late)
+                ns.append(len(h))
+                sketches.append(np.bitwise_xor.reduce(np.uint64(1) << (h & np.uint64(63))))
+                hs.append(h[np.lexsort((h, late))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]].view(np.int64))
+            packed = C.lists(np.concatenate([[0], np.cumsum([len(h) for h in hs])]), pa.array(np.concatenate([np.zeros(0, np.int64), *hs])))
+            yield pa.RecordBatch.from_arrays([batch.column("k_id"), batch.column("k_hash"), pa.array(ns, pa.int32()), pa.array(np.array(sketches, np.uint64).view(np.int64)), packed], names=["k_id", "k_hash", "n", "sketch", "hs"])
+
+    C.bound_batches(docs.sparkSession)
+    return docs.select(*C.row_key(), "text").mapInArrow(run, "k_id long, k_hash long, n int, sketch long, hs array<long>")
+
+
+def _shared(similarity: float, one: bool = False, flush: int = 1 << 18):
+    """Pairs of different roots within each run of equal ``part``, but those whose counts rule the similarity out: of
+    the first shingle that two texts share, what comes behind bounds their overlap, as do the parities that differ.
+    *one*: only the likeliest pair of every two roots in a run."""
+
+    def out(part, root, node, n, pos, sketch, side):
+        size = len(part)
+        edge = np.flatnonzero(part[1:] != part[:-1]) + 1
+        run = np.flatnonzero((part[1:] != part[:-1]) | (root[1:] != root[:-1])) + 1
+        ends, runs = np.append(edge, size), np.append(run, size)
+        stop = ends[np.searchsorted(edge, np.arange(size), "right")]
+        start = runs[np.searchsorted(run, np.arange(size), "right")]
+        found = [np.zeros((0, 2), np.int64)]
+        total = stop - start
+        for s in _slices(total):
+            i = np.repeat(np.arange(s.start, s.stop), total[s])
+            j = start[i] + np.arange(len(i)) - np.repeat(np.cumsum(total[s]) - total[s], total[s])
+            both = n[i] + n[j]
+            most = np.minimum(np.minimum(n[i] - pos[i], n[j] - pos[j]), (both - np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64))) // 2)
+            ok = most * (1 + similarity) + 1e-6 >= similarity * both
+            ok &= (side[i] < 0) | (side[i] != side[j])
+            i, j, rate = i[ok], j[ok], most[ok] / both[ok]
+            if one and len(i):
+                order = np.lexsort((-rate, root[j], root[i], part[i]))
+                i, j = i[order], j[order]
+                new = (part[i][1:] != part[i][:-1]) | (root[i][1:] != root[i][:-1]) | (root[j][1:] != root[j][:-1])
+                i, j = i[np.append(True, new)], j[np.append(True, new)]
+            x, y = node[i], node[j]
+            found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        columns = ["part", "root", "k_hash", "n", "pos", "sketch", "side"]
+        for batch in batches:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns])
+            rows += batch.num_rows
+            if rows >= flush:
+                now = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(now[0], now[0][-1]))
+                if cut:
+                    yield out(*(x[:cut] for x in now))
+                held, rows = [[x[cut:] for x in now]], len(now[0]) - cut
+        if rows:
+            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def shared_rows(docs: DataFrame, texts: DataFrame, roots: DataFrame, words: int, similarity: float, key_rows: int = SHARED_ROWS) -> tuple[DataFrame, DataFrame]:
+    """((k_hash, pos, part, side), (k_hash, n, sketch)) of *texts*: what ``exact_pairs`` joins.
+
+    Shingles under which only one root comes are left out before any pair is made; one of more than *key_rows* texts is
+    dealt out as pairs of chunks."""
+    mine = _prefixes(docs, texts, words, similarity).join(texts.select("k_id", "k_hash"), ["k_id", "k_hash"], "left_semi").dropDuplicates(["k_id", "k_hash"])
+    own = C.materialize(mine.join(roots.select(F.col("node").alias("k_hash"), "root"), "k_hash", "left").withColumn("root", F.coalesce("root", "k_hash")))
+    at = own.select("k_hash", "root", F.posexplode("hs").alias("pos", "h"))
+    many = at.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("h", F.ceil(F.col("c") / key_rows).cast("int").alias("c"))
+    chunk = F.pmod(F.xxhash64("k_hash"), F.col("c")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.struct(F.least("chunk", j).alias("i"), F.greatest("chunk", j).alias("j")))
+    spread = at.select("k_hash", "pos", "h").join(many, "h").withColumn("chunk", chunk).withColumn("pair", F.explode(pairs))
+    side = F.when(F.col("pair.i") == F.col("pair.j"), -1).when(F.col("chunk") == F.col("pair.i"), 0).otherwise(1).cast("byte")
+    return C.materialize(spread.select("k_hash", "pos", F.xxhash64("h", "pair.i", "pair.j").alias("part"), side.alias("side"))), own.select("k_hash", "n", "sketch")
+
+
+def exact_pairs(rows: DataFrame, counts: DataFrame, roots: DataFrame, similarity: float, one: bool = False) -> DataFrame:
+    """(a, b): every pair of texts under different *roots* (node, root; a text that isn't there is its own) that may
+    have the similarity: by prefix filtering none is missed, whatever its fingerprints.  *one*: only the likeliest of
+    two roots under a shingle."""
+    under = counts.join(roots.select(F.col("node").alias("k_hash"), "root"), "k_hash", "left").withColumn("root", F.coalesce("root", "k_hash"))
+    return rows.join(under, "k_hash").repartition("part").sortWithinPartitions("part", "root").mapInArrow(_shared(similarity, one), "a long, b long").distinct()
+
+
 def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 7, key_rows: int = KEY_ROWS) -> DataFrame:
     """(k_id, k_hash, keeper) for every row of *docs*: keeper marks the row to keep of each group of near-duplicates.
 
-    Candidates are links of a spanning forest of the fewest bits over fingerprints of the texts' different words,
-    which few edits hardly change; a link counts if the texts' sets of *words*-word shingles have a Jaccard
-    similarity of *similarity* or more.  Texts of one fingerprint are held against the first of them.
+    Two texts are linked if their sets of *words*-word shingles have a Jaccard similarity of *similarity* or more.
+    First come links of a spanning forest of the fewest bits over fingerprints of the texts' different words, and texts
+    of one fingerprint held against the first of them: cheap, and most copies are found so.  ``exact_pairs`` then gives
+    all other pairs that may be similar and aren't connected yet, and these are compared too, so no group is left apart.
     """
     fp = C.materialize(fingerprints(docs, 1, True))
-    texts = fp.groupBy("k_hash", "fp").agg(F.min("k_id").alias("k_id"))
+    texts = C.materialize(fp.groupBy("k_hash", "fp").agg(F.min("k_id").alias("k_id")))
     first = texts.groupBy("fp").agg(F.min("k_hash").alias("rep"))
     found = links(first.select("fp"), budget, key_rows, trie_forest).distinct()
     a, b = first.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), first.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
     far = found.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     near = texts.select("k_hash", "fp").join(first, "fp").where("k_hash <> rep").select(F.col("rep").alias("a"), F.col("k_hash").alias("b"))
-    pairs = C.materialize(far.unionByName(near))
-    wanted = pairs.select(F.col("a").alias("k_hash")).unionByName(pairs.select(F.col("b").alias("k_hash"))).distinct()
-    # One row of each text is taken by its whole key, so that copies don't meet in one task; what is written once is
-    # dealt out anew by the joins below, which may split a text that many are held against.
-    keys = wanted.join(texts, "k_hash").select("k_id", "k_hash")
-    taken = docs.select(*C.row_key(), F.coalesce("text", F.lit("")).alias("text")).join(keys, ["k_id", "k_hash"], "left_semi").dropDuplicates(["k_id", "k_hash"])
-    body = C.materialize(taken.select("k_hash", "text"))
-    of = lambda k: body.select(F.col("k_hash").alias(k), F.col("text").alias(f"t{k}"))
-    C.bound_batches(docs.sparkSession)
-    same = pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_verifier(words, similarity), "a long, b long")
-    roots = components(same).withColumnRenamed("node", "k_hash")
+    same = C.materialize(_verified(docs, texts, C.materialize(far.unionByName(near)), words, similarity))
+    roots = components(same)
+    rows, counts = shared_rows(docs, texts, roots, words, similarity)
+    for one in (True, False):  # first one pair of two groups, which links most of them; then all pairs that are left
+        rest = C.materialize(exact_pairs(rows, counts, roots, similarity, one))
+        same = same.unionByName(C.materialize(_verified(docs, texts, rest, words, similarity)))
+        roots = components(same)
+    roots = roots.withColumnRenamed("node", "k_hash")
     mine = fp.select("k_id", "k_hash").join(roots, "k_hash", "left").withColumn("root", F.coalesce("root", "k_hash"))
     least = mine.groupBy("root").agg(F.min(F.struct("k_id", "k_hash")).alias("first"))
     return mine.join(least, "root").select("k_id", "k_hash", (F.struct("k_id", "k_hash") == F.col("first")).alias("keeper"))

@@ -146,3 +146,20 @@ def test_components_of_chains_and_hubs(spark):
     out = components(spark.createDataFrame(edges, "a long, b long"))
     got = {r.node: r.root for r in out.collect()}
     assert got == {**{k: 0 for k in range(41)}, **{100 + k: 100 for k in range(50)}}
+
+
+def kept_of(docs):
+    return sorted(r.doc_id for r in simhash.near_dedup(docs).collect())
+
+
+def pinned(monkeypatch, fps):
+    """Give texts these fingerprints (a dict of text to number)."""
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.select(*simhash.C.row_key(), F.element_at(F.create_map(*[F.lit(x) for kv in fps.items() for x in kv]), F.col("text")).cast("long").alias("fp")))
+
+
+def test_near_dedup_past_false_neighbours(spark, docs_of, prose, monkeypatch):
+    a, c = prose(100), prose(100)
+    b = a + " tail"
+    # a and b lie six bits apart, and c, which is like neither, three bits from both.
+    pinned(monkeypatch, {a: 0b000000, b: 0b111111, c: 0b000111})
+    assert kept_of(docs_of([a, b, c])) == [1, 3]

@@ -163,3 +163,11 @@ def test_near_dedup_past_false_neighbours(spark, docs_of, prose, monkeypatch):
     # a and b lie six bits apart, and c, which is like neither, three bits from both.
     pinned(monkeypatch, {a: 0b000000, b: 0b111111, c: 0b000111})
     assert kept_of(docs_of([a, b, c])) == [1, 3]
+
+
+def test_near_dedup_finds_longer_and_shorter_copies(spark, docs_of, prose):
+    texts = []
+    for k in range(40):
+        words = prose(120).split()
+        texts += [" ".join(words), " ".join(words + prose(26).split()) if k % 2 else " ".join(words[:-22])]
+    assert kept_of(docs_of(texts)) == brute_similar(texts)

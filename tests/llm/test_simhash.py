@@ -171,3 +171,13 @@ def test_near_dedup_finds_longer_and_shorter_copies(spark, docs_of, prose):
         words = prose(120).split()
         texts += [" ".join(words), " ".join(words + prose(26).split()) if k % 2 else " ".join(words[:-22])]
     assert kept_of(docs_of(texts)) == brute_similar(texts)
+
+
+def test_near_dedup_among_texts_of_the_same_words(spark, docs_of, prose):
+    words = prose(100).split()
+    texts = []
+    for _ in range(12):
+        prose.rng.shuffle(words)
+        texts += [" ".join(words), " ".join([*words[:-2], words[-1], words[-2]])]
+    assert len({simhash.fingerprint(t.encode(), 1, True) for t in texts}) == 1
+    assert kept_of(docs_of(texts)) == brute_similar(texts) == list(range(1, 25, 2))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ML_PREFIX = "[ML推荐]"
+SPREAD = 64
 # Fragments that rule a measure out, by project type, by missing rule, as monitoring, by site feature.
 PROHIBITED = {"coal": ["设置光伏板", "风机基础"], "solar": ["煤矸石", "尾矿", "露天采坑", "塌陷坑", "风机基础"], "wind": ["设置光伏板", "光伏组件", "煤矸石", "尾矿", "露天采坑", "塌陷坑"]}
 UNAVAILABLE = {"重金属污染": ["重金属", "超富集", "耐污", "植-菌", "收割后无害化"]}
@@ -76,21 +77,33 @@ def unknown_measures(accepted: DataFrame, knowledge: DataFrame) -> DataFrame:
     return accepted.join(F.broadcast(known), ["text", "project_type"], "left_anti").withColumn("reason", F.lit("not_in_measure_knowledge"))
 
 
+def takeable(asked: DataFrame, candidates: DataFrame, key: str, cap: int) -> DataFrame:
+    """(key, pos, text) of *candidates* that a greedy choice for *asked* (key, ps) may reach: for each problem the first
+    different texts that fit it, as many as all problems of the key take together."""
+    each = asked.select(key, F.size("ps").alias("size"), F.posexplode("ps").alias("nr", "p")).select(key, "size", "nr", F.col("p.keywords").alias("keywords"))
+    fits = candidates.groupBy(key, "text").agg(F.min("pos").alias("pos")).join(each, key).where(F.exists("keywords", lambda k: F.contains("text", k)))
+    fits = fits.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(SPREAD)))
+    for by in ([key, "nr", "part"], [key, "nr"]):
+        fits = fits.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("pos", "text"))).where(F.col("nth") <= cap * F.col("size"))
+    return fits.select(key, "pos", "text").distinct()
+
+
 def greedy(problems: DataFrame, candidates: DataFrame, key: str = "project_key", cap: int = 3) -> DataFrame:
     """(key, problem, text, keyword): problems in order take up to *cap* measures each, a measure once, by first keyword.
 
     *problems*: (key, ord, problem, keywords array); *candidates*: (key, pos, text).  The choice runs over two arrays of
-    one entity, whose sizes are its problems and its measures, in one fold.
+    one entity in one fold.  Of its measures only those come there that may be taken: the first different ones that fit
+    a problem, as many as all problems take together; they are ranked in SPREAD parts first, so that none is ranked whole.
     """
     p = problems.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "problem", "keywords"))).alias("ps"))
-    m = candidates.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("ms"))
+    fits = takeable(p, candidates, key, cap)
+    m = fits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("ms"))
     none = F.expr("cast(array() as array<struct<problem: string, text: string, keyword: string>>)")
 
     def step(done: Column, problem: Column) -> Column:
         used = F.transform(done, lambda d: d["text"])
         word = lambda t: F.try_element_at(F.filter(problem["keywords"], lambda k: F.contains(t, k)), F.lit(1))
         fit = F.filter(F.col("ms"), lambda c: ~F.array_contains(used, c["text"]) & word(c["text"]).isNotNull())
-        once = F.filter(fit, lambda c, i: F.array_position(F.transform(fit, lambda z: z["text"]), c["text"]) == i + 1)
-        return F.concat(done, F.transform(F.slice(once, 1, cap), lambda c: F.struct(problem["problem"].alias("problem"), c["text"].alias("text"), word(c["text"]).alias("keyword"))))
+        return F.concat(done, F.transform(F.slice(fit, 1, cap), lambda c: F.struct(problem["problem"].alias("problem"), c["text"].alias("text"), word(c["text"]).alias("keyword"))))
 
     return p.join(m, key).select(key, F.posexplode(F.aggregate("ps", none, step)).alias("ord", "pick")).select(key, "ord", "pick.problem", "pick.text", "pick.keyword")

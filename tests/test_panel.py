@@ -183,3 +183,13 @@ def test_locked_changes(spark):
     draft = spark.createDataFrame([(1, "x", 9), (3, "z", None), (4, "q", 1)], "k int, f string, g int")
     got = {(r.k, r.code, r.field) for r in analysis.locked_changes(seed, draft, ["f", "g"], ["k"]).collect()}
     assert got == {(1, "changed", "g"), (2, "missing", "*"), (4, "unexpected", "*")}
+
+
+def test_greedy_collects_only_what_may_be_taken(spark):
+    problems = spark.createDataFrame([("a", 1, "p", ["x"]), ("a", 2, "q", ["y", "x"])], "project_key string, ord int, problem string, keywords array<string>")
+    texts = [f"{'x' if i % 3 else 'y'}{i // 2}" for i in range(3000)]
+    candidates = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "project_key string, pos int, text string")
+    out = measures.greedy(problems, candidates)
+    assert [(r.ord, r.text, r.keyword) for r in out.orderBy("ord").collect()] == [(0, "x0", "x"), (1, "x1", "x"), (2, "x2", "x"), (3, "y0", "y"), (4, "y1", "y"), (5, "y3", "y")]
+    asked = problems.groupBy("project_key").agg(F.array_sort(F.collect_list(F.struct("ord", "problem", "keywords"))).alias("ps"))
+    assert measures.takeable(asked, candidates, "project_key", 3).count() <= 12

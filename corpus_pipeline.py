@@ -6,8 +6,8 @@ in the shared folder and reads it again for the next, so a lost executor costs o
 
 1. quality: documents that the attention classifier scores under 0.7 go (labels: those not held out).
 2. line_dedup: later occurrences of windows of three lines go; a text may become shorter or empty.
-3. near_dedup: of documents that SimHash links and whose five-word shingles have a Jaccard similarity of 0.8 or
-   more, one stays, that of the smallest doc_id.
+3. near_dedup: of documents whose five-word shingles have a Jaccard similarity of 0.8 or more (found by SimHash and
+   an exact join), one stays, that of the smallest doc_id.
 4. decontaminate: runs of words that lie in a benchmark window of ten words are cut out.
 5. pack: tokens of every document get places in sequences of 4096.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -12,10 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch between the JVM and Python; bounds a worker's memory.
+#: Rows of a batch that a worker handles at once (Spark bounds a batch's bytes).
 ARROW_ROWS = 1000
 #: Bytes of text that a numpy kernel handles at once, so that its arrays stay in the cache (a longer text is one chunk).
 CHUNK_BYTES = 1 << 17
+#: Rows under one id from which on rows that repeat are taken together before they meet in a task.
+REPEATED = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,17 +26,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches small, so that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what a worker makes of them stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir.  Where that is unset a local session gets a folder of its own; on a cluster
+    it must be set, as no machine's own folder is seen by the others."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        path = spark.sparkContext.getCheckpointDir()
     return path
 
 
@@ -51,6 +59,24 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k_hash")]
 
 
+def collapsed(docs: DataFrame) -> DataFrame:
+    """(k_id, k_hash, text, n, hot) of *docs* (doc_id, text): rows of an id with more than REPEATED rows come once for each
+    text, with their number n, so that no task gets a pile of equal rows; all others as they are, with n = 1."""
+    keyed = docs.select(*row_key(), "text")
+    ids = materialize(docs.select(row_key()[0]).groupBy("k_id").count().where(F.col("count") > REPEATED).select("k_id"))
+    cold = lambda d: d.select("k_id", "k_hash", "text", F.lit(1).cast("long").alias("n"), F.lit(False).alias("hot"))
+    if ids.isEmpty():
+        return cold(keyed)
+    hot = keyed.join(ids, "k_id", "left_semi").groupBy("k_id", "k_hash").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    return cold(keyed.join(ids, "k_id", "left_anti")).unionByName(hot.withColumn("hot", F.lit(True)))
+
+
+def block_bytes(size: int, least: int, most: int) -> int:
+    """Bytes of a block for *size* bytes of text: every block writes to every bucket, so both grow with the root of the
+    input, which keeps what one of them sends to another at a kilobyte or so, from *least* up to what a task can hold."""
+    return max(least, min(most, math.isqrt(1000 * size)))
+
+
 def boxed(docs: DataFrame, *more: Column | str) -> DataFrame:
     """All columns of *docs* in one struct ``row``, and beside it only *more*: no name can clash."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)

@@ -5,13 +5,15 @@ each attribute as bit slices (one bitmap over the rows for every binary digit ab
 A query's score is a sum of shifted slices: each signed binary digit of a query component adds the
 attribute's slices, or their complements for a negative digit, and full adders on whole bitmaps bring every
 weight down to one bitmap.  The top rows are then taken from the most significant slice downward; rows that
-still tie at the boundary are resolved exactly, by the smaller id.  Each pair of a query group and a block
-hands on k rows a query, which a window cuts to k.
-
-Defined cases: vectors that are null, or hold null or non-finite components, take no part (nor do vectors with
-a component beyond 2**28 after scaling, whose scores could leave a long); a vector is only compared with
-queries of its own length; rows with a null id take no part; rows that repeat an id are each a candidate, but
-an id asks once, with its least vector; an empty table gives no rows; further columns are ignored.
+still tie at the boundary are resolved exactly, by the smaller id.  A block goes to its task once (to a few tasks
+where there are fewer blocks than tasks), and the query groups stream past it there; each pair of a query and a
+block hands on k rows, which a window cuts to k.
+
+Defined cases: vectors that are null, or hold null or non-finite components, take no part; a vector is only compared
+with queries of its own length; rows with a null id take no part; rows that repeat an id are each a candidate, and
+lie in any blocks, but an id asks once, with its least vector; a component of 2**62 or more after scaling, or a query
+whose scores could leave a long, ends the job with an error that says so; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from . import _common as C
 
 BLOCK_ROWS = 8192
 QUERY_GROUP = 128
-_MOST = 2.0**28
+_MOST = 2.0**62
 _INDEX = T.StructType(
     [T.StructField("dim", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("least", T.BinaryType()), T.StructField("width", T.BinaryType()), T.StructField("slices", T.BinaryType())]
 )
@@ -38,8 +40,9 @@ _INDEX = T.StructType(
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """(id long, v array<long>, dim int) of the vectors that take part."""
     v = F.col(vec_col)
-    fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < _MOST))
-    ints = F.transform(v, lambda x: F.floor(x.cast("double") * scale))
+    fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    scaled = F.transform(v, lambda x: x.cast("double") * scale)
+    ints = F.transform(scaled, lambda y: F.when(F.abs(y) < _MOST, F.floor(y)).otherwise(F.raise_error(F.lit("a vector component of 2**62 or more after scaling")).cast("long")))
     return vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), ints.alias("v"), F.size(v).alias("dim"))
 
 
@@ -54,6 +57,7 @@ class BlockIndex:
         self.valid = np.packbits(full, bitorder="little").view(np.uint64)
         self.both = np.concatenate([slices, ~slices])
         self.first = np.concatenate([[0], np.cumsum(width)])
+        self.reach = np.maximum(np.abs(least.astype(np.float64)), np.abs(least.astype(np.float64) + 2.0**width))
 
     @classmethod
     def build(cls, ids: np.ndarray, values: np.ndarray) -> BlockIndex:
@@ -74,7 +78,9 @@ class BlockIndex:
 
     def sums(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Bitmaps of the binary digits (lowest first) of every row's score, less the returned constant."""
-        constant, columns, n = int(np.dot(query, self.least)), {}, len(self.slices)
+        if float(np.dot(np.abs(query.astype(np.float64)), self.reach)) >= 2.0**63:
+            raise OverflowError("a query's scores may not fit into a long")
+        constant, columns, n = sum(a * b for a, b in zip(query.tolist(), self.least.tolist(), strict=True)), {}, len(self.slices)
         for j in np.flatnonzero(query).tolist():
             q, t, w = int(query[j]), 0, int(self.width[j])
             while q and w:
@@ -128,9 +134,10 @@ class BlockIndex:
         rows = np.flatnonzero(np.unpackbits(taken.view(np.uint8), bitorder="little"))
         if have < k:  # all rows still open tie; they lie in the order of their ids
             rows = np.concatenate([rows, np.flatnonzero(np.unpackbits(open_.view(np.uint8), bitorder="little"))[: k - have]])
-        scores = np.full(len(rows), constant, np.int64)
+        # Sums are taken modulo 2**64, as the complements may go beyond a long on the way.
+        scores = np.full(len(rows), (constant + 2**63) % 2**64 - 2**63, np.int64)
         word, bit = rows >> 6, (rows & 63).astype(np.uint64)
-        for w, s in enumerate(digits):
+        for w, s in enumerate(digits[:64]):
             scores += ((s[word] >> bit) & np.uint64(1)).astype(np.int64) << w
         return self.ids[rows], scores
 
@@ -145,20 +152,28 @@ def _build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
-    """The bit-sliced index of ``quantised`` rows, one row a block, and the number of blocks."""
+    """The bit-sliced index of ``quantised`` rows, one row a block, and the number of blocks.  Rows are dealt out by their
+    place in the input, so that rows of one id or one vector spread as all others."""
     blocks = max(1, -(-rows.count() // block_rows))
-    C.bound_batches(rows.sparkSession)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     return dealt.groupBy("dim", "block").applyInArrow(_build, _INDEX), blocks
 
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by dim, block and lane, a block's index before the query groups that it meets."""
+        key, x = None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, least, width, slices = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in (("ids", np.int64), ("least", np.int64), ("width", np.int64), ("slices", np.uint64)))
-                x = BlockIndex(ids, least, width, slices.reshape(int(width.sum()), -(-len(ids) // 64)))
-                asked = batch.column("queries")[r].values
+                cell = lambda c: batch.column(c)[r]  # noqa: B023, E731
+                here = tuple(cell(c).as_py() for c in ("dim", "block", "lane"))
+                if not cell("queries").is_valid:
+                    ids, least, width, slices = (np.frombuffer(cell(c).as_buffer(), t) for c, t in (("ids", np.int64), ("least", np.int64), ("width", np.int64), ("slices", np.uint64)))
+                    key, x = here, BlockIndex(ids, least, width, slices.reshape(int(width.sum()), -(-len(ids) // 64)))
+                    continue
+                if here != key:  # no vector of this length lies in the block
+                    continue
+                asked = cell("queries").values
                 vectors = asked.field("v")
                 out = []
                 for i, q in enumerate(asked.field("id").to_pylist()):
@@ -176,11 +191,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     asked = quantised(vectors.where(is_query), id_col, vec_col, scale).groupBy("dim", "id").agg(F.min("v").alias("v"))
     groups = max(1, -(-asked.count() // query_group))
     blocks_df, blocks = index(rows, block_rows)
+    # A block is one row; only where blocks are fewer than tasks it goes to several lanes, each with its share of the groups.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lanes = min(groups, max(1, -(-2 * parts // blocks)))
     packed = asked.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    left = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = blocks_df.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    C.bound_batches(spark, 64)
-    pairs = left.join(right.hint("shuffle_hash"), ["dim", "block", "group"]).select("ids", "least", "width", "slices", "queries")
-    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    none = [F.lit(None).cast("binary").alias(c) for c in ("ids", "least", "width", "slices")]
+    left = packed.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), (F.col("group") % lanes).alias("lane"), *none, "queries")
+    right = blocks_df.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "ids", "least", "width", "slices", F.lit(None).cast(left.schema["queries"].dataType).alias("queries"))
+    met = right.unionByName(left).repartition(max(parts, min(blocks * lanes, 100_000)), "dim", "block", "lane")
+    found = met.sortWithinPartitions("dim", "block", "lane", F.col("queries").isNotNull()).mapInArrow(_search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,11 +1,13 @@
 """Cross-entropy difference: how much better a target model than a background model predicts each document.
 
 Both are bigram models over one vocabulary, all words of the corpus, with the same smoothing: counts of a bigram
-are joined by ``mu`` pseudo-counts shared out by add-one unigrams.  The background is every document, the target
-the documents that the label table marks.  The score is the mean over a document's tokens of the target's loss
-less the background's (nats): the lower, the closer to the target.
+are joined by ``mu`` pseudo-counts shared out by add-one unigrams.  The background is every document, targets too, and
+so is larger than the target; it isn't cut down to the target's size, so that what is gathered grows with the corpus.
+The target is the documents that the label table marks.  The score is the mean over a document's tokens of the
+target's loss less the background's (nats): the lower, the closer to the target.
 
-Documents are dealt into blocks, by id.  A block sends the n-grams that it holds and their counts to buckets of the
+Documents are dealt into blocks, by id (rows of one id that are very many: by their texts, equal ones as one row with
+a count).  A block sends the n-grams that it holds and their counts to buckets of the
 hash range, as sorted packed arrays; a bucket adds up what all blocks sent and answers each block in the same
 order, so a block gets the model's entries that it needs and no more, and nothing of the model is broadcast but
 three totals.  Both sides grow with the input.  A very frequent word is one entry a block.
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 MU = 10.0
-BLOCK_BYTES = 8 << 20
+#: Bytes of text of a block, from small to very large inputs.
+BLOCK_BYTES = 8 << 20, 128 << 20
 _BEGIN = np.uint64(0x5851F42D4C957F2D)
 _ONE = np.uint64(1)
 
@@ -56,25 +59,30 @@ def _chunks(texts: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _split(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """A block's documents, and which of them are targets."""
+    """A block's documents, and which of them are targets: those known to be, and of the others those with a mark here."""
     mark = table.column("mark").to_numpy(zero_copy_only=False)
     docs = table.filter(pa.array(~mark))
-    targets = pc.is_in(docs.column("doc_id"), value_set=pc.unique(table.filter(pa.array(mark)).column("doc_id")).drop_null(), skip_nulls=True)
-    return docs.select(["doc_id", "text"]), targets.to_numpy(zero_copy_only=False).astype(bool)
+    marked = pc.is_in(docs.column("doc_id"), value_set=pc.unique(table.filter(pa.array(mark)).column("doc_id")).drop_null(), skip_nulls=True)
+    return docs.select(["doc_id", "text", "n"]), pc.coalesce(docs.column("known"), marked).to_numpy(zero_copy_only=False).astype(bool)
 
 
 def _entries(docs: pa.Table, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's n-grams, ascending, with their counts in targets and in all documents."""
-    found = []
+    found, times, n = [], [], docs.column("n").to_numpy()
     for lo, data, offs in _chunks(docs):
         words, row = _tokens(data, offs)
         pairs, at = _pairs(words, row)
         hit = targets[lo + row].astype(np.uint64)
         found += [words | hit, pairs | hit[at]]
+        times += [n[lo + row], n[lo + row[at]]] if (n != 1).any() else []
     every = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    every.sort()
+    if times:
+        order = np.argsort(every, kind="stable")
+        every, times = every[order], np.concatenate(times)[order]
+    else:
+        every.sort()
     new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-    count = np.diff(np.append(new, len(every))).astype(np.uint64)
+    count = (np.add.reduceat(times, new) if len(times) else np.diff(np.append(new, len(every)))).astype(np.uint64)
     key, hit = every[new] & ~_ONE, (every[new] & _ONE) > 0
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     add = lambda x: np.add.reduceat(x, first) if len(first) else x
@@ -153,13 +161,13 @@ def _scorer(totals: tuple[int, int, int], mu: float):
                 sums[k, lo : lo + n] = np.bincount(row[at], loss, minlength=n)
         some = n_tokens > 0
         mean = [pa.array(s / np.maximum(n_tokens, 1), mask=~some) for s in (sums[0], sums[1], sums[0] - sums[1])]
-        return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": pa.array(n_tokens), "ce_target": mean[0], "ce_background": mean[1], "score": mean[2]})
+        return pa.table({"doc_id": docs.column("doc_id"), "n": docs.column("n"), "n_tokens": pa.array(n_tokens), "ce_target": mean[0], "ce_background": mean[1], "score": mean[2]})
 
     return run
 
 
 def _totals(docs: DataFrame, is_target: DataFrame, buckets: int) -> tuple[int, int, int]:
-    """Tokens in targets and in all documents, and how many words the vocabulary has."""
+    """Tokens in targets and in all documents (doc_id, text, n), and how many words the vocabulary has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -172,7 +180,7 @@ def _totals(docs: DataFrame, is_target: DataFrame, buckets: int) -> tuple[int, i
             none = pa.nulls(n, pa.int64())
             return pa.RecordBatch.from_arrays([none, none, pa.array(to[cut[:-1]].astype(np.int32)), pa.array([_pack_keys(keys[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "n", "bucket", "keys"])
 
-        for batch in batches:
+        for batch in C.sliced(batches):
             n = np.zeros(batch.num_rows, np.int64)
             for lo, hi, data, offs in C.text_chunks(batch):
                 starts, _, row = C.word_runs(data, offs)
@@ -180,6 +188,7 @@ def _totals(docs: DataFrame, is_target: DataFrame, buckets: int) -> tuple[int, i
                 if len(starts):
                     held.append(np.unique(C.word_hashes(data, starts) & ~_ONE))
                     size += len(held[-1])
+            n *= batch.column("n").to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "bucket", "keys"])
             if size > 1 << 21:
                 yield words()
@@ -190,7 +199,7 @@ def _totals(docs: DataFrame, is_target: DataFrame, buckets: int) -> tuple[int, i
     def distinct(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return pa.table({"n": pa.array([len(np.unique(np.concatenate([_unpack_keys(x) for x in table.column("keys")])))], pa.int64())})
 
-    found = C.materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, bucket int, keys binary"))
+    found = C.materialize(docs.select("doc_id", "text", "n").mapInArrow(run, "doc_id long, n long, bucket int, keys binary"))
     counts = found.where("bucket is null").select("doc_id", "n")
     vocabulary = found.where("bucket is not null").select("bucket", "keys").groupBy("bucket").applyInArrow(distinct, "n long").agg(F.sum("n")).first()[0]
     target = counts.join(is_target, "doc_id", "left_semi").agg(F.sum("n")).first()[0]
@@ -201,15 +210,20 @@ def score(docs: DataFrame, labels: DataFrame, is_target: Column, mu: float = MU)
     """(doc_id, n_tokens, ce_target, ce_background, score) for every row of *docs*; rows of *labels* where *is_target*
     mark the target documents."""
     spark = docs.sparkSession
-    C.bound_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(-(-size // BLOCK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(-(-size // C.block_bytes(size, *BLOCK_BYTES)), int(spark.conf.get("spark.sql.shuffle.partitions")))
     marks = labels.where(is_target & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    totals = _totals(texts, marks, blocks)
-    rows = texts.withColumn("mark", F.lit(False)).unionByName(marks.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("mark")))
-    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("int")
-    dealt = rows.select(place.alias("block"), "doc_id", "text", "mark")
+    rows = C.collapsed(docs).withColumn("doc_id", F.nullif("k_id", F.lit(2**63 - 1)))
+    totals = _totals(rows, marks, blocks)
+    # Whether a document is a target is found in its block; for the few ids with very many rows, and for null, beforehand.
+    hot = rows.where("hot").join(marks.withColumn("known", F.lit(True)), "doc_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    cold = rows.where("not hot").withColumn("known", F.when(F.col("doc_id").isNull(), F.lit(False)))
+    by_text = F.col("known").isNotNull()
+    place = lambda c: F.pmod(c, F.lit(blocks)).cast("int").alias("block")
+    texts = hot.unionByName(cold).select(place(F.when(by_text, F.xxhash64("k_id", "k_hash")).otherwise(F.xxhash64("doc_id"))), "doc_id", "text", "n", F.lit(False).alias("mark"), "known")
+    sign = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    dealt = texts.unionByName(marks.select(place(F.xxhash64("doc_id")), "doc_id", sign("text", "string"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("mark"), sign("known", "boolean")))
     sent = dealt.groupBy("block").applyInArrow(_send(blocks), "bucket int, block int, keys binary, t binary, b binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "bucket int, block int, n long, t binary, b binary")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(totals, mu), "doc_id long, n_tokens long, ce_target double, ce_background double, score double")
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(totals, mu), "doc_id long, n long, n_tokens long, ce_target double, ce_background double, score double")
+    return scored.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n", "nth")

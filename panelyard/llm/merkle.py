@@ -9,7 +9,7 @@ Building is one aggregation a level, each over a ``fanout``-th of the rows of th
 once, as the audit reads few of its rows.  The number of levels is the logarithm of the largest record number.
 
 Defined cases: null payloads are empty; records with a null number are left out, as they have no place in an
-archive; records that share a number are one leaf, over their digests and ranges in order; empty replicas are
+archive; numbers may be negative or beyond 2**53; records that share a number are one leaf, over their digests and ranges in order; empty replicas are
 equal, and against an empty one every record is missing; further columns are ignored.
 """
 
@@ -25,6 +25,11 @@ FANOUT = 16
 ARCHIVE_RECORDS = 4096
 
 
+def _over(number: str, by: int) -> Column:
+    """*number* (a long) divided by *by*, rounded down; exact beyond 2**53, too."""
+    return F.expr(f"({number} - pmod({number}, {by}L)) div {by}L")
+
+
 def warc_text(record_id: Column, uri: Column, payload: Column) -> Column:
     """A response record: header, blank line, payload and the closing blank lines."""
     body = F.coalesce(payload, F.lit(""))
@@ -41,7 +46,7 @@ def digest(record: Column) -> Column:
 
 def with_offsets(records: DataFrame, archive_records: int = ARCHIVE_RECORDS) -> DataFrame:
     """*records* (record_id, sha, size, ...) with archive, start and stop: records follow each other by number."""
-    archive = F.floor(F.col("record_id") / archive_records).cast("long")
+    archive = _over("record_id", archive_records)
     w = Window.partitionBy("archive").orderBy("record_id", "sha").rowsBetween(Window.unboundedPreceding, 0)
     return records.where(F.col("record_id").isNotNull()).withColumn("archive", archive).withColumn("stop", F.sum("size").over(w)).withColumn("start", F.col("stop") - F.col("size"))
 
@@ -49,7 +54,7 @@ def with_offsets(records: DataFrame, archive_records: int = ARCHIVE_RECORDS) ->
 def _parents(nodes: DataFrame, fanout: int) -> DataFrame:
     """One level up; all replicas at once."""
     kids = F.array_sort(F.collect_list(F.struct("node", "digest")))
-    up = nodes.groupBy("replica", F.floor(F.col("node") / fanout).cast("long").alias("up")).agg(F.min("start").alias("start"), F.max("stop").alias("stop"), kids.alias("kids"))
+    up = nodes.groupBy("replica", _over("node", fanout).alias("up")).agg(F.min("start").alias("start"), F.max("stop").alias("stop"), kids.alias("kids"))
     inside = F.concat_ws(",", F.transform("kids", lambda k: F.concat_ws(":", k["node"].cast("string"), k["digest"])))
     return up.select("replica", F.col("up").alias("node"), F.sha2(F.concat_ws("|", inside, F.col("start").cast("string"), F.col("stop").cast("string")), 256).alias("digest"), "start", "stop")
 
@@ -79,7 +84,7 @@ def audit(records: DataFrame, fanout: int = FANOUT) -> DataFrame:
     suspects = None
     for nodes in reversed(levels):
         if suspects is not None:
-            nodes = nodes.withColumn("up", F.floor(F.col("node") / fanout).cast("long")).join(suspects, "up", "left_semi")
+            nodes = nodes.withColumn("up", _over("node", fanout)).join(suspects, "up", "left_semi")
         of = lambda k: F.max(F.when(F.col("replica") == k, F.col("digest")))  # noqa: B023, E731
         differ = nodes.groupBy("node").agg(of(0).alias("a"), of(1).alias("b")).where(~F.col("a").eqNullSafe(F.col("b")))
         suspects = differ.select(F.col("node").alias("up"))

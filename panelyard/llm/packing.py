@@ -4,10 +4,11 @@ Documents are tokenised and, where longer than a sequence, cut into pieces.  How
 is all that the plan needs: a table of at most ``capacity`` rows, whatever the corpus, and the only thing that
 reaches the driver.  There large lengths are put into groups of equal cardinality, each rounded up to its
 group's longest; a linear programme over configurations of these few sizes is solved by column generation;
-the configurations get actual lengths in place of rounded ones; what rounding leaves over and the small
-lengths go best-fit into the gaps.  Sequences that hold the same lengths are planned as one class with a
-count, so the plan's size depends on ``capacity`` alone.  Pieces of a length are then numbered without any
-large group (numbers within a length and a salt, plus the counts of smaller salts) and looked up in the plan.
+the configurations get actual lengths in place of rounded ones, and the rest is grouped and solved again; what
+that leaves over and the small lengths go best-fit into the gaps.  Sequences that hold the same lengths are
+planned as one class with a count, so the plan's size depends on ``capacity`` alone.  Pieces of a length are then
+numbered without any large group (rows of the written pieces get a salt by their place in the files; numbers within
+a length and a salt, plus the counts of smaller salts) and looked up in the plan.
 
 Defined cases: null and empty texts are one piece of just the end token; repeated rows are pieces each; null
 ids are kept; an empty table gives no rows; further columns are ignored.
@@ -37,8 +38,8 @@ END_ID = 1
 #: Most words (and most stems) whose ids a worker remembers, twice at the turn of a generation.
 CACHE_WORDS = 250_000
 GROUPS = 48
-#: Lengths above this share of a sequence are large.
-LARGE = 1 / 4
+#: Lengths above this share of a sequence are large; this share of the programme's solution is carried out at a time.
+LARGE, SHARE = 1 / 3, 0.3
 
 
 @lru_cache(maxsize=1)
@@ -142,11 +143,10 @@ def _encoder(path: str) -> WordEncoder:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of at most *capacity* ids of every row's text."""
-    C.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        for batch in batches:
+        for batch in C.sliced(batches):
             rows, cells, raw = [], [], C.texts(batch)
             for lo in range(0, len(raw), 256):
                 for k, ids in enumerate(encoder.encode(raw[lo : lo + 256], end_id), lo):
@@ -188,42 +188,42 @@ def _linear_grouping(counts: dict[int, int], groups: int) -> list[list[tuple[int
 
 
 def _best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The configuration of the highest worth: an unbounded knapsack over whole tokens."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(sizes)
-    s, v = sizes[order], worth[order]
-    for room in range(int(s[0]), capacity + 1):
-        m = int(np.searchsorted(s, room, "right"))
-        x = best[room - s[:m]] + v[:m]
-        k = int(np.argmax(x))
-        if x[k] > best[room - 1] + 1e-12:
-            best[room], pick[room] = x[k], k
-        else:
-            best[room] = best[room - 1]
-    config, room = np.zeros(len(sizes), np.int64), capacity
-    while room >= s[0]:
-        if pick[room] < 0:
-            room -= 1
-        else:
-            config[order[pick[room]]] += 1
-            room -= int(s[pick[room]])
-    return float(best[capacity]), config
-
-
-def configurations(sizes: list[int], need: list[int], capacity: int, rounds: int = 600) -> list[tuple[np.ndarray, int]]:
-    """Configurations of *sizes* and how often to use each, rounded down from the linear programme's optimum."""
+    """The configuration of the highest worth.  *sizes* ascend and are over a quarter of a sequence, so it holds three
+    at most: two are tried in every way, and behind each the best third one that fits."""
+    best = np.maximum.accumulate(worth)
+    where = np.maximum.accumulate(np.where(np.append(True, best[1:] > best[:-1]), np.arange(len(worth)), 0))
+
+    def with_last(room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = np.searchsorted(sizes, room, "right") - 1
+        return np.where(k >= 0, best[np.maximum(k, 0)], 0.0), np.where(k >= 0, where[np.maximum(k, 0)], -1)
+
+    pair_room = capacity - sizes[:, None] - sizes[None, :]
+    third, which = with_last(pair_room)
+    two = np.where(pair_room >= 0, worth[:, None] + worth[None, :] + third, -1.0)
+    second, other = with_last(capacity - sizes)
+    one = worth + second
+    i, j = divmod(int(np.argmax(two)), len(sizes))
+    k = int(np.argmax(one))
+    chosen = [i, j, which[i, j]] if two[i, j] >= one[k] else [k, other[k]]
+    config = np.zeros(len(sizes), np.int64)
+    np.add.at(config, [x for x in chosen if x >= 0], 1)
+    return float(max(two[i, j], one[k])), config
+
+
+def configurations(sizes: list[int], need: list[int], capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, float]]:
+    """Configurations of the ascending *sizes* and how often the linear programme uses each, by column generation."""
     s, n = np.array(sizes), np.array(need, float)
     columns = np.diag(capacity // s).astype(float)
     for _ in range(rounds):
-        worth = np.linalg.solve(columns.T, np.ones(len(s)))
-        value, config = _best_configuration(s, np.maximum(worth, 0), capacity)
+        inverse = np.linalg.inv(columns)
+        value, config = _best_configuration(s, np.maximum(inverse.sum(axis=0), 0), capacity)
         if value <= 1 + 1e-9:
             break
-        x, step = np.linalg.solve(columns, n), np.linalg.solve(columns, config.astype(float))
+        x, step = inverse @ n, inverse @ config
         ratio = np.where(step > 1e-9, np.maximum(x, 0) / np.where(step > 1e-9, step, 1), np.inf)
         columns[:, int(np.argmin(ratio))] = config
     x = np.linalg.solve(columns, n)
-    return [(columns[:, k].astype(np.int64), int(x[k] + 1e-9)) for k in range(len(s)) if x[k] >= 1 - 1e-9]
+    return [(columns[:, k].astype(np.int64), float(x[k])) for k in range(len(s)) if x[k] >= 1 - 1e-9]
 
 
 class _Class:
@@ -241,59 +241,65 @@ class _Class:
         return rest
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> list[_Class]:
-    """Classes of sequences that hold counts[length] pieces of each length: by linear grouping, or, where
-    rounding to few sizes costs more than it saves, by best fit of all lengths."""
-    counts = {k: v for k, v in counts.items() if v}
-    plans = [_grouped_plan(counts, capacity, groups, large), _best_fit([], dict(counts), dict.fromkeys(counts, 0), capacity)]
-    return min(plans, key=lambda p: sum(c.n for c in p))
-
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE, share: float = SHARE) -> list[_Class]:
+    """Classes of sequences that hold counts[length] pieces of each length.
 
-def _grouped_plan(counts: dict[int, int], capacity: int, groups: int, large: float) -> list[_Class]:
-    big = {k: v for k, v in counts.items() if k > large * capacity}
-    grouped = _linear_grouping(big, groups) if big else []
-    sizes, merged = [], []
-    for runs in grouped:  # groups that round to one size are one size
-        if sizes and runs[0][0] == sizes[-1]:
-            merged[-1] += runs
-        else:
-            sizes.append(runs[0][0])
-            merged.append(list(runs))
+    Large lengths are grouped and solved again and again: each time *share* of what the programme uses of every
+    configuration is made up of actual lengths.  A slot takes the longest piece that leaves room for the rounded sizes
+    still to come, so what rounding saved in one slot serves the next, and room for one more large piece is used.  When
+    no configuration comes out any more, what is left and all small lengths go best-fit into the gaps."""
+    if not 1 / 4 <= large < 1:
+        raise ValueError("large must be a quarter at least and less than 1")
+    counts = {k: v for k, v in counts.items() if v}
     used = dict.fromkeys(counts, 0)  # pieces of each length that have a place
-    left = [list(map(list, runs)) for runs in merged]
+    left = {k: v for k, v in counts.items() if k > large * capacity}
+    lengths = sorted(left)
     classes: list[_Class] = []
 
-    def take(runs: list[list[int]], n: int) -> list[tuple[int, int]]:
-        out = []
-        while n and runs:
-            m = min(n, runs[0][1])
-            out.append((runs[0][0], m))
-            runs[0][1] -= m
-            n -= m
-            if not runs[0][1]:
-                runs.pop(0)
-        return out
-
-    for config, n in configurations(sizes, [sum(c for _, c in runs) for runs in merged], capacity) if merged else []:
-        slots = [take(left[g], n) for g in np.repeat(np.arange(len(sizes)), config)]  # actual lengths, from long to short
+    def longest(most: int, taken: dict[int, int]) -> int | None:
+        """The longest length of *most* at most that has a piece besides those *taken*."""
+        k = bisect.bisect_right(lengths, most) - 1
+        while k >= 0 and left[lengths[k]] <= taken.get(lengths[k], 0):
+            k -= 1
+        return lengths[k] if k >= 0 else None
+
+    def fill(slots: list[int]) -> tuple[dict[int, int], int]:
+        """Actual lengths for the rounded *slots* (none if a slot finds no piece), and the room that is left."""
+        taken: dict[int, int] = {}
+        room = capacity
+        for k in range(len(slots)):
+            if (size := longest(room - sum(slots[k + 1 :]), taken)) is None:
+                return {}, room
+            taken[size] = taken.get(size, 0) + 1
+            room -= size
+        while (size := longest(room, taken)) is not None:
+            taken[size] = taken.get(size, 0) + 1
+            room -= size
+        return taken, room
+
+    done = len(lengths)
+    while done:
         done = 0
-        while done < n:  # as far as no slot changes its length
-            m = min([n - done, *(s[0][1] for s in slots if s)])
-            parts, room = [], capacity
-            for s in slots:
-                if s:
-                    size = s[0][0]
-                    parts.append((size, used[size], 1))
-                    used[size] += m
-                    room -= size
-                    s[0] = (size, s[0][1] - m)
-                    if not s[0][1]:
-                        s.pop(0)
-            if parts:
-                classes.append(_Class(m, parts, room))
-            done += m
-    rest = {k: counts[k] - used[k] for k in counts}
-    return _best_fit(classes, rest, used, capacity)
+        need: dict[int, int] = {}  # pieces by their group's longest length
+        for runs in _linear_grouping({k: left[k] for k in lengths}, groups):
+            need[runs[0][0]] = need.get(runs[0][0], 0) + sum(n for _, n in runs)
+        sizes = sorted(need)
+        found = [(np.repeat(sizes, config)[::-1].tolist(), max(1, int(n * share))) for config, n in (configurations(sizes, [need[k] for k in sizes], capacity) if sizes else [])]
+        for slots, n in sorted(found, reverse=True):
+            while n:
+                taken, room = fill(slots)
+                if not taken:
+                    break
+                m = min([n, *(left[size] // t for size, t in taken.items())])  # so many sequences alike
+                classes.append(_Class(m, [(size, used[size], t) for size, t in taken.items()], room))
+                for size, t in taken.items():
+                    used[size] += m * t
+                    left[size] -= m * t
+                    if not left[size]:
+                        lengths.remove(size)
+                n -= m
+                done += m
+    return _best_fit(classes, {k: counts[k] - used[k] for k in counts}, used, capacity)
 
 
 def _best_fit(classes: list[_Class], rest: dict[int, int], used: dict[int, int], capacity: int) -> list[_Class]:
@@ -368,14 +374,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): a place for every piece of every row's text."""
     spark = docs.sparkSession
     cut = C.materialize(pieces(docs, tokenizer, capacity, end_id))
+    # Rows of the written table are numbered: its file and the row's place there tell even equal rows apart.
+    place = [F.col("_metadata.file_name").alias("k_file"), F.col("_metadata.row_index").alias("k_row")]
     salts = max(64, math.isqrt(cut.count()))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = cut.select(*cut.columns, *place).withColumn("salt", F.pmod(F.xxhash64("k_file", "k_row"), F.lit(salts)))
     sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most *capacity* rows
     table = spark.sparkContext.broadcast(placements(plan(counts, capacity, groups, large)))
     before = sums.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    mine = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start"))
+    mine = F.row_number().over(Window.partitionBy("length", "salt").orderBy("k_file", "k_row"))
     numbered = salted.withColumn("mine", mine).join(before, ["length", "salt"])
     numbered = numbered.select(*cut.columns, (F.col("before") + F.col("mine") - 1).alias("number"))
-    C.bound_batches(spark)
     return numbered.mapInArrow(_placer(table), cut.schema.add("sequence_id", "long").add("offset", "long"))

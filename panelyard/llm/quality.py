@@ -3,14 +3,15 @@
 A text is a bag of passages of ``PASSAGE_WORDS`` words.  Every passage is encoded from what it looks like (shares
 of kinds of characters, word lengths, repeats, hashed pairs of bytes).  A gated attention (tanh times sigmoid)
 gives each passage a weight, learned from labels of whole documents; the weighted mean of the passage codes is
-scored.  Learning takes at most ``max_train_docs`` labelled rows, those of the smallest id hashes, with at most
-``max_train_passages`` passages each; this bounded sample alone reaches the driver.  Scoring is one narrow
-Python stage over whole texts, with the fixed-size weights broadcast.
+scored.  Learning takes at most ``max_train_docs`` labelled documents, those of the smallest id hashes, and of these
+as many as have ``max_train_bytes`` of text together, each with all its passages; this bounded sample alone reaches
+the driver.  Scoring is one narrow Python stage over whole texts, with the fixed-size weights broadcast.
 
 Defined cases: null and empty texts are one empty passage and get a score, too; repeated rows score alike; a
-document with several label rows counts with the highest; labels that are null are ignored; without labels of
-both classes every score is the share of label 1 (1 if there are none); a null id is never held out; an empty
-table gives no rows; further columns pass through, but one named like a result is replaced.
+document with several label rows counts with the highest; labels that are null or of no document are ignored; of
+several texts under one id the one of the smallest hash teaches; a document over ``max_train_bytes`` doesn't teach;
+without labels of both classes every score is the share of label 1 (1 if there are none); a null id is never held
+out; an empty table gives no rows; further columns pass through, but one named like a result is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from . import _common as C
 
 PASSAGE_WORDS = 48
-MAX_TRAIN_DOCS, MAX_TRAIN_PASSAGES = 4000, 64
+MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 4000, 16 << 20
 THRESHOLD = 0.7
 _PAIRS, _CODE, _ATTENTION = 128, 32, 16
 _SINGLE = np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\n", np.uint8)
@@ -161,46 +162,60 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, _, data, offs in C.text_chunks(batch):
+    """One row a document: all its passages' features, as half-precision numbers."""
+    for batch in C.sliced(batches):
+        for lo, hi, data, offs in C.text_chunks(batch):
             x, rows = passages(data, offs)
-            ids = np.asarray(batch.column("doc_id"))[lo + rows]
-            label = np.asarray(batch.column("label"))[lo + rows]
-            nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            keep = nth < MAX_TRAIN_PASSAGES
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(nth[keep].astype(np.int32)), pa.array(label[keep]), pa.array([r.tobytes() for r in x[keep]], pa.binary())], names=["doc_id", "nth", "label", "x"])
+            x = x.astype(np.float16)
+            cut = np.searchsorted(rows, np.arange(hi - lo + 1))
+            cells = [x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), pa.array(cells, pa.binary())], names=["doc_id", "label", "x"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train_docs: int = MAX_TRAIN_DOCS, skip_held_out: bool = True) -> Model | float:
-    """A model, or the share of label 1 where there aren't both classes."""
-    C.bound_batches(docs.sparkSession)
+def taught_rows(docs: DataFrame, labels: DataFrame, label: str, max_train_docs: int, max_train_bytes: int, skip_held_out: bool) -> list[tuple[int, int, int]]:
+    """(doc_id, text hash, label) of the documents that teach: at most *max_train_docs*, in the order of their ids' hashes,
+    as long as their texts fit into *max_train_bytes*."""
     y = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if skip_held_out:
         y = y.where(~held_out(F.col("doc_id")))
-    y = y.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs)
+    y = y.groupBy(F.col("doc_id").cast("long").alias("k_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    text = F.struct("k_hash", F.col("size"))
+    have = docs.select(*C.row_key(), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(y, "k_id").groupBy("k_id", "label").agg(F.min(text).alias("t"))
+    first = have.orderBy(F.xxhash64("k_id"), "k_id").limit(max_train_docs).select("k_id", "t.k_hash", "label", "t.size").collect()
+    out, room = [], max_train_bytes
+    for k_id, k_hash, y, size in first:
+        if size <= room:
+            out.append((k_id, k_hash, y))
+            room -= size
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train_docs: int = MAX_TRAIN_DOCS, max_train_bytes: int = MAX_TRAIN_BYTES, skip_held_out: bool = True) -> Model | float:
+    """A model, or the share of label 1 where there aren't both classes."""
+    chosen = taught_rows(docs, labels, label, max_train_docs, max_train_bytes, skip_held_out)
+    if len({y for *_, y in chosen}) < 2:
+        return chosen[0][2] * 1.0 if chosen else 1.0
     # At most max_train_docs rows: small enough for every task.
-    taught = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").dropDuplicates(["doc_id"])
-    table = taught.mapInArrow(_encode, "doc_id long, nth int, label int, x binary").toArrow()
-    order = np.lexsort((table["nth"].to_numpy(), table["doc_id"].to_numpy()))
-    rows, y = table["doc_id"].to_numpy()[order], table["label"].to_numpy()[order]
-    bags = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, int)
-    if len(set(y[bags].tolist())) < 2:
-        return float(y[bags].mean()) if len(bags) else 1.0
-    x = np.frombuffer(b"".join(table["x"].take(pa.array(order)).to_pylist()), np.float32).reshape(-1, N_FEATURES)
-    del table
+    wanted = docs.sparkSession.createDataFrame(chosen, "k_id long, k_hash long, label int")
+    taught = docs.select(*C.row_key(), "text").join(F.broadcast(wanted), ["k_id", "k_hash"]).dropDuplicates(["k_id", "k_hash"])
+    table = taught.select(F.col("k_id").alias("doc_id"), "label", "text").mapInArrow(_encode, "doc_id long, label int, x binary").toArrow()
+    order = np.argsort(table["doc_id"].to_numpy())
+    y = table["label"].to_numpy()[order]
+    bags = [np.frombuffer(x.as_buffer(), np.float16).reshape(-1, N_FEATURES) for x in table["x"].take(pa.array(order))]
+    x, rows = np.concatenate(bags).astype(np.float32), np.repeat(np.arange(len(bags)), list(map(len, bags)))
+    del table, bags
     pa.default_memory_pool().release_unused()
-    return Model.fit(x, rows, y[bags].astype(np.float32))
+    return Model.fit(x, rows, y.astype(np.float32))
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
     """*docs* and a column ``score``: how likely each text has label 1 (a column of that name is replaced)."""
     docs = docs.drop("score")
-    C.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in C.sliced(batches):
             if isinstance(model, float):
                 scores = [np.full(batch.num_rows, model)]
             else:
@@ -210,13 +225,13 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, max_train_docs: int = MAX_TRAIN_DOCS, max_train_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
     """*docs* with ``held_out``, ``score`` and ``predicted`` (1 from *threshold* on), learned from the rows that aren't held out."""
-    scored = score(docs, learn(docs, labels, label, max_train_docs))
+    scored = score(docs, learn(docs, labels, label, max_train_docs, max_train_bytes))
     return scored.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= threshold).cast("int")})
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, max_train_docs: int = MAX_TRAIN_DOCS, max_train_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
     """The rows of *docs* that the classifier accepts."""
-    scored = score(C.boxed(docs, "text"), learn(docs, labels, label, max_train_docs))
+    scored = score(C.boxed(docs, "text"), learn(docs, labels, label, max_train_docs, max_train_bytes))
     return C.unboxed(scored.where(F.col("score") >= threshold), docs.columns)

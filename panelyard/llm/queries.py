@@ -44,8 +44,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The damaged records of a replica of the archive of all pages.
 
-    The second replica is derived from the pages by rule: of every 97 page ids one record has its payload's first
-    character overwritten, one its last five characters, and one is lost."""
+    The replicas are derived from the pages by rule.  Of every 97 page ids, in the second one record has its payload's
+    first character overwritten, one its last five characters, one is lost, and one lies seven bytes further on; one
+    record is only in the second."""
     pages = read(spark, sf_dir, "pages").where("page_id is not null")
     id_, body = F.col("page_id"), F.coalesce("html", F.lit(""))
     record = merkle.warc_text(id_, F.col("url"), body)
@@ -55,10 +56,13 @@ def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(id_ % 97 == 29, F.concat(head, F.substring(body, 1, F.greatest(F.length(body) - 5, F.lit(0))), F.lit("?????\r\n\r\n")))
         .otherwise(record)
     )
-    both = pages.select(id_.cast("long").alias("record_id"), merkle.digest(record).alias("sha"), F.octet_length(record).cast("long").alias("size"), F.when(~F.coalesce(id_ % 97 == 51, F.lit(False)), merkle.digest(worn)).alias("worn"))
+    both = pages.select(id_.cast("long").alias("record_id"), merkle.digest(record).alias("sha"), F.octet_length(record).cast("long").alias("size"), merkle.digest(worn).alias("worn"))
+    k = F.col("record_id") % 97
     placed = merkle.with_offsets(both)
-    one = placed.select(F.explode(F.array(F.struct(F.lit(0).alias("replica"), F.col("sha")), F.struct(F.lit(1).alias("replica"), F.col("worn").alias("sha")))).alias("r"), "record_id", "start", "stop")
-    records = one.where("r.sha is not null").select("r.replica", "record_id", "r.sha", "start", "stop")
+    first = F.when(k != 83, F.struct(F.lit(0).alias("replica"), "sha", "start", "stop"))
+    late = F.when(k == 71, F.lit(7)).otherwise(0)
+    second = F.when(k != 51, F.struct(F.lit(1).alias("replica"), F.col("worn").alias("sha"), (F.col("start") + late).alias("start"), (F.col("stop") + late).alias("stop")))
+    records = placed.select("record_id", F.explode(F.array_compact(F.array(first, second))).alias("r")).select("r.replica", "record_id", "r.sha", "r.start", "r.stop")
     return merkle.audit(records).select("record_id", "status", "start", "stop", "expected", "found")
 
 

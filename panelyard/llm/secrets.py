@@ -4,16 +4,18 @@ The base patterns find assignments, access keys and long hex strings.  Their val
 every other credential-like token (a run of 12 or more of ``A-Za-z0-9+/_.=-`` with a digit, not touching a base
 span) is background.  Tokens are abstracted to shapes (a class a character), which are counted over the whole
 corpus.  For each label a prefix tree of its shapes is generalised by merging states whose outgoing and final
-frequencies are compatible (Hoeffding bound), which gives a probabilistic automaton.  Every background token
-is then scored by the best label's log-likelihood less the background's; those over ``min_odds`` are added as
-spans of kind ``format``.  Base spans always stay.
+frequencies are compatible (Hoeffding bound), which gives a probabilistic automaton.  Every candidate, base
+values too, is then scored by the best label's log-likelihood less the background's; background tokens over
+``min_odds`` are added as spans of kind ``format``.  Base spans always stay.
 
 Both passes are narrow Python stages; between them only counts by label and shape are shuffled, combined in
-each task first.  At most ``max_shapes`` shapes a label (the most frequent, ties by the shape) reach the driver;
-shapes over MAX_SHAPE characters are scored but don't teach.
+each task first.  The driver learns from at most ``max_shapes`` labelled shapes a label, with at most
+``max_symbols`` characters: half of them are the most frequent, the others are drawn by a hash from all the rest
+and weighted so that they stand for all of it, however long they are.
 
 Defined cases: null and empty texts have no spans; repeated rows each get theirs; an empty table gives no rows;
-without any labelled credential only base spans are found; further columns are ignored.
+without any labelled credential only base spans are found, without scores; further columns are ignored by
+``find_secrets`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import _common as C
@@ -37,7 +40,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")
 KINDS = ["assign", "access", "hex", "format"]
 ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH, CANDIDATE_LENGTH = 8, 16, 32, 12
-MAX_SHAPES, MAX_SHAPE, MIN_ODDS, ALPHA = 5000, 256, 3.0, 0.05
+MAX_SHAPES, MAX_SYMBOLS, MIN_ODDS, ALPHA = 5000, 400_000, 3.0, 0.05
 _UNSEEN = math.log(1e-6)
 
 
@@ -128,7 +131,7 @@ class Automaton:
         return total + self.ends[state]
 
 
-def infer(counts: dict[str, int], alpha: float = ALPHA) -> Automaton:
+def infer(counts: dict[str, float], alpha: float = ALPHA) -> Automaton:
     """Generalise the prefix tree of *counts* by merging compatible states, from the root on."""
     seen, final, moves, used = [0], [0], [{}], [{}]
     for text, n in sorted(counts.items()):
@@ -198,29 +201,46 @@ def infer(counts: dict[str, int], alpha: float = ALPHA) -> Automaton:
 
 def shape_counts(docs: DataFrame) -> DataFrame:
     """(label, shape, n) over all texts: label 0..2 for the base kinds, 3 for background tokens."""
-    C.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.sliced(batches):
             n: Counter = Counter()
             for _, _, data, offs in C.text_chunks(batch):
                 for _, raw, base, found in chunk_spans(data, offs):
-                    n.update((k, shape(v)) for _, _, k, v in base if len(v) <= MAX_SHAPE)
-                    n.update((3, shape(raw[a:b])) for a, b in found if b - a <= MAX_SHAPE)
+                    n.update((k, shape(v)) for _, _, k, v in base)
+                    n.update((3, shape(raw[a:b])) for a, b in found)
             label, form = zip(*n, strict=True) if n else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(form, pa.string()), pa.array(list(n.values()), pa.int64())], names=["label", "shape", "n"])
 
     return docs.select("text").mapInArrow(run, "label int, shape string, n long").groupBy("label", "shape").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, max_shapes: int = MAX_SHAPES, alpha: float = ALPHA) -> dict[int, Automaton]:
+def learn(docs: DataFrame, max_shapes: int = MAX_SHAPES, alpha: float = ALPHA, max_symbols: int = MAX_SYMBOLS) -> dict[int, Automaton]:
     """An automaton for each label that occurs."""
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "shape"))
-    top = shape_counts(docs).withColumn("rank", rank).where(F.col("rank") <= max_shapes)
-    by: dict[int, dict[str, int]] = {}
-    for r in top.collect():  # at most four times max_shapes rows
-        by.setdefault(r["label"], {})[r["shape"]] = r["n"]
-    return {k: infer(v, alpha) for k, v in by.items()}
+    counts = C.materialize(shape_counts(docs))
+    spread = F.pmod(F.xxhash64("shape"), F.lit(64))
+
+    def first(df: DataFrame, order: list, most: int) -> DataFrame:
+        """The first rows of each label, ranked in parts before they are ranked together."""
+        for by in (["label", "part"], ["label"]):
+            df = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= most)
+        return df
+
+    top = C.materialize(first(counts.withColumn("part", spread), [F.desc("n"), F.xxhash64("shape"), "shape"], max_shapes - max_shapes // 2).select("label", "shape", "n"))
+    rest = counts.join(top.select("label", "shape"), ["label", "shape"], "left_anti")
+    mass = {r["label"]: r["n"] for r in rest.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    drawn = first(rest.withColumn("part", spread), [F.xxhash64("shape", F.lit("draw")), "shape"], max_shapes // 2)
+    fit = lambda df, order: df.withColumn("sum", F.sum(F.length("shape")).over(Window.partitionBy("label").orderBy(*order))).where(F.col("sum") <= max_symbols // 2)
+    taught: dict[int, dict[str, float]] = {}
+    for r in fit(top, [F.desc("n"), "shape"]).select("label", "shape", "n").collect():
+        taught.setdefault(r["label"], {})[r["shape"]] = r["n"]
+    tail: dict[int, dict[str, int]] = {}
+    for r in fit(drawn, ["rank"]).select("label", "shape", "n").collect():
+        tail.setdefault(r["label"], {})[r["shape"]] = r["n"]
+    for label, some in tail.items():
+        weight = mass[label] / sum(some.values())
+        taught.setdefault(label, {}).update({k: n * weight for k, n in some.items()})
+    return {k: infer(v, alpha) for k, v in taught.items()}
 
 
 def odds(models: dict[int, Automaton], form: str) -> float:
@@ -230,43 +250,51 @@ def odds(models: dict[int, Automaton], form: str) -> float:
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())]))
+_SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("score", T.DoubleType())]))
 
 
-def find_secrets(docs: DataFrame, max_shapes: int = MAX_SHAPES, min_odds: float = MIN_ODDS, alpha: float = ALPHA) -> DataFrame:
-    """(doc_id, spans array<struct<kind, start, stop, score>>) for every row: code points, stop exclusive, by start
-    and then kind; score is null for base spans, else the log odds of a credential's format."""
-    models = docs.sparkSession.sparkContext.broadcast(learn(docs, max_shapes, alpha))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _scan(rows: DataFrame, models: dict[int, Automaton], min_odds: float) -> DataFrame:
+    """*rows* (with a column text) and ``spans``."""
+    sent = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for batch in batches:
+
+        def rate(token: bytes) -> float:
+            form = shape(token)
+            if form not in known:
+                if len(known) > 50_000:
+                    known.clear()
+                known[form] = odds(sent.value, form)
+            return known[form]
+
+        for batch in C.sliced(batches):
             out: list[list] = [[] for _ in range(batch.num_rows)]
             for lo, _, data, offs in C.text_chunks(batch):
                 for r, raw, base, found in chunk_spans(data, offs):
-                    spans = [(a, b, k, None) for a, b, k, _ in base]
-                    for a, b in found:
-                        form = shape(raw[a:b])
-                        if form not in known:
-                            if len(known) > 50_000:
-                                known.clear()
-                            known[form] = odds(models.value, form)
-                        if known[form] >= min_odds:
-                            spans.append((a, b, 3, known[form]))
+                    spans = [(a, b, k, rate(v)) for a, b, k, v in base]
+                    spans += [(a, b, 3, score) for a, b in found if (score := rate(raw[a:b])) >= min_odds]
                     if spans:
                         # Bytes to code points: those before a place, less the continuation bytes.
                         points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-                        out[lo + r] = [{"kind": KINDS[k], "start": int(points[a]), "stop": int(points[b]), "score": s} for a, b, k, s in sorted(spans, key=lambda x: (x[0], x[2], x[1]))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, _SPANS)], names=["doc_id", "spans"])
+                        out[lo + r] = [{"kind": KINDS[k], "start": int(points[a]), "stop": int(points[b]), "score": s if math.isfinite(s) else None} for a, b, k, s in sorted(spans, key=lambda x: (x[0], x[2], x[1]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _SPANS)], names=[*batch.schema.names, "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<kind: string, start: long, stop: long, score: double>>")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("spans", _SPAN_TYPE)]))
+
+
+def find_secrets(docs: DataFrame, max_shapes: int = MAX_SHAPES, min_odds: float = MIN_ODDS, alpha: float = ALPHA, max_symbols: int = MAX_SYMBOLS) -> DataFrame:
+    """(doc_id, spans array<struct<kind, start, stop, score>>) for every row: code points, stop exclusive, by start
+    and then kind; score is the log odds of a credential's format (of the value, in an assignment)."""
+    return _scan(docs.select("doc_id", "text"), learn(docs, max_shapes, alpha, max_symbols), min_odds).select("doc_id", "spans")
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", **options) -> DataFrame:
-    """*docs* (distinct doc_id) with every span of ``text`` replaced by *mark*; overlapping spans are one."""
-    found = find_secrets(docs, **options).where(F.size("spans") > 0)
+def redact(docs: DataFrame, mark: str = "[secret]", max_shapes: int = MAX_SHAPES, min_odds: float = MIN_ODDS, alpha: float = ALPHA, max_symbols: int = MAX_SYMBOLS) -> DataFrame:
+    """*docs* with every span of ``text`` replaced by *mark*; overlapping spans are one."""
+    found = _scan(C.boxed(docs, "text"), learn(docs, max_shapes, alpha, max_symbols), min_odds)
+    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
     step = lambda a, s: F.when(
         s["start"] >= a["at"], F.struct(F.concat(a["text"], F.substring("text", a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("text"), s["stop"].alias("at"))
     ).otherwise(F.struct(a["text"].alias("text"), F.greatest(a["at"], s["stop"]).alias("at")))
-    cut = F.aggregate("spans", F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["text"], F.substring("text", a["at"] + 1, F.length("text"))))
-    return docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    cut = F.aggregate("spans", start, step, lambda a: F.concat(a["text"], F.substring("text", a["at"] + 1, F.length("text"))))
+    return C.unboxed(found, docs.columns, text=F.when(F.size("spans") == 0, F.col("text")).otherwise(cut))

@@ -37,6 +37,8 @@ CHANCE_ROWS = 64
 KEY_ROWS = 20_000
 #: Texts under one shared shingle beyond which they are dealt out; texts and shingles that set the order of shingles.
 SHARED_ROWS, ORDER_TEXTS, ORDER_SHINGLES = 1000, 20_000, 500_000
+#: Bits of a text's sketch, each the parity of how many of its shingles' hashes end so.
+SKETCH_BITS = 512
 _FRONTIER = 1 << 19
 
 
@@ -68,10 +70,9 @@ def fingerprint(text: bytes, size: int = 3, distinct: bool = False) -> int:
 
 def fingerprints(docs: DataFrame, size: int = 3, distinct: bool = False) -> DataFrame:
     """(k_id, k_hash, fp long): the fingerprint of every row of *docs* (doc_id, text)."""
-    C.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.sliced(batches):
             fp = np.array([fingerprint(x, size, distinct) for x in C.texts(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("k_id"), batch.column("k_hash"), pa.array(fp)], names=["k_id", "k_hash", "fp"])
 
@@ -240,7 +241,6 @@ def links(distinct: DataFrame, budget: int = 3, key_rows: int = KEY_ROWS, join=t
     # Groups are told apart by a hash of the key; two keys that share one only meet in vain.
     rows = spread.select(F.xxhash64("k", "bits", "pair.i", "pair.j").alias("part"), "fp", side.alias("side"))
     parts = max(1, -(-n * len(masks) // 500_000), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    C.bound_batches(spark)
     return rows.repartition(parts, "part").sortWithinPartitions("part", "fp").mapInArrow(_joiner(budget, join), "a long, b long")
 
 
@@ -264,7 +264,7 @@ def _shingles(text: bytes, size: int) -> set[bytes]:
 
 def _verifier(size: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.sliced(batches, 100):
             keep = []
             for x, y in zip(C.texts(batch, "ta"), C.texts(batch, "tb"), strict=True):
                 a, b = _shingles(x, size), _shingles(y, size)
@@ -284,7 +284,6 @@ def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, s
     taken = docs.select(*C.row_key(), F.coalesce("text", F.lit("")).alias("text")).join(keys, ["k_id", "k_hash"], "left_semi").dropDuplicates(["k_id", "k_hash"])
     body = C.materialize(taken.select("k_hash", "text"))
     of = lambda k: body.select(F.col("k_hash").alias(k), F.col("text").alias(f"t{k}"))
-    C.bound_batches(docs.sparkSession)
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_verifier(words, similarity), "a long, b long")
 
 
@@ -314,13 +313,13 @@ def _common_shingles(docs: DataFrame, texts: DataFrame, words: int) -> tuple[np.
 
 
 def _prefixes(docs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(k_id, k_hash, n, sketch, hs) of every row: how many shingles a text has, the parities of their hashes' last six
-    bits, and the first shingles in a fixed order, rare ones first: so many that two similar texts share one of them."""
+    """(k_id, k_hash, n, sketch, hs) of every row: how many shingles a text has, its sketch, and the first shingles in a
+    fixed order, rare ones first: so many that two similar texts share one of them."""
     sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, level = sent.value
-        for batch in batches:
+        for batch in C.sliced(batches):
             ns, sketches, hs = [], [], []
             for x in C.texts(batch):
                 h = shingle_hashes(x, words)
@@ -329,21 +328,39 @@ def _prefixes(docs: DataFrame, texts: DataFrame, words: int, similarity: float)
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     late = np.where(common[at] == h, level[at], late)
                 ns.append(len(h))
-                sketches.append(np.bitwise_xor.reduce(np.uint64(1) << (h & np.uint64(63))))
+                odd = np.bincount((h % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
                 hs.append(h[np.lexsort((h, late))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]].view(np.int64))
             packed = C.lists(np.concatenate([[0], np.cumsum([len(h) for h in hs])]), pa.array(np.concatenate([np.zeros(0, np.int64), *hs])))
-            yield pa.RecordBatch.from_arrays([batch.column("k_id"), batch.column("k_hash"), pa.array(ns, pa.int32()), pa.array(np.array(sketches, np.uint64).view(np.int64)), packed], names=["k_id", "k_hash", "n", "sketch", "hs"])
-
-    C.bound_batches(docs.sparkSession)
-    return docs.select(*C.row_key(), "text").mapInArrow(run, "k_id long, k_hash long, n int, sketch long, hs array<long>")
-
-
-def _shared(similarity: float, one: bool = False, flush: int = 1 << 18):
+            yield pa.RecordBatch.from_arrays([batch.column("k_id"), batch.column("k_hash"), pa.array(ns, pa.int32()), pa.array(sketches, pa.binary()), packed], names=["k_id", "k_hash", "n", "sketch", "hs"])
+
+    return docs.select(*C.row_key(), "text").mapInArrow(run, "k_id long, k_hash long, n int, sketch binary, hs array<long>")
+
+
+def _strongest(part: np.ndarray, a: np.ndarray, b: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Which links (a, b) make up a spanning forest of the highest *rate* within each run of equal *part*."""
+    keep, up = [], {}
+    last = None
+    for k in np.lexsort((-rate, part)).tolist():
+        if part[k] != last:
+            last, up = part[k], {}
+        x, y = int(a[k]), int(b[k])
+        while x in up:
+            x = up[x]
+        while y in up:
+            y = up[y]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def _shared(similarity: float, one: bool = False, flush: int = 1 << 17):
     """Pairs of different roots within each run of equal ``part``, but those whose counts rule the similarity out: of
     the first shingle that two texts share, what comes behind bounds their overlap, as do the parities that differ.
-    *one*: only the likeliest pair of every two roots in a run."""
+    *one*: only a forest of the likeliest pairs over the roots of a run."""
 
-    def out(part, root, node, n, pos, sketch, side):
+    def out(part, root, node, n, pos, side, sketch):
         size = len(part)
         edge = np.flatnonzero(part[1:] != part[:-1]) + 1
         run = np.flatnonzero((part[1:] != part[:-1]) | (root[1:] != root[:-1])) + 1
@@ -352,19 +369,19 @@ def _shared(similarity: float, one: bool = False, flush: int = 1 << 18):
         start = runs[np.searchsorted(run, np.arange(size), "right")]
         found = [np.zeros((0, 2), np.int64)]
         total = stop - start
-        for s in _slices(total):
+        for s in _slices(total, 1 << 18):
             i = np.repeat(np.arange(s.start, s.stop), total[s])
             j = start[i] + np.arange(len(i)) - np.repeat(np.cumsum(total[s]) - total[s], total[s])
-            both = n[i] + n[j]
-            most = np.minimum(np.minimum(n[i] - pos[i], n[j] - pos[j]), (both - np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64))) // 2)
-            ok = most * (1 + similarity) + 1e-6 >= similarity * both
-            ok &= (side[i] < 0) | (side[i] != side[j])
-            i, j, rate = i[ok], j[ok], most[ok] / both[ok]
+            ok = (side[i] < 0) | (side[i] != side[j])
+            i, j = i[ok], j[ok]
+            both, most = n[i] + n[j], np.minimum(n[i] - pos[i], n[j] - pos[j])
+            for bound in (most, None):  # the cheap bound first
+                most = bound if bound is not None else np.minimum(most, (both - np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)) // 2)
+                ok = most * (1 + similarity) + 1e-6 >= similarity * both
+                i, j, most, both = i[ok], j[ok], most[ok], both[ok]
             if one and len(i):
-                order = np.lexsort((-rate, root[j], root[i], part[i]))
-                i, j = i[order], j[order]
-                new = (part[i][1:] != part[i][:-1]) | (root[i][1:] != root[i][:-1]) | (root[j][1:] != root[j][:-1])
-                i, j = i[np.append(True, new)], j[np.append(True, new)]
+                keep = _strongest(part[i], root[i], root[j], most / both)
+                i, j = i[keep], j[keep]
             x, y = node[i], node[j]
             found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -372,9 +389,10 @@ def _shared(similarity: float, one: bool = False, flush: int = 1 << 18):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
-        columns = ["part", "root", "k_hash", "n", "pos", "sketch", "side"]
+        columns = ["part", "root", "k_hash", "n", "pos", "side"]
         for batch in batches:
-            held.append([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns])
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            held.append([*(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns), sketch])
             rows += batch.num_rows
             if rows >= flush:
                 now = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -406,8 +424,8 @@ def shared_rows(docs: DataFrame, texts: DataFrame, roots: DataFrame, words: int,
 
 def exact_pairs(rows: DataFrame, counts: DataFrame, roots: DataFrame, similarity: float, one: bool = False) -> DataFrame:
     """(a, b): every pair of texts under different *roots* (node, root; a text that isn't there is its own) that may
-    have the similarity: by prefix filtering none is missed, whatever its fingerprints.  *one*: only the likeliest of
-    two roots under a shingle."""
+    have the similarity: by prefix filtering none is missed, whatever its fingerprints.  *one*: only a forest of the
+    likeliest over the roots under a shingle."""
     under = counts.join(roots.select(F.col("node").alias("k_hash"), "root"), "k_hash", "left").withColumn("root", F.coalesce("root", "k_hash"))
     return rows.join(under, "k_hash").repartition("part").sortWithinPartitions("part", "root").mapInArrow(_shared(similarity, one), "a long, b long").distinct()
 
@@ -430,7 +448,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budg
     same = C.materialize(_verified(docs, texts, C.materialize(far.unionByName(near)), words, similarity))
     roots = components(same)
     rows, counts = shared_rows(docs, texts, roots, words, similarity)
-    for one in (True, False):  # first one pair of two groups, which links most of them; then all pairs that are left
+    for one in (True, False):  # first a forest of the likeliest pairs, which links most groups; then all pairs that are left
         rest = C.materialize(exact_pairs(rows, counts, roots, similarity, one))
         same = same.unionByName(C.materialize(_verified(docs, texts, rest, words, similarity)))
         roots = components(same)

@@ -4,17 +4,20 @@ A byte goes if a string of ``length`` bytes that covers it also starts earlier:
 earlier in the same one.  The steps:
 
 1. Documents are dealt into blocks by the hash of their key and written once as a bucketed table, so that the
-   later passes over the texts need no shuffle.
+   later passes over the texts need no shuffle; a bucket holds several blocks where there are more than BUCKETS.
 2. Every window of *length* bytes has an anchor, the least hash of the GRAM-byte strings inside it.  Windows of
    equal bytes have equal anchors.  A run of windows with one anchor is a segment, about one every 31 bytes.
    Blocks send the anchors they hold to buckets, as packed arrays, and hear which occur more than once.
-3. Segments of repeated anchors are compared by a hash of all their bytes: later occurrences of a whole segment
-   go at once.  What is left are segments that differ but share an anchor, or repeat in themselves, and only these bring their bytes.
+3. Segments of repeated anchors are compared by a 128-bit cryptographic digest (BLAKE2b) of all their bytes: later
+   occurrences of a whole segment go at once.  What is left are segments that differ but share an anchor, or repeat in
+   themselves, and only these bring their bytes.
 4. Those bytes are suffix sorted by two-stage sorting: only suffixes smaller than their successors are sorted
-   directly, the others are induced from them bucket by bucket; then common prefixes of neighbours are computed,
-   and in each run of neighbours with *length* common bytes all but the earliest go.
+   directly, the others are induced from them bucket by bucket; then the lengths of neighbours' common prefixes are
+   computed (as far as *length* bytes, more isn't needed), and in each run of neighbours with *length* common bytes all
+   but the earliest go.
 
-Copies: within a block equal segments count once, so that a group holds at most one row a block.  An anchor with
+Copies: within a block equal segments count once, so that a group holds at most one row a block.  Rows of one id that
+are very many come once for each text, with their number, and are multiplied at the end.  An anchor with
 more than ``hot`` different segments (text around a very common passage) is dealt out by single windows.
 
 Defined cases: null texts are empty; texts shorter than *length* stay; a null id comes after all others; rows that
@@ -37,7 +40,8 @@ from . import _common as C
 
 LENGTH = 100
 GRAM = 40
-BLOCK_BYTES = 32 << 20
+#: Bytes of text of a block, from small to very large inputs, and the most buckets of the written table.
+BLOCK_BYTES, BUCKETS = (32 << 20, 256 << 20), 50_000
 HOT = 1000
 _SORT_BYTES = 1 << 20
 
@@ -106,11 +110,10 @@ def segments(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarra
     return least[start], start, count, sums[start + count] > sums[start]
 
 
-def segment_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each data[start:stop]."""
-    up, down = C._powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-    return C.mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+def segment_digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 128-bit digest of the bytes of each data[start:stop], as two numbers."""
+    raw, digest = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    return np.frombuffer(b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), stop.tolist(), strict=True)]), np.int64).reshape(-1, 2)
 
 
 # --- two-stage suffix sorting -------------------------------------------------------
@@ -177,18 +180,23 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return array
 
 
-def common_prefixes(text: np.ndarray, array: np.ndarray, depth: int, rows: int = 1 << 15) -> np.ndarray:
-    """Whether each suffix of *array* (in order; some may be left out) and the one before it have *depth* equal symbols, none an end."""
+def common_prefixes(text: np.ndarray, array: np.ndarray, depth: int, rows: int = 1 << 13) -> np.ndarray:
+    """How many symbols each suffix of *array* (in order; some may be left out) has in common with the one before it, up to
+    *depth*; a string's end is common to nothing, and the first has 0."""
     stop = np.flatnonzero(text == 0)
-    same = stop[np.searchsorted(stop, array)] - array >= depth
-    same[1:] &= same[:-1]
-    same[:1] = False
+    left = np.minimum(stop[np.searchsorted(stop, array)] - array, depth)
     view = _windows(text, depth)
-    at = np.flatnonzero(same)
-    for lo in range(0, len(at), rows):
-        k = at[lo : lo + rows]
-        same[k] = _as_strings(view[array[k]]) == _as_strings(view[array[k - 1]])
-    return same
+    out = np.zeros(len(array), np.int64)
+    for lo in range(1, len(array), rows):
+        k = np.arange(lo, min(lo + rows, len(array)))
+        a, b = view[array[k]], view[array[k - 1]]
+        whole = _as_strings(a) == _as_strings(b)
+        common = np.full(len(k), depth)
+        if len(part := np.flatnonzero(~whole)):
+            differ = a[part] != b[part]
+            common[part] = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)
+        out[k] = np.minimum(common, np.minimum(left[k], left[k - 1]))
+    return out
 
 
 def later_windows(strings: list[bytes], windows: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -208,7 +216,7 @@ def later_windows(strings: list[bytes], windows: np.ndarray, order: np.ndarray,
     of = np.searchsorted(begin, array, "right") - 1
     inside = array - begin[of] < windows[of]
     array, of = array[inside], of[inside]
-    group = np.cumsum(~common_prefixes(text, array, length))
+    group = np.cumsum(common_prefixes(text, array, length) < length)
     rank = np.argsort(np.lexsort((array - begin[of], order[of], group)))
     first = np.full(int(group.max(initial=0)) + 1, len(array))
     np.minimum.at(first, group, rank)
@@ -294,12 +302,12 @@ def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "repeated": pa.array([m[repeated[np.searchsorted(unique, m)]].tobytes() for m in sent], pa.binary())})
 
 
-_MARK = "kind int, m long, sg long, k_id long, k_hash long, start long, n long"
+_MARK = "kind int, m long, sg long, sh long, k_id long, k_hash long, start long, n long"
 
 
 def _marks(kind: int, block: _Block, doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
     zero = np.zeros(len(doc), np.int64)
-    return [np.full(len(doc), kind, np.int32), zero, zero, block.k_id[doc], block.k_hash[doc], start, stop - start]
+    return [np.full(len(doc), kind, np.int32), zero, zero, zero, block.k_id[doc], block.k_hash[doc], start, stop - start]
 
 
 def _repeats(length: int):
@@ -316,15 +324,15 @@ def _repeats(length: int):
             keep = known[at] == m
             m, start, n, tied = m[keep], start[keep], n[keep], tied[keep]
             doc = np.searchsorted(offs, start, "right") - 1
-            got.append((m, segment_hashes(data, start, start + n + length - 1), doc + first, start - offs[doc], n, tied))
-        none = [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
-        m, sg, doc, start, n, tied = (np.concatenate(x) for x in zip(*got, strict=True)) if got else none
-        order = np.lexsort((start, doc, sg, m))
-        m, sg, doc, start, n, tied = m[order], sg[order], doc[order], start[order], n[order], tied[order]
-        new = np.concatenate([[True], (m[1:] != m[:-1]) | (sg[1:] != sg[:-1])]) if len(m) else np.zeros(0, bool)
-        firsts = [np.where(tied[new], 2, 0).astype(np.int32), m[new].view(np.int64), sg[new].view(np.int64), block.k_id[doc[new]], block.k_hash[doc[new]], start[new], n[new]]
+            got.append((m, *segment_digests(data, start, start + n + length - 1).T, doc + first, start - offs[doc], n, tied))
+        none = [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool)]
+        m, sg, sh, doc, start, n, tied = (np.concatenate(x) for x in zip(*got, strict=True)) if got else none
+        order = np.lexsort((start, doc, sh, sg, m))
+        m, sg, sh, doc, start, n, tied = (x[order] for x in (m, sg, sh, doc, start, n, tied))
+        new = np.concatenate([[True], (m[1:] != m[:-1]) | (sg[1:] != sg[:-1]) | (sh[1:] != sh[:-1])]) if len(m) else np.zeros(0, bool)
+        firsts = [np.where(tied[new], 2, 0).astype(np.int32), m[new].view(np.int64), sg[new], sh[new], block.k_id[doc[new]], block.k_hash[doc[new]], start[new], n[new]]
         late = _marks(1, block, *_spans(doc[~new], start[~new], (start + n + length - 1)[~new]))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(firsts, late, strict=True)], names=["kind", "m", "sg", "k_id", "k_hash", "start", "n"])
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(firsts, late, strict=True)], names=["kind", "m", "sg", "sh", "k_id", "k_hash", "start", "n"])
 
     return run
 
@@ -359,8 +367,8 @@ def _bring(length: int):
                 strings.append(string)
         of, late = np.array(of, np.int64), np.array(late, np.int64).reshape(-1, 3)
         marks = _marks(1, block, *_spans(*late.T))
-        firsts = [np.zeros(len(of), np.int32), np.array(part, np.int64), np.zeros(len(of), np.int64), block.k_id[of], block.k_hash[of], np.array(begin, np.int64), np.array(count, np.int64)]
-        return pa.table([*(pa.array(np.concatenate(x)) for x in zip(firsts, marks, strict=True)), pa.array([*strings, *([None] * len(late[: len(marks[0])]))], pa.binary())], names=["kind", "m", "sg", "k_id", "k_hash", "start", "n", "bytes"])
+        firsts = [np.zeros(len(of), np.int32), np.array(part, np.int64), *[np.zeros(len(of), np.int64)] * 2, block.k_id[of], block.k_hash[of], np.array(begin, np.int64), np.array(count, np.int64)]
+        return pa.table([*(pa.array(np.concatenate(x)) for x in zip(firsts, marks, strict=True)), pa.array([*strings, *([None] * len(late[: len(marks[0])]))], pa.binary())], names=["kind", "m", "sg", "sh", "k_id", "k_hash", "start", "n", "bytes"])
 
     return run
 
@@ -414,7 +422,7 @@ def _kept(with_text: bool):
         cols = list(zip(*(out[k] for k in block.number.tolist()), strict=True)) or [[]] * 5
         return pa.table(
             {
-                "k_id": docs.column("k_id"), "n_bytes": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()),
+                "k_id": docs.column("k_id"), "rows": docs.column("rows"), "n_bytes": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()),
                 "spans": pa.array(cols[2], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), "kept_sha256": pa.array(cols[3], pa.string()), "kept": pa.array(cols[4], pa.binary()),
             }
         )
@@ -426,24 +434,25 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT, with
     """(doc_id, n_bytes, n_removed, spans, kept_sha256, kept) for every row of *docs*: the spans, in bytes, that go, and
     the bytes that stay (``kept`` is null without *with_text*; a cut may fall inside a code point)."""
     spark = docs.sparkSession
-    C.bound_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(-(-size // BLOCK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(-(-size // C.block_bytes(size, *BLOCK_BYTES)), int(spark.conf.get("spark.sql.shuffle.partitions")))
     block = F.pmod(F.xxhash64("k_id", "k_hash"), F.lit(blocks)).cast("int").alias("block")
     # 1. One shuffle of the texts; the passes below read the buckets.
+    buckets = min(blocks, BUCKETS)
     name = f"suffix_dedup_{uuid.uuid4().hex}"
-    placed = docs.select(*C.row_key(), "text").select(block, "k_id", "k_hash", "text").repartition(blocks, "block")
-    placed.write.bucketBy(blocks, "block").option("compression", "zstd").option("path", f"{C.shared_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    placed = C.collapsed(docs).select(block, "k_id", "k_hash", "text", F.col("n").alias("rows")).repartition(buckets, "block")
+    placed.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", f"{C.shared_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
     here = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files stay, and *here* knows their buckets
     # 2. Anchors that repeat, 3. segments that repeat.
     sent = here.groupBy("block").applyInArrow(_send_anchors(length, blocks), "bucket int, block int, anchors binary, more binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "block int, repeated binary")
     found = C.materialize(here.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_repeats(length), _MARK))
     firsts = found.where("kind <> 1")
     place = F.struct("k_id", "k_hash", "start")
-    least = firsts.groupBy("m", "sg").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("kind").alias("kind"))
+    least = firsts.groupBy("m", "sg", "sh").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("kind").alias("kind"))
     mark = ["k_id", "k_hash", "start", "n"]
-    copies = firsts.join(least.select("m", "sg", "first"), ["m", "sg"]).where(place > F.col("first")).select("k_id", "k_hash", "start", (F.col("n") + length - 1).alias("n"))
+    copies = firsts.join(least.select("m", "sg", "sh", "first"), ["m", "sg", "sh"]).where(place > F.col("first")).select("k_id", "k_hash", "start", (F.col("n") + length - 1).alias("n"))
     # 4. Different segments of one anchor, or one that repeats in itself: the suffix sort.
     mixed = least.groupBy("m").agg(F.count("*").alias("c"), F.max("kind").alias("tied")).where("c > 1 or tied = 2").select("m", "c")
     asked = least.join(mixed, "m").select("m", "first.k_id", "first.k_hash", "first.start", "n", (F.col("c") > hot).alias("hot")).withColumn("block", block)
@@ -453,6 +462,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT, with
     sorted_ = rows.repartition(parts, "m").sortWithinPartitions("m").mapInArrow(_sort(length), "k_id long, k_hash long, start long, n long")
     marks = found.where("kind = 1").select(mark).unionByName(copies).unionByName(brought.where("kind = 1").select(mark)).unionByName(sorted_)
     out = here.groupBy("block").cogroup(marks.withColumn("block", block).groupBy("block")).applyInArrow(
-        _kept(with_text), "k_id long, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept_sha256 string, kept binary"
+        _kept(with_text), "k_id long, rows long, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept_sha256 string, kept binary"
     )
+    out = out.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     return out.select(F.when(F.col("k_id") != 2**63 - 1, F.col("k_id")).alias("doc_id"), "n_bytes", "n_removed", "spans", "kept_sha256", "kept")

@@ -22,7 +22,7 @@ def brute(text, items, n=10):
                 if ws[j : j + size] == iw[i : i + size]:
                     hit |= set(range(j, j + size))
                     ids.add(item)
-    return len(ws), len(hit), sorted(ids)
+    return len(ws), len(hit), sorted(ids - {None})
 
 
 @pytest.fixture()
@@ -37,7 +37,8 @@ def case(prose):
 @pytest.mark.parametrize("part_bytes", [decontaminate.PART_BYTES, 200])
 def test_scan_against_brute_force(spark, docs_of, case, part_bytes):
     items, texts = case
-    bench = spark.createDataFrame([*items, (None, texts[-1])], "item_id long, text string")
+    items = [*items, (None, texts[-1])]
+    bench = spark.createDataFrame([*items, *items[:3]], "item_id long, text string")
     out = decontaminate.scan(docs_of([*texts, *texts[3:5]]), bench, part_bytes=part_bytes).collect()
     assert len(out) == len(texts) + 2
     for r in out:
@@ -61,3 +62,21 @@ def test_empty_tables_and_clashing_columns(spark, docs_of):
     clash = docs.withColumnRenamed("lang", "item_ids").withColumnRenamed("source", "row")
     assert [r.item_ids for r in decontaminate.scan(clash, bench).collect()] == [[]]
     assert [tuple(r) for r in decontaminate.decontaminate(clash, bench).collect()] == [(1, "x y", "en", "src0", 3)]
+
+
+def test_ids_of_text_and_many_parts(spark, docs_of, prose):
+    items = [(f"item-{k}", prose(14)) for k in range(30)]
+    texts = [t for _, t in items] + [prose(30)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    out = {r.doc_id: r.item_ids for r in decontaminate.scan(docs_of(texts), bench, part_bytes=200).collect()}
+    assert out == {k + 1: brute(t, items)[2] for k, t in enumerate(texts)}
+
+
+def test_window_sets_stay_small(prose):
+    import pickle
+
+    import pyarrow as pa
+
+    text = prose(30_000)
+    rows = pa.Table.from_batches(list(decontaminate._item_windows(10)(iter([pa.RecordBatch.from_pydict({"item_id": [1], "text": [text]})]))))
+    assert len(pickle.dumps(decontaminate.window_sets(rows, 10))) < 30 * len(text)

@@ -26,6 +26,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settings(spark: SparkSession) -> None:
+    """What an application with long texts sets for its session, as the registered queries and the pipeline do; the
+    operators themselves leave the session alone.  A Python worker holds a few batches of so many rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that what a worker makes of them stays small."""
     for batch in batches:

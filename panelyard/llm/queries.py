@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, decontaminate, line_dedup, lm_score, merkle, packing, quality, secrets, simhash, suffix_dedup
-from ._common import read
+from . import _common, bitslice, decontaminate, line_dedup, lm_score, merkle, packing, quality, secrets, simhash, suffix_dedup
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder, in a session that is set for long texts."""
+    _common.settings(spark)
+    return _common.read(spark, sf_dir, name)
 
 
 def _sha(text: Column) -> Column:

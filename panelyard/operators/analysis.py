@@ -1,33 +1,97 @@
-"""What the diagnoses of one entity say together: features, strength, dimensions, indicators they share."""
+"""What the diagnoses of one entity say: features and context of each problem, and what its problems share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import DIMENSIONS
+from .rules import DIMENSION_LABELS, DIMENSIONS, INSUFFICIENT, NOT_APPLICABLE
 
+# Features of a problem, by its confidence, by how its evidence agrees, by long-term and recent classes.
+CONFIDENCE_FEATURES = {"high": "strong_direct_evidence", "medium": "moderate_direct_evidence", "low": "weak_direct_evidence"}
+RELATIONSHIPS = {"consistent": "consistent", "partially_consistent": "mostly_consistent", "conflicting": "conflicting", "insufficient": "insufficient"}
+RELATIONSHIP_FEATURES = {"consistent": "indicator_consistency", "mostly_consistent": "partial_consistency", "mixed": "partial_consistency", "conflicting": "indicator_conflict", "insufficient": "data_limitation"}
+LONG_FEATURES = {
+    "overall_up": "long_term_deterioration", "fluctuating_upward": "long_term_deterioration", "overall_down": "long_term_improvement", "fluctuating_downward": "long_term_improvement",
+    "stable": "long_term_stable", "rise_then_fall": "mixed_long_term_pattern", "fall_then_rise": "mixed_long_term_pattern",
+}
+RECENT_FEATURES = {"up": "recent_deterioration", "down": "recent_improvement", "stable": "recent_stable"}
+# Features that a draft may name.
+ALLOWED_FEATURES = [
+    "data_limitation", "scope_limitation", "strong_direct_evidence", "moderate_direct_evidence", "weak_direct_evidence", "indicator_consistency", "partial_consistency", "indicator_conflict",
+    "long_term_deterioration", "long_term_improvement", "long_term_stable", "mixed_long_term_pattern", "recent_deterioration", "recent_improvement", "recent_stable", "recent_reversal",
+    "cross_dimension_contrast", "shared_signal", "restoration_relevance",
+]
+# Sentences.
+CANNOT_TELL = "现有指标只能支持结构化生态信号判断，不能识别具体驱动因素。"
+NO_CAUSES = "不得据此推断具体工程活动、施工位置或现场成因。"
+NO_PLACES = "现有数据不足以确定具体位置、工程尺度和实施参数。"
 
-def contexts(diagnoses: DataFrame, facts: DataFrame, key: str = "project_key") -> DataFrame:
-    """One row a reportable problem: strength of support, balance, how long-term and recent classes relate, dimensions, turning years.
 
-    *diagnoses*: with ``evidence``, ``supported``, ``opposed``, ``total``; *facts*: (key, indicator, long_term, recent, turning_years).
+def lookup(codes: dict[str, str], code: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(z) for kv in codes.items() for z in kv]), code)
+
+
+def _sorted(values: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.array_compact(values)))
+
+
+def _strength(n: Column, total: Column) -> Column:
+    ratio = n / F.greatest(total, F.lit(1))
+    return F.when(n <= 0, "none").when(ratio >= 0.75, "strong").when(ratio >= 0.5, "moderate").otherwise("weak")
+
+
+def features(diagnoses: DataFrame) -> Column:
+    """The ordered features of a problem; polarity isn't looked at, as the class codes have it (an index that rises counts
+    as deterioration whatever it measures)."""
+    fixed = F.array(
+        F.when(F.col("data_sufficiency") == "insufficient", "data_limitation"), F.when(F.col("applicability") == "not_applicable", "scope_limitation"), lookup(CONFIDENCE_FEATURES, F.col("confidence")),
+        lookup(RELATIONSHIP_FEATURES, F.coalesce(lookup(RELATIONSHIPS, F.col("evidence_consistency")), F.lit("mixed"))), F.when(F.col("trend").isin("recently_improving", "recently_worsening"), "recent_reversal"),
+    )
+    return _sorted(F.concat(fixed, F.transform("evidence", lambda e: lookup(LONG_FEATURES, e["long_term"])), F.transform("evidence", lambda e: lookup(RECENT_FEATURES, e["recent"]))))
+
+
+def contexts(diagnoses: DataFrame, matches: DataFrame | None = None, key: str = "project_key") -> DataFrame:
+    """One row a project and rule with what a report may say of it: features, how the signals split, how strong each side is,
+    how long-term and recent classes relate, dimensions, and the measures that match it.
+
+    *diagnoses*: as ``rules.diagnose`` gives them; *matches*: (key, measure_id, name, mechanism, targets, first_target).
     """
-    e = diagnoses.select(key, "problem_id", "supported", "opposed", "total", F.posexplode("evidence").alias("pos", "e")).select(key, "problem_id", "supported", "opposed", "total", "pos", "e.*")
-    x = e.join(facts.select(key, "indicator", "recent", "turning_years"), [key, "indicator"], "left")
-    x = x.withColumn("dimension", F.try_element_at(F.create_map(*[F.lit(z) for kv in DIMENSIONS.items() for z in kv]), F.col("indicator")))
-    names = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("pos", "indicator")))), lambda z: z["indicator"])
-    s = F.col("supports_problem")
-    g = x.groupBy(key, "problem_id").agg(
-        F.first("supported").alias("supported"), F.first("opposed").alias("opposed"), F.first("total").alias("total"), names(s).alias("supporting"), names(~s & (F.col("observed_direction") != "stable")).alias("counter"), names(F.col("observed_direction") == "stable").alias("stable"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("turning_years")))).alias("turning_years"), F.array_sort(F.collect_set("dimension")).alias("dimensions"),
-        F.count_if(F.col("recent") == F.col("adverse_direction")).alias("worse"), F.count_if(F.col("recent").isin("up", "down") & (F.col("recent") != F.col("adverse_direction"))).alias("better"),
+    x = diagnoses
+    kind = "array<struct<measure_id: string, name: string, mechanism: string>>"
+    if matches is None:
+        x = x.withColumn("matched", F.array().cast(kind))
+    else:  # a project has tens of matches at most (one a known measure), so they come as one array
+        m = matches.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first_target", "measure_id", "name", "mechanism", "targets"))).alias("ms"))
+        mine = F.filter("ms", lambda z: F.array_contains(z["targets"], F.col("problem_id")))
+        x = x.join(m, key, "left").withColumn("matched", F.coalesce(F.transform(mine, lambda z: F.struct(z["measure_id"], z["name"], z["mechanism"])), F.array().cast(kind)))
+    support, counter = F.filter("evidence", lambda e: e["supports_problem"]), F.filter("evidence", lambda e: ~e["supports_problem"])
+    stable = F.filter("evidence", lambda e: (e["long_term"] == "stable") | (e["recent"] == "stable"))
+    x = x.withColumns({"support": support, "counter": counter, "steady": stable, "n": F.size("evidence"), "long": _sorted(F.transform("evidence", lambda e: e["long_term"])), "near": _sorted(F.transform("evidence", lambda e: e["recent"]))})
+    a, b, n = F.size("support"), F.size("counter"), F.col("n")
+    balance = (
+        F.when((a > 0) & (b > 0), "mixed").when((a == n) & (n > 0), "strongly_supports_diagnosis").when(a > 0, "supports_diagnosis")
+        .when(F.col("data_sufficiency") == "insufficient", "insufficient").otherwise("does_not_support_diagnosis")
+    )
+    relation = F.when(n == 0, "unknown").when(F.col("trend").isin("recently_improving", "recently_worsening"), "divergent").when(F.size("near") > 1, "partially_divergent").otherwise("consistent")
+    ids = lambda c: F.transform(c, lambda e: e["evidence_id"])
+    names = lambda c: F.transform(c, lambda e: e["indicator"])
+    dims = _sorted(F.transform("indicators", lambda i: lookup(DIMENSIONS, i)))
+    labels = F.transform(dims, lambda d: lookup(DIMENSION_LABELS, d))
+    omitted = F.col("status").isin(INSUFFICIENT, NOT_APPLICABLE)
+    none = F.array().cast("array<string>")
+    return x.select(
+        key, "problem_id", "problem_name", "status", "existence", "severity", "trend", "confidence", "evidence_level", "evidence_consistency", "limitations", "rule_id",
+        features(x).alias("features"), F.coalesce(lookup(RELATIONSHIPS, F.col("evidence_consistency")), F.lit("mixed")).alias("relationship"),
+        F.col("indicators").alias("core_indicators"), names("support").alias("supporting_indicators"), ids("support").alias("supporting_ids"), ids("counter").alias("conflicting_ids"), ids("steady").alias("stable_ids"),
+        F.col("support").alias("supporting_signals"), F.col("counter").alias("conflicting_signals"),
+        F.col("long").alias("long_term_patterns"), F.col("near").alias("recent_patterns"), _sorted(F.flatten(F.transform("evidence", lambda e: e["turning_years"]))).alias("turning_points"), relation.alias("long_recent_relation"),
+        _strength(a, n).alias("support_strength"), _strength(b, n).alias("counter_strength"), (n > 0).alias("direct_evidence"), (F.col("evidence_level") == "B").alias("risk_label_support"), balance.alias("overall_balance"),
+        dims.alias("dimensions"), labels.alias("dimension_labels"), F.concat(F.lit("当前判断主要反映"), F.when(F.size(labels) > 0, F.array_join(labels, "、")).otherwise("规则指定生态维度"), F.lit("的变化信号。")).alias("primary_finding"),
+        F.when(omitted, none).otherwise(F.array(F.lit(CANNOT_TELL))).alias("interpretation_limitations"), F.array(F.lit(NO_CAUSES)).alias("unsupported_inferences"),
+        F.when(omitted, "关键条件不足，当前结论不可评估。").otherwise(F.concat(F.lit("结论基于"), n.cast("string"), F.lit("项规则指定指标证据。"))).alias("confidence_reason"),
+        "matched", F.when(F.size("matched") > 0, "matched").otherwise("no_compliant_match").alias("match_status"),
     )
-    ratio = F.col("supported") / F.col("total")
-    strength = F.when(F.col("supported") == 0, "none").when(ratio < 0.5, "weak").when(ratio < 0.75, "moderate").otherwise("strong")
-    balance = F.when((F.col("supported") > 0) & (F.col("opposed") > 0), "mixed").when(F.col("supported") > 0, "supporting").when(F.col("opposed") > 0, "opposing").otherwise("neutral")
-    relation = F.when((F.col("supported") > 0) & (F.col("better") > F.col("worse")), "long_adverse_recent_improving").when((F.col("supported") > 0) & (F.col("worse") > 0), "long_and_recent_adverse").when(F.col("worse") > 0, "recent_adverse_only").otherwise("no_recent_pressure")
-    return g.select(key, "problem_id", strength.alias("strength"), balance.alias("balance"), relation.alias("relation"), "supporting", "counter", "stable", "turning_years", "dimensions")
 
 
 def shared_indicators(diagnoses: DataFrame, key: str = "project_key") -> DataFrame:
@@ -37,9 +101,9 @@ def shared_indicators(diagnoses: DataFrame, key: str = "project_key") -> DataFra
 
 
 def dimension_profile(diagnoses: DataFrame, key: str = "project_key") -> DataFrame:
-    """(key, dimension, supporting, conflicting, weight, problems): a problem's counts go to each of its dimensions once."""
-    m = F.create_map(*[F.lit(z) for kv in DIMENSIONS.items() for z in kv])
-    dims = F.array_distinct(F.transform("indicators", lambda i: F.try_element_at(m, i)))
+    """(key, dimension, supporting, conflicting, weight, problems, seen): a problem's counts go to each of its dimensions once.
+    Indicators without a dimension count for none."""
+    dims = _sorted(F.transform("indicators", lambda i: lookup(DIMENSIONS, i)))
     x = diagnoses.select(key, "problem_id", "supported", "opposed", F.posexplode(dims).alias("pos", "dimension"))
     return x.groupBy(key, "dimension").agg(
         F.sum("supported").alias("supporting"), F.sum("opposed").alias("conflicting"), F.sum(F.greatest(F.lit(1), F.col("supported") + F.col("opposed"))).alias("weight"),
@@ -48,14 +112,23 @@ def dimension_profile(diagnoses: DataFrame, key: str = "project_key") -> DataFra
 
 
 def dominant_dimension(profile: DataFrame, key: str = "project_key") -> DataFrame:
-    """The dimension of the greatest weight; ties to the one seen first."""
-    return profile.groupBy(key).agg(F.min_by(F.struct("dimension", "weight"), F.struct(-F.col("weight"), F.col("seen"))).alias("d")).select(key, "d.dimension", "d.weight")
+    """The dimension of the greatest weight; ties to the one seen first: problems in their order, then dimensions by name."""
+    best = F.min_by(F.struct("dimension", "weight"), F.struct(-F.col("weight"), F.col("seen")))
+    return profile.groupBy(key).agg(best.alias("d")).select(key, "d.dimension", lookup(DIMENSION_LABELS, F.col("d.dimension")).alias("label"), "d.weight")
 
 
 def locked_changes(seeds: DataFrame, drafts: DataFrame, fields: list[str], on: list[str]) -> DataFrame:
-    """(on, code, field): facts that a draft lacks or changed against its seed."""
+    """(on, code, field): facts that a draft lacks or changed against its seed, compared null-safely whatever their type."""
     x = seeds.withColumn("in_seed", F.lit(True)).alias("s").join(drafts.withColumn("in_draft", F.lit(True)).alias("d"), on, "full_outer")
     issues = [F.when(F.col("in_draft").isNull(), F.struct(F.lit("missing").alias("code"), F.lit("*").alias("field"))), F.when(F.col("in_seed").isNull(), F.struct(F.lit("unexpected").alias("code"), F.lit("*").alias("field")))]
     both = F.col("in_draft") & F.col("in_seed")
     issues += [F.when(both & ~F.col(f"s.{f}").eqNullSafe(F.col(f"d.{f}")), F.struct(F.lit("changed").alias("code"), F.lit(f).alias("field"))) for f in fields]
     return x.select(*on, F.explode(F.array_compact(F.array(*issues))).alias("i")).select(*on, "i.code", "i.field")
+
+
+def draft_feature_issues(drafts: DataFrame, on: list[str], features: str = "features") -> DataFrame:
+    """(on, code, detail): drafts without features, or with one that isn't allowed."""
+    bad = F.array_except(features, F.array(*map(F.lit, ALLOWED_FEATURES)))
+    empty = F.size(F.coalesce(features, F.array().cast("array<string>"))) == 0
+    issues = F.when(empty, F.array(F.struct(F.lit("invalid_analysis_features").alias("code"), F.lit("").alias("detail")))).otherwise(F.transform(bad, lambda f: F.struct(F.lit("unknown_analysis_feature").alias("code"), f.alias("detail"))))
+    return drafts.select(*on, F.explode(issues).alias("i")).select(*on, "i.code", "i.detail")

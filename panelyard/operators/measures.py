@@ -15,20 +15,21 @@ PROHIBITED = {"coal": ["设置光伏板", "风机基础"], "solar": ["煤矸石"
 UNAVAILABLE = {"重金属污染": ["重金属", "超富集", "耐污", "植-菌", "收割后无害化"]}
 MONITORING = ["监测", "动态评估", "复盘"]
 SITE_FEATURES = {"gangue_or_tailings": ["煤矸石", "矸石堆", "尾矿", "裸露堆体"], "open_pit_or_subsidence": ["露天采坑", "采坑", "塌陷坑"]}
-# Measures that are known (id, name, types, problems that they target).
+# Measures that are known (id, name, types, problems that they target, mechanism).
 KNOWLEDGE = [
-    ("M001", "选用本土固碳乔灌草混播构建多层群落", ["coal"], ["P001", "P002"]),
-    ("M002", "乡土耐旱灌草群落营建", ["coal", "solar", "wind"], ["P001", "P006"]),
-    ("M003", "乡土种子库人工补播", ["coal", "solar", "wind"], ["P001", "P003"]),
-    ("M004", "矿区外围生态防护林带搭建", ["coal"], ["P004", "P005", "P006", "P008"]),
-    ("M005", "人工辅助近自然基底修整", ["coal"], ["P004", "P008", "P010"]),
-    ("M006", "关键节点人工补强", ["coal", "solar", "wind"], ["P004", "P008", "P010"]),
-    ("M007", "生态封禁管护划定", ["coal", "solar", "wind"], ["P001", "P003", "P008"]),
+    ("M001", "选用本土固碳乔灌草混播构建多层群落", ["coal"], ["P001", "P002"], "恢复乡土植被群落并增强植被固碳功能"),
+    ("M002", "乡土耐旱灌草群落营建", ["coal", "solar", "wind"], ["P001", "P006"], "恢复耐旱乡土植被覆盖"),
+    ("M003", "乡土种子库人工补播", ["coal", "solar", "wind"], ["P001", "P003"], "补充乡土植物繁殖材料"),
+    ("M004", "矿区外围生态防护林带搭建", ["coal"], ["P004", "P005", "P006", "P008"], "增强生态空间连续性并缓冲边缘扰动"),
+    ("M005", "人工辅助近自然基底修整", ["coal"], ["P004", "P008", "P010"], "改善受扰基底并促进近自然恢复"),
+    ("M006", "关键节点人工补强", ["coal", "solar", "wind"], ["P004", "P008", "P010"], "补强生态网络关键节点的连通作用"),
+    ("M007", "生态封禁管护划定", ["coal", "solar", "wind"], ["P001", "P003", "P008"], "降低持续扰动并为自然恢复提供条件"),
 ]
+SOURCE, ML_SOURCE = "workbook_measure_text", "ml_recommendation"
 
 
 def knowledge_table(spark: SparkSession, rows: Sequence[tuple] = tuple(KNOWLEDGE)) -> DataFrame:
-    return spark.createDataFrame(list(rows), "measure_id string, name string, types array<string>, targets array<string>")
+    return spark.createDataFrame(list(rows), "measure_id string, name string, types array<string>, targets array<string>, mechanism string")
 
 
 def segments(texts: DataFrame, keys: Sequence[str], text: str = "measure_text", delimiters: str = "[；;]") -> DataFrame:
@@ -37,7 +38,7 @@ def segments(texts: DataFrame, keys: Sequence[str], text: str = "measure_text",
     tidy = lambda c: F.trim(F.regexp_replace(c, "(?U)\\s+", " "), F.lit(" ；;"))
     x = raw.withColumn("t", tidy(F.col("raw")))
     ml = F.startswith("t", F.lit(ML_PREFIX))
-    return x.select(*keys, "pos", F.when(ml, tidy(F.substring("t", len(ML_PREFIX) + 1, 2**31 - 1))).otherwise(F.col("t")).alias("text"), F.when(ml, "ml_recommendation").otherwise("matching_result").alias("source")).where("text <> ''")
+    return x.select(*keys, "pos", F.when(ml, tidy(F.substring("t", len(ML_PREFIX) + 1, 2**31 - 1))).otherwise(F.col("t")).alias("text"), F.when(ml, ML_SOURCE).otherwise(SOURCE).alias("source")).where("text <> ''")
 
 
 def first_fragment(text: Column, fragments: Sequence[str]) -> Column:
@@ -53,7 +54,9 @@ def audit(parts: DataFrame, keys: Sequence[str], project_type: str = "project_ty
     conflict = F.coalesce(*[F.when(F.col(project_type) == k, first_fragment(t, v)) for k, v in prohibited.items()], F.lit(None).cast("string"))
     missing = F.coalesce(*[F.when(first_fragment(t, v).isNotNull(), F.lit(k)) for k, v in unavailable.items()], F.lit(None).cast("string"))
     have = F.col(features) if features else F.array().cast("array<string>")
-    site = F.coalesce(*[F.when(first_fragment(t, v).isNotNull() & ~F.coalesce(F.array_contains(have, k), F.lit(False)), F.lit(k)) for k, v in sites.items()], F.lit(None).cast("string"))
+    # The first feature that the text names, and only that one, must be there.
+    named = F.coalesce(*[F.when(first_fragment(t, v).isNotNull(), F.lit(k)) for k, v in sites.items()], F.lit(None).cast("string"))
+    site = F.when(~F.coalesce(F.array_contains(have, named), F.lit(False)), named)
     watch = first_fragment(t, monitoring)
     reason = F.coalesce(
         F.when(F.col("nth") > 1, "duplicate"), F.concat(F.lit("project_type_conflict:"), conflict), F.concat(F.lit("requires_unavailable_problem_rule:"), missing),
@@ -63,12 +66,13 @@ def audit(parts: DataFrame, keys: Sequence[str], project_type: str = "project_ty
 
 
 def match_knowledge(accepted: DataFrame, problems: DataFrame, knowledge: DataFrame, key: str = "project_key") -> DataFrame:
-    """(key, measure_id, name, targets array, first_target): known measures of a project's type that target its reportable
+    """(key, measure_id, name, mechanism, targets array, first_target): known measures of a project's type that target its reportable
     problems (*problems*: key, problem_id, ord), targets in the problems' order."""
     known = accepted.join(F.broadcast(knowledge), (F.col("text") == F.col("name")) & F.array_contains("types", F.col("project_type")))
-    wanted = known.select(key, "measure_id", "name", F.explode("targets").alias("problem_id")).join(problems.select(key, "problem_id", "ord"), [key, "problem_id"])
+    wanted = known.select(key, "measure_id", "name", "mechanism", F.explode("targets").alias("problem_id")).distinct().join(problems.select(key, "problem_id", "ord"), [key, "problem_id"])
     hits = F.array_sort(F.collect_list(F.struct("ord", "problem_id")))
-    return wanted.groupBy(key, "measure_id", "name").agg(hits.alias("hits")).select(key, "measure_id", "name", F.transform("hits", lambda h: h["problem_id"]).alias("targets"), F.col("hits")[0]["ord"].alias("first_target"))
+    g = wanted.groupBy(key, "measure_id", "name", "mechanism").agg(hits.alias("hits"))
+    return g.select(key, "measure_id", "name", "mechanism", F.transform("hits", lambda h: h["problem_id"]).alias("targets"), F.col("hits")[0]["ord"].alias("first_target"))
 
 
 def unknown_measures(accepted: DataFrame, knowledge: DataFrame) -> DataFrame:
@@ -107,3 +111,11 @@ def greedy(problems: DataFrame, candidates: DataFrame, key: str = "project_key",
         return F.concat(done, F.transform(F.slice(fit, 1, cap), lambda c: F.struct(problem["problem"].alias("problem"), c["text"].alias("text"), word(c["text"]).alias("keyword"))))
 
     return p.join(m, key).select(key, F.posexplode(F.aggregate("ps", none, step)).alias("ord", "pick")).select(key, "ord", "pick.problem", "pick.text", "pick.keyword")
+
+
+def strategy_sections(selected: DataFrame, problems: DataFrame, key: str = "project_key") -> DataFrame:
+    """(key, ord, problem, status, measures array): what was selected, grouped by problem in the problems' order; problems
+    without a measure have no section.  *selected*: (key, ord, problem, text, keyword); *problems*: (key, ord, problem, status)."""
+    g = selected.groupBy(key, "problem").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "keyword"))).alias("ms"))
+    g = g.select(key, "problem", F.transform("ms", lambda m: F.struct(m["text"].alias("text"), F.concat(F.lit("keyword:"), m["keyword"]).alias("match_type"))).alias("measures"))
+    return problems.select(key, "ord", "problem", "status").join(g, [key, "problem"]).select(key, "ord", "problem", "status", "measures")

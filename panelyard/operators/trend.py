@@ -25,6 +25,8 @@ class TrendSettings:
     stable_range: float = 0.10
     recent: float = 0.03
     dead_band: float = 0.001
+    #: Relative numbers are rounded to so many places, so that one on a threshold is classed alike in whatever order sums were taken.
+    digits: int = 12
 
 
 def finite(x: Column) -> Column:
@@ -51,14 +53,15 @@ def _fit(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column, syy: Colum
     return slope, sy / n, cyy - slope * cxy
 
 
-def indicator_facts(series: DataFrame, keys: Sequence[str], time: str = "year", value: str = "value", settings: TrendSettings | None = None) -> DataFrame:
+def indicator_facts(series: DataFrame, keys: Sequence[str], time: str = "year", value: str = "value", settings: TrendSettings | None = None, by: Sequence[str] | None = None) -> DataFrame:
     """One row a series (*keys*): counts, extremes with their earliest years, long-term and recent class, turning years.
 
     Values that are null or not finite don't count; null ones are listed as missing.  A two-part fit is tried at every
-    inner point from running sums, so a long series costs no more a point than a short one.
+    inner point from running sums, so a long series costs no more a point than a short one.  *by*: some of the keys to
+    deal the rows out by, so that what is grouped by these later needs no shuffle.
     """
     c = settings or TrendSettings()
-    rows = series.select(*keys, F.col(time).alias("t"), F.when(finite(F.col(value)), F.col(value)).alias("v"), F.col(value).isNull().alias("gone")).repartition(*keys)
+    rows = series.select(*keys, F.col(time).alias("t"), F.when(finite(F.col(value)), F.col(value)).alias("v"), F.col(value).isNull().alias("gone")).repartition(*(by or keys))
     rows = rows.withColumn("ok", F.col("v").isNotNull())
     w = Window.partitionBy(*keys, "ok")
     o = w.orderBy("t")
@@ -79,7 +82,7 @@ def indicator_facts(series: DataFrame, keys: Sequence[str], time: str = "year",
     i, n = F.col("i").cast("double"), F.col("n").cast("double")
     right = [F.col(f"t{k}") - F.col(k) + v for k, v in sums.items()]  # both parts share the point between them
     (ls, lm, le), (rs, rm, re) = _fit(i, *[F.col(k) for k in sums]), _fit(n - i + 1, *right)
-    change = lambda s, m, k: s * k / F.greatest(F.abs(m + F.col("mean")), F.lit(c.epsilon))
+    change = lambda s, m, k: F.round(s * k / F.greatest(F.abs(m + F.col("mean")), F.lit(c.epsilon)), c.digits)
     lc, rc = change(ls, lm, i - 1), change(rs, rm, n - i)
     split = (F.col("i") >= 2) & (F.col("i") <= F.col("n") - 2) & (F.abs(lc) >= c.long_term) & (F.abs(rc) >= c.long_term) & (lc * rc < 0)
     x = x.withColumns({"shape": F.when(split, F.when(lc > 0, "rise_then_fall").otherwise("fall_then_rise")), "error": F.when(split, le + re)})
@@ -105,9 +108,9 @@ def indicator_facts(series: DataFrame, keys: Sequence[str], time: str = "year",
     facts = facts.withColumns(
         {
             "valid": enough,
-            "relative_slope": F.when(enough, F.col("slope") * (F.col("valid_years") - 1) / scale),
-            "relative_range": F.when(enough, (F.col("max_value") - F.col("min_value")) / scale),
-            "recent_change": F.when(enough, (F.col("current_value") - F.col("previous")) / F.greatest(F.abs("previous"), F.lit(c.epsilon))),
+            "relative_slope": F.when(enough, F.round(F.col("slope") * (F.col("valid_years") - 1) / scale, c.digits)),
+            "relative_range": F.when(enough, F.round((F.col("max_value") - F.col("min_value")) / scale, c.digits)),
+            "recent_change": F.when(enough, F.round((F.col("current_value") - F.col("previous")) / F.greatest(F.abs("previous"), F.lit(c.epsilon)), c.digits)),
         }
     )
     s, wild = F.col("relative_slope"), F.col("reversals") >= 2

@@ -31,7 +31,7 @@ raw AS (SELECT doc_id, lang, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS po
 tidy AS (SELECT doc_id, lang, pos::INT AS pos, trim(regexp_replace(t, '\s+', ' ', 'g'), ' ；;') AS text FROM raw), parts AS (SELECT * FROM tidy WHERE text <> '')"""
 
 
-@query(f"WITH {_PART_SQL} SELECT doc_id, pos, text, 'matching_result' AS source FROM parts")
+@query(f"WITH {_PART_SQL} SELECT doc_id, pos, text, 'workbook_measure_text' AS source FROM parts")
 def measure_segment(spark, sf_dir):
     """M1: texts cut into trimmed segments."""
     return _parts(spark, sf_dir).select("doc_id", "pos", "text", "source")
@@ -45,11 +45,14 @@ _AUDIT_SQL = f"""{_PART_SQL},
 nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lang, text ORDER BY pos) AS k FROM parts),
 aud AS (SELECT doc_id, lang, pos, text, coalesce(CASE WHEN k > 1 THEN 'duplicate' END, 'project_type_conflict:' || CASE lang {' '.join(f"WHEN '{k}' THEN {_first(v)}" for k, v in _PROHIBITED.items())} END,
   {', '.join(f"CASE WHEN {_first(v)} IS NOT NULL THEN 'requires_unavailable_problem_rule:{k}' END" for k, v in _UNAVAILABLE.items())}, 'v1_monitoring_measure_excluded:' || {_first(_MONITOR)},
-  {', '.join(f"CASE WHEN {_first(v)} IS NOT NULL THEN 'requires_site_feature:{k}' END" for k, v in _SITES.items())}, 'accepted') AS reason FROM nth)"""
+  CASE (CASE {' '.join(f"WHEN {_first(v)} IS NOT NULL THEN '{k}'" for k, v in _SITES.items())} END) {' '.join(f"WHEN '{k}' THEN CASE WHEN doc_id % 3 <> {n} THEN 'requires_site_feature:{k}' END" for n, k in enumerate(_SITES))} END, 'accepted') AS reason FROM nth)"""
 
 
 def _audited(spark, sf_dir):
-    return measures.audit(_parts(spark, sf_dir), ["doc_id", "lang"], "lang", None, _PROHIBITED, _UNAVAILABLE, _MONITOR, _SITES)
+    # Every third document has a pit, every third a pile.
+    k = F.col("doc_id") % 3
+    parts = _parts(spark, sf_dir).withColumn("features", F.array_compact(F.array(*[F.when(k == n, F.lit(s)) for n, s in enumerate(_SITES)])))
+    return measures.audit(parts, ["doc_id", "lang"], "lang", "features", _PROHIBITED, _UNAVAILABLE, _MONITOR, _SITES)
 
 
 @query(f"WITH {_AUDIT_SQL} SELECT doc_id, pos, text, reason FROM aud")
@@ -67,17 +70,20 @@ def audit_counts(spark, sf_dir):
 
 _PART_KNOWLEDGE = [(f"K{k:02d}", ["coal", "solar", "wind"][: k % 3 + 1], [f"P{(k * 5 + j) % 13 + 1:03d}" for j in range(3)]) for k in range(25)]
 _KNOW_SQL = "know AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', 'Brand#{k}', {_sql_list(t)}, {_sql_list(p)})" for k, (a, t, p) in enumerate(_PART_KNOWLEDGE)) + ") k(measure_id, name, types, targets))"
-_OFFER_SQL = """offer AS (SELECT DISTINCT project_key, project_type, 'Brand#' || (o_orderkey % 30) AS text FROM ords WHERE o_orderkey % 11 = 3),
+_OFFERS = "offer AS (SELECT DISTINCT project_key, project_type, 'Brand#' || CASE WHEN o_orderkey % 2 = 0 THEN 25 + o_orderkey % 9 ELSE (length(project_key) * 7 + o_orderkey % 4 * 5) % 30 END AS text FROM ords)"
+_OFFER_SQL = _OFFERS + """,
 rep AS (SELECT project_key, problem_id, status, row_number() OVER (PARTITION BY project_key ORDER BY (status <> '突出问题')::INT, problem_id) AS ord FROM diag WHERE status NOT IN ('数据不足', '不适用'))"""
 
 
 def _offers(spark, sf_dir):
-    o = panel.orders(spark, sf_dir).where("o_orderkey % 11 = 3")
-    return o.select("project_key", "project_type", F.concat(F.lit("Brand#"), F.col("o_orderkey") % 30).alias("text")).distinct()
+    """Measures that projects are offered: every order names a brand; known brands are few in each project."""
+    k = F.col("o_orderkey")
+    brand = F.when(k % 2 == 0, 25 + k % 9).otherwise((F.length("project_key") * 7 + k % 4 * 5) % 30)
+    return panel.orders(spark, sf_dir).select("project_key", "project_type", F.concat(F.lit("Brand#"), brand).alias("text")).distinct()
 
 
 def _knowledge(spark):
-    rows = [(a, f"Brand#{k}", t, p) for k, (a, t, p) in enumerate(_PART_KNOWLEDGE)]
+    rows = [(a, f"Brand#{k}", t, p, f"mechanism {k}") for k, (a, t, p) in enumerate(_PART_KNOWLEDGE)]
     return measures.knowledge_table(spark, rows)
 
 
@@ -89,7 +95,7 @@ def knowledge_match(spark, sf_dir):
     return measures.match_knowledge(_offers(spark, sf_dir), problems, _knowledge(spark)).select("project_key", "measure_id", joined("targets").alias("targets"), "first_target")
 
 
-@query(f"""WITH {PANEL_SQL}, {_KNOW_SQL}, offer AS (SELECT DISTINCT project_key, project_type, 'Brand#' || (o_orderkey % 30) AS text FROM ords WHERE o_orderkey % 11 = 3)
+@query(f"""WITH {PANEL_SQL}, {_KNOW_SQL}, {_OFFERS}
 SELECT project_key, text, 'not_in_measure_knowledge' AS reason FROM offer o WHERE NOT EXISTS (SELECT 1 FROM know WHERE name = text AND list_contains(types, project_type))""")
 def anti_knowledge(spark, sf_dir):
     """Offered measures that nothing is known of."""
@@ -120,9 +126,8 @@ def shared_indicators(spark, sf_dir):
 
 
 _PROFILE_SQL = f"""{_DIMS_SQL}, {_REP_SQL},
-pm AS (SELECT project_key, problem_id, supported, opposed, dimension, min(pos) AS p FROM rp GROUP BY ALL),
-pd AS (SELECT project_key, problem_id, supported, opposed, dimension, row_number() OVER (PARTITION BY project_key, problem_id ORDER BY p) AS k FROM pm),
-prof AS (SELECT project_key, dimension, sum(supported)::BIGINT AS supporting, sum(opposed)::BIGINT AS conflicting, sum(greatest(1, supported + opposed))::BIGINT AS weight, count(*) AS problems, min(struct_pack(a := problem_id, b := k)) AS seen FROM pd GROUP BY ALL)"""
+pm AS (SELECT DISTINCT project_key, problem_id, supported, opposed, dimension FROM rp),
+prof AS (SELECT project_key, dimension, sum(supported)::BIGINT AS supporting, sum(opposed)::BIGINT AS conflicting, sum(greatest(1, supported + opposed))::BIGINT AS weight, count(*) AS problems, min(problem_id) AS seen FROM pm GROUP BY ALL)"""
 
 
 @query(f"WITH {PANEL_SQL}, {FACTS_SQL}, {DIAGNOSE_SQL}, {_PROFILE_SQL} SELECT project_key, dimension, supporting, conflicting, weight, problems FROM prof")
@@ -131,24 +136,50 @@ def dimension_profile(spark, sf_dir):
     return analysis.dimension_profile(rules.reportable(_diagnoses(spark, sf_dir))).drop("seen")
 
 
-@query(f"WITH {PANEL_SQL}, {FACTS_SQL}, {DIAGNOSE_SQL}, {_PROFILE_SQL} SELECT project_key, dimension, weight FROM (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY weight DESC, seen) AS r FROM prof) WHERE r = 1")
+_LABEL_SQL = "CASE dimension " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.DIMENSION_LABELS.items()) + " END"
+
+
+@query(f"WITH {PANEL_SQL}, {FACTS_SQL}, {DIAGNOSE_SQL}, {_PROFILE_SQL} SELECT project_key, dimension, {_LABEL_SQL} AS label, weight FROM (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY weight DESC, seen, dimension) AS r FROM prof) WHERE r = 1")
 def cross_problem(spark, sf_dir):
-    """The dimension that weighs most in each project; ties to the one seen first."""
+    """The dimension that weighs most in each project; ties to the one seen first, then by name."""
     return analysis.dominant_dimension(analysis.dimension_profile(rules.reportable(_diagnoses(spark, sf_dir))))
 
 
-@query(f"""WITH {PANEL_SQL}, {FACTS_SQL}, {DIAGNOSE_SQL}, {_DIMS_SQL},
-cx AS (SELECT e.project_key, e.problem_id, g.supported, g.opposed, g.total, e.pos, e.indicator, e.dir, e.sup, e.adverse, e.recent, f.turning, f.valid, dimension FROM e2 e JOIN diag g ON g.project_key = e.project_key AND g.problem_id = e.problem_id JOIN facts f ON f.project_key = e.project_key AND f.indicator = e.indicator JOIN dims ON dims.indicator = e.indicator WHERE g.ok),
-cg AS (SELECT project_key, problem_id, supported, opposed, total, coalesce(string_agg(indicator, ',' ORDER BY pos) FILTER (sup), '') AS supporting, coalesce(string_agg(indicator, ',' ORDER BY pos) FILTER (NOT sup AND dir <> 'stable'), '') AS counter, coalesce(string_agg(indicator, ',' ORDER BY pos) FILTER (dir = 'stable'), '') AS stable,
-  array_to_string(list_sort(list_distinct(flatten(list(turning)))), ',') AS turning_years, string_agg(DISTINCT dimension, ',' ORDER BY dimension) AS dimensions, count(*) FILTER (recent = adverse) AS worse, count(*) FILTER (recent IN ('up', 'down') AND recent <> adverse) AS better FROM cx GROUP BY ALL)
-SELECT project_key, problem_id, CASE WHEN supported = 0 THEN 'none' WHEN supported / total < 0.5 THEN 'weak' WHEN supported / total < 0.75 THEN 'moderate' ELSE 'strong' END AS strength,
-  CASE WHEN supported > 0 AND opposed > 0 THEN 'mixed' WHEN supported > 0 THEN 'supporting' WHEN opposed > 0 THEN 'opposing' ELSE 'neutral' END AS balance,
-  CASE WHEN supported > 0 AND better > worse THEN 'long_adverse_recent_improving' WHEN supported > 0 AND worse > 0 THEN 'long_and_recent_adverse' WHEN worse > 0 THEN 'recent_adverse_only' ELSE 'no_recent_pressure' END AS relation, supporting, counter, stable, turning_years, dimensions FROM cg""")
+_case = lambda c, codes: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in codes.items()) + " END"
+_MATCH_SQL = """mt AS (SELECT o.project_key, k.measure_id, rep.problem_id, rep.ord FROM offer o JOIN know k ON o.text = k.name AND list_contains(k.types, o.project_type), rep WHERE rep.project_key = o.project_key AND list_contains(k.targets, rep.problem_id)),
+m1 AS (SELECT *, min(ord) OVER (PARTITION BY project_key, measure_id) AS first FROM mt),
+mm AS (SELECT project_key, problem_id, string_agg(measure_id, ',' ORDER BY first, measure_id) AS matched FROM m1 GROUP BY ALL)"""
+_CONTEXT_SQL = f"""{_DIMS_SQL},
+ce AS (SELECT e.project_key, e.problem_id, e.pos, e.indicator, e.sup, e.recent, f.long_term, f.turning FROM e2 e JOIN diag g ON g.project_key = e.project_key AND g.problem_id = e.problem_id AND g.ok JOIN facts f ON f.project_key = e.project_key AND f.indicator = e.indicator),
+cs AS (SELECT project_key, problem_id, count(*) AS n, count(*) FILTER (sup) AS a, count(*) FILTER (sup = false) AS b, count(DISTINCT recent) AS near,
+  coalesce(string_agg('EV-' || problem_id || '-' || indicator, ',' ORDER BY pos) FILTER (sup), '') AS sid, coalesce(string_agg('EV-' || problem_id || '-' || indicator, ',' ORDER BY pos) FILTER (sup = false), '') AS cid,
+  coalesce(string_agg('EV-' || problem_id || '-' || indicator, ',' ORDER BY pos) FILTER (long_term = 'stable' OR recent = 'stable'), '') AS tid,
+  string_agg(DISTINCT long_term, ',' ORDER BY long_term) AS lp, string_agg(DISTINCT recent, ',' ORDER BY recent) AS rp, array_to_string(list_sort(list_distinct(flatten(list(turning)))), ',') AS tp FROM ce GROUP BY ALL),
+cf AS (SELECT project_key, problem_id, {_case("long_term", analysis.LONG_FEATURES)} AS f FROM ce UNION ALL SELECT project_key, problem_id, {_case("recent", analysis.RECENT_FEATURES)} FROM ce
+  UNION ALL SELECT project_key, problem_id, {_case("confidence", analysis.CONFIDENCE_FEATURES)} FROM diag UNION ALL SELECT project_key, problem_id, CASE status WHEN '数据不足' THEN 'data_limitation' WHEN '不适用' THEN 'scope_limitation' END FROM diag
+  UNION ALL SELECT project_key, problem_id, CASE consistency WHEN 'consistent' THEN 'indicator_consistency' WHEN 'partially_consistent' THEN 'partial_consistency' WHEN 'conflicting' THEN 'indicator_conflict' ELSE 'data_limitation' END FROM diag
+  UNION ALL SELECT project_key, problem_id, 'recent_reversal' FROM diag WHERE trend IN ('recently_improving', 'recently_worsening')),
+cff AS (SELECT project_key, problem_id, string_agg(DISTINCT f, ',' ORDER BY f) AS features FROM cf WHERE f IS NOT NULL GROUP BY ALL),
+cd AS (SELECT problem_id, string_agg(DISTINCT dimension, ',' ORDER BY dimension) AS dimensions FROM rules JOIN dims USING (indicator) GROUP BY 1),
+str AS (SELECT problem_id, string_agg(label, '、' ORDER BY dimension) AS labels FROM (SELECT DISTINCT problem_id, dimension, {_LABEL_SQL} AS label FROM rules JOIN dims USING (indicator)) GROUP BY 1),
+cx AS (SELECT d.project_key, d.problem_id, d.status, d.trend, d.evidence_level, d.consistency, coalesce(n, 0) AS n, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(near, 0) AS near, coalesce(sid, '') AS sid, coalesce(cid, '') AS cid, coalesce(tid, '') AS tid, coalesce(lp, '') AS lp, coalesce(rp, '') AS rp, coalesce(tp, '') AS tp, features, dimensions, labels
+  FROM diag d LEFT JOIN cs USING (project_key, problem_id) JOIN cff USING (project_key, problem_id) JOIN cd USING (problem_id) JOIN str USING (problem_id))"""
+_STRENGTH = "CASE WHEN {0} = 0 THEN 'none' WHEN {0} / n >= 0.75 THEN 'strong' WHEN {0} / n >= 0.5 THEN 'moderate' ELSE 'weak' END"
+
+
+@query(f"""WITH {PANEL_SQL}, {FACTS_SQL}, {DIAGNOSE_SQL}, {_KNOW_SQL}, {_OFFER_SQL}, {_MATCH_SQL}, {_CONTEXT_SQL}
+SELECT project_key, problem_id, features, CASE consistency WHEN 'partially_consistent' THEN 'mostly_consistent' ELSE consistency END AS relationship, sid AS supporting_ids, cid AS conflicting_ids, tid AS stable_ids, lp AS long_term_patterns, rp AS recent_patterns, tp AS turning_points,
+  CASE WHEN n = 0 THEN 'unknown' WHEN trend IN ('recently_improving', 'recently_worsening') THEN 'divergent' WHEN near > 1 THEN 'partially_divergent' ELSE 'consistent' END AS long_recent_relation, {_STRENGTH.format("a")} AS support_strength, {_STRENGTH.format("b")} AS counter_strength, n > 0 AS direct_evidence, evidence_level = 'B' AS risk_label_support,
+  CASE WHEN a > 0 AND b > 0 THEN 'mixed' WHEN a = n AND n > 0 THEN 'strongly_supports_diagnosis' WHEN a > 0 THEN 'supports_diagnosis' WHEN status = '数据不足' THEN 'insufficient' ELSE 'does_not_support_diagnosis' END AS overall_balance, dimensions, '当前判断主要反映' || labels || '的变化信号。' AS primary_finding,
+  CASE WHEN status IN ('数据不足', '不适用') THEN '' ELSE '{analysis.CANNOT_TELL}' END AS interpretation_limitations, CASE WHEN status IN ('数据不足', '不适用') THEN '关键条件不足，当前结论不可评估。' ELSE '结论基于' || n || '项规则指定指标证据。' END AS confidence_reason,
+  coalesce(matched, '') AS matched, CASE WHEN matched IS NULL THEN 'no_compliant_match' ELSE 'matched' END AS match_status FROM cx LEFT JOIN mm USING (project_key, problem_id)""")
 def analysis_context(spark, sf_dir):
-    """Signals, strength, balance and turning years of every reportable problem."""
-    facts = trend.indicator_facts(panel.long(spark, sf_dir), KEYS)
-    c = analysis.contexts(rules.reportable(rules.diagnose(facts, panel.projects(spark, sf_dir), rules.rule_table(spark))), facts)
-    return c.select("project_key", "problem_id", "strength", "balance", "relation", *[joined(x).alias(x) for x in ("supporting", "counter", "stable", "turning_years", "dimensions")])
+    """Features, signals, balance, patterns, dimensions and matched measures of every project and rule."""
+    d = _diagnoses(spark, sf_dir)
+    c = analysis.contexts(d, measures.match_knowledge(_offers(spark, sf_dir), rules.ordered(d), _knowledge(spark)))
+    lists = ("features", "supporting_ids", "conflicting_ids", "stable_ids", "long_term_patterns", "recent_patterns", "turning_points", "dimensions", "interpretation_limitations")
+    plain = ("relationship", "long_recent_relation", "support_strength", "counter_strength", "direct_evidence", "risk_label_support", "overall_balance", "primary_finding", "confidence_reason", "match_status")
+    return c.select("project_key", "problem_id", *plain, *[joined(x).alias(x) for x in lists], joined(F.transform("matched", lambda m: m["measure_id"])).alias("matched"))
 
 
 # --- risk and scopes: the order priority stands for the scope -------------------------

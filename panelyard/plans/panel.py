@@ -1,7 +1,7 @@
 """The panel that the registered queries work on, derived from the star-schema tables.
 
-Entities are nation and market segment; years are order years up to 2000; the project type follows the region;
-indicators are yearly aggregates of all orders under the panel's names.
+Entities are nation and market segment; years are order years, the last of them in part; the project type follows the
+region; indicators are yearly aggregates of all orders under the panel's names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority").where(F.col("o_orderdate") < "2001-01-01")
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     who = _customers(spark, sf_dir).select("c_custkey", "project_key", "project_type")
     return o.join(who, F.col("o_custkey") == F.col("c_custkey")).withColumn("year", F.year("o_orderdate"))
 
@@ -61,7 +61,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PANEL_SQL = """
 cust AS (SELECT c_custkey, c_nationkey, c_mktsegment, n_regionkey, n_name || '-' || c_mktsegment AS project_key, ['coal', 'solar', 'wind'][n_regionkey % 3 + 1] AS project_type FROM customer JOIN nation ON c_nationkey = n_nationkey),
-ords AS (SELECT project_key, project_type, c_custkey, year(o_orderdate)::INT AS "year", o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders JOIN cust ON o_custkey = c_custkey WHERE o_orderdate < TIMESTAMP '2001-01-01'),
+ords AS (SELECT project_key, project_type, c_custkey, year(o_orderdate)::INT AS "year", o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders JOIN cust ON o_custkey = c_custkey),
 wide AS (SELECT project_key, project_type, "year", sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / 1e6 AS "MEAN_NDVI", count(*)::DOUBLE AS "MEAN_NPP", count(*) FILTER (o_orderpriority = '1-URGENT')::DOUBLE AS "CA",
   CASE WHEN count(*) >= 3 THEN max(o_totalprice) - min(o_totalprice) END AS "LPI", count(DISTINCT c_custkey)::DOUBLE AS "NP", sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / count(*) AS "PD",
   max(o_totalprice) AS "ED", min(o_totalprice) AS "LSI", (count(*) FILTER (o_orderstatus = 'F'))::DOUBLE / count(*) AS "ERI" FROM ords GROUP BY ALL),
@@ -86,11 +86,11 @@ sp AS (SELECT DISTINCT project_key, indicator, n, unnest(generate_series(2, n -
 side AS (SELECT sp.project_key, sp.indicator, split, sp.n, regr_slope(y, t) FILTER (i <= split) AS ls, regr_slope(y, t) FILTER (i >= split) AS rs, avg(y) FILTER (i <= split) AS lm, avg(y) FILTER (i >= split) AS rm,
   coalesce(regr_syy(y, t) FILTER (i <= split) - regr_slope(y, t) FILTER (i <= split) * regr_sxy(y, t) FILTER (i <= split), 0) AS le, coalesce(regr_syy(y, t) FILTER (i >= split) - regr_slope(y, t) FILTER (i >= split) * regr_sxy(y, t) FILTER (i >= split), 0) AS re
   FROM sp JOIN sg ON sg.project_key = sp.project_key AND sg.indicator = sp.indicator GROUP BY ALL),
-ch AS (SELECT *, ls * (split - 1) / greatest(abs(lm), 1e-12) AS lc, rs * (n - split) / greatest(abs(rm), 1e-12) AS rc FROM side),
+ch AS (SELECT *, round(ls * (split - 1) / greatest(abs(lm), 1e-12), 12) AS lc, round(rs * (n - split) / greatest(abs(rm), 1e-12), 12) AS rc FROM side),
 pw AS (SELECT project_key, indicator, arg_min(CASE WHEN lc > 0 THEN 'rise_then_fall' ELSE 'fall_then_rise' END, struct_pack(a := le + re, b := split)) AS shape FROM ch WHERE abs(lc) >= 0.1 AND abs(rc) >= 0.1 AND lc * rc < 0 GROUP BY ALL),
 mis AS (SELECT project_key, indicator, coalesce(list("year" ORDER BY "year") FILTER (value IS NULL), []) AS missing FROM long GROUP BY ALL),
 f0 AS (SELECT mis.project_key, mis.indicator, coalesce(st.n, 0) AS n, missing, cy, cv, prev, lo, hi, loy, hiy, shape, coalesce(reversals, 0) AS reversals, coalesce(turning, []) AS turning,
-  slope * (st.n - 1) / greatest(abs(m), 1e-12) AS rsl, (hi - lo) / greatest(abs(m), 1e-12) AS rr, (cv - prev) / greatest(abs(prev), 1e-12) AS rch
+  round(slope * (st.n - 1) / greatest(abs(m), 1e-12), 12) AS rsl, round((hi - lo) / greatest(abs(m), 1e-12), 12) AS rr, round((cv - prev) / greatest(abs(prev), 1e-12), 12) AS rch
   FROM mis LEFT JOIN st USING (project_key, indicator) LEFT JOIN rev USING (project_key, indicator) LEFT JOIN trn USING (project_key, indicator) LEFT JOIN pw USING (project_key, indicator)),
 facts AS (SELECT *, n >= 3 AS valid, CASE WHEN n < 3 THEN 'unknown' WHEN abs(rsl) < 0.1 AND rr < 0.1 THEN 'stable' WHEN shape IS NOT NULL THEN shape
   WHEN rsl >= 0.1 THEN CASE WHEN reversals >= 2 THEN 'fluctuating_upward' ELSE 'overall_up' END WHEN rsl <= -0.1 THEN CASE WHEN reversals >= 2 THEN 'fluctuating_downward' ELSE 'overall_down' END ELSE 'stable' END AS long_term,

@@ -73,7 +73,7 @@ def index_and_scale(spark, sf_dir):
 def _rule_sql(rows=rules.RULES) -> str:
     lit = lambda x: "NULL" if x is None else "'" + x + "'"
     arr = lambda xs: "[" + ", ".join(map(lit, xs)) + "]::VARCHAR[]"
-    out = [f"({lit(p)}, {lit(name)}, {arr(types)}, {k}, {lit(part.split(':')[0])}, {lit(part.split(':')[1])}, {lit(logic)}, {lit(need and need[0])}, {arr(al)})" for p, name, types, parts, logic, need, al in rows for k, part in enumerate(parts.split())]
+    out = [f"({lit(p)}, {lit(name)}, {arr(types)}, {k}, {lit(ind)}, {lit(adverse)}, {lit(logic)}, {lit(need[0][0] if need else None)}, {arr(al)})" for p, name, types, parts, logic, need, al in rows for k, (ind, adverse) in enumerate(parts)]
     return "rules(problem_id, problem_name, types, pos, indicator, adverse, logic, need, aliases) AS (VALUES " + ", ".join(out) + ")"
 
 
@@ -101,7 +101,7 @@ diag AS (SELECT *, CASE WHEN NOT applies THEN '不适用' WHEN NOT ok THEN '数
 
 
 def _diagnoses(spark, sf_dir):
-    facts = trend.indicator_facts(panel.long(spark, sf_dir), KEYS)
+    facts = trend.indicator_facts(panel.long(spark, sf_dir), KEYS, by=["project_key"])
     return rules.diagnose(facts, panel.projects(spark, sf_dir), rules.rule_table(spark))
 
 
@@ -115,9 +115,8 @@ def rule_eval_v2(spark, sf_dir):
     return d.select("project_key", "problem_id", "problem_name", "status", "existence", "severity", "trend", "confidence", "evidence_consistency", "evidence_level", "supported", "opposed", "total", evidence.alias("evidence"), F.array_join("limitations", "|").alias("limitations"))
 
 
-RULES_V1 = [(*r[:3], "MEAN_NDVI:down MEAN_NPP:down CA:down LPI:down ERI:up", *r[4:]) if r[0] == "P007" else r for r in rules.RULES]
 DIAGNOSE_V1_SQL = f"""
-{_rule_sql(RULES_V1)},
+{_rule_sql(rules.RULES_V1)},
 v1 AS (SELECT p.project_key, p.project_type, p.mine, r.*, list_contains(tags, problem_name) OR list_has_any(tags, aliases) AS tagged, direction,
   CASE WHEN direction IS NULL THEN NULL WHEN direction = 'stable' THEN 'stable' WHEN r.indicator IN ('MEAN_NDVI', 'MEAN_NPP', 'CA', 'LPI') THEN CASE WHEN direction = 'increase' THEN 'improving' ELSE 'adverse' END ELSE CASE WHEN direction = 'increase' THEN 'adverse' ELSE 'improving' END END AS eff,
   CASE WHEN need = 'ca_landcover_type' AND landcover <> 'native_grassland' THEN 'unknown' WHEN need = 'has_buffer_gradient' AND NOT buffer THEN 'unknown' WHEN problem_id = 'P011' AND project_type <> 'solar' THEN 'no'
@@ -134,5 +133,5 @@ SELECT project_key, problem_id, CASE WHEN gate = 'no' THEN '不适用' WHEN gate
   CASE WHEN gate IS NULL THEN adverse ELSE '' END AS adverse, CASE WHEN gate IS NULL THEN improving ELSE '' END AS improving, CASE WHEN gate IS NULL THEN stable ELSE '' END AS stable FROM vg""")
 def rule_eval_v1(spark, sf_dir):
     """The older decision table on every project."""
-    d = rules.diagnose_v1(trend.trend_evidence(panel.long(spark, sf_dir), KEYS), panel.projects(spark, sf_dir), rules.rule_table(spark, RULES_V1))
+    d = rules.diagnose_v1(trend.trend_evidence(panel.long(spark, sf_dir), KEYS), panel.projects(spark, sf_dir), rules.rule_table(spark, rules.RULES_V1, rules.GATES_V1))
     return d.select("project_key", "problem_id", "status", "level", *[F.array_join(c, ",").alias(c) for c in ("adverse", "improving", "stable")])

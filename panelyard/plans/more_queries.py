@@ -201,20 +201,6 @@ def scope_pick(spark, sf_dir):
     return risk.pick_scope(_records(spark, sf_dir), ["project_key"], _SCOPES[1:4])
 
 
-@query(f"""WITH {_SCOPE_SQL}, c AS (SELECT project_key, scope, value, list_position({_sql_list(_SCOPES)}, scope) AS k, CASE WHEN project_type = 'wind' THEN 2 ELSE 1 END AS s FROM rec WHERE "year" = 2000 AND value IS NOT NULL)
-SELECT project_key, scope, value, k > s AS fallback FROM (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY k) AS r FROM c WHERE k >= s) WHERE r = 1""")
-def current_risk(spark, sf_dir):
-    """The scope that speaks for a project's current value; wind passes over the core."""
-    return risk.current_risk(_records(spark, sf_dir), "project_key", F.col("year") == 2000, _SCOPES, skip=F.col("project_type") == "wind")
-
-
-@query(f"WITH {_SCOPE_SQL} SELECT project_key, string_agg(scope || '=' || coalesce(value::VARCHAR, '-'), '|' ORDER BY list_position({_sql_list(_SCOPES)}, scope)) AS gradient FROM rec WHERE \"year\" = 2000 GROUP BY ALL")
-def gradient(spark, sf_dir):
-    """Values at the target year in scope order."""
-    g = risk.gradient(_records(spark, sf_dir), "project_key", F.col("year") == 2000, _SCOPES)
-    return g.select("project_key", F.array_join(F.transform("gradient", lambda z: F.concat_ws("=", z["scope"], F.coalesce(z["value"].cast("string"), F.lit("-")))), "|").alias("gradient"))
-
-
 @query(f"WITH {_SCOPE_SQL} SELECT project_key, \"year\", round(avg(value), 9) AS mean, count(value) AS scopes FROM rec GROUP BY ALL HAVING count(value) > 0")
 def annual_mean(spark, sf_dir):
     """Yearly means over the scopes."""
@@ -222,7 +208,7 @@ def annual_mean(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT c_custkey, c_nationkey, (c_custkey % 7 - 1) / 5.0 AS p FROM customer)
-SELECT c_custkey, CASE WHEN p BETWEEN 0 AND 1 THEN p::DOUBLE END AS p_value, NOT (p BETWEEN 0 AND 1) AS p_invalid, CASE WHEN NOT (p BETWEEN 0 AND 1) THEN 'missing' WHEN p < 0.05 THEN 'significant' ELSE 'not_significant' END AS status FROM f""")
+SELECT c_custkey, CASE WHEN p BETWEEN 0 AND 1 THEN p::DOUBLE END AS p_value, NOT (p BETWEEN 0 AND 1) AS p_invalid, CASE WHEN NOT (p BETWEEN 0 AND 1) THEN 'missing' ELSE 'available' END AS status FROM f""")
 def p_validity(spark, sf_dir):
     """P values outside 0 to 1 count as missing, and are told."""
     value, invalid = risk.checked_p((F.col("c_custkey") % 7 - 1) / 5.0)

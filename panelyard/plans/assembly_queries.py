@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analysis, assembly, risk, rules
+from ..operators import analysis, assembly, risk
 from . import panel
-from .more_queries import _KNOW_SQL, _OFFER_SQL, _SCOPE_SQL, _SCOPES, _knowledge, _offers, _records, _sql_list
+from .more_queries import _SCOPE_SQL, _SCOPES, _records, _sql_list
 from .panel import FACTS_SQL, PANEL_SQL, table
 from .queries import DIAGNOSE_SQL, _diagnoses, joined, query
 
@@ -29,12 +29,12 @@ def observation_assembly(spark, sf_dir):
     return assembly.observations(r.drop("project_type"), picks, r)
 
 
-@query("""WITH a AS (SELECT s_nationkey, 'T' || s_suppkey % 3 AS kind, CASE WHEN s_suppkey % 4 > 0 THEN round(s_acctbal * 100)::BIGINT END AS area FROM supplier WHERE s_suppkey % 5 = 0),
+@query("""WITH a AS (SELECT s_nationkey, 'T' || s_suppkey % 3 AS kind, CASE WHEN s_suppkey % 4 > 0 THEN round(s_acctbal * 100)::BIGINT END AS area FROM supplier WHERE s_nationkey % 6 <> 2),
 g AS (SELECT s_nationkey, sum(area)::BIGINT AS area, string_agg(DISTINCT kind, ',' ORDER BY kind) AS types FROM a GROUP BY 1)
 SELECT n_nationkey AS nation, CASE WHEN types IS NULL THEN 'not_recorded' ELSE 'recorded' END AS status, area, coalesce(types, '') AS types FROM nation LEFT JOIN g ON s_nationkey = n_nationkey""")
 def protected_areas(spark, sf_dir):
     """Areas and kinds, where absence isn't zero."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0")
+    s = table(spark, sf_dir, "supplier").where("s_nationkey % 6 <> 2")  # the tables of the other nations don't exist
     areas = s.select(F.col("s_nationkey").alias("nation"), F.concat(F.lit("T"), F.col("s_suppkey") % 3).alias("kind"), F.when(F.col("s_suppkey") % 4 > 0, F.round(F.col("s_acctbal") * 100).cast("long")).alias("area"))
     return assembly.protected_areas(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation")), areas, "nation").withColumn("types", joined("types"))
 
@@ -72,14 +72,6 @@ def set_differences(spark, sf_dir):
     return g.select("l_suppkey", *[joined(c).alias(n) for c, n in zip(assembly.set_differences(F.col("a"), F.col("b")), ("only_a", "only_b", "both"), strict=True)])
 
 
-@query(f"""WITH {PANEL_SQL}, {FACTS_SQL}, {DIAGNOSE_SQL}, {_KNOW_SQL}, {_OFFER_SQL}
-SELECT DISTINCT o.project_key, 'measure_for_omitted_problem' AS code, measure_id || ':' || p AS detail FROM (SELECT project_key, measure_id, unnest(targets) AS p FROM offer JOIN know ON text = name) o LEFT JOIN rep ON rep.project_key = o.project_key AND rep.problem_id = o.p WHERE rep.project_key IS NULL""")
-def report_issues(spark, sf_dir):
-    """Where reports with unfiltered measures contradict themselves."""
-    known = _offers(spark, sf_dir).join(F.broadcast(_knowledge(spark)), F.col("text") == F.col("name")).select("project_key", "measure_id", "targets")
-    return assembly.report_issues(_diagnoses(spark, sf_dir), known).distinct()
-
-
 @query(f"""WITH {PANEL_SQL}, {FACTS_SQL}, {DIAGNOSE_SQL}, s AS (SELECT project_key, problem_id, status, supported, total FROM diag), d AS (SELECT project_key, problem_id, CASE WHEN hash_k % 7 = 0 THEN 'x' ELSE status END AS status, CASE WHEN hash_k % 5 = 0 THEN supported + 1 ELSE supported END AS supported, total FROM (SELECT *, length(project_key) * 3 + substr(problem_id, 2)::INT AS hash_k FROM s) WHERE hash_k % 11 <> 0),
 j AS (SELECT s.project_key, s.problem_id, s.status AS a, d.status AS b, s.supported AS x, d.supported AS y FROM s LEFT JOIN d USING (project_key, problem_id))
 SELECT project_key, problem_id, 'missing' AS code, '*' AS field FROM j WHERE b IS NULL UNION ALL SELECT project_key, problem_id, 'changed', 'status' FROM j WHERE b IS NOT NULL AND a <> b UNION ALL SELECT project_key, problem_id, 'changed', 'supported' FROM j WHERE b IS NOT NULL AND x <> y""")
@@ -89,14 +81,3 @@ def locked_changes(spark, sf_dir):
     k = F.length("project_key") * 3 + F.substring("problem_id", 2, 3).cast("int")
     d = s.where(k % 11 != 0).withColumns({"status": F.when(k % 7 == 0, "x").otherwise(F.col("status")), "supported": F.when(k % 5 == 0, F.col("supported") + 1).otherwise(F.col("supported"))})
     return analysis.locked_changes(s, d, ["status", "supported", "total"], ["project_key", "problem_id"])
-
-
-@query(f"""WITH {PANEL_SQL}, {FACTS_SQL}, {DIAGNOSE_SQL}, {_OFFER_SQL.split('rep AS')[1].join(['rep AS', ''])},
-ln AS (SELECT project_key, problem_id AS section, '## ' || problem_id || ' ' || status AS text FROM rep WHERE ord % 4 <> 0), al AS (SELECT project_key, string_agg(text, chr(10) ORDER BY text) AS a FROM ln GROUP BY 1)
-SELECT project_key, 'too_short' AS code, section AS detail FROM ln WHERE section = 'P001' AND length(text) < 13 UNION ALL SELECT r.project_key, 'problem_not_covered', r.problem_id FROM rep r JOIN al USING (project_key) WHERE NOT contains(a, r.problem_id)
-UNION ALL SELECT project_key, 'no_counter_evidence', '' FROM al WHERE NOT regexp_matches(a, '改善|风险')""")
-def draft_issues(spark, sf_dir):
-    """Drafts that are short, leave out a problem or never weigh the other side."""
-    rep = rules.ordered(_diagnoses(spark, sf_dir))
-    drafts = rep.where("ord % 4 <> 0").select("project_key", F.col("problem_id").alias("section"), F.concat_ws(" ", F.lit("##"), "problem_id", "status").alias("text"))
-    return assembly.draft_issues(drafts, rep, least={"P001": 13}, must="改善|风险")

@@ -4,47 +4,62 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import quality, report, rules, text, trend
+from ..operators import quality, rules, text, trend
 from ..sources import sinks, tables
 from . import panel
 from .panel import FACTS_SQL, PANEL_SQL, table
-from .queries import DIAGNOSE_SQL, KEYS, _diagnoses, query
+from .queries import DIAGNOSE_SQL, _diagnoses, query
 
-# Every third line of a document is made a heading, every fifth a table row, some bullets and images, so that the
-# block parsers have all kinds to tell apart.
-_MARKED = "CASE WHEN i % 6 = 1 THEN '# ' || l WHEN i % 6 = 2 THEN '' WHEN i % 6 = 3 THEN '| ' || l WHEN i % 6 = 4 AND i % 4 = 0 THEN '![x](y/z.png)' WHEN i % 6 = 5 THEN '- ' || l ELSE l END"
+# Lines of documents become headings, table rows, separators, images, bullets, captions and breaks by their number, so
+# that the block parsers have all kinds to tell apart.
+_KINDS = [
+    ("# ", ""), None, ("| ", " | x |"), "|---|:-:|", ("| ", " |"), "![alt](y/z.png)", ("- ", ""), ("**图 1 ", "**"), "<!-- pagebreak -->", ("##### ", ""), "<!-- toc -->", ("## ", ""),
+]
+_MARKED = "CASE i % 13 " + " ".join(f"WHEN {k} THEN " + ("''" if x is None else f"'{x}'" if isinstance(x, str) else f"'{x[0]}' || l || '{x[1]}'") for k, x in enumerate(_KINDS)) + " ELSE l END"
 
 
 def _marked(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
-    i, l = F.col("i"), F.col("l")  # noqa: E741
-    line = lambda l, i: F.when(i % 6 == 1, F.concat(F.lit("# "), l)).when(i % 6 == 2, "").when(i % 6 == 3, F.concat(F.lit("| "), l)).when((i % 6 == 4) & (i % 4 == 0), "![x](y/z.png)").when(i % 6 == 5, F.concat(F.lit("- "), l)).otherwise(l)  # noqa: E741, E731
-    return lines.select("doc_id", F.array_join(F.transform("ls", line), "\n").alias("text"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n").alias("ls"))
 
+    def line(l, i):  # noqa: E741
+        made = [F.lit("") if x is None else F.lit(x) if isinstance(x, str) else F.concat(F.lit(x[0]), l, F.lit(x[1])) for x in _KINDS]
+        return F.coalesce(F.try_element_at(F.array(*made), (i % 13 + 1).cast("int")), l)
 
-_LINES_SQL = f"""ls AS (SELECT doc_id, unnest(s) AS l, generate_subscripts(s, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
-mk AS (SELECT doc_id, i, {_MARKED} AS line FROM ls)"""
+    return lines.select("doc_id", "source", F.array_join(F.transform("ls", line), "\n").alias("text"))
 
 
-@query(rf"""WITH {_LINES_SQL},
-h AS (SELECT *, regexp_matches(line, '^#{{1,6}}\s+') AS is_head FROM mk),
-g AS (SELECT *, last_value(CASE WHEN is_head THEN trim(regexp_extract(line, '^#{{1,6}}\s+(.*)$', 1), ' ') END IGNORE NULLS) OVER w AS heading, count(*) FILTER (is_head OR trim(line, ' ') = '') OVER w AS gap FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-b AS (SELECT doc_id, gap, coalesce(any_value(heading), '') AS heading, string_agg(trim(line, ' '), ' ' ORDER BY i) AS block FROM g WHERE NOT is_head AND trim(line, ' ') <> '' GROUP BY doc_id, gap)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY gap)::INT AS ordinal, heading, block FROM b""")
+_LINES_SQL = f"""ls AS (SELECT doc_id, source, unnest(s) AS l, generate_subscripts(s, 1) - 1 AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s FROM documents)),
+mk AS (SELECT doc_id, source, i, trim({_MARKED}, ' ') AS line, {_MARKED} AS raw FROM ls)"""
+
+_PARAGRAPHS_SQL = rf"""{_LINES_SQL},
+h AS (SELECT *, regexp_matches(line, '^#{{1,6}}\s+.+$') AS is_head FROM mk),
+g AS (SELECT *, last_value(CASE WHEN is_head THEN trim(regexp_extract(line, '^#{{1,6}}\s+(.+)$', 1), ' ') END IGNORE NULLS) OVER w AS heading, count(*) FILTER (is_head OR line = '') OVER w AS gap FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+b AS (SELECT doc_id, source, gap, is_head, coalesce(any_value(heading), '') AS heading, trim(regexp_replace(string_agg(CASE WHEN is_head THEN heading ELSE line END, ' ' ORDER BY i), '\s+', ' ', 'g'), ' ') AS block FROM g WHERE line <> '' GROUP BY ALL),
+bl AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY gap, is_head DESC)::INT AS ordinal, CASE WHEN is_head THEN 'heading' ELSE 'paragraph' END AS kind, heading, block FROM b WHERE block <> '')"""
+
+
+@query(f"WITH {_PARAGRAPHS_SQL} SELECT doc_id, ordinal, kind, heading, block FROM bl")
 def md_paragraphs(spark, sf_dir):
-    """Paragraphs with the heading above them."""
+    """Headings and paragraphs, each with the heading above it."""
     return text.paragraphs(_marked(spark, sf_dir), ["doc_id"])
 
 
 @query(rf"""WITH {_LINES_SQL},
-k AS (SELECT doc_id, i, trim(line, ' ') AS line FROM mk WHERE trim(line, ' ') <> ''),
-k2 AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}\s') THEN 'heading' WHEN starts_with(line, '|') THEN 'table' WHEN regexp_matches(line, '^!\[.*\]\(.*\)$') THEN 'image' WHEN regexp_matches(line, '^[-*]\s') THEN 'bullet' ELSE 'paragraph' END AS kind FROM k),
+k AS (SELECT doc_id, i, line FROM mk WHERE line <> ''),
+k2 AS (SELECT *, CASE WHEN line = '<!-- pagebreak -->' THEN 'pagebreak' WHEN line = '<!-- toc -->' THEN 'toc' WHEN starts_with(line, '|') AND ends_with(line, '|') THEN 'table' WHEN starts_with(line, '![') AND contains(line, '](') AND ends_with(line, ')') THEN 'image'
+  WHEN regexp_matches(line, '^\*\*(表|图)\s+.+\*\*$') THEN 'caption' WHEN regexp_matches(line, '^#{{1,4}} ') THEN 'heading' WHEN starts_with(line, '- ') THEN 'bullet' ELSE 'paragraph' END AS kind FROM k),
 k3 AS (SELECT *, lag(kind) OVER w AS pk, lag(i) OVER w AS pi FROM k2 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-k4 AS (SELECT *, count(*) FILTER (NOT (kind = 'table' AND coalesce(pk = 'table' AND pi = i - 1, false))) OVER (PARTITION BY doc_id ORDER BY i) AS ordinal FROM k3)
-SELECT doc_id, ordinal::INT AS ordinal, kind, string_agg(line, chr(10) ORDER BY i) AS block FROM k4 GROUP BY ALL""")
+k4 AS (SELECT *, count(*) FILTER (NOT (kind = 'table' AND coalesce(pk = 'table' AND pi = i - 1, false))) OVER (PARTITION BY doc_id ORDER BY i) AS part, [trim(c, ' ') for c in string_split(trim(line, '|'), '|')] AS cells FROM k3),
+k5 AS (SELECT * FROM k4 WHERE kind <> 'table' OR NOT list_bool_and([regexp_matches(c, '^[-:]+$') for c in cells])),
+k6 AS (SELECT *, first_value(len(cells)) OVER (PARTITION BY doc_id, part ORDER BY i) AS w FROM k5),
+k7 AS (SELECT doc_id, part, kind, arg_min(line, i) AS f, string_agg(array_to_string([coalesce(cells[j], '') for j in range(1, w + 1)], '¦'), '¶' ORDER BY i) AS rows FROM k6 GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part)::INT AS ordinal, kind, CASE WHEN kind = 'heading' THEN length(regexp_extract(f, '^(#+)', 1)) ELSE 0 END::INT AS level,
+  CASE kind WHEN 'image' THEN substr(f, 3, instr(f, '](') - 3) WHEN 'caption' THEN trim(substr(f, 3, length(f) - 4), ' ') WHEN 'heading' THEN trim(regexp_replace(f, '^#+ ', ''), ' ') WHEN 'bullet' THEN trim(substr(f, 3), ' ') WHEN 'paragraph' THEN f ELSE '' END AS text,
+  CASE WHEN kind = 'image' THEN substr(f, instr(f, '](') + 2, length(f) - instr(f, '](') - 2) ELSE '' END AS source, CASE WHEN kind = 'table' THEN rows ELSE '' END AS "rows" FROM k7""")
 def md_blocks(spark, sf_dir):
-    """Blocks by kind, a table's rows together."""
-    return text.markdown_blocks(_marked(spark, sf_dir), ["doc_id"])
+    """Blocks by kind, a table's rows together and alike in width."""
+    rows = F.coalesce(F.array_join(F.transform("rows", lambda r: F.array_join(r, "¦")), "¶"), F.lit(""))
+    return text.markdown_blocks(_marked(spark, sf_dir), ["doc_id"]).withColumn("rows", rows)
 
 
 @query(r"""WITH p AS (SELECT doc_id, unnest(s) AS body, generate_subscripts(s, 1) AS page FROM (SELECT doc_id, string_split(replace(text, '. ', chr(12)), chr(12)) AS s FROM documents)),
@@ -56,12 +71,35 @@ def page_paragraphs(spark, sf_dir):
     return text.page_paragraphs(table(spark, sf_dir, "documents").select("doc_id", t.alias("text")), ["doc_id"])
 
 
-@query("""WITH l AS (SELECT doc_id, source, unnest(s) AS block, generate_subscripts(s, 1) AS pos FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s FROM documents))
-SELECT doc_id, pos::INT AS pos, substr(sha256(source || chr(10) || pos || chr(10) || block), 1, 20) AS block_id FROM l""")
+_ROLES = list(text.FACTUAL_USE)
+_SOURCE_SQL = f"""{_PARAGRAPHS_SQL},
+fl AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY i) AS text FROM mk GROUP BY 1), rl AS (SELECT doc_id, text, sha256(text) AS sha, {_ROLES!r}[length(text) % 6 + 1] AS role FROM fl)"""
+
+
+def _sources(spark, sf_dir):
+    """Documents as sources, each with a role."""
+    return _marked(spark, sf_dir).select("doc_id", "text", F.element_at(F.array(*map(F.lit, _ROLES)), (F.length("text") % 6 + 1)).alias("role"))
+
+
+@query(f"""WITH {_SOURCE_SQL} SELECT bl.doc_id, ordinal, role, {' '.join(["CASE role", *(f"WHEN '{k}' THEN '{v}'" for k, v in text.FACTUAL_USE.items()), "END"])} AS factual_use, substr(sha256(sha || chr(0) || ordinal || chr(0) || kind || chr(0) || heading || chr(0) || block), 1, 20) AS block_id FROM bl JOIN rl USING (doc_id)""")
 def block_ids(spark, sf_dir):
-    """Identities of blocks."""
-    l = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("k", "block"))  # noqa: E741
-    return l.select("doc_id", (F.col("k") + 1).alias("pos"), text.block_id("source", (F.col("k") + 1).cast("string"), "block").alias("block_id"))
+    """Identities of all blocks, and what their sources may be used for."""
+    return text.source_blocks(_sources(spark, sf_dir), "doc_id").select("doc_id", "ordinal", "role", "factual_use", "block_id")
+
+
+@query(f"""WITH {_SOURCE_SQL}, n AS (SELECT doc_id, count(*) AS block_count, sum(length(block))::BIGINT AS text_chars FROM bl GROUP BY 1), fs AS (SELECT sha, min(doc_id) AS f FROM rl GROUP BY 1)
+SELECT rl.doc_id, role, rl.sha AS source_sha256, strlen(text)::BIGINT AS size, coalesce(block_count, 0) AS block_count, coalesce(text_chars, 0) AS text_chars, rl.doc_id <> f AS duplicate FROM rl JOIN fs USING (sha) LEFT JOIN n USING (doc_id)""")
+def source_entries(spark, sf_dir):
+    """One row a source with its size and blocks, and whether its bytes came before."""
+    s = _sources(spark, sf_dir)
+    return text.source_entries(s, text.source_blocks(s, "doc_id"), "doc_id")
+
+
+@query(f"""WITH {_SOURCE_SQL} SELECT count(*) AS entries, sum(('0x' || substr(sha256(role || chr(0) || sha || chr(0) || doc_id), 1, 12))::BIGINT)::VARCHAR AS fingerprint FROM rl""")
+def corpus_fingerprint(spark, sf_dir):
+    """The fingerprint of all sources with their roles, in whatever order."""
+    s = _sources(spark, sf_dir).select("role", F.sha2("text", 256).alias("sha"), F.col("doc_id").cast("string").alias("name"))
+    return text.corpus_fingerprint(s, "role", "sha", "name")
 
 
 @query("""WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS block FROM documents) SELECT source, count(*) AS blocks, sum(length(block))::BIGINT AS chars FROM l GROUP BY 1""")
@@ -78,13 +116,14 @@ def sanitise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("digest"))
 
 
-_LINT = {"shouting": r"[A-Z]{6,}", "marks": r"[$%&#]{3}", "license": r"(?i)license", "number": r"[0-9]{4,}"}
+_DOC_LINT = [("shouting", "each", "[A-Z]{6,}"), ("marks", "any", "[$%&#]{3}"), ("license", "has", "License"), ("missing_heading", "lacks", "The")]
 
 
-@query("WITH i AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS code, len(regexp_extract_all(text, '{p}'))::BIGINT AS hits FROM documents" for k, p in _LINT.items()) + " UNION ALL SELECT doc_id, 'missing_heading:The', (NOT contains(text, 'The'))::BIGINT FROM documents) SELECT * FROM i WHERE hits > 0")
+@query(r"""SELECT doc_id, code, detail FROM (SELECT doc_id, 'shouting' AS code, unnest(regexp_extract_all(text, '(^|[^0-9.])([A-Z]{6,})', 2)) AS detail FROM documents UNION ALL SELECT doc_id, 'marks', regexp_extract(text, '[$%&#]{3}') FROM documents WHERE regexp_matches(text, '[$%&#]{3}')
+UNION ALL SELECT doc_id, 'license', 'License' FROM documents WHERE contains(text, 'License') UNION ALL SELECT doc_id, 'missing_heading', 'The' FROM documents WHERE NOT contains(text, 'The'))""")
 def text_lint(spark, sf_dir):
-    """Hits of lint patterns, and headings that lack."""
-    return text.lint(table(spark, sf_dir, "documents"), ["doc_id"], _LINT, headings=["The"])
+    """Findings of lint rules in every document."""
+    return text.lint(table(spark, sf_dir, "documents"), ["doc_id"], _DOC_LINT)
 
 
 @query(r"""WITH s AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i, len(p) AS n FROM (SELECT doc_id, string_split(text, '. ') AS p FROM documents)),
@@ -111,28 +150,6 @@ def length_check(spark, sf_dir):
     return g.withColumn("within", F.col("chars").between(200, 1500))
 
 
-_ORDERED_SQL = "rep AS (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY (status <> '突出问题')::INT, problem_id) AS ord FROM diag WHERE status NOT IN ('数据不足', '不适用'))"
-_BODY_SQL = "status || '；支持 ' || supported || ' / ' || total || ' 项指标；可信度 ' || confidence || '。'"
-
-
-@query(f"""WITH {PANEL_SQL}, {FACTS_SQL}, {DIAGNOSE_SQL}, {_ORDERED_SQL},
-ln AS (SELECT DISTINCT project_key, 0 AS ord, '# ' || project_key AS text FROM rep UNION ALL SELECT project_key, ord * 2 - 1, '## ' || problem_id || ' ' || problem_name FROM rep UNION ALL SELECT project_key, ord * 2, {_BODY_SQL} FROM rep)
-SELECT project_key, string_agg(text, chr(10) ORDER BY ord) AS markdown, count(*) AS n_lines FROM ln GROUP BY 1""")
-def report_entry(spark, sf_dir):
-    """A report text for every project."""
-    return report.assemble(report.section_lines(rules.ordered(_diagnoses(spark, sf_dir))))
-
-
-@query(f"""WITH {PANEL_SQL}, w AS (SELECT *, first_value(value) OVER (PARTITION BY project_key, indicator ORDER BY "year") AS base FROM long WHERE value IS NOT NULL AND indicator IN ('NP', 'CA'))
-SELECT project_key, 'landscape' AS chart, count(*) AS points, round(sum(100 * value / base), 4) AS total FROM w WHERE base <> 0 GROUP BY 1""")
-def chart_points(spark, sf_dir):
-    """Indexed landscape series as chart JSON, read back and summed."""
-    p = panel.long(spark, sf_dir).where("indicator in ('NP', 'CA')")
-    c = report.chart_points(trend.index_to_first(p, KEYS).withColumn("value", F.col("indexed")), "project_key", "landscape")
-    back = F.from_json("data_json", "points array<struct<series: string, x: int, y: double>>")["points"]
-    return c.select("project_key", "chart", F.size(back).cast("long").alias("points"), F.round(F.aggregate(back, F.lit(0.0), lambda a, z: a + z["y"]), 4).alias("total"))
-
-
 @query(f"""WITH {PANEL_SQL}, c AS (SELECT project_key, count(*) AS n, sum("MEAN_NPP")::BIGINT AS total FROM wide GROUP BY 1) SELECT project_key, n, total FROM c""")
 def nested_snapshot(spark, sf_dir):
     """One document a project with its yearly records inside, counted from inside again."""

@@ -36,6 +36,28 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFra
     return target.join(source.select(*keys).distinct(), list(keys), "left_anti").unionByName(source)
 
 
+def rename(projects: DataFrame, names: DataFrame, key: str, column: str, hashed: Sequence[str], dependency: str = "") -> DataFrame:
+    """*projects* with the names of *names* (key, name) put in where they differ, both fingerprints brought up to date, and
+    ``renamed``: only these need a new report, none a new analysis."""
+    x = projects.join(names.select(key, F.col("name").alias("k_name")), key, "left")
+    x = x.withColumn("renamed", F.coalesce(F.col("k_name") != F.col(column), F.lit(False))).withColumn(column, F.coalesce("k_name", column)).drop("k_name")
+    return with_fingerprints(x.drop("full_hash", "analysis_hash"), hashed, [column], dependency)
+
+
+def intact(results: DataFrame, key: str, columns: Sequence[str], stored: str = "value_hash") -> tuple[DataFrame, DataFrame]:
+    """(results whose stored hash is that of their content, keys of the others)."""
+    same = F.coalesce(F.col(stored) == fingerprint(*columns), F.lit(False))
+    return results.where(same), results.where(~same).select(key)
+
+
+def batch_status(state: DataFrame, paused: bool = False) -> DataFrame:
+    """One row: how many are selected, succeeded, failed or pending, and the batch's status."""
+    n = state.agg(F.count("*").alias("selected"), F.count_if(F.col("status") == "succeeded").alias("succeeded"), F.count_if(F.col("status").isin("failed", "paused")).alias("failed"))
+    n = n.withColumn("pending", F.col("selected") - F.col("succeeded") - F.col("failed"))
+    status = F.when(F.lit(paused), "paused").when(F.col("succeeded") == F.col("selected"), "complete").when(F.col("pending") > 0, "paused").otherwise("complete_with_failures")
+    return n.withColumn("status", status)
+
+
 def uuid5(key: Column, namespace: str = "6ba7b811-9dad-11d1-80b4-00c04fd430c8") -> Column:
     """The name-based UUID (version 5) of a text."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), key.cast("binary")))

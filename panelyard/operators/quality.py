@@ -25,6 +25,10 @@ def lenient_number(x: Column) -> Column:
     return F.trim(x.cast("string")).try_cast("double")
 
 
+def text_or_empty(x: Column) -> Column:
+    return F.coalesce(F.trim(x.cast("string")), F.lit(""))
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, n) of keys that occur more than once."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
@@ -47,12 +51,36 @@ def coalesce_agreed(df: DataFrame, keys: Sequence[str], column: str) -> DataFram
     return df.groupBy(*keys).agg(F.min(v).alias(column), (F.min(v) != F.max(v)).alias("conflict")).withColumn("conflict", F.coalesce("conflict", F.lit(False)))
 
 
-def warnings(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """(keys, warning): metrics of a row that are missing or not finite."""
-    each = [F.when(F.col(m).isNull(), F.lit(f"missing_latest_metric:{m}")).when(F.isnan(m) | (F.abs(m) == float("inf")), F.lit(f"non_finite_latest_metric:{m}")) for m in metrics]
+# Metrics of a project's latest row, and how a flag says yes.
+LATEST_METRICS = ["MEAN_NDVI", "STD_NDVI", "MEAN_NPP", "STD_NPP", "CA", "LPI", "NP", "PD", "ED", "LSI", "MEAN_VCI", "MEAN_EVI", "MEAN_SIF", "MEAN_VCS_C", "MEAN_VCS_CO2e", "ERI", "LER", "ES", "EP", "RER", "CVR"]
+YES = ["是", "true", "True", "1"]
+
+
+def metric_snapshot(latest: DataFrame, keys: Sequence[str], metrics: Sequence[str] = tuple(LATEST_METRICS)) -> DataFrame:
+    """(keys, metrics): the fixed set of metrics of the latest rows; one that the table lacks is null."""
+    return latest.select(*keys, *[F.col(m) if m in latest.columns else F.lit(None).cast("double").alias(m) for m in metrics])
+
+
+def warnings(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], flag: str | None = None) -> DataFrame:
+    """(keys, warning): metrics of a row that are missing (null or empty text) or not finite, and *flag* if it says yes."""
+    empty = lambda m: F.col(m).isNull() | (F.col(m).cast("string") == "")
+    number = lambda m: F.col(m).try_cast("double")
+    each = [F.when(empty(m), F.lit(f"missing_latest_metric:{m}")).when(F.isnan(number(m)) | (F.abs(number(m)) == float("inf")), F.lit(f"non_finite_latest_metric:{m}")) for m in metrics]
+    if flag:
+        each.append(F.when(F.trim(flag).isin(YES), F.lit("ml_recommendation_present:requires_rule_review")))
     return df.select(*keys, F.explode(F.array_compact(F.array(*each))).alias("warning"))
 
 
+def target_rows(df: DataFrame, targets: DataFrame, keys: Sequence[str], time: str = "year", target: str = "target_year") -> tuple[DataFrame, DataFrame]:
+    """(rows, issues): the row of each key's target time, or of its last one where the target is null; a target that isn't
+    there is an issue."""
+    last = df.groupBy(*keys).agg(F.max(time).alias("k_last"))
+    t = targets.join(last, list(keys), "left").withColumn("k_at", F.coalesce(target, "k_last"))
+    rows = df.join(t.select(*keys, F.col("k_at").alias(time)), [*keys, time])
+    missing = t.join(rows.select(*keys), list(keys), "left_anti").select(*keys, F.concat(F.lit("no_record_for_target:"), F.coalesce(F.col(target).cast("string"), F.lit("-"))).alias("issue"))
+    return rows, missing
+
+
 def latest_rows(df: DataFrame, keys: Sequence[str], time: str = "year", until: Column | None = None) -> DataFrame:
     """The row of each key's last time (up to *until*)."""
     rest = [c for c in df.columns if c not in keys]
@@ -60,14 +88,18 @@ def latest_rows(df: DataFrame, keys: Sequence[str], time: str = "year", until: C
     return x.groupBy(*keys).agg(F.max_by(F.struct(*rest), time).alias("r")).select(*keys, "r.*")
 
 
-def contract_issues(docs: DataFrame, key: str, json: str, required: Sequence[str], allowed: Sequence[str] | None = None, enums: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """(key, code, field) of JSON documents against a top-level contract."""
+def contract_issues(docs: DataFrame, key: str, json: str, required: Sequence[str], allowed: Sequence[str] | None = None, enums: Mapping[str, Sequence[str]] | None = None, arrays: Sequence[str] = ()) -> DataFrame:
+    """(key, code, field) of JSON documents against a top-level contract: keys that lack or are too many, values that aren't
+    allowed, and *arrays* that hold something else."""
     names = F.json_object_keys(json)
     lit = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
     tag = lambda code, xs: F.transform(xs, lambda f: F.struct(F.lit(code).alias("code"), f.alias("field")))
     issues = [tag("missing", F.array_except(lit(required), names))]
     if allowed is not None:
         issues.append(tag("unexpected", F.array_except(names, lit(allowed))))
+    for f in arrays:
+        body = F.trim(F.get_json_object(json, f"$.{f}"))
+        issues.append(tag("wrong_type", F.when(body.isNotNull() & ~body.startswith("["), lit([f])).otherwise(lit([]))))
     for f, values in (enums or {}).items():
         got = F.get_json_object(json, f"$.{f}")
         issues.append(tag("not_allowed", F.when(got.isNotNull() & ~got.isin(list(values)), lit([f])).otherwise(lit([]))))

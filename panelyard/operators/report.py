@@ -40,9 +40,9 @@ def labelled(labels: dict[str, str], code: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """Two decimals, scientific from a million on or under a hundredth, a dash for what is missing or not finite."""
+    """Two decimals (a tie away from zero), scientific from a million on or under a hundredth, a dash for what is missing or not finite."""
     far = (F.abs(x) >= 1e6) | ((F.abs(x) < 0.01) & (x != 0))
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "—").when(far, F.format_string("%.2e", x)).otherwise(F.format_string("%.2f", x))
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "—").when(far, F.format_string("%.2e", x)).otherwise(F.round(x.cast("decimal(38,12)"), 2).cast("string"))
 
 
 def signal_sentence(signal: Column) -> Column:

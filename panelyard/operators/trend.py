@@ -126,6 +126,11 @@ def indicator_facts(series: DataFrame, keys: Sequence[str], time: str = "year",
     )
 
 
+def with_values(facts: DataFrame) -> DataFrame:
+    """Facts of series that have any value; the others say nothing of their entity."""
+    return facts.where("valid_years > 0")
+
+
 def trend_evidence(series: DataFrame, keys: Sequence[str], time: str = "year", value: str = "value", dead_band: float = 0.001) -> DataFrame:
     """One row a series of two or more values: ends, slope, direction, pattern, recent direction, turning years
     (the year after the pivot), extremes with their earliest years.  NaN counts as no value."""

@@ -1,4 +1,4 @@
 """Importing this registers every query."""
 
-from . import assembly_queries, more_queries, report_queries, risk_queries, text_queries  # noqa: F401
+from . import assembly_queries, more_queries, report_queries, risk_queries, scan_queries, text_queries  # noqa: F401
 from .queries import QUERIES, SQL  # noqa: F401

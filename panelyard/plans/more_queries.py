@@ -327,11 +327,11 @@ def uuid5_key(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", incremental.uuid5(F.concat(F.lit("customer-"), F.format_string("%04d", "c_custkey"))).alias("id"))
 
 
-@query("SELECT event_type, o, count(*) AS n FROM (SELECT event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM events) WHERE o <= 3 GROUP BY ALL")
+@query("SELECT user_id, event_id, o FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM events) WHERE o <= 3")
 def numbering(spark, sf_dir):
-    """Numbers within a group and the first three of each."""
+    """Numbers within a group, and the first three of each."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").withColumn("o", F.row_number().over(w).cast("long")).where("o <= 3").groupBy("event_type", "o").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "events").withColumn("o", F.row_number().over(w).cast("long")).where("o <= 3").select("user_id", "event_id", "o")
 
 
 @query("""SELECT time_bucket(INTERVAL 60 SECOND, ts) AS "start", event_type, count(*) AS n FROM events GROUP BY ALL""")

@@ -46,11 +46,12 @@ par AS (SELECT c.project_key, c.problem_id, d.problem_name, c.status, c.evidence
 @query(f"WITH {_BASE_SQL}, {_PARAGRAPH_SQL} SELECT project_key, problem_id, p1, p2, p3 FROM par")
 def problem_paragraphs(spark, sf_dir):
     """The three paragraphs of every problem, codes decoded."""
-    c = _state(spark, sf_dir)[3].withColumn("ps", report.problem_paragraphs(_state(spark, sf_dir)[3]))
+    c = _state(spark, sf_dir)[3]
+    c = c.withColumn("ps", report.problem_paragraphs(c))
     return c.select(_KEY, "problem_id", *[F.col("ps")[k].alias(f"p{k + 1}") for k in range(3)])
 
 
-_NUM = "CASE WHEN {0} IS NULL THEN '—' WHEN abs({0}) >= 1e6 OR (abs({0}) < 0.01 AND {0} <> 0) THEN printf('%.2e', {0}) ELSE printf('%.2f', {0}) END"
+_NUM = "CASE WHEN {0} IS NULL THEN '—' WHEN abs({0}) >= 1e6 OR (abs({0}) < 0.01 AND {0} <> 0) THEN printf('%.2e', {0}) ELSE round({0}::DECIMAL(38, 12), 2)::VARCHAR END"
 _N = "chr(10)"
 
 
@@ -91,8 +92,8 @@ rp3 AS (SELECT pj.project_key, '# 生态状况智能诊断与修复决策报告'
 _REPORT_SQL = _REPORT_SQL.replace("ra AS (SELECT project_key, 1 FROM pj),\n", "")
 
 
-def _reports(spark, sf_dir):
-    facts, d, m, c = _state(spark, sf_dir)
+def _reports(spark, sf_dir, state=None):
+    facts, d, m, c = state or _state(spark, sf_dir)
     order = rules.ordered(d).select(_KEY, "problem_id", "ord")
     projects = panel.wide(spark, sf_dir).groupBy(_KEY).agg(F.first("project_type").alias("project_type"), F.min("year").alias("first_year"))
     projects = projects.withColumns({"target_year": F.lit(2001), "name": F.col(_KEY), "risk_level": F.when(_len() % 2 == 0, "III_中风险")})
@@ -118,14 +119,14 @@ def export_placeholders(spark, sf_dir):
 _FLAWED_SQL = f"""fl AS (SELECT project_key, replace(replace(replace(replace(markdown, '## 目录', CASE WHEN {_LEN} % 3 = 0 THEN '## 无' ELSE '## 目录' END), '**关键词：**', CASE WHEN {_LEN} % 4 = 0 THEN '词' ELSE '**关键词：**' END), 'P013', CASE WHEN {_LEN} % 5 = 0 THEN 'P1级 PR-P013' ELSE 'P013' END), '## 8 结论', '## 8 结论' || CASE {_LEN} % 6 WHEN 0 THEN ' 种植120株，面积 3.5公顷' WHEN 1 THEN ' 由于开采导致退化，极其严重' WHEN 2 THEN ' 综合风险等级为None' WHEN 3 THEN ' Brand#3 JSON' ELSE '' END) AS text FROM rp3)"""
 
 
-def _flawed(spark, sf_dir):
+def _flawed(spark, sf_dir, state):
     """Reports with flaws by rule: headings and elements that lack, codes, parameters, causes, nulls, measures."""
     k = _len()
     t = F.replace("markdown", F.lit("## 目录"), F.when(k % 3 == 0, "## 无").otherwise("## 目录"))
     t = F.replace(t, F.lit("**关键词：**"), F.when(k % 4 == 0, "词").otherwise("**关键词：**"))
     t = F.replace(t, F.lit("P013"), F.when(k % 5 == 0, "P1级 PR-P013").otherwise("P013"))
     said = F.when(k % 6 == 0, " 种植120株，面积 3.5公顷").when(k % 6 == 1, " 由于开采导致退化，极其严重").when(k % 6 == 2, " 综合风险等级为None").when(k % 6 == 3, " Brand#3 JSON").otherwise("")
-    return _reports(spark, sf_dir).select(_KEY, F.replace(t, F.lit("## 8 结论"), F.concat(F.lit("## 8 结论"), said)).alias("text"))
+    return _reports(spark, sf_dir, state).select(_KEY, F.replace(t, F.lit("## 8 结论"), F.concat(F.lit("## 8 结论"), said)).alias("text"))
 
 
 def _lint_sql(rules_: list[tuple[str, str, str]]) -> str:
@@ -152,13 +153,14 @@ _PHRASE_SQL = "ph AS (SELECT o.project_key, o.text AS phrase FROM offer o LEFT J
 @query(f"WITH {_BASE_SQL}, {_REPORT_SQL}, {_FLAWED_SQL}, {_PHRASE_SQL} {_lint_sql(text.lint_rules(1))} UNION ALL SELECT ph.project_key, 'rejected_measure_present', phrase FROM ph JOIN fl USING (project_key) WHERE contains(fl.text, phrase)")
 def report_lint_v1(spark, sf_dir):
     """What the older lint finds in flawed reports: headings, sections, parameters, exaggeration, causes, measures."""
-    phrases = _unapproved(spark, sf_dir).withColumn("code", F.lit("rejected_measure_present"))
-    return text.lint(_flawed(spark, sf_dir), [_KEY], text.lint_rules(1), phrases=phrases)
+    state = _state(spark, sf_dir)
+    phrases = _unapproved(spark, sf_dir, state).withColumn("code", F.lit("rejected_measure_present"))
+    return text.lint(_flawed(spark, sf_dir, state), [_KEY], text.lint_rules(1), phrases=phrases)
 
 
-def _unapproved(spark, sf_dir):
+def _unapproved(spark, sf_dir, state):
     """Measures that a project was offered but that its report may not name."""
-    m = _state(spark, sf_dir)[2].select(_KEY, F.col("name").alias("phrase"))
+    m = state[2].select(_KEY, F.col("name").alias("phrase"))
     return _offers(spark, sf_dir).select(_KEY, F.col("text").alias("phrase")).distinct().join(m, [_KEY, "phrase"], "left_anti")
 
 
@@ -166,9 +168,10 @@ def _unapproved(spark, sf_dir):
 UNION ALL SELECT d.project_key, 'omitted_problem_leaked', d.problem_name FROM diag d JOIN fl USING (project_key) WHERE d.status IN ('数据不足', '不适用') AND contains(fl.text, d.problem_name)""")
 def report_lint_v2(spark, sf_dir):
     """What the later lint finds: headings, elements, machine and priority language, leaked problems and measures."""
-    d = _state(spark, sf_dir)[1].where(F.col("status").isin(rules.INSUFFICIENT, rules.NOT_APPLICABLE)).select(_KEY, F.lit("omitted_problem_leaked").alias("code"), F.col("problem_name").alias("phrase"))
-    phrases = _unapproved(spark, sf_dir).select(_KEY, F.lit("unapproved_measure").alias("code"), "phrase").unionByName(d)
-    return text.lint(_flawed(spark, sf_dir), [_KEY], text.lint_rules(2), phrases=phrases)
+    state = _state(spark, sf_dir)
+    d = state[1].where(F.col("status").isin(rules.INSUFFICIENT, rules.NOT_APPLICABLE)).select(_KEY, F.lit("omitted_problem_leaked").alias("code"), F.col("problem_name").alias("phrase"))
+    phrases = _unapproved(spark, sf_dir, state).select(_KEY, F.lit("unapproved_measure").alias("code"), "phrase").unionByName(d)
+    return text.lint(_flawed(spark, sf_dir, state), [_KEY], text.lint_rules(2), phrases=phrases)
 
 
 # --- drafts ---------------------------------------------------------------------------

@@ -158,12 +158,6 @@ def nested_snapshot(spark, sf_dir):
     return nested.select("project_key", F.size("main").cast("long").alias("n"), F.aggregate("main", F.lit(0.0), lambda a, m: a + m["MEAN_NPP"]).cast("long").alias("total"))
 
 
-@query("""SELECT 'orders' AS name, count(*) AS "rows" FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'lineitem', count(*) FROM lineitem""")
-def manifest_counts(spark, sf_dir):
-    """Rows of every table."""
-    return sinks.manifest({t: table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem")}).select("name", "rows")
-
-
 @query("""WITH e AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'running' ELSE 'failed' END AS status FROM orders) SELECT status, count(*) AS n FROM e GROUP BY 1""")
 def progress(spark, sf_dir):
     """Runs by status."""
@@ -179,12 +173,12 @@ def label_types(spark, sf_dir):
 
 
 @query("""WITH j AS (SELECT o_orderkey, o_orderkey % 4 <> 1 AS has_s, o_orderkey % 6 = 0 AS extra, o_orderstatus AS s FROM orders)
-SELECT o_orderkey, 'missing' AS code, 'status' AS field FROM j WHERE NOT has_s UNION ALL SELECT o_orderkey, 'unexpected', 'other' FROM j WHERE extra UNION ALL SELECT o_orderkey, 'not_allowed', 'status' FROM j WHERE has_s AND s NOT IN ('F', 'O')""")
+SELECT o_orderkey, 'wrong_type' AS code, 'items' AS field FROM j WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'missing' AS code, 'status' AS field FROM j WHERE NOT has_s UNION ALL SELECT o_orderkey, 'unexpected', 'other' FROM j WHERE extra UNION ALL SELECT o_orderkey, 'not_allowed', 'status' FROM j WHERE has_s AND s NOT IN ('F', 'O')""")
 def contract_issues(spark, sf_dir):
     """JSON documents against a top-level contract."""
     k = F.col("o_orderkey")
-    j = F.to_json(F.struct(F.lit("1").alias("version"), F.when(k % 4 != 1, F.col("o_orderstatus")).alias("status"), F.when(k % 6 == 0, F.lit(1)).alias("other")))
-    return quality.contract_issues(table(spark, sf_dir, "orders").select("o_orderkey", j.alias("j")), "o_orderkey", "j", ["version", "status"], ["version", "status"], {"status": ["F", "O"]})
+    j = F.to_json(F.struct(F.lit("1").alias("version"), F.when(k % 4 != 1, F.col("o_orderstatus")).alias("status"), F.when(k % 6 == 0, F.lit(1)).alias("other"), F.when(k % 5 == 0, F.lit("x")).otherwise(F.lit("[1]")).alias("items")))
+    return quality.contract_issues(table(spark, sf_dir, "orders").select("o_orderkey", j.alias("j")), "o_orderkey", "j", ["version", "status"], ["version", "status", "items"], {"status": ["F", "O"]}, ["items"])
 
 
 @query(f"""WITH {PANEL_SQL}, {FACTS_SQL}, {DIAGNOSE_SQL} SELECT p.project_key, count(d.problem_id) AS problems, count(*) FILTER (d.status = '突出问题') AS prominent FROM projects p LEFT JOIN diag d ON d.project_key = p.project_key AND d.status NOT IN ('数据不足', '不适用') GROUP BY 1""")
@@ -195,13 +189,13 @@ def status_counts(spark, sf_dir):
     return j.groupBy("project_key").agg(F.count("problem_id").alias("problems"), F.count_if(F.col("status") == rules.PROMINENT).alias("prominent"))
 
 
-@query(f"""WITH {PANEL_SQL}, a AS (SELECT project_key, "year", value FROM long WHERE indicator = 'NP' UNION ALL SELECT project_key, "year", value FROM long WHERE indicator = 'MEAN_NPP'),
-n AS (SELECT project_key, "year", max(value) FILTER (indicator = 'NP') AS x, max(value) FILTER (indicator = 'MEAN_NPP') AS y FROM long WHERE indicator IN ('NP', 'MEAN_NPP') GROUP BY ALL)
-SELECT project_key, 'MEAN_NPP' AS "first", 'NP' AS second FROM n GROUP BY project_key HAVING max(abs(x - y)) < 1e-9""")
+@query(f"""WITH {PANEL_SQL}, n AS (SELECT project_key, "year", max(value) FILTER (indicator = 'NP') AS x, max(value) FILTER (indicator = 'MEAN_NPP') AS y FROM long WHERE indicator IN ('NP', 'MEAN_NPP') GROUP BY ALL), i AS (SELECT project_key, 100 * x / first_value(x) OVER w AS x, 100 * y / first_value(y) OVER w AS y FROM n WINDOW w AS (PARTITION BY project_key ORDER BY "year"))
+SELECT project_key, 'MEAN_NPP' AS "first", 'NP' AS second FROM i GROUP BY project_key HAVING max(abs(x - y)) < 20""")
 def coincident_series(spark, sf_dir):
-    """Series of a project that are equal in every year."""
+    """Indexed series of a project that run within 20 points of each other in every year (exact ones are rare here)."""
     p = panel.long(spark, sf_dir).where("indicator in ('NP', 'MEAN_NPP')")
-    return trend.coincident(p, ["project_key"])
+    x = trend.index_to_first(p, ["project_key", "indicator"]).withColumn("value", F.col("indexed"))
+    return trend.coincident(x, ["project_key"], within=20)
 
 
 @query("""SELECT p_partkey, round(p_retailprice * p_size * 0.45, 6) AS carbon, round(p_retailprice * p_size * 0.45 * 44.0 / 12.0, 6) AS co2e FROM part""")

@@ -33,14 +33,37 @@ def write_summary(df: DataFrame, path: str, columns: Sequence[str]) -> None:
 
 
 def manifest(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(name, rows, digest): counts and an order-free digest of every table."""
+    """(name, rows, digest): counts and an order-free digest of every table: the first 48 bits of each row's SHA-256, added up."""
     out = None
     for name, df in tables.items():
-        row = df.select(F.xxhash64(*df.columns).cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("rows"), F.sum("h").cast("string").alias("digest")).select(F.lit(name).alias("name"), "rows", "digest")
+        text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns])
+        h = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("decimal(38,0)")
+        row = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("digest")).select(F.lit(name).alias("name"), "rows", "digest")
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def report_tables(reports: DataFrame, charts: DataFrame, key: str = "project_key") -> dict[str, DataFrame]:
+    """The three export tables from (key, markdown) and (key, insert_key, type, data_json): entries and charts under a report's
+    name-based id, and the ids by key."""
+    from ..operators.incremental import uuid5
+
+    rid = F.replace(uuid5(F.col(key), "41fdcf44-45e4-4da9-a9a4-c571331cb45f"), F.lit("-"), F.lit(""))
+    return {
+        "report_entry": reports.select(rid.alias("id"), F.col("markdown").alias("content"), F.lit("报告").alias("type")), "report_chart": charts.select(rid.alias("report_id"), "insert_key", "type", "data_json"),
+        "project_report_id": reports.select(key, rid.alias("report_id")),
+    }
+
+
+def bundle_issues(reports: DataFrame, charts: DataFrame, said: DataFrame) -> DataFrame:
+    """(chart, issue): charts (report_id, chart) without a report (id), and a table whose rows aren't as many as *said* (name,
+    rows: one row for report_entry)."""
+    alone = charts.join(reports.select(F.col("id").alias("report_id")).distinct(), "report_id", "left_anti").select("chart", F.lit("no_report").alias("issue"))
+    n = reports.agg(F.count("*").alias("n"))
+    wrong = said.crossJoin(F.broadcast(n)).where("n <> rows")  # one row each
+    return alone.unionByName(wrong.select(F.col("name").alias("chart"), F.format_string("count:%d<>%d", "n", "rows").alias("issue")))
+
+
 def progress(state: DataFrame) -> DataFrame:
     return state.groupBy("status").agg(F.count("*").alias("n"))
 

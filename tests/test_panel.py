@@ -6,7 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from panelyard.operators import analysis, incremental, measures, quality, risk, rules, trend
+from panelyard.operators import analysis, evidence, incremental, measures, quality, risk, rules, text, trend
 
 KEYS = ["k"]
 
@@ -106,7 +106,8 @@ def test_scale_index_and_carbon(spark):
 
 
 def test_diagnosis_goldens(spark):
-    facts = spark.createDataFrame([("p", "MEAN_NDVI", True, "overall_up", "up"), ("p", "MEAN_NPP", True, "overall_up", "up"), ("p", "NP", True, "overall_up", "down"), ("p", "PD", True, "overall_up", "down")], "project_key string, indicator string, valid boolean, long_term string, recent string")
+    rows = [("MEAN_NDVI", "overall_up", "up"), ("MEAN_NPP", "overall_up", "up"), ("NP", "overall_up", "down"), ("PD", "overall_up", "down")]
+    facts = spark.createDataFrame([("p", i, True, long, near, [2019]) for i, long, near in rows], "project_key string, indicator string, valid boolean, long_term string, recent string, turning_years array<int>")
     projects = spark.createDataFrame([("p", "coal", {}, ["植被退化"])], "project_key string, project_type string, scope map<string, string>, risk_tags array<string>")
     d = {r.problem_id: r for r in rules.diagnose(facts, projects, rules.rule_table(spark)).collect()}
     assert len(d) == 13
@@ -114,7 +115,7 @@ def test_diagnosis_goldens(spark):
     assert d["P004"].status == rules.PROMINENT and d["P004"].trend == "recently_improving"
     assert d["P003"].limitations == ["数据条件未满足：ca_landcover_type", "指标数据不足：CA", "指标数据不足：LPI"]
     v1 = spark.createDataFrame([("p", "MEAN_NDVI", "increase"), ("p", "MEAN_NPP", "increase")], "project_key string, indicator string, direction string")
-    d = {r.problem_id: r for r in rules.diagnose_v1(v1, projects, rules.rule_table(spark)).collect()}
+    d = {r.problem_id: r for r in rules.diagnose_v1(v1, projects, rules.rule_table(spark, rules.RULES_V1, rules.GATES_V1)).collect()}
     assert (d["P001"].status, d["P001"].level) == (rules.IMPROVING, "A")
     assert [d[p].status for p in ("P003", "P009", "P012", "P011")] == [rules.INSUFFICIENT] * 3 + [rules.NOT_APPLICABLE]
 
@@ -154,8 +155,57 @@ def test_risk_goldens(spark):
     assert [x["mean"] for x in risk.annual_means(r.where("k = 's'"), "k").orderBy("year").collect()] == [2.0, 6.0]
     p, bad = risk.checked_p(F.lit(1.0985))
     assert spark.range(1).select(risk.significance(p), bad).first() == ("missing", True)
-    c = {x.k: (x.scope, x.fallback) for x in risk.current_risk(r, "k", F.col("year") == 2024, risk.SCOPE_ORDER, skip=F.col("k") == "w").collect()}
-    assert c == {"s": ("本体", False), "w": ("1-3km", True)}
+    fields = ", ".join(f"{f} double" for f in risk.RISK_FIELDS)
+    full = lambda k, y, scope, v: (k, y, scope, *[None] * 6, v, "", 3, 7)
+    records = spark.createDataFrame([full(x.k, x.year, x.scope, x.value) for x in r.collect()], f"project_key string, year int, scope string, {fields}, risk_level string, risk_level_code int, source_row int")
+    projects = spark.createDataFrame([("s", "solar", 2024), ("w", "wind", 2024), ("n", "coal", 2024)], "project_key string, project_type string, target_year int")
+    trends = spark.createDataFrame([("s", 1.0, 2.0, 3.0, 4.0, 1.0985, "up")], "project_key string, start_ceri double, end_ceri double, change_rate_percent double, sen_slope double, p_value_raw double, trend_type string")
+    got = {x.project_key: x for x in risk.risk_evidence(projects, records, trends).collect()}
+    assert [(a.year, a.mean_ceri, a.valid_scope_count) for a in got["s"].annual_series] == [(2017, 2.0, 2), (2024, 6.0, 2)]
+    assert (got["s"].source_scope, got["s"].fallback, got["s"].quality_flags, got["s"].trend.significance_status) == ("本体", False, ["invalid_p_value_treated_as_missing"], "missing")
+    assert (got["w"].source_scope, got["w"].fallback, got["w"].quality_flags) == ("1-3km", True, ["core_scope_missing_fallback"])
+    assert [g.scope for g in got["w"].spatial_gradient] == ["1-3km"] and got["w"].source_scope_order == risk.SCOPE_ORDER[1:]
+    assert got["n"].quality_flags == ["no_valid_target_ceri"] and got["n"].annual_series == []
+    assert {x.project_key for x in risk.risk_evidence(projects, records, trends, source_present=False).collect()} == {"s", "w"}
+
+
+def test_context_goldens(spark):
+    facts = spark.createDataFrame(
+        [("p", "MEAN_NDVI", True, "overall_down", "up", [2019]), ("p", "MEAN_NPP", True, "stable", "down", [2018, 2019])], "project_key string, indicator string, valid boolean, long_term string, recent string, turning_years array<int>"
+    )
+    projects = spark.createDataFrame([("p", "coal", {}, [])], "project_key string, project_type string, scope map<string, string>, risk_tags array<string>")
+    matches = spark.createDataFrame([("p", "M002", "b", "x", ["P001"], 1), ("p", "M001", "a", "y", ["P001"], 1)], "project_key string, measure_id string, name string, mechanism string, targets array<string>, first_target int")
+    c = {r.problem_id: r for r in analysis.contexts(rules.diagnose(facts, projects, rules.rule_table(spark)), matches).collect()}
+    p = c["P001"]
+    assert (p.existence, p.overall_balance, p.relationship, p.support_strength, p.counter_strength, p.long_recent_relation) == ("possible", "mixed", "conflicting", "moderate", "moderate", "partially_divergent")
+    assert p.features == ["indicator_conflict", "long_term_improvement", "long_term_stable", "moderate_direct_evidence", "recent_deterioration", "recent_improvement"]
+    assert (p.supporting_ids, p.conflicting_ids, p.stable_ids, p.turning_points) == (["EV-P001-MEAN_NDVI"], ["EV-P001-MEAN_NPP"], ["EV-P001-MEAN_NPP"], [2018, 2019])
+    assert [m.measure_id for m in p.matched] == ["M001", "M002"] and p.dimensions == ["vegetation_condition", "vegetation_productivity"]
+    assert c["P003"].features == ["data_limitation"] and c["P003"].overall_balance == "insufficient" and c["P011"].features == ["data_limitation", "scope_limitation"] and c["P011"].overall_balance == "does_not_support_diagnosis"
+    tie = spark.createDataFrame([("p", "P002", ["NP", "MEAN_NPP"], 1, 1), ("p", "P003", ["??"], 5, 5)], "project_key string, problem_id string, indicators array<string>, supported long, opposed long")
+    assert [tuple(r)[1:] for r in analysis.dominant_dimension(analysis.dimension_profile(tie)).collect()] == [("landscape_structure", "景观空间结构", 2)]
+
+
+def test_reported_risks_and_sites(spark):
+    m = spark.createDataFrame([("p", "植被退化、ML综合预测；外来物种,植被退化")], "project_key string, risk_types string")
+    risks = evidence.reported(m)
+    assert [r.risk for r in risks.orderBy("pos").collect()] == ["植被退化", "外来物种", "植被退化"]
+    t = spark.createDataFrame([("p", "MEAN_NPP")], "project_key string, indicator string")
+    assert [(r.indicators, r.available_trends) for r in evidence.problem_evidence(risks, t).collect()] == [(["MEAN_NDVI", "MEAN_NPP"], ["MEAN_NPP"])] * 2
+    both = spark.createDataFrame([(1, "coal", "尾矿与采坑治理", ["gangue_or_tailings"])], "id int, project_type string, measure_text string, have array<string>")
+    assert [r.reason for r in measures.audit(measures.segments(both, ["id", "project_type", "have"]), ["id"], features="have").collect()] == ["accepted"]
+
+
+def test_text_goldens(spark):
+    md = "# 一\n| a | b |\n|---|:-:|\n| 1 |\n\n![x](y/z.png)\n**图 1-1 趋势**\n<!-- pagebreak -->\n- 项\n##### 五\n文 字"
+    b = text.markdown_blocks(spark.createDataFrame([(1, md)], "k int, text string"), ["k"]).orderBy("ordinal").collect()
+    assert [(r.kind, r.level, r.text, r.source) for r in b] == [("heading", 1, "一", ""), ("table", 0, "", ""), ("image", 0, "x", "y/z.png"), ("caption", 0, "图 1-1 趋势", ""), ("pagebreak", 0, "", ""), ("bullet", 0, "项", ""), ("paragraph", 0, "##### 五", ""), ("paragraph", 0, "文 字", "")]
+    assert b[1].rows == [["a", "b"], ["1", ""]]
+    p = text.paragraphs(spark.createDataFrame([(1, "# 流程参考\n一\n二\n\n三")], "k int, text string"), ["k"]).orderBy("ordinal").collect()
+    assert [(r.kind, r.heading, r.block) for r in p] == [("heading", "流程参考", "流程参考"), ("paragraph", "流程参考", "一 二"), ("paragraph", "流程参考", "三")]
+    t = spark.createDataFrame([(1, "由于开采导致退化，种植120株，V1.5米，极其严重。")], "k int, text string")
+    found = {(r.code, r.detail) for r in text.lint(t, ["k"], text.lint_rules(1)).collect()}
+    assert found - {("missing_heading", h) for h in text.HEADINGS_V1} == {("unsupported_causal_claim", "由于开采导致"), ("invented_implementation_parameter", "120株"), ("invented_implementation_parameter", "1.5米"), ("exaggerated_language", "极其严重")}
 
 
 def test_increments(spark):

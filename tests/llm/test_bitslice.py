@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from panelyard.llm import bitslice
@@ -43,3 +44,18 @@ def test_repeated_ids(spark):
 
 def test_empty(spark):
     assert run(spark, []) == set()
+
+
+def test_wide_components_and_sums_beyond_a_long(spark):
+    rng = random.Random(4)
+    rows = [(i, [float(np.float32(rng.uniform(-1, 1) * 2.0 ** rng.randint(0, 22))) for _ in range(5)]) for i in range(200)]
+    assert run(spark, rows, block_rows=64) == brute(rows, 20)
+    for bad in ([(0, [1e8] * 9), (1, [1e8] * 9)], [(0, [1.0]), (1, [1e20])]):
+        with pytest.raises(Exception, match="long|2\\*\\*62"):
+            run(spark, bad)
+
+
+def test_one_hot_id(spark):
+    df = spark.range(100_000).selectExpr("case when id % 3 = 0 then 40 else id + 41 end vec_id", "array(cast(1.0 as float)) embedding", "0 label")
+    got = bitslice.top_k(df, F.col("vec_id") == 40, k=3).collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(40, k + 1, v, 4096) for k, v in enumerate((42, 43, 45))]

@@ -60,3 +60,15 @@ def test_no_targets_and_empty(spark, docs_of):
     r = lm_score.score(docs_of(["a b", None]), none, F.expr(TARGET)).orderBy("doc_id").collect()
     assert r[0].n_tokens == 2 and r[0].ce_target == pytest.approx(math.log(2)) and r[1].score is None
     assert lm_score.score(docs_of(["a"]).limit(0), none, F.expr(TARGET)).count() == 0
+
+
+def test_very_many_rows_of_one_id(spark, docs_of, prose):
+    docs = [(i, prose(prose.rng.randint(5, 40))) for i in range(1, 12)]
+    hot = [(3, docs[2][1])] * 1100 + [(None, "null id words here")] * 1200 + [(3, prose(9)), (4, None)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in (1, 3, 7)] + [(9, 0, 0)], LABELS)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = sorted(map(tuple, lm_score.score(docs_of(docs + hot), labels, F.expr(TARGET)).collect()), key=key)
+    want = sorted(brute(docs + hot, {1, 3, 7}), key=key)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[2:] == (pytest.approx(b[2:], rel=1e-9, abs=1e-12) if b[2] is not None else b[2:])

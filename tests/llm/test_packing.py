@@ -1,3 +1,4 @@
+import itertools
 import zlib
 from collections import defaultdict
 
@@ -46,6 +47,33 @@ def test_plan_places_every_length_and_is_near_the_bound():
         assert len(more) < 20 * len(classes) + 1000  # the plan doesn't grow with the corpus
 
 
+def test_grouped_plan_equals_best_fit():
+    rng = np.random.default_rng(1)
+    lognormal = rng.lognormal(6, 1.2, 20000).astype(int) + 1
+    for sizes in (rng.integers(1, 4097, 5000), rng.integers(1100, 3000, 5000), rng.integers(1400, 2700, 20000), lognormal[lognormal <= 4096], rng.choice([1300, 1400, 1500, 2000, 2600], 3000)):
+        lengths, counts = np.unique(sizes, return_counts=True)
+        counts = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+        best = sum(c.n for c in packing._best_fit([], dict(counts), dict.fromkeys(counts, 0), 4096))
+        assert sum(c.n for c in packing.plan(counts)) <= best * 1.005
+
+
+def test_best_configuration_against_all():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        sizes = np.sort(rng.choice(np.arange(1025, 4097), 7, replace=False))
+        worth = rng.random(7)
+        every = [c for n in (1, 2, 3) for c in itertools.combinations_with_replacement(range(7), n) if sizes[list(c)].sum() <= 4096]
+        value, config = packing._best_configuration(sizes, worth, 4096)
+        assert value == pytest.approx(max(worth[list(c)].sum() for c in every)) and config @ sizes <= 4096 and config @ worth == pytest.approx(value)
+
+
+def test_equal_rows_are_numbered_apart(spark):
+    docs = spark.range(100_000).selectExpr("cast(null as long) doc_id", "cast(null as string) text")
+    rows = packing.pack(docs, PATH)
+    assert rows.select("sequence_id", "offset").distinct().count() == 100_000
+    assert rows.select("sequence_id").distinct().count() == -(-100_000 // 4096)
+
+
 def test_pack_round_trip(spark, docs_of, prose):
     texts = [prose(prose.rng.randint(1, 900)) for _ in range(60)] + [prose(9000), None, "", "It's a TEST, of 123 ½ “quotes”", "naïve CAFÉ é  x\x1cy 日本語 <|endoftext|> don't", "same same", "same same"]
     docs = docs_of([*texts[:-1], (len(texts) - 1, texts[-1])])

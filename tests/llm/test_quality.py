@@ -80,3 +80,45 @@ def test_one_class_none_and_empty(spark, docs_of):
     assert [r.score for r in quality.classify(docs, none).collect()] == [1.0] * 3
     assert quality.keep_good(docs, none).count() == 3
     assert quality.classify(docs.limit(0), none).count() == 0
+
+
+def test_forward_pass_against_plain_python():
+    import math
+
+    rng = np.random.default_rng(5)
+    x, rows = rng.standard_normal((7, quality.N_FEATURES)).astype(np.float32), np.array([0, 0, 0, 1, 2, 2, 2])
+    model = quality.Model.fit(x, rows, np.array([1, 0, 1], np.float32), epochs=2)
+    w, sigmoid = model.w, lambda z: 1 / (1 + math.exp(-z))
+    want = []
+    for bag in range(3):
+        codes, raw = [], []
+        for k in np.flatnonzero(rows == bag):
+            f = (x[k].astype(float) - model.mean) * model.scale
+            h = [math.tanh(sum(f[i] * w["E"][i, j] for i in range(len(f))) + w["e"][j]) for j in range(len(w["e"]))]
+            gate = [math.tanh(sum(h[i] * w["V"][i, j] for i in range(len(h)))) * sigmoid(sum(h[i] * w["U"][i, j] for i in range(len(h)))) for j in range(len(w["w"]))]
+            codes.append(h)
+            raw.append(sum(g * v for g, v in zip(gate, w["w"], strict=True)))
+        e = [math.exp(r) for r in raw]
+        z = [sum(a * h[j] for a, h in zip(e, codes, strict=True)) / sum(e) for j in range(len(w["c"]))]
+        want.append(sigmoid(sum(a * b for a, b in zip(z, w["c"], strict=True)) + w["b"]))
+    assert model.score(x, rows) == pytest.approx(want, abs=1e-4)
+
+
+def test_every_passage_teaches_and_bytes_bound_the_rows(spark, docs_of, prose):
+    long = [prose(5000) + ("\n" + junk(prose(300)) if k % 2 else "") for k in range(12)]
+    y = spark.createDataFrame([(i, i % 2) for i in range(1, 13)], "doc_id long, quality int")
+    docs = docs_of(long)
+    chosen = quality.taught_rows(docs, y, "quality", 100, 16 << 20, False)
+    assert sorted(i for i, *_ in chosen) == list(range(1, 13))
+    room = sum(len(long[i - 1]) for i, *_ in chosen[:5])
+    few = quality.taught_rows(docs, y, "quality", 100, room, False)
+    assert sum(len(long[i - 1]) for i, *_ in few) <= room and few[:5] == chosen[:5]
+    # The junk lies behind the first 64 passages of 48 words; it is still learned.
+    out = {r.doc_id: r.score for r in quality.score(docs, quality.learn(docs, y.withColumn("quality", y.doc_id % 2), skip_held_out=False)).collect()}
+    assert min(out[i] for i in out if i % 2) > max(out[i] for i in out if not i % 2)
+
+
+def test_labels_of_absent_documents_take_no_place(spark, docs_of):
+    y = spark.createDataFrame([(i, i % 2) for i in range(1, 1000)], "doc_id long, quality int")
+    docs = docs_of([(5, "a b"), (6, "c d"), (6, "e f")])
+    assert sorted(i for i, *_ in quality.taught_rows(docs, y, "quality", 10, 1000, False)) == [5, 6]

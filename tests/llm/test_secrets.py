@@ -55,3 +55,37 @@ def test_redact(spark, docs_of):
     out = secrets.redact(docs_of([f"é token={HEX40} end", None, "clean"])).orderBy("doc_id")
     assert [r.text for r in out.collect()] == ["é [secret] end", None, "clean"]
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_automaton_scores_against_plain_sums():
+    import math
+
+    counts = {"ab": 3, "ac": 1, "b": 4}
+    tree = secrets.infer(counts, alpha=1.999)  # nothing is compatible with anything unless it is alike
+    total = sum(counts.values())
+    for text, n in counts.items():
+        assert tree.score(text) >= math.log(n / total) - 1e-9 or len(tree.moves) < 5
+    exact = secrets.Automaton([{"a": (1, math.log(0.5)), "b": (2, math.log(0.5))}, {"b": (2, math.log(0.75)), "c": (2, math.log(0.25))}, {}], [secrets._UNSEEN, secrets._UNSEEN, 0.0])
+    assert exact.score("ab") == pytest.approx(math.log(0.375)) and exact.score("b") == pytest.approx(math.log(0.5)) and exact.score("z") == pytest.approx(2 * secrets._UNSEEN)
+
+
+def test_rare_and_long_shapes_teach(spark, docs_of):
+    # More shapes than are drawn, all of count 1, half of them beginning with a letter late in the alphabet; some are long.
+    import random
+
+    rng = random.Random(3)
+    token = lambda n: "".join(rng.choice("abcdefghij0123456789/+_-") for _ in range(n))
+    docs = [f"token={rng.choice('Zz9')}{token(300 if k % 10 == 0 else 20)}" for k in range(600)]
+    models = secrets.learn(docs_of(docs), max_shapes=100)
+    first = {s for s in models[0].moves[0]}
+    assert {"Z", "m"} <= first
+    whole = secrets.learn(docs_of(docs), max_shapes=10_000)
+    assert abs(models[0].moves[0]["m"][1] - whole[0].moves[0]["m"][1]) < 0.3
+    assert max(len(s) for s in docs) > 300 and models[0].score("m" * 300) > 300 * secrets._UNSEEN
+
+
+def test_base_values_are_scored_and_null_ids_redacted(spark, docs_of):
+    docs = docs_of([(None, f"token={HEX40}"), (None, "clean"), (1, None)]).withColumnRenamed("lang", "spans")
+    assert [s.score is not None for r in secrets.find_secrets(docs).collect() for s in r.spans] == [True] * 2
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and {r.text for r in out.collect()} == {"[secret]", "clean", None}

@@ -80,3 +80,14 @@ def test_repeated_rows_null_ids_and_empty(spark, docs_of, prose):
     n = len(t.encode())
     assert sorted((str(r.doc_id), r.n_removed) for r in rows) == [("3", 0), ("5", 0), ("5", 0), ("None", n)]
     assert S.dedup_substrings(docs_of(["x"]).limit(0)).count() == 0
+
+
+def test_very_many_equal_rows(spark, docs_of, corpus):
+    docs = corpus[:20] + [(5000, corpus[3][1]), (5001, None)]
+    rows = docs_of(docs)
+    many = rows.unionByName(rows.where("doc_id in (5, 5000, 5001)").crossJoin(spark.range(1500)).drop("id"))
+    got = S.dedup_substrings(many).collect()
+    assert len(got) == len(docs) + 3 * 1500
+    check(list({r.doc_id: r for r in got}.values()), docs)
+    assert len({(r.doc_id, r.n_removed, r.kept_sha256) for r in got}) == len(docs)
+    assert not spark.catalog.listTables()

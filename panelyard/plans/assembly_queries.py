@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analysis, assembly, risk
-from . import panel
 from .more_queries import _SCOPE_SQL, _SCOPES, _records, _sql_list
 from .panel import FACTS_SQL, PANEL_SQL, table
 from .queries import DIAGNOSE_SQL, _diagnoses, joined, query

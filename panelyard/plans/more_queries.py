@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import analysis, incremental, measures, quality, risk, rules, trend
+from ..operators import analysis, incremental, measures, quality, risk, rules
 from . import panel
 from .panel import FACTS_SQL, PANEL_SQL, table
-from .queries import DIAGNOSE_SQL, KEYS, _diagnoses, joined, query, r6
+from .queries import DIAGNOSE_SQL, _diagnoses, joined, query
 
 _sql_list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 

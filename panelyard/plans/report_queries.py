@@ -9,7 +9,7 @@ from ..operators import analysis, assembly, measures, report, risk, rules, text,
 from . import panel
 from .more_queries import _CONTEXT_SQL, _KNOW_SQL, _MATCH_SQL, _OFFER_SQL, _OFFERS, _case, _knowledge, _offers
 from .panel import FACTS_SQL, PANEL_SQL
-from .queries import DIAGNOSE_SQL, KEYS, joined, query
+from .queries import DIAGNOSE_SQL, KEYS, query
 from .risk_queries import _EVIDENCE_SQL, RISK_SQL, records, targets, trends
 
 _KEY = "project_key"

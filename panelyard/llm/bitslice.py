@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from . import _common as C
-
 BLOCK_ROWS = 8192
 QUERY_GROUP = 128
 _MOST = 2.0**62

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -45,6 +46,13 @@ def key_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.where("in_a is null or in_b is null").select(key, F.when(F.col("in_b").isNull(), "missing").otherwise("extra").alias("side"))
 
 
+def preview(differences: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """(side, keys): the first *n* keys of each side of ``key_differences``, for a message; the rows themselves stay whole."""
+    w = Window.partitionBy("side").orderBy(key)
+    first = differences.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
+    return first.groupBy("side").agg(F.array_sort(F.collect_list(key)).alias("keys"))
+
+
 def coalesce_agreed(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """(keys, column, conflict): the value that is not empty; conflict if several differ."""
     v = F.nullif(F.trim(column), F.lit(""))

@@ -102,15 +102,31 @@ def anti_knowledge(spark, sf_dir):
     return measures.unknown_measures(_offers(spark, sf_dir), _knowledge(spark)).select("project_key", "text", "reason")
 
 
+def _wanted(spark, parts):
+    """Every brand's problems in order, each with its keywords."""
+    words = F.array(*map(F.lit, ("STEEL", "TIN", "COPPER", "green", "red", "BRASS")))
+    problems = rules.rule_table(spark).select("problem_id", F.substring("problem_id", 2, 3).cast("int").alias("k"))
+    return parts.select("brand").distinct().crossJoin(F.broadcast(problems)).select("brand", F.col("k").alias("ord"), F.col("problem_id").alias("problem"), F.slice(words, F.col("k") % 4 + 1, F.lit(3)).alias("keywords"))
+
+
+def _brand_parts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("b"), F.substring_index("p_brand", "#", -1)).alias("brand"), F.col("p_partkey").alias("pos"), F.concat_ws(" ", "p_type", "p_name").alias("text"))
+
+
 @query()
 def greedy_select(spark, sf_dir):
-    """Problems take up to three parts each by keyword, each part once; a sequential choice, so without SQL."""
-    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("b"), F.substring_index("p_brand", "#", -1)).alias("brand"), "p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("text"))
-    words = F.array(*map(F.lit, ("STEEL", "TIN", "COPPER", "green", "red", "BRASS")))
-    problems = rules.rule_table(spark).select("problem_id").distinct().withColumn("k", F.substring("problem_id", 2, 3).cast("int"))
-    brands = parts.select("brand").distinct()
-    wanted = brands.crossJoin(F.broadcast(problems)).select("brand", F.col("k").alias("ord"), F.col("problem_id").alias("problem"), F.slice(words, F.col("k") % 4 + 1, F.lit(3)).alias("keywords"))
-    return measures.greedy(wanted, parts.select("brand", F.col("p_partkey").alias("pos"), "text"), key="brand")
+    """Problems take up to three parts each by keyword, each part once; a sequential choice, so without SQL."""
+    parts = _brand_parts(spark, sf_dir)
+    return measures.greedy(_wanted(spark, parts), parts, key="brand")
+
+
+@query()
+def strategy_sections(spark, sf_dir):
+    """M5: what the greedy choice took, grouped by problem in the problems' order; tests hold it against plain code."""
+    parts = _brand_parts(spark, sf_dir)
+    wanted = _wanted(spark, parts)
+    s = measures.strategy_sections(measures.greedy(wanted, parts, key="brand"), wanted.withColumn("status", F.lit(rules.AT_RISK)), key="brand")
+    return s.select("brand", "ord", "problem", joined(F.transform("measures", lambda m: F.concat_ws("=", m["match_type"], m["text"]))).alias("measures"))
 
 
 # --- analysis -----------------------------------------------------------------------
@@ -242,6 +258,15 @@ def key_diff(spark, sf_dir):
     return quality.key_differences(c, o, "key")
 
 
+@query("""WITH k AS (SELECT DISTINCT c_custkey AS key FROM customer), r AS (SELECT DISTINCT o_custkey + 5 AS key FROM orders), d AS (SELECT coalesce(k.key, r.key) AS key, CASE WHEN r.key IS NULL THEN 'missing' ELSE 'extra' END AS side FROM k FULL JOIN r ON k.key = r.key WHERE k.key IS NULL OR r.key IS NULL)
+SELECT side, string_agg(key::VARCHAR, ',' ORDER BY key) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY key) AS n FROM d) WHERE n <= 5 GROUP BY 1""")
+def key_preview(spark, sf_dir):
+    """The first five keys that only one side has, as a message shows them."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") + 5).alias("key"))
+    return quality.preview(quality.key_differences(c, o, "key"), "key").withColumn("keys", joined("keys"))
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def fk_check(spark, sf_dir):
     """Lines whose order isn't among the finished ones."""

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import incremental, quality, trend
+from ..operators import incremental, quality, rules, trend
 from ..sources import sinks, tables
 from ..streaming import feeds
 from . import panel
 from .panel import FACTS_SQL, PANEL_SQL, table
-from .queries import KEYS, joined, query
+from .queries import DIAGNOSE_SQL, KEYS, joined, query
 from .risk_queries import RISK_SQL, records
 
 _KEY = "project_key"
@@ -141,6 +141,17 @@ def result_tree(spark, sf_dir):
     return got.groupBy("key").agg(F.sum("n").alias("n"))
 
 
+@query(f"WITH {PANEL_SQL}, {FACTS_SQL}, {DIAGNOSE_SQL} SELECT project_key, problem_id, status FROM diag")
+def rules_from_json(spark, sf_dir):
+    """Rules kept as a JSON table, read with their schema and evaluated."""
+    path = tables.scratch(spark, "rules")
+    own = rules.rule_table(spark)
+    sinks.write_bundle({"rules": own}, path)
+    read = spark.read.schema(own.schema).json(f"{path}/rules")
+    facts = trend.indicator_facts(panel.long(spark, sf_dir), KEYS, by=[_KEY])
+    return rules.diagnose(facts, panel.projects(spark, sf_dir), read).select(_KEY, "problem_id", "status")
+
+
 # --- sinks, contracts, increments ------------------------------------------------------
 
 

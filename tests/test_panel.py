@@ -243,3 +243,10 @@ def test_greedy_collects_only_what_may_be_taken(spark):
     assert [(r.ord, r.text, r.keyword) for r in out.orderBy("ord").collect()] == [(0, "x0", "x"), (1, "x1", "x"), (2, "x2", "x"), (3, "y0", "y"), (4, "y1", "y"), (5, "y3", "y")]
     asked = problems.groupBy("project_key").agg(F.array_sort(F.collect_list(F.struct("ord", "problem", "keywords"))).alias("ps"))
     assert measures.takeable(asked, candidates, "project_key", 3).count() <= 12
+
+
+def test_strategy_sections(spark):
+    selected = spark.createDataFrame([("p", 0, "b", "x", "k"), ("p", 1, "b", "y", "k"), ("p", 2, "a", "z", "m")], "project_key string, ord int, problem string, text string, keyword string")
+    problems = spark.createDataFrame([("p", 1, "a", "s"), ("p", 2, "b", "s"), ("p", 3, "c", "s")], "project_key string, ord int, problem string, status string")
+    got = measures.strategy_sections(selected, problems).orderBy("ord").collect()
+    assert [(r.problem, [(m.text, m.match_type) for m in r.measures]) for r in got] == [("a", [("z", "keyword:m")]), ("b", [("x", "keyword:k"), ("y", "keyword:k")])]

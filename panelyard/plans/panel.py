@@ -86,11 +86,11 @@ sp AS (SELECT DISTINCT project_key, indicator, n, unnest(generate_series(2, n -
 side AS (SELECT sp.project_key, sp.indicator, split, sp.n, regr_slope(y, t) FILTER (i <= split) AS ls, regr_slope(y, t) FILTER (i >= split) AS rs, avg(y) FILTER (i <= split) AS lm, avg(y) FILTER (i >= split) AS rm,
   coalesce(regr_syy(y, t) FILTER (i <= split) - regr_slope(y, t) FILTER (i <= split) * regr_sxy(y, t) FILTER (i <= split), 0) AS le, coalesce(regr_syy(y, t) FILTER (i >= split) - regr_slope(y, t) FILTER (i >= split) * regr_sxy(y, t) FILTER (i >= split), 0) AS re
   FROM sp JOIN sg ON sg.project_key = sp.project_key AND sg.indicator = sp.indicator GROUP BY ALL),
-ch AS (SELECT *, round(ls * (split - 1) / greatest(abs(lm), 1e-12), 12) AS lc, round(rs * (n - split) / greatest(abs(rm), 1e-12), 12) AS rc FROM side),
+ch AS (SELECT *, CASE WHEN abs(ls * (split - 1) / greatest(abs(lm), 1e-12)) < 1000 THEN round(ls * (split - 1) / greatest(abs(lm), 1e-12), 12) ELSE ls * (split - 1) / greatest(abs(lm), 1e-12) END AS lc, CASE WHEN abs(rs * (n - split) / greatest(abs(rm), 1e-12)) < 1000 THEN round(rs * (n - split) / greatest(abs(rm), 1e-12), 12) ELSE rs * (n - split) / greatest(abs(rm), 1e-12) END AS rc FROM side),
 pw AS (SELECT project_key, indicator, arg_min(CASE WHEN lc > 0 THEN 'rise_then_fall' ELSE 'fall_then_rise' END, struct_pack(a := le + re, b := split)) AS shape FROM ch WHERE abs(lc) >= 0.1 AND abs(rc) >= 0.1 AND lc * rc < 0 GROUP BY ALL),
 mis AS (SELECT project_key, indicator, coalesce(list("year" ORDER BY "year") FILTER (value IS NULL), []) AS missing FROM long GROUP BY ALL),
 f0 AS (SELECT mis.project_key, mis.indicator, coalesce(st.n, 0) AS n, missing, cy, cv, prev, lo, hi, loy, hiy, shape, coalesce(reversals, 0) AS reversals, coalesce(turning, []) AS turning,
-  round(slope * (st.n - 1) / greatest(abs(m), 1e-12), 12) AS rsl, round((hi - lo) / greatest(abs(m), 1e-12), 12) AS rr, round((cv - prev) / greatest(abs(prev), 1e-12), 12) AS rch
+  CASE WHEN abs(slope * (st.n - 1) / greatest(abs(m), 1e-12)) < 1000 THEN round(slope * (st.n - 1) / greatest(abs(m), 1e-12), 12) ELSE slope * (st.n - 1) / greatest(abs(m), 1e-12) END AS rsl, CASE WHEN abs((hi - lo) / greatest(abs(m), 1e-12)) < 1000 THEN round((hi - lo) / greatest(abs(m), 1e-12), 12) ELSE (hi - lo) / greatest(abs(m), 1e-12) END AS rr, CASE WHEN abs((cv - prev) / greatest(abs(prev), 1e-12)) < 1000 THEN round((cv - prev) / greatest(abs(prev), 1e-12), 12) ELSE (cv - prev) / greatest(abs(prev), 1e-12) END AS rch
   FROM mis LEFT JOIN st USING (project_key, indicator) LEFT JOIN rev USING (project_key, indicator) LEFT JOIN trn USING (project_key, indicator) LEFT JOIN pw USING (project_key, indicator)),
 facts AS (SELECT *, n >= 3 AS valid, CASE WHEN n < 3 THEN 'unknown' WHEN abs(rsl) < 0.1 AND rr < 0.1 THEN 'stable' WHEN shape IS NOT NULL THEN shape
   WHEN rsl >= 0.1 THEN CASE WHEN reversals >= 2 THEN 'fluctuating_upward' ELSE 'overall_up' END WHEN rsl <= -0.1 THEN CASE WHEN reversals >= 2 THEN 'fluctuating_downward' ELSE 'overall_down' END ELSE 'stable' END AS long_term,

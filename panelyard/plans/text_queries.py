@@ -134,7 +134,7 @@ def drop_sentences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.drop_sentences(F.col("text"), "thth|[0-9]", r"\. "), 256).alias("digest"))
 
 
-@query(rf"""WITH {_LINES_SQL}, t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM mk GROUP BY 1), p AS (SELECT doc_id, string_split(text, '![x](y/z.png)') AS p FROM t),
+@query(rf"""WITH {_LINES_SQL}, t AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY i) AS text FROM mk GROUP BY 1), p AS (SELECT doc_id, string_split(text, '![alt](y/z.png)') AS p FROM t),
 e AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i, len(p) - 1 AS images FROM p)
 SELECT doc_id, images::BIGINT AS images, sha256(string_agg(CASE WHEN i = 1 THEN x ELSE '{{{{chart:' || (i - 1) || '}}}}' || x END, '' ORDER BY i)) AS digest FROM e GROUP BY ALL""")
 def chart_placeholders(spark, sf_dir):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _common, bitslice, decontaminate, line_dedup, lm_score, merkle, packing, quality, secrets, simhash, suffix_dedup
+from . import _common, bitslice, decontaminate, filter_audit, line_dedup, lm_score, merkle, packing, periodic, quality, secrets, simhash, suffix_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,5 +108,34 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | Non
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer or word_tokenizer(), capacity=4096, end_id=1)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep and remove in every order, in each language."""
+    counts = filter_audit.mask_counts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), part="lang")
+    return filter_audit.audit(_common.materialize(counts))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """*docs* (doc_id, text) in which every tenth document by the CRC of its id turns periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"), F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), "").alias("words"))
+    placed = words.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    placed = placed.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")).withColumn("left", (F.col("n") - F.col("a")).cast("int"))
+    block = F.slice("words", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil(F.col("left") / F.col("p")).cast("int"))), F.lit(1), F.col("left"))
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return placed.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of words of every document, the longest of them, and a digest of what stays without them."""
+    out = periodic.periodic_runs(planted(read(spark, sf_dir, "documents").select("doc_id", "text")), shortest=12)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    best = out.withColumn("best", longest)
+    start, length, period = -F.col("best.s"), F.col("best.l"), -F.col("best.q")
+    milli = F.floor(1000 * length / period).cast("long")
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), milli.alias("exponent_milli"), _sha(lines).alias("runs_sha256"), _sha(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitslice_topk, op2_decontaminate, op3_line_dedup, op4_merkle_audit, op5_quality_mil, op6_lm_score, op7_suffix_dedup, op8_secret_scan, op9_simhash, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_bitslice_topk, op2_decontaminate, op3_line_dedup, op4_merkle_audit, op5_quality_mil, op6_lm_score, op7_suffix_dedup, op8_secret_scan, op9_simhash, op10_best_fit_packing, op11_filter_audit, op13_periodic_runs)}

@@ -54,5 +54,23 @@ FROM o WHERE k IN (51, 71, 83) OR worn <> sha
 """
 
 
+OP11 = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+f AS (SELECT w.doc_id, part, l.quality, l.toxic,
+  (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT
+  + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * (w.doc_id > min(w.doc_id) OVER (PARTITION BY text))::INT AS mask
+  FROM w LEFT JOIN labels l ON l.doc_id = w.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM f GROUP BY 1, 2),
+one AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM one a, one b, one c, one d, one e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s AS (SELECT filter_order, k AS step, bits[k] AS own, coalesce(list_sum(bits[1 : k - 1]), 0)::INT AS gone FROM (SELECT filter_order, bits, unnest(range(1, 6)) AS k FROM o)),
+r AS (SELECT c.part, s.*, c.mask, n, good, toxic, (mask & own) > 0 AS fails, (mask & gone) > 0 AS early FROM c, s),
+t AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT fails AND NOT early), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT early), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (fails AND early), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (fails AND NOT early), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT early), 0)::BIGINT AS toxic_lost FROM r GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bitslice_topk": OP1, "op2_decontaminate": OP2, "op3_line_dedup": OP3, "op4_merkle_audit": OP4}
+    return {"op1_bitslice_topk": OP1, "op2_decontaminate": OP2, "op3_line_dedup": OP3, "op4_merkle_audit": OP4, "op11_filter_audit": OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _common, bitslice, decontaminate, filter_audit, line_dedup, lm_score, merkle, packing, periodic, quality, secrets, simhash, suffix_dedup
+from . import _common, bitslice, decontaminate, filter_audit, jaccard, line_dedup, lm_score, merkle, packing, periodic, quality, secrets, simhash, suffix_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +114,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_common.materialize(counts))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document, of three-word shingle sets that are similar to 90 % or more."""
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=90)
+
+
 def planted(docs: DataFrame) -> DataFrame:
     """*docs* (doc_id, text) in which every tenth document by the CRC of its id turns periodic from some word on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -138,4 +143,4 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitslice_topk, op2_decontaminate, op3_line_dedup, op4_merkle_audit, op5_quality_mil, op6_lm_score, op7_suffix_dedup, op8_secret_scan, op9_simhash, op10_best_fit_packing, op11_filter_audit, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_bitslice_topk, op2_decontaminate, op3_line_dedup, op4_merkle_audit, op5_quality_mil, op6_lm_score, op7_suffix_dedup, op8_secret_scan, op9_simhash, op10_best_fit_packing, op11_filter_audit, op12_jaccard_join, op13_periodic_runs)}

@@ -72,5 +72,21 @@ SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, uniq
 """
 
 
+OP12 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, array_to_string(w[i : i + 2], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM w WHERE len(w) > 0)),
+d AS (SELECT doc_id, list_sort(list_distinct(list(t))) AS s FROM g GROUP BY 1),
+u AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM d GROUP BY s),
+x AS (SELECT rep, n, unnest(s) AS t FROM u),
+e AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.t = b.t AND a.rep < b.rep AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+      GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+two AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(a, b) AS (SELECT rep, rep FROM u UNION SELECT r.a, two.b FROM r JOIN two ON two.a = r.b),
+c AS (SELECT a AS rep, min(b) AS least FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(len(d.s), 0)::BIGINT AS n_shingles, coalesce(c.least, w.doc_id) AS component_id
+FROM w LEFT JOIN d ON d.doc_id = w.doc_id LEFT JOIN u ON u.s = d.s LEFT JOIN c ON c.rep = u.rep
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bitslice_topk": OP1, "op2_decontaminate": OP2, "op3_line_dedup": OP3, "op4_merkle_audit": OP4, "op11_filter_audit": OP11}
+    return {"op1_bitslice_topk": OP1, "op2_decontaminate": OP2, "op3_line_dedup": OP3, "op4_merkle_audit": OP4, "op11_filter_audit": OP11, "op12_jaccard_join": OP12}

@@ -245,7 +245,7 @@ def _pairer(percent: int, flush: int = 1 << 17):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
-            sketch = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            sketch = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
             held.append([*(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "root", "sid", "n", "side", "home", "fewer")), sketch])
             rows += batch.num_rows
             if rows >= flush:
@@ -274,8 +274,8 @@ def _left(rows: DataFrame, counts: DataFrame, roots: DataFrame, percent: int, ke
 
 
 def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, key_rows: int = KEY_ROWS) -> DataFrame:
-    """(k_id, k_hash, n, component k_id or null) for every row of *docs* (doc_id, text): ``least`` is the smallest id that links
-    of at least *percent* similarity reach."""
+    """(k_id, k_hash, n, least) for every row of *docs* (doc_id, text): the size of its set, and the smallest id that links of
+    *percent* similarity or more reach."""
     mine = C.materialize(described(docs, size))
     longest = mine.agg(F.max("n")).first()[0] or 0
     lows, slack = bands(longest, percent)

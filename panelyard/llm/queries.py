@@ -49,7 +49,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The damaged records of a replica of the archive of all pages.
 
-    The replicas are derived from the pages by rule.  Of every 97 page ids, in the second one record has its payload's
+    The replicas are derived from the pages by rule.  Of every 17 page ids, in the second one record has its payload's
     first character overwritten, one its last five characters, one is lost, and one lies seven bytes further on; one
     record is only in the second."""
     pages = read(spark, sf_dir, "pages").where("page_id is not null")
@@ -57,16 +57,16 @@ def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = merkle.warc_text(id_, F.col("url"), body)
     head = F.substring(record, 1, F.length(record) - F.length(body) - 4)
     worn = (
-        F.when(id_ % 97 == 13, F.concat(head, F.lit("#"), F.substring(body, 2, 2**31 - 1), F.lit("\r\n\r\n")))
-        .when(id_ % 97 == 29, F.concat(head, F.substring(body, 1, F.greatest(F.length(body) - 5, F.lit(0))), F.lit("?????\r\n\r\n")))
+        F.when(id_ % 17 == 3, F.concat(head, F.lit("#"), F.substring(body, 2, 2**31 - 1), F.lit("\r\n\r\n")))
+        .when(id_ % 17 == 5, F.concat(head, F.substring(body, 1, F.greatest(F.length(body) - 5, F.lit(0))), F.lit("?????\r\n\r\n")))
         .otherwise(record)
     )
     both = pages.select(id_.cast("long").alias("record_id"), merkle.digest(record).alias("sha"), F.octet_length(record).cast("long").alias("size"), merkle.digest(worn).alias("worn"))
-    k = F.col("record_id") % 97
+    k = F.col("record_id") % 17
     placed = merkle.with_offsets(both)
-    first = F.when(k != 83, F.struct(F.lit(0).alias("replica"), "sha", "start", "stop"))
-    late = F.when(k == 71, F.lit(7)).otherwise(0)
-    second = F.when(k != 51, F.struct(F.lit(1).alias("replica"), F.col("worn").alias("sha"), (F.col("start") + late).alias("start"), (F.col("stop") + late).alias("stop")))
+    first = F.when(k != 13, F.struct(F.lit(0).alias("replica"), "sha", "start", "stop"))
+    late = F.when(k == 11, F.lit(7)).otherwise(0)
+    second = F.when(k != 7, F.struct(F.lit(1).alias("replica"), F.col("worn").alias("sha"), (F.col("start") + late).alias("start"), (F.col("stop") + late).alias("stop")))
     records = placed.select("record_id", F.explode(F.array_compact(F.array(first, second))).alias("r")).select("r.replica", "record_id", "r.sha", "r.start", "r.stop")
     return merkle.audit(records).select("record_id", "status", "start", "stop", "expected", "found")
 

@@ -11,7 +11,7 @@ values too, is then scored by the best label's log-likelihood less the backgroun
 Both passes are narrow Python stages; between them only counts by label and shape are shuffled, combined in
 each task first.  The driver learns from at most ``max_shapes`` labelled shapes a label, with at most
 ``max_symbols`` characters: half of them are the most frequent, the others are drawn by a hash from all the rest
-and weighted so that they stand for all of it, however long they are.
+and weighted so that they stand for all of it.  A shape longer than what is left of the characters is passed over alone.
 
 Defined cases: null and empty texts have no spans; repeated rows each get theirs; an empty table gives no rows;
 without any labelled credential only base spans are found, without scores; further columns are ignored by
@@ -226,17 +226,26 @@ def learn(docs: DataFrame, max_shapes: int = MAX_SHAPES, alpha: float = ALPHA, m
             df = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= most)
         return df
 
-    top = C.materialize(first(counts.withColumn("part", spread), [F.desc("n"), F.xxhash64("shape"), "shape"], max_shapes - max_shapes // 2).select("label", "shape", "n"))
+    def fitting(df: DataFrame) -> dict[int, dict[str, float]]:
+        """The shapes of each label by rank, as long as their symbols stay under the bound; one that is too long for what is
+        left is passed over, and those behind it still count."""
+        left: dict[int, int] = {}
+        chosen: dict[int, list[int]] = {}
+        for r in df.select("label", "rank", F.length("shape").alias("size")).orderBy("label", "rank").collect():
+            if r["size"] <= left.setdefault(r["label"], max_symbols // 2):
+                left[r["label"]] -= r["size"]
+                chosen.setdefault(r["label"], []).append(r["rank"])
+        out: dict[int, dict[str, float]] = {}
+        for label, ranks in chosen.items():
+            for r in df.where((F.col("label") == label) & F.col("rank").isin(ranks)).select("shape", "n").collect():
+                out.setdefault(label, {})[r["shape"]] = r["n"]
+        return out
+
+    top = C.materialize(first(counts.withColumn("part", spread), [F.desc("n"), F.xxhash64("shape"), "shape"], max_shapes - max_shapes // 2).select("label", "shape", "n", "rank"))
     rest = counts.join(top.select("label", "shape"), ["label", "shape"], "left_anti")
     mass = {r["label"]: r["n"] for r in rest.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    drawn = first(rest.withColumn("part", spread), [F.xxhash64("shape", F.lit("draw")), "shape"], max_shapes // 2)
-    fit = lambda df, order: df.withColumn("sum", F.sum(F.length("shape")).over(Window.partitionBy("label").orderBy(*order))).where(F.col("sum") <= max_symbols // 2)
-    taught: dict[int, dict[str, float]] = {}
-    for r in fit(top, [F.desc("n"), "shape"]).select("label", "shape", "n").collect():
-        taught.setdefault(r["label"], {})[r["shape"]] = r["n"]
-    tail: dict[int, dict[str, int]] = {}
-    for r in fit(drawn, ["rank"]).select("label", "shape", "n").collect():
-        tail.setdefault(r["label"], {})[r["shape"]] = r["n"]
+    drawn = C.materialize(first(rest.withColumn("part", spread), [F.xxhash64("shape", F.lit("draw")), "shape"], max_shapes // 2).select("label", "shape", "n", "rank"))
+    taught, tail = fitting(top), fitting(drawn)
     for label, some in tail.items():
         weight = mass[label] / sum(some.values())
         taught.setdefault(label, {}).update({k: n * weight for k, n in some.items()})

@@ -84,6 +84,20 @@ def test_rare_and_long_shapes_teach(spark, docs_of):
     assert max(len(s) for s in docs) > 300 and models[0].score("m" * 300) > 300 * secrets._UNSEEN
 
 
+@pytest.mark.parametrize("times", [1, 2, 900])
+def test_one_very_long_token_hides_no_other_shape(spark, docs_of, times):
+    import random
+
+    rng = random.Random(8)
+    token = lambda n: "".join(rng.choice("abcdef0123456789+/") for _ in range(n))
+    docs = [f"token={rng.choice('zZ9_')}{token(24)} and {rng.choice('xX7-')}{token(30)}" for _ in range(400)]
+    blob = "".join(rng.choices("ghijkl/+XYZ", k=220_000))
+    plain = secrets.learn(docs_of(docs))
+    for text in (f"token={blob}", blob):
+        found = secrets.learn(docs_of([text] * times + docs))
+        assert {k: len(m.moves) for k, m in found.items()} == {k: len(m.moves) for k, m in plain.items()}
+
+
 def test_base_values_are_scored_and_null_ids_redacted(spark, docs_of):
     docs = docs_of([(None, f"token={HEX40}"), (None, "clean"), (1, None)]).withColumnRenamed("lang", "spans")
     assert [s.score is not None for r in secrets.find_secrets(docs).collect() for s in r.spans] == [True] * 2

@@ -9,9 +9,9 @@ neighbourhood as well, so that two sets which differ by one shingle meet.  Which
 two, is allocated band by band from what all rows cost: pairs that a segment's groups make, against signatures that
 deletions add.
 
-Equal sets are taken together first.  Of the groups under a signature, every set is first held against the smallest one, and
-what links is united; then all pairs of a group that aren't connected yet, but those that sizes or 512-bit parity sketches
-rule out.  Every candidate is verified by the sets themselves, sent as ascending 64-bit hashes of shingles.  A group of more
+Equal sets are taken together first.  Every set is then held against one other, the smallest under most of its signatures, and
+what links is united; then come forests of the likeliest pairs over what isn't connected under a signature, and at last all
+pairs that are left, but those that sizes or 512-bit parity sketches rule out.  Every candidate is verified by the sets themselves, sent as ascending 64-bit hashes of shingles.  A group of more
 than KEY_ROWS sets is dealt out as pairs of chunks.  No link between different groups is lost.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; a text of fewer words than a
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 from .components import components
+from .simhash import _strongest
 
 #: Sets under one signature beyond which they are dealt out; most segments of a band that others answer for.
 KEY_ROWS, SWAPS = 1000, 64
@@ -111,7 +112,9 @@ def _signature(scheme: np.ndarray, segment: np.ndarray, sums: np.ndarray) -> np.
     return C.mix(sums + C.mix((scheme.astype(np.uint64) << np.uint64(32)) ^ segment.astype(np.uint64) ^ _SCHEME)).view(np.int64)
 
 
-_INDEX = "sig long, sid long, n int, k int, seg int, home boolean, fewer boolean"
+#: ``tag``: bit 0, the set is at home in the scheme's band; bit 1, the signature is of a whole segment; then the segment
+#: and, from bit 34 on, the scheme.
+_INDEX = "sig long, sid long, tag long"
 
 
 def _indexer(size: int, lows: np.ndarray, slack: np.ndarray, twice: dict[int, list[int]] | None):
@@ -137,8 +140,8 @@ def _indexer(size: int, lows: np.ndarray, slack: np.ndarray, twice: dict[int, li
                     owner, segment, sums = owner[place[mine]], segment[place[mine]], sums[place[mine]] - token[mine]
                 who = use[owner]
                 sig = _signature(scheme[who], segment, sums)
-                flat = lambda x: pa.array(np.full(len(who), x))
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(sids[who]), pa.array(ns[who].astype(np.int32)), pa.array(scheme[who].astype(np.int32)), pa.array(segment.astype(np.int32)), flat(not up), flat(twice is not None)], names=[c.split()[0] for c in _INDEX.split(", ")])
+                tag = (scheme[who] << 34) | (segment << 2) | ((twice is None) << 1) | (not up)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(sids[who]), pa.array(tag)], names=["sig", "sid", "tag"])
 
     return run
 
@@ -158,12 +161,12 @@ def allocate(pairs: dict[int, float], sets: int, tokens: int, segments: int, swa
 
 
 def _allocation(rows: DataFrame, counts: DataFrame, lows: np.ndarray, slack: np.ndarray) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
-    """Dropped and answering segments of every band, from the groups (``rows``: sig, k, seg) of all sets."""
+    """Dropped and answering segments of every band, from the groups (``rows``) of all sets."""
     edges = F.array(*[F.lit(int(x)) for x in lows])
     of = counts.select(F.size(F.filter(edges, lambda e: e <= F.col("n"))).alias("above"), "n").select((F.col("above") - 1).alias("k"), "n")
     both = of.unionByName(of.select((F.col("k") + 1).alias("k"), "n"))
     load = {r.k: (r.sets, r.tokens) for r in both.groupBy("k").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).collect()}
-    costs = rows.groupBy("k", "seg", "sig").agg(F.count("*").alias("c")).groupBy("k", "seg").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"))
+    costs = rows.selectExpr("sig", "int(shiftright(tag, 34)) AS k", "int(shiftright(tag & 17179869183, 2)) AS seg").groupBy("k", "seg", "sig").agg(F.count("*").alias("c")).groupBy("k", "seg").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"))
     # Only segments that cost more than their signatures come to the driver, and of a band the dearest.
     worth = [k for k in load if k < len(slack) and slack[k] > 0]
     if not worth:
@@ -178,10 +181,17 @@ def _allocation(rows: DataFrame, counts: DataFrame, lows: np.ndarray, slack: np.
     return dropped, twice
 
 
-def _groups(index: DataFrame, root: Column) -> DataFrame:
-    """(sig, lo, c) of the signatures under which different roots come, one of them whole and one at home."""
-    found = index.groupBy("sig").agg(F.min(root).alias("lo"), F.max(root).alias("hi"), F.count("*").alias("c"), F.max("home").alias("home"), F.min("fewer").alias("fewer"))
-    return found.where("lo <> hi and home and not fewer").select("sig", "lo", "c")
+def _groups(index: DataFrame, root: str) -> DataFrame:
+    """(sig, lo, c) of the signatures under which different roots come, one of them whole and one at home; *root* is sid if
+    every set is its own."""
+    several = [F.max(root).alias("hi")] if root != "sid" else []  # a set comes once under a signature
+    found = index.groupBy("sig").agg(F.min(root).alias("lo"), F.count("*").alias("c"), F.bit_or(F.col("tag").bitwiseAND(3)).alias("has"), *several)
+    return found.where("has = 3 and " + ("lo <> hi" if several else "c > 1")).select("sig", "lo", "c")
+
+
+def _met(index: DataFrame) -> DataFrame:
+    """(sig, sid, tag, lo): the rows of *index* whose signature other sets have, too, and the smallest of its sets."""
+    return C.materialize(index.join(_groups(index, "sid").select("sig", "lo"), "sig"))
 
 
 def _bounded(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
@@ -216,10 +226,11 @@ def _verified(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
     return pairs.join(of("x"), "x").join(of("y"), "y").mapInArrow(run, "a long, b long")
 
 
-def _pairer(percent: int, flush: int = 1 << 17):
-    """Pairs of different roots within each run of equal ``part`` that sizes and sketches don't rule out."""
+def _pairer(percent: int, one: bool, flush: int = 1 << 17):
+    """Pairs of different roots within each run of equal ``part`` that sizes and sketches don't rule out; *one*: only those of
+    a spanning forest over a run's roots, of sets with the fewest differing parities."""
 
-    def out(part, root, sid, n, side, home, fewer, sketch):
+    def out(part, root, sid, n, side, tag, sketch):
         size = len(part)
         edge = np.flatnonzero(part[1:] != part[:-1]) + 1
         run = np.flatnonzero((part[1:] != part[:-1]) | (root[1:] != root[:-1])) + 1
@@ -233,10 +244,20 @@ def _pairer(percent: int, flush: int = 1 << 17):
             i = np.repeat(np.arange(lo, hi), t)
             j = start[i] + np.arange(len(i)) - np.repeat(np.cumsum(t) - t, t)
             both = n[i] + n[j]
-            ok = ((side[i] < 0) | (side[i] != side[j])) & (home[i] | home[j] > 0) & (fewer[i] & fewer[j] == 0) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            ok = ((side[i] < 0) | (side[i] != side[j])) & ((tag[i] | tag[j]) & 3 == 3) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j, both = i[ok], j[ok], both[ok]
-            ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) * (100 + percent) <= (100 - percent) * both
-            x, y = sid[i[ok]], sid[j[ok]]
+            apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+            ok = apart * (100 + percent) <= (100 - percent) * both
+            i, j, rate = i[ok], j[ok], -apart[ok] / both[ok]
+            if one and len(i):
+                best = np.lexsort((-rate, root[j], root[i], part[i]))  # of two roots, the likeliest pair
+                i, j, rate = i[best], j[best], rate[best]
+                new = np.ones(len(i), bool)
+                new[1:] = (root[i[1:]] != root[i[:-1]]) | (root[j[1:]] != root[j[:-1]]) | (part[i[1:]] != part[i[:-1]])
+                i, j, rate = i[new], j[new], rate[new]
+                keep = _strongest(part[i], root[i], root[j], rate)
+                i, j = i[keep], j[keep]
+            x, y = sid[i], sid[j]
             found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
             lo = hi
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -246,7 +267,7 @@ def _pairer(percent: int, flush: int = 1 << 17):
         held, rows = [], 0
         for batch in batches:
             sketch = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
-            held.append([*(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "root", "sid", "n", "side", "home", "fewer")), sketch])
+            held.append([*(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "root", "sid", "n", "side", "tag")), sketch])
             rows += batch.num_rows
             if rows >= flush:
                 now = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -260,17 +281,17 @@ def _pairer(percent: int, flush: int = 1 << 17):
     return run
 
 
-def _left(rows: DataFrame, counts: DataFrame, roots: DataFrame, percent: int, key_rows: int) -> DataFrame:
-    """(x, y): pairs under one signature of ``rows`` that *roots* (node, root; a set that isn't there is its own) don't connect."""
-    under = rows.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    under = C.materialize(under)
-    many = _groups(under, F.col("root")).select("sig", F.ceil(F.col("c") / key_rows).cast("int").alias("c"))
+def _left(rows: DataFrame, counts: DataFrame, roots: DataFrame, percent: int, one: bool, key_rows: int) -> DataFrame:
+    """(x, y): pairs under one signature of ``rows`` that *roots* (node, root; a set that isn't there is its own) don't
+    connect; *one*: only a forest of the likeliest over the roots under a signature."""
+    under = C.materialize(rows.select("sig", "sid", "tag").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    many = _groups(under, "root").select("sig", F.ceil(F.col("c") / key_rows).cast("int").alias("c"))
     chunk = F.pmod(F.xxhash64("sid"), F.col("c")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.struct(F.least("chunk", j).alias("i"), F.greatest("chunk", j).alias("j")))
     spread = under.join(many, "sig").withColumn("chunk", chunk).withColumn("pair", F.explode(pairs))
     side = F.when(F.col("pair.i") == F.col("pair.j"), -1).when(F.col("chunk") == F.col("pair.i"), 0).otherwise(1).cast("byte")
-    dealt = spread.select(F.xxhash64("sig", "pair.i", "pair.j").alias("part"), "root", "sid", side.alias("side"), "home", "fewer").join(counts, "sid")
-    return dealt.repartition("part").sortWithinPartitions("part", "root").mapInArrow(_pairer(percent), "x long, y long").distinct()
+    dealt = spread.select(F.xxhash64("sig", "pair.i", "pair.j").alias("part"), "root", "sid", side.alias("side"), F.col("tag").bitwiseAND(3).alias("tag")).join(counts, "sid")
+    return dealt.repartition("part").sortWithinPartitions("part", "root").mapInArrow(_pairer(percent, one), "x long, y long").distinct()
 
 
 def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, key_rows: int = KEY_ROWS) -> DataFrame:
@@ -287,20 +308,23 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, key_rows: in
     sized = counts.select("sid", "n", "sketch")
 
     index = C.materialize(texts.select("sid", "text").mapInArrow(_indexer(size, lows, slack, None), _INDEX))
-    rows = C.materialize(index.join(_groups(index, F.col("sid")).select("sig", "lo"), "sig"))
+    rows = _met(index)
     dropped, twice = _allocation(rows, counts, lows, slack)
     if dropped:
-        gone = F.struct("k", "seg").isin([F.struct(F.lit(int(k)).alias("k"), F.lit(int(s)).alias("seg")) for k, ss in dropped.items() for s in ss])
-        both = index.where(~gone).unionByName(texts.select("sid", "text").mapInArrow(_indexer(size, lows, slack, twice), _INDEX))
-        both = C.materialize(both)
-        rows = C.materialize(both.join(_groups(both, F.col("sid")).select("sig", "lo"), "sig"))
-    star = rows.where("lo <> sid").select(F.col("lo").alias("x"), F.col("sid").alias("y")).distinct()
-    links = C.materialize(_verified(texts, C.materialize(_bounded(star, sized, percent)), size, percent))
+        gone = F.array(*[F.lit((int(k) << 32) | int(i)) for k, ss in dropped.items() for i in ss])
+        plain = index.where(~F.array_contains(gone, F.shiftright("tag", 2)))
+        rows = _met(C.materialize(plain.unionByName(texts.select("sid", "text").mapInArrow(_indexer(size, lows, slack, twice), _INDEX))))
+    # First every set is held against one other, the smallest under most of its signatures; then forests of the likeliest pairs
+    # over what isn't connected; then all pairs that are left.
+    star = rows.where("lo <> sid").groupBy("sid", "lo").agg(F.count("*").alias("c")).groupBy("sid").agg(F.max_by("lo", F.struct("c", -F.col("lo"))).alias("lo"))
+    links = C.materialize(_verified(texts, C.materialize(_bounded(star.select(F.col("lo").alias("x"), F.col("sid").alias("y")), sized, percent)), size, percent))
     roots = components(links)
-    rest = C.materialize(_left(rows.drop("lo", "n", "k", "seg"), sized, roots, percent, key_rows))
-    if not rest.isEmpty():
-        more = C.materialize(_verified(texts, rest, size, percent))
-        roots = components(links.unionByName(more))
+    for one in (True, False):
+        rest = C.materialize(_left(rows, sized, roots, percent, one, key_rows))
+        if rest.isEmpty():
+            break
+        links = links.unionByName(C.materialize(_verified(texts, rest, size, percent)))
+        roots = components(links)
     of = counts.select("a", "b", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("a", "b", F.coalesce("root", "sid").alias("root"))
     placed = mine.select("k_id", "k_hash", "n", "a", "b").join(of, ["a", "b"], "left")
     least = placed.where("root is not null").groupBy("root").agg(F.min("k_id").alias("least"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import analysis, incremental, measures, quality, risk, rules
+from ..operators import analysis, incremental, measures, quality, refresh, risk, rules, trend
+from ..sources import tables
 from . import panel
 from .panel import FACTS_SQL, PANEL_SQL, table
-from .queries import DIAGNOSE_SQL, _diagnoses, joined, query
+from .queries import DIAGNOSE_SQL, _diagnoses, joined, query, r6
 
 _sql_list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
@@ -346,6 +347,68 @@ def latest_upsert(spark, sf_dir):
     return incremental.upsert(t, changed.unionByName(new), ["c_custkey"])
 
 
+_REFRESH_SQL = f"""{PANEL_SQL}, {FACTS_SQL}, k AS (SELECT project_key, any_value(c_nationkey) AS nation, any_value(c_mktsegment) AS seg FROM cust GROUP BY 1),
+ys AS (SELECT project_key, max("year") = (SELECT max("year") FROM wide) AS late, max("year") AS y, count(*) AS n FROM wide GROUP BY 1),
+act AS (SELECT project_key, CASE WHEN seg = 'BUILDING' AND nation % 7 = 2 OR nation % 3 = 1 AND late AND n = 1 THEN 'run_new' WHEN nation % 5 = 4 THEN 'run_retry' WHEN nation % 6 = 1 THEN 'run_resume' WHEN nation % 3 = 1 AND late THEN 'run_changed' WHEN nation % 4 = 0 THEN 'rename' END AS action, nation FROM k JOIN ys USING (project_key))"""
+
+
+def _projects_of(spark, sf_dir):
+    c = panel.customers(spark, sf_dir)
+    return c.groupBy("project_key").agg(F.first("c_nationkey").alias("nation"), F.first("c_mktsegment").alias("seg"))
+
+
+def _facts_of(rows):
+    return trend.indicator_facts(trend.unpivot_panel(rows, ["project_key", "year"], panel.INDICATORS), ["project_key", "indicator"]).select("project_key", "indicator", "valid_years", "long_term", "recent", "current_year", "current_value")
+
+
+def refreshed(spark, sf_dir, parts: int = 16):
+    """(refresh, todo) after a first run over yesterday's panel, ready to be run over today's, which the tables give.
+
+    Yesterday some projects lacked the last year, some weren't there, some have failed or weren't finished, some had another
+    name, and of each region one more project was there that has gone since.
+    """
+    k = _projects_of(spark, sf_dir)
+    today = panel.wide(spark, sf_dir).drop("project_type")
+    columns = ["year", *panel.INDICATORS]
+    last = today.agg(F.max("year").alias("year")).withColumn("late", F.lit(True))
+    marked = today.join(k, "project_key").join(last, "year", "left")
+    before = marked.where(~((F.col("seg") == "BUILDING") & (F.col("nation") % 7 == 2)) & ~((F.col("nation") % 3 == 1) & F.col("late").isNotNull()))
+    gone = before.where("nation % 4 = 3").withColumn("project_key", F.concat(F.lit("gone-"), "project_key"))
+    yesterday = before.unionByName(gone).select("project_key", *columns)
+
+    def candidates(rows, name):
+        hashed = refresh.content_hash(rows, "project_key", columns).join(k, "project_key", "left").withColumn("name", name)
+        return incremental.with_fingerprints(hashed, ["name", "content"], ["name"], "v1").select("project_key", "nation", "name", "full_hash", "analysis_hash")
+
+    at = refresh.Refresh(*(tables.scratch(spark, n) for n in ("panel", "facts", "state")), key="project_key", parts=parts)
+    refresh.write_parts(yesterday, at.inputs, "project_key", parts)
+    first = candidates(yesterday, F.col("project_key"))
+    at.first(first, _facts_of)
+    # Some of the first run failed or weren't finished: their state says so, and they have no results.
+    state = at.load(spark, at.state).join(k, "project_key", "left")
+    status = F.when(F.col("nation") % 5 == 4, "failed").when(F.col("nation") % 6 == 1, "running").otherwise(F.col("status"))
+    path = tables.scratch(spark, "state")
+    refresh.write_parts(state.select("project_key", "full_hash", "analysis_hash", status.alias("status")), path, "project_key", parts)
+    at.state = path
+    refresh.write_parts(today.select("project_key", *columns), at.inputs, "project_key", parts)
+    new = candidates(today, F.when(F.col("nation") % 4 == 0, F.concat("project_key", F.lit("*"))).otherwise(F.col("project_key")))
+    todo = tables.scratch(spark, "todo")
+    at.plan(new, retry_failed=True).write.parquet(todo)
+    return at, spark.read.parquet(todo)
+
+
+@query(f"""WITH {_REFRESH_SQL}
+SELECT f.project_key, CASE WHEN nation % 4 = 0 AND action IS NOT NULL THEN f.project_key || '*' ELSE f.project_key END AS name, indicator, n AS valid_years, long_term, recent, cy AS current_year, round(cv, 6) AS current_value, action
+FROM facts f JOIN act USING (project_key)""")
+def incremental_refresh(spark, sf_dir):
+    """A day's changes brought into the results of the day before, part by part; what is there then is what a full
+    run gives.  The query writes the tables of both days and runs the refresh when it is built."""
+    at, todo = refreshed(spark, sf_dir)
+    at.run(todo, _facts_of)
+    done = at.load(spark, at.results).join(todo.select("project_key", "action"), "project_key", "left")
+    return done.select("project_key", "name", "indicator", "valid_years", "long_term", "recent", "current_year", r6("current_value"), "action")
+
+
 @query()
 def uuid5_key(spark, sf_dir):
     """Name-based UUIDs of customers; tests hold them against the standard library's."""

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with their project; nations are the small side of a join that Spark sizes itself."""
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     types = F.element_at(F.array(*map(F.lit, ("coal", "solar", "wind"))), (F.col("n_regionkey") % 3 + 1).cast("int"))
@@ -26,7 +26,7 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
-    who = _customers(spark, sf_dir).select("c_custkey", "project_key", "project_type")
+    who = customers(spark, sf_dir).select("c_custkey", "project_key", "project_type")
     return o.join(who, F.col("o_custkey") == F.col("c_custkey")).withColumn("year", F.year("o_orderdate"))
 
 
@@ -48,7 +48,7 @@ def long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project_key, project_type, scope, risk_tags) of every project with a customer."""
-    c = _customers(spark, sf_dir).groupBy("project_key").agg(F.first("project_type").alias("project_type"), F.first("c_mktsegment").alias("seg"), F.first("n_regionkey").alias("region"), F.first("c_nationkey").alias("nation"))
+    c = customers(spark, sf_dir).groupBy("project_key").agg(F.first("project_type").alias("project_type"), F.first("c_mktsegment").alias("seg"), F.first("n_regionkey").alias("region"), F.first("c_nationkey").alias("nation"))
     none = F.lit(None).cast("string")
     scope = F.create_map(
         F.lit("ca_landcover_type"), F.when(F.col("region").isin(2, 3), "native_grassland").otherwise("other"), F.lit("has_buffer_gradient"), F.when(F.col("seg") == "BUILDING", "true").otherwise("false"),

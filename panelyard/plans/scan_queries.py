@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import incremental, quality, rules, trend
 from ..sources import sinks, tables
-from ..streaming import feeds
+from ..streaming import feeds, keyed
 from . import panel
 from .panel import FACTS_SQL, PANEL_SQL, table
 from .queries import DIAGNOSE_SQL, KEYS, joined, query
@@ -244,34 +244,78 @@ def _drained(spark, df, mode):
     return spark.read.schema(df.schema).parquet(out)
 
 
+def _drain(spark, feed, batch, mode="append"):
+    """Run *batch* over all batches of a feed."""
+    q = feed.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", tables.scratch(spark, "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def _nations(spark, sf_dir):
+    return panel.customers(spark, sf_dir).groupBy("project_key").agg(F.first("c_nationkey").alias("nation"))
+
+
 @query("""SELECT "start", event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 10 SECOND, ts) - k * INTERVAL 10 SECOND for k in range(6)]) AS "start" FROM events) GROUP BY ALL""")
 def sliding_counts(spark, sf_dir):
     """Events by type in windows of 60 seconds every 10 seconds; the stream's form run over the table as a batch."""
     return feeds.sliding_counts(table(spark, sf_dir, "events")).select("start", "event_type", "n")
 
 
-@query("SELECT count(DISTINCT user_id || event_type) AS n FROM events")
+@query("""WITH e AS (SELECT ts, event_type, least(2, (date_part('day', ts)::INT - 1) // 10) + CASE event_id % 10 WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE 0 END AS b FROM events),
+m AS (SELECT b, max(ts) AS t FROM e GROUP BY 1),
+w AS (SELECT e.b, event_type, unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS "start" FROM e),
+x AS (SELECT w.*, (SELECT max(t) FROM m WHERE m.b < w.b - 1) - INTERVAL 5 DAY AS mark FROM w)
+SELECT "start", event_type, count(*) FILTER (mark IS NULL OR "start" + INTERVAL 12 HOUR > mark) AS n, count(*) FILTER ("start" + INTERVAL 12 HOUR <= mark) AS late FROM x GROUP BY ALL""")
+def late_events(spark, sf_dir):
+    """Events by type in windows of twelve hours every six, from a feed in five batches, some of whose rows come one or two
+    batches late; rows that the watermark of five days leaves out are counted apart, as what all windows hold less what the
+    stream has counted.  Spark judges a batch by the watermark that the batch before it ran with.  The query writes the feed
+    and runs the stream when it is built."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    delay = F.when(F.col("event_id") % 10 == 3, 1).when(F.col("event_id") % 10 == 7, 2).otherwise(0)
+    arrives = F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10).cast("int")) + delay
+    path = tables.scratch(spark, "feed")
+    for k in range(5):  # one file a batch
+        e.where(arrives == k).coalesce(1).write.mode("append").parquet(path)
+    width = {"width": "12 hours", "slide": "6 hours"}
+    counts = feeds.sliding_counts(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path), late="5 days", **width)
+    t = keyed.KeyedTable(spark, tables.scratch(spark, "counts"), counts.select("start", "event_type", "n").schema, ["start", "event_type"], "n", ["start", "event_type"], buckets=8)
+    _drain(spark, counts, keyed.feed(t), "update")
+    every = feeds.sliding_counts(e, late="5 days", **width).select("start", "event_type", F.col("n").alias("total"))
+    both = every.join(t.read(), ["start", "event_type"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return both.select("start", "event_type", "n", (F.col("total") - F.col("n")).alias("late"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def distinct_stream(spark, sf_dir):
     """The first event of each user and type, from a stream with a watermark."""
     d = feeds.distinct_events(_stream(spark, sf_dir), ["user_id", "event_type"], late="100 days")
-    return _drained(spark, d, "append").select("user_id", "event_type").agg(F.count("*").alias("n"))
+    return _drained(spark, d, "append").select("user_id", "event_type")
 
 
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
 def latest_stream(spark, sf_dir):
     """A feed's latest row of each key, upserted batch by batch into a table."""
-    at = {"path": None}  # the table's newest version
     kind = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type").schema
-
-    def read():
-        return spark.read.schema(kind).parquet(at["path"]) if at["path"] else spark.createDataFrame([], kind)
-
-    def write(df):
-        path = tables.scratch(spark, "latest")
-        df.write.parquet(path)
-        at["path"] = path
-
-    feed = _stream(spark, sf_dir).select("user_id", "event_id", "event_type")
-    q = feed.writeStream.foreachBatch(feeds.upsert_batches(read, write, ["user_id"], "event_id")).option("checkpointLocation", tables.scratch(spark, "state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return read()
+    t = keyed.KeyedTable(spark, tables.scratch(spark, "latest"), kind, ["user_id"], "event_id", ["user_id"], buckets=16)
+    _drain(spark, _stream(spark, sf_dir).select(*kind.names), keyed.feed(t))
+    return t.read()
+
+
+@query(f"""WITH {PANEL_SQL}, {FACTS_SQL}, k AS (SELECT project_key, any_value(c_nationkey) AS nation FROM cust GROUP BY 1)
+SELECT f.project_key, indicator, n AS valid_years, long_term, recent, round(cv, 6) AS current_value, CASE WHEN nation % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS batch FROM facts f JOIN k USING (project_key)""")
+def observation_stream(spark, sf_dir):
+    """A feed of yearly observations in two parts, of which the second corrects a third of the projects; facts are worked
+    out anew for these alone.  The query writes the feed and runs the stream when it is built."""
+    long = panel.long(spark, sf_dir).join(_nations(spark, sf_dir), "project_key")
+    wrong = long.withColumns({"value": F.when(F.col("nation") % 3 == 0, F.col("value") * F.col("year") + 1).otherwise(F.col("value")), "seq": F.lit(0)})
+    right = long.where("nation % 3 = 0").withColumn("seq", F.lit(1))
+    path, names = tables.scratch(spark, "feed"), ["project_key", "year", "indicator", "value", "seq"]
+    kind = wrong.select(*names).schema
+    for part in (wrong, right):  # one file a batch
+        part.select(*names).coalesce(1).write.mode("append").parquet(path)
+    facts = lambda rows: trend.indicator_facts(rows, ["project_key", "indicator"]).select("project_key", "indicator", "valid_years", "long_term", "recent", "current_value")
+    rows = keyed.KeyedTable(spark, tables.scratch(spark, "rows"), kind, ["project_key", "year", "indicator"], "seq", ["project_key"], buckets=16)
+    made = facts(spark.createDataFrame([], kind)).schema.add("batch", "long")
+    results = keyed.KeyedTable(spark, tables.scratch(spark, "facts"), made, ["project_key", "indicator"], "batch", ["project_key"], buckets=16)
+    _drain(spark, spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(path), keyed.feed(rows, results, facts))
+    return results.read().select("project_key", "indicator", "valid_years", "long_term", "recent", F.round("current_value", 6).alias("current_value"), "batch")

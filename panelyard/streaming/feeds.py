@@ -1,14 +1,12 @@
-"""Structured Streaming forms: latest rows by key, counts in sliding windows, duplicates within a watermark."""
+"""Structured Streaming forms: counts in sliding windows, late rows, duplicates within a watermark (latest rows by key: ``keyed``)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.incremental import upsert
-
 
 def sliding_counts(events: DataFrame, time: str = "ts", keys: Sequence[str] = ("event_type",), width: str = "60 seconds", slide: str = "10 seconds", late: str = "10 minutes") -> DataFrame:
     """Counts per key in sliding windows; events later than *late* are left out."""
@@ -20,13 +18,3 @@ def distinct_events(events: DataFrame, keys: Sequence[str], time: str = "ts", la
     """The first event of each key within the watermark."""
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
-
-def upsert_batches(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], keys: Sequence[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: the batch's last row of each key goes into the table that *read* gives and *write* replaces."""
-
-    def run(batch: DataFrame, _: int) -> None:
-        rest = [c for c in batch.columns if c not in keys]
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
-        write(upsert(read(), last.select(*batch.columns), keys))
-
-    return run

@@ -65,10 +65,3 @@ def test_streams(spark, tmp_path):
     counts = result(feeds.sliding_counts(source()), "sliding")
     assert counts.agg({"n": "sum"}).first()[0] == 21 * 6
     assert result(feeds.distinct_events(source(), ["id"]), "once", "append").count() == 20
-
-    state = {"t": spark.createDataFrame([("a", 0, t0, -1), ("z", 5, t0, -1)], "event_type string, id long, ts timestamp, v int").select("id", "ts", "event_type", "v")}
-    run = feeds.upsert_batches(lambda: state["t"], lambda df: state.update(t=spark.createDataFrame(df.collect(), df.schema)), ["event_type"], "ts")
-    q = source().writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "cp-up")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert {r.event_type: r.v for r in state["t"].collect()} == {"a": 19, "b": 18, "z": -1}

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .substrings import contains_join, first_hits
+
 ML_PREFIX = "[ML推荐]"
 SPREAD = 64
 # Fragments that rule a measure out, by project type, by missing rule, as monitoring, by site feature.
@@ -65,6 +67,30 @@ def audit(parts: DataFrame, keys: Sequence[str], project_type: str = "project_ty
     return parts.withColumn("nth", nth).withColumn("reason", reason).drop("nth").withColumn("accepted", F.col("reason") == "accepted")
 
 
+def fragment_table(spark: SparkSession, prohibited: Mapping = PROHIBITED, unavailable: Mapping = UNAVAILABLE, monitoring: Sequence[str] = tuple(MONITORING), sites: Mapping = SITE_FEATURES) -> DataFrame:
+    """(pattern_id, pattern, kind, scope, name, rank): the fragments of ``audit`` as rows; such a table may be of any length.  Of
+    one kind and scope the smallest rank wins; *name* is what the reason says."""
+    rows = [("type", k, f, f) for k, v in prohibited.items() for f in v] + [("rule", "", k, f) for k, v in unavailable.items() for f in v]
+    rows += [("watch", "", f, f) for f in monitoring] + [("site", "", k, f) for k, v in sites.items() for f in v]
+    return spark.createDataFrame([(i, f, kind, scope, name, i) for i, (kind, scope, name, f) in enumerate(rows)], "pattern_id long, pattern string, kind string, scope string, name string, rank long")
+
+
+def audit_by_table(parts: DataFrame, keys: Sequence[str], fragments: DataFrame, project_type: str = "project_type", features: str | None = None) -> DataFrame:
+    """``audit`` with the fragments as a table (``fragment_table``): different texts meet them through an index of their pieces."""
+    hits = contains_join(parts.select("text").distinct(), ["text"], fragments)
+    first = first_hits(hits, ["text"], fragments, by=["kind", "scope"]).join(fragments.select("pattern_id", "name"), "pattern_id")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("name")))
+    types = F.map_from_entries(F.collect_list(F.when(F.col("kind") == "type", F.struct("scope", "name"))))
+    said = first.groupBy("text").agg(types.alias("k_types"), of("rule").alias("k_rule"), of("watch").alias("k_watch"), of("site").alias("k_site"))
+    have = F.col(features) if features else F.array().cast("array<string>")
+    x = parts.join(said, "text", "left").withColumn("k_nth", F.row_number().over(Window.partitionBy(*keys, "text").orderBy("pos")))
+    reason = F.coalesce(
+        F.when(F.col("k_nth") > 1, "duplicate"), F.concat(F.lit("project_type_conflict:"), F.try_element_at("k_types", F.col(project_type))), F.concat(F.lit("requires_unavailable_problem_rule:"), "k_rule"),
+        F.concat(F.lit("v1_monitoring_measure_excluded:"), "k_watch"), F.when(~F.coalesce(F.array_contains(have, F.col("k_site")), F.lit(False)), F.concat(F.lit("requires_site_feature:"), "k_site")), F.lit("accepted"),
+    )
+    return x.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted").select(*parts.columns, "reason", "accepted")
+
+
 def match_knowledge(accepted: DataFrame, problems: DataFrame, knowledge: DataFrame, key: str = "project_key") -> DataFrame:
     """(key, measure_id, name, mechanism, targets array, first_target): known measures of a project's type that target its reportable
     problems (*problems*: key, problem_id, ord), targets in the problems' order."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import analysis, incremental, measures, quality, refresh, risk, rules, trend
+from ..operators import analysis, incremental, measures, quality, refresh, risk, rules, substrings, trend
 from ..sources import tables
 from . import panel
 from .panel import FACTS_SQL, PANEL_SQL, table
@@ -62,6 +62,29 @@ def measure_audit(spark, sf_dir):
     return _audited(spark, sf_dir).select("doc_id", "pos", "text", "reason")
 
 
+@query(f"WITH {_AUDIT_SQL} SELECT doc_id, pos, text, reason FROM aud")
+def measure_audit_index(spark, sf_dir):
+    """The same reasons with the fragments as a table, found through an index of their pieces."""
+    k = F.col("doc_id") % 3
+    parts = _parts(spark, sf_dir).withColumn("features", F.array_compact(F.array(*[F.when(k == n, F.lit(s)) for n, s in enumerate(_SITES)])))
+    found = measures.audit_by_table(parts, ["doc_id", "lang"], measures.fragment_table(spark, _PROHIBITED, _UNAVAILABLE, _MONITOR, _SITES), "lang", "features")
+    return found.select("doc_id", "pos", "text", "reason")
+
+
+@query(r"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark),
+p AS (SELECT item_id::VARCHAR || '/' || i AS pattern_id, array_to_string(w[i : i + 2], ' ') AS pattern FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+h AS (SELECT doc_id, pattern_id, pattern FROM documents JOIN (SELECT pattern, min(pattern_id) AS pattern_id, count(*) AS n FROM p GROUP BY 1) q ON contains(text, pattern)),
+f AS (SELECT h.doc_id, count(*) AS phrases, min(h.pattern) AS first_phrase FROM h GROUP BY 1)
+SELECT doc_id, phrases, first_phrase FROM f""")
+def phrase_scan(spark, sf_dir):
+    """How many different phrases of three benchmark words every document contains, and the first of them."""
+    words = table(spark, sf_dir, "benchmark").select(F.array_remove(F.split("text", r"\s+"), "").alias("w")).where("size(w) >= 3")
+    three = F.transform(F.arrays_zip(*[F.slice("w", F.lit(j + 1), F.size("w") - 2).alias(str(j)) for j in range(3)]), lambda z: F.concat_ws(" ", z["0"], z["1"], z["2"]))
+    phrases = words.select(F.explode(three).alias("pattern")).distinct().withColumn("pattern_id", F.col("pattern"))
+    hits = substrings.contains_join(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], phrases)
+    return hits.groupBy("doc_id").agg(F.count("*").alias("phrases"), F.min("pattern_id").alias("first_phrase"))
+
+
 @query(f"WITH {_AUDIT_SQL} SELECT lang, split_part(reason, ':', 1) AS reason, count(*) AS n, count(DISTINCT doc_id) AS documents FROM aud GROUP BY ALL")
 def audit_counts(spark, sf_dir):
     """How often each reason occurs."""

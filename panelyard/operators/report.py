@@ -39,10 +39,26 @@ def labelled(labels: dict[str, str], code: Column) -> Column:
     return F.coalesce(lookup(labels, code), code)
 
 
+def two_decimals(x: Column) -> Column:
+    """The binary value of a double (0.01 to a million, or zero) with two decimals, a tie to the even digit.
+
+    Its fraction is a whole number of 2**-60, so hundredths and what is left of them are worked out exactly."""
+    size = F.abs(x)
+    whole = F.floor(size).cast("long")
+    share = ((size - whole) * F.lit(float(2**60))).cast("long").cast("decimal(38,0)") * 100
+    cents = F.floor(share / F.lit(2**60).cast("decimal(38,0)")).cast("long")
+    left = share - cents.cast("decimal(38,0)") * F.lit(2**60).cast("decimal(38,0)")
+    half = F.lit(2**59).cast("decimal(38,0)")
+    total = whole * 100 + cents + F.when((left > half) | ((left == half) & (cents % 2 == 1)), 1).otherwise(0)
+    sign = F.when((x < 0) & (total > 0), "-").otherwise("")
+    return F.concat(sign, F.floor(total / 100).cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"))
+
+
 def number_text(x: Column) -> Column:
-    """Two decimals (a tie away from zero), scientific from a million on or under a hundredth, a dash for what is missing or not finite."""
+    """Two decimals (``two_decimals``), scientific from a million on or under a hundredth (there a tie goes away from zero), a dash for
+    what is missing or not finite."""
     far = (F.abs(x) >= 1e6) | ((F.abs(x) < 0.01) & (x != 0))
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "—").when(far, F.format_string("%.2e", x)).otherwise(F.round(x.cast("decimal(38,12)"), 2).cast("string"))
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "—").when(far, F.format_string("%.2e", x)).otherwise(two_decimals(x))
 
 
 def signal_sentence(signal: Column) -> Column:

@@ -10,21 +10,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _lines(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    return texts.select(*keys, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "line"))
+#: Ends of lines, and the white space that is stripped (Unicode's, and the separators U+001C to U+001F).
+LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+_SPACE = r"[\s\x1C-\x1F]"
+
+
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+
+
+def _lines(texts: DataFrame, keys: Sequence[str], text: str, ends: str) -> DataFrame:
+    return texts.select(*keys, F.posexplode(F.transform(F.split(F.coalesce(text, F.lit("")), ends, -1), stripped)).alias("pos", "line"))
 
 
 def paragraphs(texts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """(keys, ordinal, kind, heading, block): headings (``#``) are blocks of their own and are carried down; other lines join up
-    to a blank line or heading.  White space inside a block is one blank."""
-    x = _lines(texts, keys, text).withColumn("line", F.trim("line"))
+    to a blank line or heading.  Lines end at any line break; white space inside a block is one blank."""
+    x = _lines(texts, keys, text, LINE_ENDS)
     run = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.trim(F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1))
-    x = x.withColumn("is_head", F.col("line").rlike(r"^#{1,6}\s+.+$"))
+    head = stripped(F.regexp_extract("line", r"(?Us)^#{1,6}\s+(.+)$", 1))
+    x = x.withColumn("is_head", F.col("line").rlike(r"(?Us)^#{1,6}\s+.+$"))
     x = x.withColumns({"heading": F.last(F.when(F.col("is_head"), head), ignorenulls=True).over(run), "gap": F.count_if(F.col("is_head") | (F.col("line") == "")).over(run)})
     body = F.when(F.col("is_head"), F.col("heading")).otherwise(F.col("line"))
     g = x.where("line <> ''").groupBy(*keys, "gap", "is_head").agg(F.array_sort(F.collect_list(F.struct("pos", body.alias("line")))).alias("ls"), F.first("heading").alias("heading"))
-    block = F.trim(F.regexp_replace(F.array_join(F.transform("ls", lambda z: z["line"]), " "), r"(?U)\s+", " "))
+    block = F.trim(F.regexp_replace(F.array_join(F.transform("ls", lambda z: z["line"]), " "), f"(?U){_SPACE}+", " "))
     g = g.withColumn("block", block).where("block <> ''")
     order = Window.partitionBy(*keys).orderBy("gap", F.desc("is_head"))
     return g.withColumn("ordinal", F.row_number().over(order)).select(*keys, "ordinal", F.when(F.col("is_head"), "heading").otherwise("paragraph").alias("kind"), F.coalesce("heading", F.lit("")).alias("heading"), "block")
@@ -33,26 +43,26 @@ def paragraphs(texts: DataFrame, keys: Sequence[str], text: str = "text") -> Dat
 def markdown_blocks(texts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """(keys, ordinal, kind, level, text, source, rows): pagebreak, toc, table (its rows together, without separator rows, each
     as wide as the first), image, caption, heading up to level 4, bullet or paragraph."""
-    x = _lines(texts, keys, text).withColumn("line", F.trim("line")).where("line <> ''")
+    x = _lines(texts, keys, text, r"\r?\n").where("line <> ''")
     line = F.col("line")
     kind = (
         F.when(line == "<!-- pagebreak -->", "pagebreak").when(line == "<!-- toc -->", "toc").when(line.startswith("|") & line.endswith("|"), "table")
-        .when(line.startswith("![") & line.contains("](") & line.endswith(")"), "image").when(line.rlike(r"^\*\*[表图]\s+.+\*\*$"), "caption").when(line.rlike(r"^#{1,4} "), "heading").when(line.startswith("- "), "bullet").otherwise("paragraph")
+        .when(line.startswith("![") & line.contains("](") & line.endswith(")"), "image").when(line.rlike(r"(?Us)^\*\*[表图]\s+.+\*\*\z"), "caption").when(line.rlike(r"^#{1,4} "), "heading").when(line.startswith("- "), "bullet").otherwise("paragraph")
     )
     o = Window.partitionBy(*keys).orderBy("pos")
     x = x.withColumn("kind", kind)
     new = ~((F.col("kind") == "table") & F.coalesce((F.lag("kind").over(o) == "table") & (F.lag("pos").over(o) == F.col("pos") - 1), F.lit(False)))
     x = x.withColumn("part", F.count_if(new).over(o.rowsBetween(Window.unboundedPreceding, 0)))
-    cells = F.transform(F.split(F.trim(line, F.lit("|")), r"\|", -1), lambda c: F.trim(c))
-    separator = F.forall(cells, lambda c: c.rlike("^[-:]+$"))
+    cells = F.transform(F.split(F.trim(line, F.lit("|")), r"\|", -1), stripped)
+    separator = F.forall(cells, lambda c: c.rlike(r"^[-:]+\z"))
     g = x.withColumn("cells", cells).where((F.col("kind") != "table") | ~separator).groupBy(*keys, "part", "kind").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "cells"))).alias("ls"))
     first = F.col("ls")[0]["line"]
     width = F.size(F.col("ls")[0]["cells"])
     rows = F.transform("ls", lambda r: F.transform(F.sequence(F.lit(1), width), lambda k: F.coalesce(F.try_element_at(r["cells"], k), F.lit(""))))
     at = F.instr(first, "](")
     said = (
-        F.when(F.col("kind") == "image", F.substring(first, F.lit(3), at - 3)).when(F.col("kind") == "caption", F.trim(F.substring(first, F.lit(3), F.length(first) - 4)))
-        .when(F.col("kind") == "heading", F.trim(F.regexp_replace(first, "^#+ ", ""))).when(F.col("kind") == "bullet", F.trim(F.substring(first, F.lit(3), F.length(first)))).when(F.col("kind") == "paragraph", first).otherwise("")
+        F.when(F.col("kind") == "image", F.substring(first, F.lit(3), at - 3)).when(F.col("kind") == "caption", stripped(F.substring(first, F.lit(3), F.length(first) - 4)))
+        .when(F.col("kind") == "heading", stripped(F.regexp_replace(first, "^#+ ", ""))).when(F.col("kind") == "bullet", stripped(F.substring(first, F.lit(3), F.length(first)))).when(F.col("kind") == "paragraph", first).otherwise("")
     )
     return g.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy("part"))).select(
         *keys, "ordinal", "kind", F.when(F.col("kind") == "heading", F.length(F.regexp_extract(first, "^(#+)", 1))).otherwise(0).alias("level"), said.alias("text"),
@@ -63,8 +73,8 @@ def markdown_blocks(texts: DataFrame, keys: Sequence[str], text: str = "text") -
 def page_paragraphs(texts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """(keys, page, paragraph, block): pages end at form feeds, paragraphs at blank lines."""
     pages = texts.select(*keys, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\f")).alias("page", "body"))
-    parts = pages.select(*keys, (F.col("page") + 1).alias("page"), F.posexplode(F.split("body", r"\n[ \t]*\n")).alias("paragraph", "raw"))
-    return parts.select(*keys, "page", (F.col("paragraph") + 1).alias("paragraph"), F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("block")).where("block <> ''")
+    parts = pages.select(*keys, (F.col("page") + 1).alias("page"), F.posexplode(F.split("body", r"(?U)\n\s*\n")).alias("paragraph", "raw"))
+    return parts.select(*keys, "page", (F.col("paragraph") + 1).alias("paragraph"), F.trim(F.regexp_replace("raw", f"(?U){_SPACE}+", " ")).alias("block")).where("block <> ''")
 
 
 # What sources of a role may be used for.

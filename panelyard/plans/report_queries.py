@@ -51,7 +51,7 @@ def problem_paragraphs(spark, sf_dir):
     return c.select(_KEY, "problem_id", *[F.col("ps")[k].alias(f"p{k + 1}") for k in range(3)])
 
 
-_NUM = "CASE WHEN {0} IS NULL THEN '—' WHEN abs({0}) >= 1e6 OR (abs({0}) < 0.01 AND {0} <> 0) THEN printf('%.2e', {0}) ELSE round({0}::DECIMAL(38, 12), 2)::VARCHAR END"
+_NUM = "CASE WHEN {0} IS NULL THEN '—' WHEN abs({0}) >= 1e6 OR (abs({0}) < 0.01 AND {0} <> 0) THEN printf('%.2e', {0}) ELSE printf('%.2f', {0} + 0) END"
 _N = "chr(10)"
 
 

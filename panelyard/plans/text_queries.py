@@ -11,11 +11,12 @@ from .panel import FACTS_SQL, PANEL_SQL, table
 from .queries import DIAGNOSE_SQL, _diagnoses, query
 
 # Lines of documents become headings, table rows, separators, images, bullets, captions and breaks by their number, so
-# that the block parsers have all kinds to tell apart.
+# that the block parsers have all kinds to tell apart; some end in CRLF, some have tabs around, some a lone CR within.
 _KINDS = [
     ("# ", ""), None, ("| ", " | x |"), "|---|:-:|", ("| ", " |"), "![alt](y/z.png)", ("- ", ""), ("**图 1 ", "**"), "<!-- pagebreak -->", ("##### ", ""), "<!-- toc -->", ("## ", ""),
 ]
-_MARKED = "CASE i % 13 " + " ".join(f"WHEN {k} THEN " + ("''" if x is None else f"'{x}'" if isinstance(x, str) else f"'{x[0]}' || l || '{x[1]}'") for k, x in enumerate(_KINDS)) + " ELSE l END"
+_KIND = "CASE i % 13 " + " ".join(f"WHEN {k} THEN " + ("''" if x is None else f"'{x}'" if isinstance(x, str) else f"'{x[0]}' || l || '{x[1]}'") for k, x in enumerate(_KINDS)) + " ELSE l END"
+_MARKED = f"CASE WHEN i % 5 = 0 THEN ({_KIND}) || chr(13) WHEN i % 5 = 1 THEN chr(9) || ({_KIND}) || ' ' || chr(9) WHEN i % 35 = 2 THEN ({_KIND}) || chr(13) || 'x  y' ELSE {_KIND} END"
 
 
 def _marked(spark, sf_dir):
@@ -23,17 +24,19 @@ def _marked(spark, sf_dir):
 
     def line(l, i):  # noqa: E741
         made = [F.lit("") if x is None else F.lit(x) if isinstance(x, str) else F.concat(F.lit(x[0]), l, F.lit(x[1])) for x in _KINDS]
-        return F.coalesce(F.try_element_at(F.array(*made), (i % 13 + 1).cast("int")), l)
+        said = F.coalesce(F.try_element_at(F.array(*made), (i % 13 + 1).cast("int")), l)
+        return F.when(i % 5 == 0, F.concat(said, F.lit("\r"))).when(i % 5 == 1, F.concat(F.lit("\t"), said, F.lit(" \t"))).when(i % 35 == 2, F.concat(said, F.lit("\rx  y"))).otherwise(said)
 
     return lines.select("doc_id", "source", F.array_join(F.transform("ls", line), "\n").alias("text"))
 
 
 _LINES_SQL = f"""ls AS (SELECT doc_id, source, unnest(s) AS l, generate_subscripts(s, 1) - 1 AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s FROM documents)),
-mk AS (SELECT doc_id, source, i, trim({_MARKED}, ' ') AS line, {_MARKED} AS raw FROM ls)"""
+mk AS (SELECT doc_id, source, i, raw, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM (SELECT doc_id, source, i, {_MARKED} AS raw FROM ls))"""
 
 _PARAGRAPHS_SQL = rf"""{_LINES_SQL},
-h AS (SELECT *, regexp_matches(line, '^#{{1,6}}\s+.+$') AS is_head FROM mk),
-g AS (SELECT *, last_value(CASE WHEN is_head THEN trim(regexp_extract(line, '^#{{1,6}}\s+(.+)$', 1), ' ') END IGNORE NULLS) OVER w AS heading, count(*) FILTER (is_head OR line = '') OVER w AS gap FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+br AS (SELECT doc_id, source, i, unnest(s) AS piece, generate_subscripts(s, 1) AS k FROM (SELECT doc_id, source, i, string_split(regexp_replace(raw, '\r$', ''), chr(13)) AS s FROM mk)),
+h AS (SELECT doc_id, source, i * 10 + k AS i, line, regexp_matches(line, '^#{{1,6}}\s+.+$') AS is_head FROM (SELECT *, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS line FROM br)),
+g AS (SELECT *, last_value(CASE WHEN is_head THEN regexp_replace(regexp_extract(line, '^#{{1,6}}\s+(.+)$', 1), '^\s+|\s+$', '', 'g') END IGNORE NULLS) OVER w AS heading, count(*) FILTER (is_head OR line = '') OVER w AS gap FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 b AS (SELECT doc_id, source, gap, is_head, coalesce(any_value(heading), '') AS heading, trim(regexp_replace(string_agg(CASE WHEN is_head THEN heading ELSE line END, ' ' ORDER BY i), '\s+', ' ', 'g'), ' ') AS block FROM g WHERE line <> '' GROUP BY ALL),
 bl AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY gap, is_head DESC)::INT AS ordinal, CASE WHEN is_head THEN 'heading' ELSE 'paragraph' END AS kind, heading, block FROM b WHERE block <> '')"""
 
@@ -47,9 +50,9 @@ def md_paragraphs(spark, sf_dir):
 @query(rf"""WITH {_LINES_SQL},
 k AS (SELECT doc_id, i, line FROM mk WHERE line <> ''),
 k2 AS (SELECT *, CASE WHEN line = '<!-- pagebreak -->' THEN 'pagebreak' WHEN line = '<!-- toc -->' THEN 'toc' WHEN starts_with(line, '|') AND ends_with(line, '|') THEN 'table' WHEN starts_with(line, '![') AND contains(line, '](') AND ends_with(line, ')') THEN 'image'
-  WHEN regexp_matches(line, '^\*\*(表|图)\s+.+\*\*$') THEN 'caption' WHEN regexp_matches(line, '^#{{1,4}} ') THEN 'heading' WHEN starts_with(line, '- ') THEN 'bullet' ELSE 'paragraph' END AS kind FROM k),
+  WHEN regexp_matches(line, '^\*\*(表|图)\s+.+\*\*$', 's') THEN 'caption' WHEN regexp_matches(line, '^#{{1,4}} ') THEN 'heading' WHEN starts_with(line, '- ') THEN 'bullet' ELSE 'paragraph' END AS kind FROM k),
 k3 AS (SELECT *, lag(kind) OVER w AS pk, lag(i) OVER w AS pi FROM k2 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-k4 AS (SELECT *, count(*) FILTER (NOT (kind = 'table' AND coalesce(pk = 'table' AND pi = i - 1, false))) OVER (PARTITION BY doc_id ORDER BY i) AS part, [trim(c, ' ') for c in string_split(trim(line, '|'), '|')] AS cells FROM k3),
+k4 AS (SELECT *, count(*) FILTER (NOT (kind = 'table' AND coalesce(pk = 'table' AND pi = i - 1, false))) OVER (PARTITION BY doc_id ORDER BY i) AS part, [regexp_replace(c, '^\s+|\s+$', '', 'g') for c in string_split(trim(line, '|'), '|')] AS cells FROM k3),
 k5 AS (SELECT * FROM k4 WHERE kind <> 'table' OR NOT list_bool_and([regexp_matches(c, '^[-:]+$') for c in cells])),
 k6 AS (SELECT *, first_value(len(cells)) OVER (PARTITION BY doc_id, part ORDER BY i) AS w FROM k5),
 k7 AS (SELECT doc_id, part, kind, arg_min(line, i) AS f, string_agg(array_to_string([coalesce(cells[j], '') for j in range(1, w + 1)], '¦'), '¶' ORDER BY i) AS rows FROM k6 GROUP BY ALL)
@@ -63,7 +66,7 @@ def md_blocks(spark, sf_dir):
 
 
 @query(r"""WITH p AS (SELECT doc_id, unnest(s) AS body, generate_subscripts(s, 1) AS page FROM (SELECT doc_id, string_split(replace(text, '. ', chr(12)), chr(12)) AS s FROM documents)),
-q AS (SELECT doc_id, page, unnest(s) AS raw, generate_subscripts(s, 1) AS paragraph FROM (SELECT doc_id, page, string_split(replace(body, ', ', chr(10) || chr(10)), chr(10) || chr(10)) AS s FROM p))
+q AS (SELECT doc_id, page, unnest(s) AS raw, generate_subscripts(s, 1) AS paragraph FROM (SELECT doc_id, page, regexp_split_to_array(replace(body, ', ', chr(10) || chr(10)), '\n\s*\n') AS s FROM p))
 SELECT doc_id, page::INT AS page, paragraph::INT AS paragraph, trim(regexp_replace(raw, '\s+', ' ', 'g'), ' ') AS block FROM q WHERE trim(regexp_replace(raw, '\s+', ' ', 'g'), ' ') <> ''""")
 def page_paragraphs(spark, sf_dir):
     """Paragraphs of pages (sentences stand for pages, clauses for paragraphs)."""

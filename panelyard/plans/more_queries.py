@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -99,11 +100,15 @@ _OFFER_SQL = _OFFERS + """,
 rep AS (SELECT project_key, problem_id, status, row_number() OVER (PARTITION BY project_key ORDER BY (status <> '突出问题')::INT, problem_id) AS ord FROM diag WHERE status NOT IN ('数据不足', '不适用'))"""
 
 
-def _offers(spark, sf_dir):
-    """Measures that projects are offered: every order names a brand; known brands are few in each project."""
+def offer() -> Column:
+    """The measure that an order of a project offers: every order names a brand; known brands are few in each project."""
     k = F.col("o_orderkey")
     brand = F.when(k % 2 == 0, 25 + k % 9).otherwise((F.length("project_key") * 7 + k % 4 * 5) % 30)
-    return panel.orders(spark, sf_dir).select("project_key", "project_type", F.concat(F.lit("Brand#"), brand).alias("text")).distinct()
+    return F.concat(F.lit("Brand#"), brand)
+
+
+def _offers(spark, sf_dir):
+    return panel.orders(spark, sf_dir).select("project_key", "project_type", offer().alias("text")).distinct()
 
 
 def _knowledge(spark):

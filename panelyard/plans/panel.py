@@ -6,7 +6,7 @@ region; indicators are yearly aggregates of all orders under the panel's names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INDICATORS = ["MEAN_NDVI", "MEAN_NPP", "CA", "LPI", "NP", "PD", "ED", "LSI", "ERI"]
@@ -30,13 +30,14 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(who, F.col("o_custkey") == F.col("c_custkey")).withColumn("year", F.year("o_orderdate"))
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wide(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """The yearly rows of every project; *more*: further aggregates of its orders."""
     cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
     n = F.count("*")
     return orders(spark, sf_dir).groupBy("project_key", "project_type", "year").agg(
         (cents / 1e6).alias("MEAN_NDVI"), n.cast("double").alias("MEAN_NPP"), F.count_if(F.col("o_orderpriority") == "1-URGENT").cast("double").alias("CA"),
         F.when(n >= 3, F.max("o_totalprice") - F.min("o_totalprice")).alias("LPI"), F.countDistinct("c_custkey").cast("double").alias("NP"), (cents / n).alias("PD"),
-        F.max("o_totalprice").alias("ED"), F.min("o_totalprice").alias("LSI"), (F.count_if(F.col("o_orderstatus") == "F") / n).alias("ERI"),
+        F.max("o_totalprice").alias("ED"), F.min("o_totalprice").alias("LSI"), (F.count_if(F.col("o_orderstatus") == "F") / n).alias("ERI"), *more,
     )
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import analysis, assembly, measures, report, risk, rules, text, trend
+from ..sources import tables
 from . import panel
-from .more_queries import _CONTEXT_SQL, _KNOW_SQL, _MATCH_SQL, _OFFER_SQL, _OFFERS, _case, _knowledge, _offers
+from .more_queries import _CONTEXT_SQL, _KNOW_SQL, _MATCH_SQL, _OFFER_SQL, _OFFERS, _case, _knowledge, _offers, offer
 from .panel import FACTS_SQL, PANEL_SQL
-from .queries import DIAGNOSE_SQL, KEYS, query
+from .queries import DIAGNOSE_SQL, KEYS, _diagnoses, query
 from .risk_queries import _EVIDENCE_SQL, RISK_SQL, records, targets, trends
 
 _KEY = "project_key"
@@ -24,12 +27,37 @@ def _label(c: str, labels: dict[str, str]) -> str:
     return f"coalesce({_case(c, labels)}, {c})"
 
 
-def _state(spark, sf_dir):
-    """(facts, diagnoses, matches, contexts) of all projects."""
-    facts = trend.indicator_facts(panel.long(spark, sf_dir), KEYS, by=[_KEY])
-    d = rules.diagnose(facts, panel.projects(spark, sf_dir), rules.rule_table(spark))
-    m = measures.match_knowledge(_offers(spark, sf_dir), rules.ordered(d), _knowledge(spark))
-    return facts, d, m, analysis.contexts(d, m)
+class State(NamedTuple):
+    """What all reports are made of, as tables: yearly rows with the measures offered, facts, diagnoses, matches, contexts."""
+
+    rows: DataFrame
+    facts: DataFrame
+    diagnoses: DataFrame
+    matches: DataFrame
+    contexts: DataFrame
+
+    def offers(self) -> DataFrame:
+        return self.rows.select(_KEY, "project_type", F.explode("offers").alias("text")).distinct()
+
+    def years(self) -> DataFrame:
+        return self.rows.groupBy(_KEY).agg(F.first("project_type").alias("project_type"), F.min("year").alias("first_year"))
+
+
+def _state(spark, sf_dir) -> State:
+    """The state of all projects: orders are read once, and each table is written when it is there, so that what is built on
+    several of them doesn't plan and run the same chain again.  Calling this runs those jobs."""
+
+    def written(df, name):
+        path = tables.scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    rows = written(panel.wide(spark, sf_dir, F.collect_set(offer()).alias("offers")), "rows")
+    facts = written(trend.indicator_facts(trend.unpivot_panel(rows, [_KEY, "year"], panel.INDICATORS), KEYS, by=[_KEY]), "facts")
+    d = written(rules.diagnose(facts, panel.projects(spark, sf_dir), rules.rule_table(spark)), "diagnoses")
+    state = State(rows, facts, d, d, d)
+    m = written(measures.match_knowledge(state.offers(), rules.ordered(d), _knowledge(spark)), "matches")
+    return State(rows, facts, d, m, written(analysis.contexts(d, m), "contexts"))
 
 
 _BASE_SQL = f"{PANEL_SQL}, {FACTS_SQL}, {DIAGNOSE_SQL}, {_KNOW_SQL}, {_OFFER_SQL}, {_MATCH_SQL}, {_CONTEXT_SQL}"
@@ -46,7 +74,7 @@ par AS (SELECT c.project_key, c.problem_id, d.problem_name, c.status, c.evidence
 @query(f"WITH {_BASE_SQL}, {_PARAGRAPH_SQL} SELECT project_key, problem_id, p1, p2, p3 FROM par")
 def problem_paragraphs(spark, sf_dir):
     """The three paragraphs of every problem, codes decoded."""
-    c = _state(spark, sf_dir)[3]
+    c = _state(spark, sf_dir).contexts
     c = c.withColumn("ps", report.problem_paragraphs(c))
     return c.select(_KEY, "problem_id", *[F.col("ps")[k].alias(f"p{k + 1}") for k in range(3)])
 
@@ -93,10 +121,10 @@ _REPORT_SQL = _REPORT_SQL.replace("ra AS (SELECT project_key, 1 FROM pj),\n", ""
 
 
 def _reports(spark, sf_dir, state=None):
-    facts, d, m, c = state or _state(spark, sf_dir)
+    state = state or _state(spark, sf_dir)
+    _, facts, d, m, c = state
     order = rules.ordered(d).select(_KEY, "problem_id", "ord")
-    projects = panel.wide(spark, sf_dir).groupBy(_KEY).agg(F.first("project_type").alias("project_type"), F.min("year").alias("first_year"))
-    projects = projects.withColumns({"target_year": F.lit(2001), "name": F.col(_KEY), "risk_level": F.when(_len() % 2 == 0, "III_中风险")})
+    projects = state.years().withColumns({"target_year": F.lit(2001), "name": F.col(_KEY), "risk_level": F.when(_len() % 2 == 0, "III_中风险")})
     return report.assemble(report.report_lines(projects, facts, c.join(order, [_KEY, "problem_id"]), m, "2026-01-01"))
 
 
@@ -154,14 +182,14 @@ _PHRASE_SQL = "ph AS (SELECT o.project_key, o.text AS phrase FROM offer o LEFT J
 def report_lint_v1(spark, sf_dir):
     """What the older lint finds in flawed reports: headings, sections, parameters, exaggeration, causes, measures."""
     state = _state(spark, sf_dir)
-    phrases = _unapproved(spark, sf_dir, state).withColumn("code", F.lit("rejected_measure_present"))
+    phrases = _unapproved(state).withColumn("code", F.lit("rejected_measure_present"))
     return text.lint(_flawed(spark, sf_dir, state), [_KEY], text.lint_rules(1), phrases=phrases)
 
 
-def _unapproved(spark, sf_dir, state):
+def _unapproved(state):
     """Measures that a project was offered but that its report may not name."""
-    m = state[2].select(_KEY, F.col("name").alias("phrase"))
-    return _offers(spark, sf_dir).select(_KEY, F.col("text").alias("phrase")).distinct().join(m, [_KEY, "phrase"], "left_anti")
+    m = state.matches.select(_KEY, F.col("name").alias("phrase"))
+    return state.offers().select(_KEY, F.col("text").alias("phrase")).join(m, [_KEY, "phrase"], "left_anti")
 
 
 @query(f"""WITH {_BASE_SQL}, {_REPORT_SQL}, {_FLAWED_SQL}, {_PHRASE_SQL} {_lint_sql(text.lint_rules(2))} UNION ALL SELECT ph.project_key, 'unapproved_measure', phrase FROM ph JOIN fl USING (project_key) WHERE contains(fl.text, phrase)
@@ -169,8 +197,8 @@ UNION ALL SELECT d.project_key, 'omitted_problem_leaked', d.problem_name FROM di
 def report_lint_v2(spark, sf_dir):
     """What the later lint finds: headings, elements, machine and priority language, leaked problems and measures."""
     state = _state(spark, sf_dir)
-    d = state[1].where(F.col("status").isin(rules.INSUFFICIENT, rules.NOT_APPLICABLE)).select(_KEY, F.lit("omitted_problem_leaked").alias("code"), F.col("problem_name").alias("phrase"))
-    phrases = _unapproved(spark, sf_dir, state).select(_KEY, F.lit("unapproved_measure").alias("code"), "phrase").unionByName(d)
+    d = state.diagnoses.where(F.col("status").isin(rules.INSUFFICIENT, rules.NOT_APPLICABLE)).select(_KEY, F.lit("omitted_problem_leaked").alias("code"), F.col("problem_name").alias("phrase"))
+    phrases = _unapproved(state).select(_KEY, F.lit("unapproved_measure").alias("code"), "phrase").unionByName(d)
     return text.lint(_flawed(spark, sf_dir, state), [_KEY], text.lint_rules(2), phrases=phrases)
 
 
@@ -186,7 +214,7 @@ dw AS (SELECT *, length(said) AS len, len(against) = 0 OR (len(list_filter(again
 
 def _drafts(spark, sf_dir):
     """(reportable contexts, drafts of their texts, with faults by rule)."""
-    c = _state(spark, sf_dir)[3]
+    c = _state(spark, sf_dir).contexts
     h = _len() * 3 + F.substring("problem_id", 2, 3).cast("int")
     x = report.problem_blocks(c).withColumns({"h": h, "p": F.col("paragraphs")})
     p = [F.col("p")[k] for k in range(3)]
@@ -236,7 +264,7 @@ r1 AS (SELECT project_key, problem_id, {"".join("replace(" for _ in text.WRITER_
 SELECT project_key, problem_id, {"".join("regexp_replace(" for _ in text.WRITER_SENTENCES)}t{"".join(f", '{p}', '{text.CANNOT_JUDGE}', 'g')" for p in text.WRITER_SENTENCES)} AS text FROM r1""")
 def writer_payload(spark, sf_dir):
     """What a writer may see: reportable problems only, without rule ids, codes replaced, guesses rewritten."""
-    c = _state(spark, sf_dir)[3]
+    c = _state(spark, sf_dir).contexts
     c = c.where(~F.col("status").isin(rules.INSUFFICIENT, rules.NOT_APPLICABLE)).withColumn("p", report.problem_paragraphs(c))
     t = F.concat(F.lit("规则ID为PR-"), "problem_id", F.lit("，"), F.col("p")[0], F.lit("结论基于2项规则指定指标证据。可能受到气候导致。"), F.col("p")[1], F.lit("has_buffer_gradient，建议开展监测。"))
     return c.drop("rule_id").select(_KEY, "problem_id", text.writer_text(t).alias("text"))
@@ -250,7 +278,7 @@ SELECT project_key, problem_id, 'missing' AS code, '*' AS field FROM d WHERE h %
 UNION ALL SELECT project_key, problem_id, 'unknown_analysis_feature', 'own_idea' FROM d WHERE h % 11 <> 0 AND h % 13 = 0""")
 def locked_context(spark, sf_dir):
     """Locked facts of the context that drafts changed or lost, and features that no draft may name."""
-    c = _state(spark, sf_dir)[3].select(_KEY, "problem_id", *_LOCKED)
+    c = _state(spark, sf_dir).contexts.select(_KEY, "problem_id", *_LOCKED)
     h = _len() * 3 + F.substring("problem_id", 2, 3).cast("int")
     d = c.where(h % 11 != 0).withColumns({"supporting_ids": F.when(h % 5 == 0, F.array(F.lit("x"))).otherwise(F.col("supporting_ids")), "turning_points": F.when(h % 7 == 0, F.concat("turning_points", F.array(F.lit(1)))).otherwise(F.col("turning_points"))})
     named = d.withColumn("features", F.when(h % 13 == 0, F.concat("features", F.array(F.lit("own_idea")))).otherwise(F.col("features")))
@@ -272,7 +300,8 @@ UNION ALL SELECT tm.project_key, 'measure_for_omitted_problem', measure_id FROM
 UNION ALL SELECT project_key, 'measure_priority_present', measure_id FROM tm WHERE h % 3 = 0 UNION ALL SELECT project_key, 'invented_parameters', measure_id FROM tm WHERE h % 4 = 0""")
 def report_issues(spark, sf_dir):
     """What must hold of a report, on reports that break it by rule, so that every code occurs."""
-    _, d, _, c = _state(spark, sf_dir)
+    state = _state(spark, sf_dir)
+    d, c = state.diagnoses, state.contexts
     h = _len()
     tops = panel.projects(spark, sf_dir).select(
         _KEY, F.when(h % 7 == 0, "1.0").otherwise("2.5-mvp").alias("schema_version"), F.when(h % 5 == 0, None).when(h % 5 == 1, "other").otherwise("mapped_cls_v1").alias("landscape_class_semantics"), F.when(h % 3 != 0, "III").alias("risk_level"),
@@ -284,7 +313,7 @@ def report_issues(spark, sf_dir):
         _KEY, "problem_id", "status", F.when((F.col("status") == rules.INSUFFICIENT) & (g % 2 == 0), "confirmed").otherwise(F.col("existence")).alias("existence"), F.when(g % 17 != 0, F.col("features")).alias("features"), F.lit(True).alias("has_context"),
         F.when(g % 19 != 0, F.col("rule_id")).alias("rule_id"), F.transform("evidence", lambda e: F.struct(F.when(g % 23 != 0, e["evidence_id"]).alias("evidence_id"), e["fact_ref"].alias("fact_ref"))).alias("evidence"),
     )
-    known = _offers(spark, sf_dir).join(F.broadcast(_knowledge(spark)), F.col("text") == F.col("name")).select(_KEY, "measure_id", "targets").distinct()
+    known = state.offers().join(F.broadcast(_knowledge(spark)), F.col("text") == F.col("name")).select(_KEY, "measure_id", "targets").distinct()
     k = _len() + F.substring("measure_id", 2, 3).cast("int")
     m = known.withColumns({"priority": F.when(k % 3 == 0, 1), "parameter_status": F.lit("not_provided"), "parameters": F.when(k % 4 == 0, "120株")})
     return assembly.report_issues(tops, x, m)
@@ -322,7 +351,7 @@ def chart_points(spark, sf_dir):
 @query(f"""WITH {_BASE_SQL} SELECT d.project_key, ord::INT AS place, d.problem_id, d.problem_name, d.status, {_label("severity", report.SEVERITY_LABELS)} AS severity, {_label("trend", report.MATRIX_TRENDS)} AS trend FROM diag d JOIN rep USING (project_key, problem_id)""")
 def matrix_chart(spark, sf_dir):
     """The matrix of reportable problems as chart JSON, read back row by row."""
-    c = report.matrix_chart(rules.ordered(_state(spark, sf_dir)[1]))
+    c = report.matrix_chart(rules.ordered(_diagnoses(spark, sf_dir)))
     kind = "rows array<struct<problem_id: string, problem_name: string, status: string, severity: string, trend: string>>"
     return c.select(_KEY, F.posexplode(F.from_json("data_json", kind)["rows"]).alias("k", "r")).select(_KEY, (F.col("k") + 1).alias("place"), "r.*")
 

@@ -10,7 +10,7 @@ are thinned to a spanning forest within each task (union-find) before they leave
 link is lost.  The links' connected components are found by a distributed star algorithm.
 
 ``near_duplicates`` takes all links of the budget as they are.  ``near_dedup`` uses the same join to find candidates,
-holds the texts themselves against each other, and then adds by an exact join on rare shingles what fingerprints miss.
+holds the texts' sets of shingles against each other, and then adds by an exact join on rare shingles what fingerprints miss.
 
 Defined cases: null and empty texts have no words and fingerprint zero, and are linked like others; texts of
 fewer words than a shingle are one shingle; repeated rows fall into one component; rows that share an id but
@@ -35,8 +35,8 @@ from .components import components
 #: Most fingerprints that may be expected to share a key by chance; more blocks must agree beyond that.
 CHANCE_ROWS = 64
 KEY_ROWS = 20_000
-#: Texts under one shared shingle beyond which they are dealt out; texts and shingles that set the order of shingles.
-SHARED_ROWS, ORDER_TEXTS, ORDER_SHINGLES = 1000, 20_000, 500_000
+#: Texts under one shared shingle beyond which they are dealt out; shingles that set the order of shingles.
+SHARED_ROWS, ORDER_SHINGLES = 1000, 500_000
 #: Bits of a text's sketch, each the parity of how many of its shingles' hashes end so.
 SKETCH_BITS = 512
 _FRONTIER = 1 << 19
@@ -257,18 +257,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3, key_rows: i
     return fp.join(of, "fp").select(real("k_id").alias("doc_id"), "k_id", "k_hash", "fp", real("first.k_id").alias("component_id"), (F.struct("k_id", "k_hash") == F.col("first")).alias("keeper"))
 
 
-def _shingles(text: bytes, size: int) -> set[bytes]:
-    words = text.lower().split()
-    return {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
-
-
-def _verifier(size: int, similarity: float):
+def _verifier(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.sliced(batches, 100):
             keep = []
-            for x, y in zip(C.texts(batch, "ta"), C.texts(batch, "tb"), strict=True):
-                a, b = _shingles(x, size), _shingles(y, size)
-                both = len(a & b)
+            for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
+                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both >= similarity * (len(a) + len(b) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -276,46 +271,66 @@ def _verifier(size: int, similarity: float):
 
 
 def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those *pairs* (a, b of k_hash) whose texts are similar."""
+    """Those *pairs* (a, b of k_hash) whose texts are similar: the ascending hashes of their shingles are held together."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.sliced(batches, 200):
+            yield pa.RecordBatch.from_arrays([batch.column("k_hash"), pa.array([shingle_hashes(x, words).tobytes() for x in C.texts(batch)], pa.binary())], names=["k_hash", "h"])
+
     wanted = pairs.select(F.col("a").alias("k_hash")).unionByName(pairs.select(F.col("b").alias("k_hash"))).distinct()
     # One row of each text is taken by its whole key, so that copies don't meet in one task; what is written once is
     # dealt out anew by the joins below, which may split a text that many are held against.
     keys = wanted.join(texts, "k_hash").select("k_id", "k_hash")
     taken = docs.select(*C.row_key(), F.coalesce("text", F.lit("")).alias("text")).join(keys, ["k_id", "k_hash"], "left_semi").dropDuplicates(["k_id", "k_hash"])
-    body = C.materialize(taken.select("k_hash", "text"))
-    of = lambda k: body.select(F.col("k_hash").alias(k), F.col("text").alias(f"t{k}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_verifier(words, similarity), "a long, b long")
+    body = C.materialize(taken.select("k_hash", "text").mapInArrow(hashed, "k_hash long, h binary"))
+    of = lambda k: body.select(F.col("k_hash").alias(k), F.col("h").alias(f"h{k}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_verifier(similarity), "a long, b long")
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
-    """The ascending 64-bit hashes of ``_shingles``."""
+    """The ascending 64-bit hashes of a text's different shingles of *size* words (fewer words: the whole sequence)."""
     words = text.lower().split()
     if len(words) < size:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
     return np.unique(C.ngram_hashes(np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64), size))
 
 
-def _common_shingles(docs: DataFrame, texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ascending hashes, level): shingles that recur in some ORDER_TEXTS of the texts and how often, as a power of two.
-    They only say which shingles come last in the order of ``exact_pairs``; any order gives the same links."""
-    every = max(1, -(-texts.count() // ORDER_TEXTS))
-    some = docs.select(*C.row_key(), "text").where(F.pmod(F.xxhash64("k_hash"), F.lit(every)) == 0).dropDuplicates(["k_hash"])
+def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending hashes, level): the shingles that recur most over all rows and how often, as a power of two.  They only say
+    which shingles come last in the order of ``exact_pairs``; any order gives the same links.
+
+    A task counts its shingles and keeps those that make up a share of 2 / ORDER_SHINGLES of what it has seen; one that has
+    this share of all rows has it in a task, so none of these is missed, and a task sends ORDER_SHINGLES / 2 rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counts, seen, new, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            h, at = np.unique(np.concatenate([held, *new]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([counts, np.ones(size, np.int64)]), minlength=len(h)).astype(np.int64)
+            keep = n >= max(4, -(-2 * (seen + size) // ORDER_SHINGLES))
+            return h[keep], n[keep]
+
         for batch in batches:
             for x in C.texts(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(x, words).view(np.int64))], names=["h"])
-
-    found = some.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count >= 4").orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).toArrow()
-    h, n = found["h"].to_numpy().view(np.uint64), found["count"].to_numpy()
+                new.append(shingle_hashes(x, words))
+                size += len(new[-1])
+                if size >= 1 << 20:
+                    held, counts = merged()
+                    seen, new, size = seen + size, [], 0
+        held, counts = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], names=["h", "n"])
+
+    found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(h)
     return h[order], np.log2(n[order]).astype(np.uint64)
 
 
-def _prefixes(docs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(k_id, k_hash, n, sketch, hs) of every row: how many shingles a text has, its sketch, and the first shingles in a
     fixed order, rare ones first: so many that two similar texts share one of them."""
-    sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, texts, words))
+    sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, level = sent.value
@@ -411,7 +426,7 @@ def shared_rows(docs: DataFrame, texts: DataFrame, roots: DataFrame, words: int,
 
     Shingles under which only one root comes are left out before any pair is made; one of more than *key_rows* texts is
     dealt out as pairs of chunks."""
-    mine = _prefixes(docs, texts, words, similarity).join(texts.select("k_id", "k_hash"), ["k_id", "k_hash"], "left_semi").dropDuplicates(["k_id", "k_hash"])
+    mine = _prefixes(docs, words, similarity).join(texts.select("k_id", "k_hash"), ["k_id", "k_hash"], "left_semi").dropDuplicates(["k_id", "k_hash"])
     own = C.materialize(mine.join(roots.select(F.col("node").alias("k_hash"), "root"), "k_hash", "left").withColumn("root", F.coalesce("root", "k_hash")))
     at = own.select("k_hash", "root", F.posexplode("hs").alias("pos", "h"))
     many = at.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("h", F.ceil(F.col("c") / key_rows).cast("int").alias("c"))

@@ -11,6 +11,12 @@ def make_docs(spark, texts, start=1):
     return spark.createDataFrame([(i, t, "en", "src0", None if t is None else len(t)) for i, t in rows], DOCS)
 
 
+def plain_shingles(text, size):
+    """The different shingles of a text in plain code (bytes, lower-cased in A-Z)."""
+    words = text.lower().split()
+    return {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
+
+
 @pytest.fixture(scope="session")
 def docs_of(spark):
     return lambda texts, start=1: make_docs(spark, texts, start)

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from panelyard.llm import decontaminate, simhash
+from panelyard.llm import decontaminate
 from panelyard.llm._common import read
+from tests.llm.conftest import plain_shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,7 +30,7 @@ def test_stages_take_effect(spark):
             repeats += w in seen
             seen.add(w)
     assert (lines.agg(F.sum("n_chars")).first()[0] < good.agg(F.sum("n_chars")).first()[0]) == (repeats > 0)
-    sets = [simhash._shingles(r.text.encode(), 5) for r in near.collect()]
+    sets = [plain_shingles(r.text.encode(), 5) for r in near.collect()]
     assert sum(len(a & b) >= 0.8 * len(a | b) for k, a in enumerate(sets) for b in sets[:k]) == 0
     assert decontaminate.scan(clean.select("text"), read(spark, SF, "benchmark")).where("size(item_ids) > 0").count() == 0
     packed = P.STAGES[-1][1](spark, clean, SF)

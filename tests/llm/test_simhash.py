@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from panelyard.llm import simhash
 from panelyard.llm.components import components
+from tests.llm.conftest import plain_shingles
 
 
 def brute_fingerprint(text, size=3):
@@ -75,7 +76,7 @@ def test_trie_links_on_dense_groups():
 
 
 def brute_similar(texts, words=5, least=0.8):
-    sets = [simhash._shingles((t or "").encode(), words) for t in texts]
+    sets = [plain_shingles((t or "").encode(), words) for t in texts]
     top = list(range(len(texts)))
 
     def find(x):
@@ -104,6 +105,21 @@ def test_near_dedup_against_brute_force(spark, docs_of, prose):
     assert kept == brute_similar(texts)
 
 
+def test_a_passage_in_half_of_all_texts_pairs_nothing(spark):
+    """The order of shingles comes from all rows, so what many texts share comes last and no text is looked up by it."""
+    rng = np.random.default_rng(9)
+    words = rng.integers(0, 10**9, (20_000, 20)).astype(str)
+    texts = [" ".join(w) + (" this passage stands in many of the texts" if k % 2 else "") for k, w in enumerate(words)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[1] + " end", texts[3].replace("passage", "sentence")])), "doc_id long, text string")
+    fp = simhash.fingerprints(docs, 1, True)
+    table = fp.groupBy("k_hash", "fp").agg(F.min("k_id").alias("k_id"))
+    alone = spark.createDataFrame([], "node long, root long")
+    rows, counts = simhash.shared_rows(docs, table, alone, 5, 0.8)
+    assert rows.count() < 200 and simhash.exact_pairs(rows, counts, alone, 0.8).count() <= 10
+    kept = {r.doc_id for r in simhash.near_dedup(docs).select("doc_id").collect()}
+    assert kept == set(range(20_000)) | ({20_001} if len(plain_shingles(texts[3].encode(), 5) & plain_shingles(texts[3].replace("passage", "sentence").encode(), 5)) < 0.8 * 28 else set())
+
+
 def test_forest_has_the_fewest_bits():
     rng = np.random.default_rng(5)
     centre = rng.integers(0, 2**63, 6, dtype=np.uint64)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import analysis, assembly, measures, report, risk, rules, text, trend
 from ..sources import tables
 from . import panel
-from .more_queries import _CONTEXT_SQL, _KNOW_SQL, _MATCH_SQL, _OFFER_SQL, _OFFERS, _case, _knowledge, _offers, offer
+from .more_queries import _CONTEXT_SQL, _KNOW_SQL, _MATCH_SQL, _OFFER_SQL, _OFFERS, _REP_SQL, _case, _knowledge, _offers, offer
 from .panel import FACTS_SQL, PANEL_SQL
 from .queries import DIAGNOSE_SQL, KEYS, _diagnoses, query
 from .risk_queries import _EVIDENCE_SQL, RISK_SQL, records, targets, trends
@@ -286,6 +286,58 @@ def locked_context(spark, sf_dir):
     return analysis.locked_changes(c, d, _LOCKED, [_KEY, "problem_id"]).unionByName(wrong)
 
 
+@query(f"""WITH {_BASE_SQL}, s AS (SELECT cx.*, {_ORD} AS h, split_part(mm.matched, ',', 1) AS m1 FROM cx LEFT JOIN mm USING (project_key, problem_id)),
+a AS (SELECT * FROM s WHERE h % 11 <> 0), b AS (SELECT * FROM a WHERE h % 7 <> 2)
+SELECT project_key, problem_id, 'analysis_problem_mismatch' AS code, 'missing' AS detail FROM s WHERE h % 11 = 0 UNION ALL SELECT project_key, 'P099', 'analysis_problem_mismatch', 'unexpected' FROM s WHERE problem_id = 'P002' AND {_LEN} % 4 = 0 AND h % 11 <> 0
+UNION ALL SELECT project_key, problem_id, CASE WHEN h % 17 = 0 THEN 'invalid_analysis_features' ELSE 'unknown_analysis_feature' END, CASE WHEN h % 17 = 0 THEN '' ELSE 'own_idea' END FROM a WHERE h % 17 = 0 OR h % 13 = 0
+UNION ALL SELECT project_key, problem_id, 'invalid_analysis_context', 'restoration' FROM a WHERE h % 7 = 2
+UNION ALL SELECT project_key, problem_id, 'analysis_changed_locked_fact', 'indicator_synthesis.supporting_signals[' || split_part(sid, ',', 1) || '].recent:changed' FROM b WHERE h % 5 = 0 AND sid <> ''
+UNION ALL SELECT project_key, problem_id, 'analysis_changed_locked_fact', 'temporal.turning_points:changed' FROM b WHERE h % 7 = 1
+UNION ALL SELECT project_key, problem_id, 'analysis_changed_locked_fact', 'restoration.matched_measures[' || m1 || '].name:changed' FROM b WHERE h % 7 = 3 AND m1 IS NOT NULL
+UNION ALL SELECT project_key, problem_id, 'analysis_changed_locked_fact', 'indicator_synthesis.conflicting_signals[' || string_split(cid, ',')[-1] || ']:removed' FROM b WHERE h % 7 = 4 AND cid <> ''
+UNION ALL SELECT project_key, problem_id, 'analysis_missing_locked_fact', 'restoration.implementation_limits:missing' FROM b WHERE h % 7 = 5
+UNION ALL SELECT project_key, problem_id, 'missing_analysis_explanation', 'temporal.summary' FROM b WHERE h % 3 = 0
+UNION ALL SELECT project_key, problem_id, 'invalid_interpretation', 'primary_finding' FROM b WHERE h % 4 = 1 UNION ALL SELECT project_key, problem_id, 'invalid_uncertainty', 'confidence_reason' FROM b WHERE h % 4 = 2""")
+def analysis_issues(spark, sf_dir):
+    """Whole nested contexts against drafts of them that are wrong at every depth: lost problems and sections, changed, lost
+    and removed facts with their paths, explanations and interpretations that lack."""
+    seeds = analysis.nested_contexts(_state(spark, sf_dir).contexts)
+    h = _len() * 3 + F.substring("problem_id", 2, 3).cast("int")
+    c = F.col("analysis_context")
+    first = lambda part, field, new: F.transform(part, lambda z, i: F.when(i == 0, z.withField(field, new(z[field]))).otherwise(z))
+    signals, against, years = c["indicator_synthesis"]["supporting_signals"], c["indicator_synthesis"]["conflicting_signals"], c["temporal"]["turning_points"]
+    steps = [
+        (h % 5 == 0, "indicator_synthesis.supporting_signals", first(signals, "recent", lambda _: F.lit("sideways"))), (h % 7 == 1, "temporal.turning_points", F.concat(years, F.array(F.lit(1)))),
+        (h % 7 == 3, "restoration.matched_measures", first(c["restoration"]["matched_measures"], "name", lambda n: F.concat(n, F.lit("!")))), (h % 7 == 4, "indicator_synthesis.conflicting_signals", F.slice(against, F.lit(1), F.greatest(F.size(against) - 1, F.lit(0)))),
+        (h % 7 == 5, "restoration.implementation_limits", F.lit(None).cast("array<string>")), (h % 3 == 0, "temporal.summary", F.lit(" ")), (h % 4 == 1, "interpretation.primary_finding", F.lit(None).cast("string")), (h % 4 == 2, "uncertainty.confidence_reason", F.lit(None).cast("string")),
+        (h % 7 == 2, "restoration", F.lit(None).cast(seeds.schema["analysis_context"].dataType["restoration"].dataType)),
+    ]
+    drafts = seeds.where(h % 11 != 0)
+    for test, path, new in steps:
+        section, *field = path.split(".")
+        drafts = drafts.withColumn("analysis_context", F.when(test, c.withField(section, c[section].withField(field[0], new) if field else new)).otherwise(c))
+    feature = F.when(h % 17 == 0, F.array().cast("array<string>")).when(h % 13 == 0, F.concat("analysis_features", F.array(F.lit("own_idea")))).otherwise(F.col("analysis_features"))
+    more = drafts.where((F.col("problem_id") == "P002") & (_len() % 4 == 0)).withColumn("problem_id", F.lit("P099"))
+    return analysis.analysis_issues(seeds, drafts.withColumn("analysis_features", feature).unionByName(more))
+
+
+@query(f"""WITH {_BASE_SQL}, {_REP_SQL}, t AS (SELECT project_key, {_LEN} % 6 AS h, min(dimension) AS dim FROM rp GROUP BY 1), sh AS (SELECT project_key, min(indicator) AS ind FROM (SELECT project_key, indicator FROM rp GROUP BY ALL HAVING count(DISTINCT problem_id) > 1) GROUP BY 1)
+SELECT project_key, 'cross_changed_dimension_profiles' AS code, '[' || dim || '].supporting_signal_count:changed' AS detail FROM t WHERE h = 0 UNION ALL SELECT project_key, 'unknown_dominant_dimension', 'space' FROM t WHERE h = 1 UNION ALL SELECT project_key, 'missing_cross_interpretation', 'integrated_interpretation' FROM t WHERE h = 2
+UNION ALL SELECT project_key, 'unknown_cross_problem_id', 'P099' FROM t JOIN sh USING (project_key) WHERE h = 3 UNION ALL SELECT project_key, 'unknown_cross_indicator', 'XX' FROM t JOIN sh USING (project_key) WHERE h = 4 UNION ALL SELECT project_key, 'invalid_cross_problem_analysis', '' FROM t WHERE h = 5""")
+def cross_issues(spark, sf_dir):
+    """Drafted cross-problem parts against what the problems say together, one fault a project."""
+    d = _diagnoses(spark, sf_dir)
+    seeds = analysis.cross_contexts(rules.reportable(d))
+    known = d.groupBy(_KEY).agg(F.collect_set("problem_id").alias("problem_ids"), F.array_distinct(F.flatten(F.collect_list("indicators"))).alias("indicators"))
+    h, c = _len() % 6, F.col("cross")
+    first = lambda part, field, new: F.transform(part, lambda z, i: F.when(i == 0, z.withField(field, new(z[field]))).otherwise(z))
+    wrong = (
+        F.when(h == 0, c.withField("dimension_profiles", first(c["dimension_profiles"], "supporting_signal_count", lambda n: n + 1))).when(h == 1, c.withField("dominant_ecological_dimension", F.lit("space"))).when(h == 2, c.withField("integrated_interpretation", F.lit(" ")))
+        .when(h == 3, c.withField("shared_signals", first(c["shared_signals"], "related_problem_ids", lambda p: F.concat(p, F.array(F.lit("P099")))))).when(h == 4, c.withField("shared_signals", first(c["shared_signals"], "indicators", lambda _: F.array(F.lit("XX")))))
+    )
+    return analysis.cross_issues(seeds, seeds.withColumn("cross", wrong), known)
+
+
 # --- contracts ------------------------------------------------------------------------
 
 

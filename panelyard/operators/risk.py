@@ -37,7 +37,7 @@ def pick_scope(records: DataFrame, keys: Sequence[str], preferred: Sequence[str]
 
 def risk_evidence(projects: DataFrame, records: DataFrame, trends: DataFrame, source_present: bool = True, order: Sequence[str] = tuple(SCOPE_ORDER), key: str = "project_key") -> DataFrame:
     """One row a project: the current risk and the scope that speaks for it, fallback and quality flags, the gradient over
-    scopes at the target year, yearly means over all scopes (not cut at the target year), and the trend with whether its
+    scopes at the target year (of rows of one scope the last), yearly means over all scopes (not cut at the target year), and the trend with whether its
     significance is available.
 
     *projects*: (key, project_type, target_year); *records*: (key, year, scope, RISK_FIELDS, risk_level, risk_level_code,
@@ -47,10 +47,13 @@ def risk_evidence(projects: DataFrame, records: DataFrame, trends: DataFrame, so
     """
     wide = records.join(projects.select(key, "project_type", "target_year"), key).withColumn("rank", rank_of(F.col("scope"), order))
     here = (F.col("year") == F.col("target_year")) & F.col("rank").isNotNull() & (F.col("project_type").isin(CORE_TYPES) | (F.col("rank") > 1))
-    step = F.struct("rank", "scope", F.nullif("risk_level", F.lit("")).alias("risk_level"), "risk_level_code", F.struct(*RISK_FIELDS).alias("values"), "source_row")
+    step = F.struct("rank", F.coalesce("source_row", F.lit(-1)).alias("place"), "scope", F.nullif("risk_level", F.lit("")).alias("risk_level"), "risk_level_code", F.struct(*RISK_FIELDS).alias("values"), "source_row")
     yearly = wide.repartition(key).groupBy(key, "year").agg(F.avg("CERI").alias("mean_ceri"), F.count("CERI").alias("valid_scope_count"), F.collect_list(F.when(here, step)).alias("steps"))
     means = F.array_sort(F.collect_list(F.when(F.col("valid_scope_count") > 0, F.struct("year", "mean_ceri", "valid_scope_count"))))
-    g = yearly.groupBy(key).agg(means.alias("annual_series"), F.array_sort(F.flatten(F.collect_list("steps"))).alias("spatial_gradient"))
+    g = yearly.groupBy(key).agg(means.alias("annual_series"), F.array_sort(F.flatten(F.collect_list("steps"))).alias("all_steps"))
+    # Of a scope that comes twice the last row counts.
+    last = F.filter(F.arrays_zip("all_steps", F.slice("all_steps", F.lit(2), F.size("all_steps")).alias("next")), lambda z: z["all_steps"].isNotNull() & ~z["all_steps"]["rank"].eqNullSafe(z["next"]["rank"]))
+    g = g.withColumn("spatial_gradient", F.transform(last, lambda z: z["all_steps"].dropFields("place"))).drop("all_steps")
     value, invalid = checked_p(F.col("p_value_raw"))
     t = trends.withColumns({"p_value": value, "p_value_invalid": invalid, "in_trends": F.lit(True)})
     x = projects.select(key, "project_type", "target_year").join(g, key, "left").join(t, key, "left")

@@ -278,12 +278,12 @@ def first_record(spark, sf_dir):
 # --- quality --------------------------------------------------------------------------
 
 
-@query("""WITH o AS (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1996), k AS (SELECT DISTINCT c_custkey AS key FROM customer WHERE c_mktsegment <> 'BUILDING'), r AS (SELECT DISTINCT o_custkey AS key FROM o)
+@query("""WITH k AS (SELECT DISTINCT c_custkey AS key FROM customer), r AS (SELECT DISTINCT CASE WHEN o_custkey % 5 = 0 THEN -1 - o_custkey ELSE o_custkey END AS key FROM orders)
 SELECT coalesce(k.key, r.key) AS key, CASE WHEN r.key IS NULL THEN 'missing' ELSE 'extra' END AS side FROM k FULL JOIN r ON k.key = r.key WHERE k.key IS NULL OR r.key IS NULL""")
 def key_diff(spark, sf_dir):
-    """Keys that only one side has."""
-    c = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("key"))
-    o = table(spark, sf_dir, "orders").where(F.year("o_orderdate") == 1996).select(F.col("o_custkey").alias("key"))
+    """Keys that only one side has; a fifth of the orders' keys are turned into ones that no customer has."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    o = table(spark, sf_dir, "orders").select(F.when(F.col("o_custkey") % 5 == 0, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("key"))
     return quality.key_differences(c, o, "key")
 
 
@@ -300,7 +300,8 @@ def key_preview(spark, sf_dir):
 def fk_check(spark, sf_dir):
     """Lines whose order isn't among the finished ones."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
+    # Orders that aren't finished stand under other keys.
+    done = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")).otherwise(-1 - F.col("o_orderkey")).alias("o_orderkey"))
     return quality.orphans(lines, done, "l_orderkey", "o_orderkey")
 
 

@@ -24,8 +24,8 @@ rk AS (SELECT project_key, "year", CASE o_orderpriority {' '.join(f"WHEN '{a}' T
   (count(*) FILTER (o_orderstatus = 'F'))::DOUBLE AS "RER", (count(*) FILTER (o_orderstatus = 'O'))::DOUBLE / count(*) AS "CVR", sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / 1e6 AS "CERI_raw",
   CASE WHEN count(*) >= 3 THEN sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / 1e6 END AS "CERI", min(o_orderkey) AS source_row FROM ords GROUP BY ALL),
 rec AS (SELECT *, (k % 4)::INT AS risk_level_code, {_LEVELS!r}[k % 4 + 1] AS risk_level FROM rk),
-tr AS (SELECT project_key, min("CERI_raw") AS start_ceri, max("CERI_raw") AS end_ceri, CASE WHEN count(*) % 4 > 0 THEN (count(*) % 9 - 1) / 5.0::DOUBLE END AS p_value_raw, CASE WHEN count(*) % 2 = 0 THEN '上升' ELSE '下降' END AS trend_type FROM rec WHERE length(project_key) % 4 > 0 GROUP BY 1),
-mat AS (SELECT project_key, CASE WHEN length(project_key) % 2 = 0 THEN 'III_中风险' ELSE '' END AS risk_level, (length(project_key) % 5)::INT AS risk_level_code, {_TYPES!r}[length(project_key) % 5 + 1] AS risk_types FROM projects WHERE length(project_key) % 7 > 0)
+tr AS (SELECT CASE WHEN length(project_key) % 4 > 0 THEN project_key ELSE 'other-' || project_key END AS project_key, min("CERI_raw") AS start_ceri, max("CERI_raw") AS end_ceri, CASE WHEN count(*) % 4 > 0 THEN (count(*) % 9 - 1) / 5.0::DOUBLE END AS p_value_raw, CASE WHEN count(*) % 2 = 0 THEN '上升' ELSE '下降' END AS trend_type FROM rec GROUP BY 1),
+mat AS (SELECT CASE WHEN length(project_key) % 7 > 0 THEN project_key ELSE 'other-' || project_key END AS project_key, CASE WHEN length(project_key) % 2 = 0 THEN 'III_中风险' ELSE '' END AS risk_level, (length(project_key) % 5)::INT AS risk_level_code, {_TYPES!r}[length(project_key) % 5 + 1] AS risk_types FROM projects)
 """
 
 
@@ -33,6 +33,12 @@ def _len() -> Column:
     return F.length("project_key")
 
 
+def _mine(test: Column) -> Column:
+    """The project's key where *test* holds; elsewhere the rows are another one's, which has no project: they stay in the
+    table, and the project has none."""
+    return F.when(test, F.col("project_key")).otherwise(F.concat(F.lit("other-"), "project_key")).alias("project_key")
+
+
 def targets(spark, sf_dir):
     """Projects, each with a target year of its own."""
     return panel.projects(spark, sf_dir).select("project_key", "project_type", (1999 + _len() % 3).alias("target_year"))
@@ -50,15 +56,14 @@ def records(spark, sf_dir):
 
 def trends(r):
     n = F.count("*")
-    g = r.where(_len() % 4 > 0).groupBy("project_key").agg(
+    g = r.withColumn("project_key", _mine(_len() % 4 > 0)).groupBy("project_key").agg(
         F.min("CERI_raw").alias("start_ceri"), F.max("CERI_raw").alias("end_ceri"), F.when(n % 4 > 0, (n % 9 - 1) / 5.0).alias("p_value_raw"), F.when(n % 2 == 0, "上升").otherwise("下降").alias("trend_type"),
     )
     return g.withColumns({"change_rate_percent": F.lit(None).cast("double"), "sen_slope": F.lit(None).cast("double")})
 
 
 def matching(projects):
-    x = projects.where(_len() % 7 > 0)
-    return x.select("project_key", F.when(_len() % 2 == 0, "III_中风险").otherwise("").alias("risk_level"), (_len() % 5).cast("int").alias("risk_level_code"), F.element_at(F.array(*map(F.lit, _TYPES)), (_len() % 5 + 1).cast("int")).alias("risk_types"))
+    return projects.select(_mine(_len() % 7 > 0), F.when(_len() % 2 == 0, "III_中风险").otherwise("").alias("risk_level"), (_len() % 5).cast("int").alias("risk_level_code"), F.element_at(F.array(*map(F.lit, _TYPES)), (_len() % 5 + 1).cast("int")).alias("risk_types"))
 
 
 _RANK = f"list_position({risk.SCOPE_ORDER!r}, scope)"
@@ -86,14 +91,13 @@ def risk_evidence(spark, sf_dir):
     return e.select("project_key", "target_year", "risk_level", "risk_level_code", *values, "source_scope", "fallback", joined("quality_flags").alias("flags"), "trend.p_value", "trend.trend_type", F.col("trend.significance_status").alias("significance"), gradient.alias("gradient"), annual.alias("annual"))
 
 
-@query(f"""WITH {PANEL_SQL}, {RISK_SQL}, {_EVIDENCE_SQL}, part AS (SELECT * FROM ev WHERE length(project_key) % 3 > 0)
+@query(f"""WITH {PANEL_SQL}, {RISK_SQL}, {_EVIDENCE_SQL}, part AS (SELECT * REPLACE (CASE WHEN length(project_key) % 3 > 0 THEN project_key ELSE 'other-' || project_key END AS project_key) FROM ev)
 SELECT t.project_key, CASE WHEN e.project_key IS NOT NULL THEN e.risk_level ELSE nullif(m.risk_level, '') END AS risk_level, CASE WHEN e.project_key IS NOT NULL THEN e.risk_level_code ELSE m.risk_level_code END AS risk_level_code,
   CASE WHEN CASE WHEN e.project_key IS NOT NULL THEN e.risk_level ELSE nullif(m.risk_level, '') END IS NULL THEN 'not_provided' ELSE 'provided' END AS risk_level_status, coalesce(m.risk_types, '') AS reported_risk_types FROM tgt t LEFT JOIN part e USING (project_key) LEFT JOIN mat m USING (project_key)""")
 def overall_risk(spark, sf_dir):
     """The risk level that a report gives; evidence comes before the matching table, which is attached by key."""
     r, t = records(spark, sf_dir), targets(spark, sf_dir)
-    some = _len() % 3 > 0  # the others have no risk source
-    e = risk.risk_evidence(t.where(some), r, trends(r))
+    e = risk.risk_evidence(t, r, trends(r)).withColumn("project_key", _mine(_len() % 3 > 0))  # the others have no risk source
     return risk.overall_risk(t, e, matching(t)).withColumn("reported_risk_types", joined("reported_risk_types"))
 
 

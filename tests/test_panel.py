@@ -169,6 +169,18 @@ def test_risk_goldens(spark):
     assert {x.project_key for x in risk.risk_evidence(projects, records, trends, source_present=False).collect()} == {"s", "w"}
 
 
+def test_of_a_repeated_scope_the_last_row_counts(spark):
+    kind = "project_key string, year int, scope string, " + ", ".join(f"{f} double" for f in risk.RISK_FIELDS) + ", risk_level string, risk_level_code int, source_row long"
+    row = lambda scope, ceri, at: ("s", 2024, scope, *[None] * (len(risk.RISK_FIELDS) - 1), ceri, f"L{at}", at, at)
+    assert risk.RISK_FIELDS[-1] == "CERI"
+    records = spark.createDataFrame([row("0-1km", 7.0, 1), row("本体", 5.0, 2), row("本体", 6.0, 9), row("0-1km", None, 4)], kind)
+    projects = spark.createDataFrame([("s", "solar", 2024)], "project_key string, project_type string, target_year int")
+    trends = spark.createDataFrame([], "project_key string, start_ceri double, end_ceri double, change_rate_percent double, sen_slope double, p_value_raw double, trend_type string")
+    got = risk.risk_evidence(projects, records, trends).first()
+    assert [(g.scope, g["values"].CERI, g.source_row) for g in got.spatial_gradient] == [("本体", 6.0, 9), ("0-1km", None, 4)]
+    assert got.risk_level == "L9" and [(a.mean_ceri, a.valid_scope_count) for a in got.annual_series] == [(6.0, 3)]
+
+
 def test_context_goldens(spark):
     facts = spark.createDataFrame(
         [("p", "MEAN_NDVI", True, "overall_down", "up", [2019]), ("p", "MEAN_NPP", True, "stable", "down", [2018, 2019])], "project_key string, indicator string, valid boolean, long_term string, recent string, turning_years array<int>"

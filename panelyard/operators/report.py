@@ -148,6 +148,35 @@ def problem_blocks(contexts: DataFrame) -> DataFrame:
     return contexts.withColumns({"title": F.col("problem_name"), "paragraphs": problem_paragraphs(contexts)})
 
 
+#: Fields that a writer never sees, wherever they are.
+HIDDEN = ("rule_id", "provenance", "priority", "priority_assessment", "audit", "report_assets", "project_attributes")
+
+
+def writer_payloads(projects: DataFrame, contexts: DataFrame, matches: DataFrame, key: str = "project_key") -> DataFrame:
+    """(key, payload): one nested document a project for whoever writes its text: reportable problems with their nested contexts, in
+    order, and measures with those of their targets that are reportable; fields named in HIDDEN are gone at any depth and
+    every text is ``text.writer_text``.
+
+    *projects*: (key and what else is said of a project); *contexts*: ``analysis.contexts``; *matches*: (key, measure_id, name,
+    mechanism, targets, first_target), with further columns if there are any."""
+    from .analysis import nested_contexts
+    from .nested import rewritten
+    from .rules import INSUFFICIENT, NOT_APPLICABLE
+    from .text import writer_text
+
+    shown = contexts.where(~F.col("status").isin(INSUFFICIENT, NOT_APPLICABLE))
+    full = shown.select(key, "problem_id", "problem_name", "status", "rule_id", (F.col("status") != PROMINENT).alias("later")).join(nested_contexts(shown, key), [key, "problem_id"])
+    problems = full.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("later", "problem_id", "problem_name", "status", "rule_id", "analysis_features", "analysis_context"))).alias("problem_diagnoses"))
+    rest = [c for c in matches.columns if c not in (key, "first_target", "measure_id", "targets")]
+    offered = matches.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first_target", "measure_id", "targets", *rest))).alias("k_measures"))
+    x = projects.join(problems, key, "left").join(offered, key, "left")
+    ids = F.coalesce(F.transform("problem_diagnoses", lambda p: p["problem_id"]), F.array().cast("array<string>"))
+    aimed = F.filter(F.transform("k_measures", lambda m: m.withField("targets", F.filter(m["targets"], lambda t: F.array_contains(ids, t)))), lambda m: F.size(m["targets"]) > 0)
+    payload = F.struct(F.struct(*projects.columns).alias("project"), F.transform("problem_diagnoses", lambda p: p.dropFields("later")).alias("problem_diagnoses"), F.transform(aimed, lambda m: m.dropFields("first_target")).alias("measure_recommendations"))
+    made = x.select(key, payload.alias("payload"))
+    return made.select(key, rewritten(F.col("payload"), made.schema["payload"].dataType, writer_text, HIDDEN).alias("payload"))
+
+
 # --- charts ---------------------------------------------------------------------------
 
 

@@ -270,6 +270,23 @@ def writer_payload(spark, sf_dir):
     return c.drop("rule_id").select(_KEY, "problem_id", text.writer_text(t).alias("text"))
 
 
+@query(f"""WITH {_BASE_SQL}, ms AS (SELECT project_key, string_agg(measure_id || ':' || ts, ';' ORDER BY first, measure_id) AS measures FROM (SELECT project_key, measure_id, min(ord) AS first, string_agg(problem_id, ',' ORDER BY ord) AS ts FROM mt GROUP BY ALL) GROUP BY 1)
+SELECT cx.project_key, rep.ord::INT AS place, cx.problem_id, cx.status, '{analysis.EXPLANATIONS["basis", "basis_summary"].replace("规则指定指标", "核心指标")}' AS summary, '结论基于' || n || '项核心指标证据。' AS reason, coalesce(ms.measures, '') AS measures
+FROM cx JOIN rep USING (project_key, problem_id) LEFT JOIN ms USING (project_key)""")
+def writer_documents(spark, sf_dir):
+    """The whole nested payload of every project, read back problem by problem: every text rewritten, hidden fields gone at any
+    depth, measures with reportable targets only."""
+    s = _state(spark, sf_dir)
+    hidden = s.matches.withColumns({"priority": F.lit(1), "targets": F.concat("targets", F.array(F.lit("P099")))})
+    made = report.writer_payloads(s.years().withColumn("project_attributes", F.lit("x")), s.contexts, hidden)
+    if any(f"{name}:" in made.schema["payload"].dataType.simpleString() for name in report.HIDDEN):
+        raise AssertionError("a hidden field is left")
+    m = F.array_join(F.transform("payload.measure_recommendations", lambda z: F.concat(z["measure_id"], F.lit(":"), F.array_join(z["targets"], ","))), ";")
+    each = made.select(_KEY, F.coalesce(m, F.lit("")).alias("measures"), F.posexplode("payload.problem_diagnoses").alias("k", "p"))
+    c = F.col("p.analysis_context")
+    return each.select(_KEY, (F.col("k") + 1).alias("place"), "p.problem_id", "p.status", c["basis"]["basis_summary"].alias("summary"), c["uncertainty"]["confidence_reason"].alias("reason"), "measures")
+
+
 _LOCKED = ["features", "relationship", "supporting_ids", "conflicting_ids", "stable_ids", "turning_points", "long_recent_relation", "support_strength", "counter_strength", "overall_balance", "dimensions", "match_status"]
 
 

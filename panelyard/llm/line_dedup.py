@@ -49,13 +49,15 @@ def covered_lines(docs: DataFrame, size: int = 3) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     """*docs* with repeated passages of *size* or more lines taken out of ``text``, and ``n_lines``, ``n_removed`` added."""
-    keyed = C.boxed(docs, "text", *C.row_key()).join(covered_lines(docs, size), ["k_id", "k_hash"], "left").withColumn("k_lines", F.split("text", "\n", -1))
+    # The text travels once, inside the row.
+    text = F.col("row")["text"]
+    keyed = C.boxed(docs, *C.row_key()).join(covered_lines(docs, size), ["k_id", "k_hash"], "left").withColumn("k_lines", F.split(text, "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("k_lines") - 1), F.col("covered"))
     kept = F.array_join(F.transform(left, lambda i: F.get("k_lines", i)), "\n")
     return C.unboxed(
         keyed,
         docs.columns,
-        text=F.when(F.col("covered").isNull(), F.col("text")).otherwise(kept),
-        n_lines=F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("k_lines")).cast("long"),
+        text=F.when(F.col("covered").isNull(), text).otherwise(kept),
+        n_lines=F.when(text.isNull(), F.lit(0)).otherwise(F.size("k_lines")).cast("long"),
         n_removed=F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long"),
     )

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import analysis, assembly, measures, report, risk, rules, text, trend
+from ..operators import analysis, assembly, drafts, measures, report, risk, rules, text, trend
 from ..sources import tables
 from . import panel
 from .more_queries import _CONTEXT_SQL, _KNOW_SQL, _MATCH_SQL, _OFFER_SQL, _OFFERS, _REP_SQL, _case, _knowledge, _offers, offer
@@ -355,6 +355,55 @@ def cross_issues(spark, sf_dir):
     return analysis.cross_issues(seeds, seeds.withColumn("cross", wrong), known)
 
 
+_BAD_SENTENCE = "甲has_buffer_gradient。优先级。可能由于降水导致。"
+
+
+def _whole_drafts(spark, sf_dir):
+    """(contexts, unapproved measures, drafts): of every project a right draft and fifteen that are wrong in one way each (v), as JSON."""
+    state = _state(spark, sf_dir)
+    c, banned = state.contexts, _unapproved(state)
+    shown = c.where(~F.col("status").isin(rules.INSUFFICIENT, rules.NOT_APPLICABLE))
+    own = report.problem_paragraphs(shown)
+    floor = F.when(F.col("status") == rules.PROMINENT, assembly.FLOORS[True]).otherwise(assembly.FLOORS[False])
+    short = F.greatest(F.lit(0), F.ceil((floor - F.length(F.array_join(own, ""))) / len(report.BOUNDARY))).cast("int")
+    made = shown.select(_KEY, F.struct("problem_id", F.col("problem_name").alias("title"), F.concat(own, F.array_repeat(F.lit(report.BOUNDARY), short)).alias("paragraphs")).alias("b"))
+    blocks = made.groupBy(_KEY).agg(F.array_sort(F.collect_list("b")).alias("bs"))
+    x = blocks.join(banned.groupBy(_KEY).agg(F.min("phrase").alias("bad")), _KEY, "left").withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    v, texts = F.col("v"), lambda *t: F.array(*map(F.lit, t))
+    summary = F.struct(F.when(v == 4, texts(" ")).when(v == 14, texts(_BAD_SENTENCE)).otherwise(texts("概述。")).alias("paragraphs"), F.when(v == 4, texts("a", "b")).when(v == 15, F.array(F.lit("a"), F.lit("b"), F.coalesce("bad", F.lit("c")))).otherwise(texts("a", "b", "c")).alias("keywords"))
+    block = lambda b: F.struct(
+        b["problem_id"].alias("problem_id"), F.when(v == 11, "标题").otherwise(b["title"]).alias("title"), F.when(v == 12, F.array().cast("array<string>")).when(v == 13, texts("短")).otherwise(b["paragraphs"]).alias("paragraphs"), F.when(v == 10, "x").alias("extra")
+    )
+    bs = F.transform(F.when(v == 9, F.slice("bs", F.lit(2), F.size("bs"))).otherwise(F.col("bs")), block)
+
+    def section(name):
+        title = F.when((v == 7) & F.lit(name == "restoration"), "").otherwise("题")
+        if name == "problem_analysis":
+            return F.when(v == 8, F.lit('{"section_id":"problem_analysis","title":"题","problem_blocks":"x"}')).otherwise(F.to_json(F.struct(F.lit(name).alias("section_id"), title.alias("title"), bs.alias("problem_blocks"))))
+        paragraphs = F.when((v == 7) & F.lit(name == "overall_assessment"), texts(" ")).otherwise(texts("段。"))
+        return F.when(~((v == 6) & F.lit(name == "conclusion")), F.to_json(F.struct(F.lit(name).alias("section_id"), title.alias("title"), paragraphs.alias("paragraphs"))))
+
+    sections = F.concat(F.lit("["), F.concat_ws(",", *map(section, drafts.SECTIONS)), F.lit("]"))
+    whole = lambda s, t: F.concat(F.lit('{"summary":'), s, F.lit(',"sections":'), t, F.lit("}"))
+    text_ = (
+        F.when(v == 1, "no JSON").when(v == 2, F.concat(F.lit('{"extra":1,'), F.substring(whole(F.to_json(summary), sections), 2, 2**31 - 1))).when(v == 3, whole(F.lit('"x"'), F.lit("[]"))).when(v == 5, whole(F.to_json(summary), F.lit("{}")))
+        .otherwise(whole(F.to_json(summary), sections))
+    )
+    return c, banned, x.select(_KEY, "v", text_.alias("draft"))
+
+
+@query(f"""WITH {_BASE_SQL}, {_REPORT_SQL}, {_PHRASE_SQL}, sh AS (SELECT * FROM par WHERE status NOT IN ('数据不足', '不适用')), pk AS (SELECT project_key, min(problem_id) AS first FROM sh GROUP BY 1), bd AS (SELECT pk.project_key, coalesce(min(phrase), 'c') AS bad FROM pk LEFT JOIN ph USING (project_key) GROUP BY 1),
+one(v, code, detail) AS (VALUES (1, 'invalid_narrative_type', ''), (2, 'invalid_draft_top_level', 'extra,sections,summary'), (3, 'invalid_summary', ''), (4, 'invalid_summary_paragraphs', 'summary'), (4, 'invalid_keywords', ''), (5, 'invalid_sections', ''), (6, 'section_mismatch', 'conclusion'), (7, 'invalid_section', 'restoration'),
+  (7, 'invalid_section_paragraphs', 'overall_assessment'), (8, 'invalid_problem_blocks', ''), (14, 'machine_language', 'has_buffer_gradient'), (14, 'priority_language', ''), (14, 'unsupported_inference_or_action', '可能由于降水导致'))
+SELECT project_key, v, code, detail FROM pk, one UNION ALL SELECT project_key, 9, 'problem_block_mismatch', first FROM pk UNION ALL SELECT project_key, 10, 'invalid_problem_block', problem_id FROM sh UNION ALL SELECT project_key, 11, 'invalid_problem_title', problem_id FROM sh
+UNION ALL SELECT project_key, 12, 'invalid_problem_paragraphs', problem_id FROM sh UNION ALL SELECT project_key, 13, 'problem_analysis_too_shallow', problem_id || CASE WHEN status = '突出问题' THEN ':1<350' ELSE ':1<80' END FROM sh UNION ALL SELECT project_key, 13, 'counter_evidence_omitted', problem_id FROM sh WHERE len(against) > 0
+UNION ALL SELECT ph.project_key, 15, 'unapproved_measure', phrase FROM ph JOIN bd USING (project_key) WHERE contains(bad, phrase)""")
+def draft_contract(spark, sf_dir):
+    """Whole drafts, of every project a right one and fifteen wrong ones: every code of the contract, wrong types included."""
+    c, banned, d = _whole_drafts(spark, sf_dir)
+    return drafts.draft_contract_issues(d, c, banned, [_KEY, "v"])
+
+
 # --- contracts ------------------------------------------------------------------------
 
 

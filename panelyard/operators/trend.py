@@ -126,6 +126,12 @@ def indicator_facts(series: DataFrame, keys: Sequence[str], time: str = "year",
     )
 
 
+def with_lineage(facts: DataFrame, series: DataFrame, keys: Sequence[str], time: str = "year", value: str = "value", row: str = "source_row", file: str = "source_file") -> DataFrame:
+    """*facts* with ``time_series``: each one's points (null ones, too) in order, with the file and row that they came from."""
+    points = F.array_sort(F.collect_list(F.struct(F.col(time).alias("year"), F.col(value).alias("value"), F.col(row).alias("source_row"), F.col(file).alias("source_file"))))
+    return facts.join(series.groupBy(*keys).agg(points.alias("time_series")), list(keys), "left")
+
+
 def with_values(facts: DataFrame) -> DataFrame:
     """Facts of series that have any value; the others say nothing of their entity."""
     return facts.where("valid_years > 0")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import analysis, assembly, drafts, measures, report, risk, rules, text, trend
-from ..sources import tables
+from ..sources import sinks, tables
 from . import panel
 from .more_queries import _CONTEXT_SQL, _KNOW_SQL, _MATCH_SQL, _OFFER_SQL, _OFFERS, _REP_SQL, _case, _knowledge, _offers, offer
 from .panel import FACTS_SQL, PANEL_SQL
@@ -483,3 +483,24 @@ def risk_chart(spark, sf_dir):
     j = c.select(_KEY, F.from_json("data_json", kind).alias("j"))
     both = F.concat(F.transform("j.annual_series", lambda z: F.struct(F.lit("annual").alias("part"), z["year"].cast("string").alias("x"), z["value"].alias("y"))), F.transform("j.spatial_gradient", lambda z: F.struct(F.lit("gradient").alias("part"), z["scope"].alias("x"), z["value"].alias("y"))))
     return j.select(_KEY, F.explode(both).alias("p")).select(_KEY, "p.part", "p.x", F.round("p.y", 9).alias("y"))
+
+
+@query(f"""WITH {PANEL_SQL}, pj AS (SELECT DISTINCT project_key FROM wide), ch AS (SELECT project_key, 1 AS k FROM long WHERE value IS NOT NULL AND indicator IN ('MEAN_NDVI', 'MEAN_NPP') GROUP BY 1 UNION ALL SELECT project_key, 2 FROM pj)
+SELECT 'project_report_id' AS "table", count(*) AS "rows", count(*) AS reports, true AS intact FROM pj UNION ALL SELECT 'report_entry', count(*), count(*), true FROM pj UNION ALL SELECT 'report_chart', count(*), count(DISTINCT project_key), true FROM ch""")
+def report_export(spark, sf_dir):
+    """Reports, charts and ids in one write, with a manifest of every file's rows and digest; all of it is read back. The
+    query writes the export when it is built."""
+    state = _state(spark, sf_dir)
+    long = trend.unpivot_panel(state.rows, [_KEY, "year"], panel.INDICATORS)
+    veg = report.series_chart(long, _KEY, {"MEAN_NDVI": "NDVI", "MEAN_NPP": "NPP"}, "关键植被指标时序图").select(_KEY, F.lit(1).alias("insert_key"), F.lit("line").alias("type"), "data_json")
+    matrix = report.matrix_chart(rules.ordered(state.diagnoses)).select(_KEY, F.lit(2).alias("insert_key"), F.lit("matrix").alias("type"), "data_json")
+    path = tables.scratch(spark, "export")
+    sinks.export_lines(sinks.report_tables(_reports(spark, sf_dir, state), veg.unionByName(matrix)), path, rows_per_file=50)
+    said = tables.scratch(spark, "manifest")
+    sinks.file_manifest(spark, path).write.json(said)
+    manifest = spark.read.schema("table string, file string, bytes long, rows long, sha256 string").json(said)
+    wrong = sinks.manifest_issues(manifest, sinks.file_manifest(spark, path)).groupBy("table").agg(F.count("*").alias("wrong"))
+    rid = F.coalesce(F.get_json_object("value", "$.id"), F.get_json_object("value", "$.report_id"))
+    back = spark.read.text(path).groupBy("table").agg(F.count("*").alias("k_rows"), F.countDistinct(rid).alias("reports"))
+    of = manifest.groupBy("table").agg(F.sum("rows").alias("rows")).join(back, "table").join(wrong, "table", "left")
+    return of.select("table", "rows", "reports", (F.col("wrong").isNull() & (F.col("rows") == F.col("k_rows"))).alias("intact"))

@@ -226,6 +226,23 @@ def data_profile(spark, sf_dir):
     return f.groupBy(_KEY).agg(names(True).alias("available"), names(False).alias("missing"))
 
 
+@query(f"""WITH {PANEL_SQL}, {FACTS_SQL}, p AS (SELECT project_key, indicator, count(*) AS points, count(value) AS valued FROM long GROUP BY ALL)
+SELECT f.project_key, f.indicator, f.long_term, p.points, p.points AS found, p.valued FROM facts f JOIN p USING (project_key, indicator)""")
+def fact_lineage(spark, sf_dir):
+    """Facts with the file and row of each of their points, which are looked up again in the files that the scan read."""
+    path = tables.scratch(spark, "panel")
+    panel.wide(spark, sf_dir).write.parquet(path)
+    place = lambda d: d.withColumns({"source_file": F.col("_metadata.file_name"), "source_row": F.col("_metadata.row_index")})
+    rows = place(spark.read.parquet(path))
+    long = trend.unpivot_panel(rows, [_KEY, "year", "source_file", "source_row"], panel.INDICATORS)
+    facts = trend.with_lineage(trend.indicator_facts(long, KEYS).select(*KEYS, "long_term"), long, KEYS)
+    each = facts.select(*KEYS, "long_term", F.explode("time_series").alias("p")).select(*KEYS, "long_term", "p.*")
+    again = place(spark.read.parquet(path)).select(F.col(_KEY).alias("k_key"), F.col("year").alias("k_year"), "source_file", "source_row", F.create_map(*[z for i in panel.INDICATORS for z in (F.lit(i), F.col(i))]).alias("k_values"))
+    both = each.join(again, ["source_file", "source_row"], "left")
+    same = (F.col(_KEY) == F.col("k_key")) & (F.col("year") == F.col("k_year")) & F.col("value").eqNullSafe(F.try_element_at("k_values", F.col("indicator")))
+    return both.groupBy(*KEYS, "long_term").agg(F.count("*").alias("points"), F.count_if(same).alias("found"), F.count("value").alias("valued"))
+
+
 # --- streams ---------------------------------------------------------------------------
 
 

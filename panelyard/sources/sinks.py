@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,30 @@ def manifest(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def export_lines(tables: Mapping[str, DataFrame], path: str, rows_per_file: int = 100_000) -> None:
+    """All tables in one write, as files of JSON lines under ``table=<name>``, none of more than *rows_per_file* rows."""
+    out = None
+    for name, df in tables.items():
+        part = df.select(F.lit(name).alias("table"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    out.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("table").text(path)
+
+
+def file_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(table, file, bytes, rows, sha256) of everything that ``export_lines`` has written to *path*."""
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    files = spark.read.format("binaryFile").load(path).select("table", name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    rows = spark.read.text(path).groupBy("table", F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"))
+    return files.join(rows, ["table", "file"], "left").select("table", "file", "bytes", F.coalesce("rows", F.lit(0)).alias("rows"), "sha256")
+
+
+def manifest_issues(said: DataFrame, there: DataFrame) -> DataFrame:
+    """(table, file, issue): files that a manifest names and aren't there, that it doesn't name, or whose digest is another."""
+    x = said.select("table", "file", F.col("sha256").alias("k_said")).join(there.select("table", "file", F.col("sha256").alias("k_there")), ["table", "file"], "full_outer")
+    issue = F.when(F.col("k_there").isNull(), "missing").when(F.col("k_said").isNull(), "extra").when(F.col("k_said") != F.col("k_there"), "changed")
+    return x.withColumn("issue", issue).where("issue is not null").select("table", "file", "issue")
+
+
 def report_tables(reports: DataFrame, charts: DataFrame, key: str = "project_key") -> dict[str, DataFrame]:
     """The three export tables from (key, markdown) and (key, insert_key, type, data_json): entries and charts under a report's
     name-based id, and the ids by key."""

@@ -137,6 +137,8 @@ ELEMENTS_V2 = ["<!-- toc -->", "**关键词：**", "表 1-1"]
 PARAMETER_V2 = r"\d+(?:\.\d+)?\s*(?:米|公里|公顷|亩|吨|千克|公斤|万元|元|天|个月|株|克/平方米)"
 MACHINE = r"(?i)支持状态为\s*(?:True|False)|analysis_context|supports_problem|PR-P\d+|historical_abandoned_mine|ca_landcover_type|has_buffer_gradient|&#x20;|诊断规则|规则指定|关键条件.{0,20}未满足|当前结论不可评估|ReportIR|\bAgent\b|\bWriter\b|\bJSON\b"
 PRIORITY = r"优先级|评分因子|归入\s*P[0-3]|P[0-3]级"
+# What a report of the later kind must hold if it has risk evidence, or a chart of this name.
+RISK_HEADING, FIGURES = "2.2 综合生态风险证据", {"figure-5-1": "图 5-1", "figure-2-3": "图 2-3"}
 LEAKED_NULL = ["综合风险等级为None", "综合风险等级为null"]
 FORBIDDEN_WRITING = [
     r"可能[^。；\n]{0,24}(?:反映|由于|导致|生效|受限于|源于|归因于)", r"可能[^。；\n]{0,32}(?:处于|来自|受到|关联)", r"通常反映|自然波动|局部环境因子|饱和点|污染压力|驱动机制|风险源解析|敏感性评估", r"未受显著负面干扰",
@@ -154,9 +156,17 @@ def lint_rules(version: int) -> list[tuple[str, str, str]]:
     )
 
 
-def lint(texts: DataFrame, keys: Sequence[str], rules: Sequence[tuple[str, str, str]], text: str = "text", phrases: DataFrame | None = None) -> DataFrame:
+def required(reports: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, code, phrase): what the text of a report must hold for what it has; *reports*: (keys, has_risk, charts array of names)."""
+    heading = F.when(F.col("has_risk"), F.array(F.struct(F.lit("missing_heading").alias("code"), F.lit(RISK_HEADING).alias("phrase")))).otherwise(F.array().cast("array<struct<code: string, phrase: string>>"))
+    figures = F.transform(F.filter("charts", lambda c: c.isin(list(FIGURES))), lambda c: F.struct(F.lit("missing_report_element").alias("code"), F.try_element_at(F.create_map(*[F.lit(z) for kv in FIGURES.items() for z in kv]), c).alias("phrase")))
+    return reports.select(*keys, F.explode(F.concat(heading, figures)).alias("i")).select(*keys, "i.code", "i.phrase")
+
+
+def lint(texts: DataFrame, keys: Sequence[str], rules: Sequence[tuple[str, str, str]], text: str = "text", phrases: DataFrame | None = None, needed: DataFrame | None = None) -> DataFrame:
     """(keys, code, detail): one row a finding.  A number that a digit or a point precedes is no parameter.  *phrases*: (keys,
-    code, phrase), what one entity's text must not hold, such as rejected measures or problems that aren't reported."""
+    code, phrase), what one entity's text must not hold, such as rejected measures or problems that aren't reported; *needed*:
+    the same of what it must hold (``required``)."""
     t = F.coalesce(text, F.lit(""))
     one = lambda code, test, detail: F.when(test, F.array(F.struct(F.lit(code).alias("code"), detail.alias("detail"))))
     found = []
@@ -172,6 +182,9 @@ def lint(texts: DataFrame, keys: Sequence[str], rules: Sequence[tuple[str, str,
             found.append(one(code, ~there, F.lit(x)))
     none = F.array().cast("array<struct<code: string, detail: string>>")
     out = texts.select(*keys, F.explode(F.concat(*[F.coalesce(f, none) for f in found])).alias("i")).select(*keys, "i.code", "i.detail")
+    if needed is not None:
+        lacks = texts.select(*keys, t.alias("k_text")).join(needed, list(keys)).where(~F.contains("k_text", F.col("phrase")))
+        out = out.unionByName(lacks.select(*keys, "code", F.col("phrase").alias("detail")).distinct())
     if phrases is None:
         return out
     held = texts.select(*keys, t.alias("k_text")).join(phrases, list(keys)).where(F.contains("k_text", F.col("phrase")) & (F.col("phrase") != ""))

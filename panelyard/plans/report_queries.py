@@ -7,13 +7,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import analysis, assembly, drafts, measures, report, risk, rules, text, trend
+from ..operators import analysis, assembly, drafts, evidence, measures, report, risk, rules, text, trend
 from ..sources import sinks, tables
 from . import panel
 from .more_queries import _CONTEXT_SQL, _KNOW_SQL, _MATCH_SQL, _OFFER_SQL, _OFFERS, _REP_SQL, _case, _knowledge, _offers, offer
 from .panel import FACTS_SQL, PANEL_SQL
 from .queries import DIAGNOSE_SQL, KEYS, _diagnoses, query
-from .risk_queries import _EVIDENCE_SQL, RISK_SQL, records, targets, trends
+from .risk_queries import _EVIDENCE_SQL, _PI_SQL, _SPLIT_SQL, RISK_SQL, matching, records, targets, trends
 
 _KEY = "project_key"
 _LEN = "length(project_key)"
@@ -144,7 +144,7 @@ def export_placeholders(spark, sf_dir):
     return x.select(_KEY, text.export_issue(F.col("t"), F.when(_len() % 3 == 0, 4).otherwise(3)).alias("issue"), F.sha2(text.chart_placeholders(F.col("t")), 256).alias("digest"))
 
 
-_FLAWED_SQL = f"""fl AS (SELECT project_key, replace(replace(replace(replace(markdown, '## 目录', CASE WHEN {_LEN} % 3 = 0 THEN '## 无' ELSE '## 目录' END), '**关键词：**', CASE WHEN {_LEN} % 4 = 0 THEN '词' ELSE '**关键词：**' END), 'P013', CASE WHEN {_LEN} % 5 = 0 THEN 'P1级 PR-P013' ELSE 'P013' END), '## 8 结论', '## 8 结论' || CASE {_LEN} % 6 WHEN 0 THEN ' 种植120株，面积 3.5公顷' WHEN 1 THEN ' 由于开采导致退化，极其严重' WHEN 2 THEN ' 综合风险等级为None' WHEN 3 THEN ' Brand#3 JSON' ELSE '' END) AS text FROM rp3)"""
+_FLAWED_SQL = f"""fl AS (SELECT project_key, replace(replace(replace(replace(markdown, '## 目录', CASE WHEN {_LEN} % 3 = 0 THEN '## 无' ELSE '## 目录' END), '**关键词：**', CASE WHEN {_LEN} % 4 = 0 THEN '词' ELSE '**关键词：**' END), 'P013', CASE WHEN {_LEN} % 5 = 0 THEN 'P1级 PR-P013' ELSE 'P013' END), '## 8 结论', '## 8 结论' || CASE {_LEN} % 6 WHEN 0 THEN ' 种植120株，面积 3.5公顷' WHEN 1 THEN ' 由于开采导致退化，极其严重' WHEN 2 THEN ' 综合风险等级为None' WHEN 3 THEN ' Brand#3 JSON' WHEN 4 THEN ' 图 2-3，2.2 综合生态风险证据' ELSE ' 外来物种扩散' END) AS text FROM rp3)"""
 
 
 def _flawed(spark, sf_dir, state):
@@ -153,7 +153,7 @@ def _flawed(spark, sf_dir, state):
     t = F.replace("markdown", F.lit("## 目录"), F.when(k % 3 == 0, "## 无").otherwise("## 目录"))
     t = F.replace(t, F.lit("**关键词：**"), F.when(k % 4 == 0, "词").otherwise("**关键词：**"))
     t = F.replace(t, F.lit("P013"), F.when(k % 5 == 0, "P1级 PR-P013").otherwise("P013"))
-    said = F.when(k % 6 == 0, " 种植120株，面积 3.5公顷").when(k % 6 == 1, " 由于开采导致退化，极其严重").when(k % 6 == 2, " 综合风险等级为None").when(k % 6 == 3, " Brand#3 JSON").otherwise("")
+    said = F.when(k % 6 == 0, " 种植120株，面积 3.5公顷").when(k % 6 == 1, " 由于开采导致退化，极其严重").when(k % 6 == 2, " 综合风险等级为None").when(k % 6 == 3, " Brand#3 JSON").when(k % 6 == 4, " 图 2-3，2.2 综合生态风险证据").otherwise(" 外来物种扩散")
     return _reports(spark, sf_dir, state).select(_KEY, F.replace(t, F.lit("## 8 结论"), F.concat(F.lit("## 8 结论"), said)).alias("text"))
 
 
@@ -178,11 +178,15 @@ def _lint_sql(rules_: list[tuple[str, str, str]]) -> str:
 _PHRASE_SQL = "ph AS (SELECT o.project_key, o.text AS phrase FROM offer o LEFT JOIN mn ON mn.project_key = o.project_key LEFT JOIN know k ON k.measure_id = mn.measure_id AND k.name = o.text GROUP BY ALL HAVING count(k.measure_id) = 0)"
 
 
-@query(f"WITH {_BASE_SQL}, {_REPORT_SQL}, {_FLAWED_SQL}, {_PHRASE_SQL} {_lint_sql(text.lint_rules(1))} UNION ALL SELECT ph.project_key, 'rejected_measure_present', phrase FROM ph JOIN fl USING (project_key) WHERE contains(fl.text, phrase)")
+@query(f"""WITH {_BASE_SQL}, {_REPORT_SQL}, {_FLAWED_SQL}, {_PHRASE_SQL}, {RISK_SQL}, {_SPLIT_SQL}, {_PI_SQL} {_lint_sql(text.lint_rules(1))} UNION ALL SELECT ph.project_key, 'rejected_measure_present', phrase FROM ph JOIN fl USING (project_key) WHERE contains(fl.text, phrase)
+UNION ALL SELECT DISTINCT rt.project_key, 'unsupported_risk_present', risk FROM rt JOIN fl USING (project_key) WHERE risk NOT IN (SELECT risk FROM pi) AND contains(fl.text, risk)""")
 def report_lint_v1(spark, sf_dir):
-    """What the older lint finds in flawed reports: headings, sections, parameters, exaggeration, causes, measures."""
+    """What the older lint finds in flawed reports: headings, sections, parameters, exaggeration, causes, measures, risks that
+    nothing stands behind."""
     state = _state(spark, sf_dir)
-    phrases = _unapproved(state).withColumn("code", F.lit("rejected_measure_present"))
+    said = evidence.reported(matching(panel.projects(spark, sf_dir)))
+    risks = said.where(~F.col("risk").isin(list(evidence.RISK_INDICATORS))).select(_KEY, F.lit("unsupported_risk_present").alias("code"), F.col("risk").alias("phrase"))
+    phrases = _unapproved(state).select(_KEY, F.lit("rejected_measure_present").alias("code"), "phrase").unionByName(risks)
     return text.lint(_flawed(spark, sf_dir, state), [_KEY], text.lint_rules(1), phrases=phrases)
 
 
@@ -193,13 +197,18 @@ def _unapproved(state):
 
 
 @query(f"""WITH {_BASE_SQL}, {_REPORT_SQL}, {_FLAWED_SQL}, {_PHRASE_SQL} {_lint_sql(text.lint_rules(2))} UNION ALL SELECT ph.project_key, 'unapproved_measure', phrase FROM ph JOIN fl USING (project_key) WHERE contains(fl.text, phrase)
-UNION ALL SELECT d.project_key, 'omitted_problem_leaked', d.problem_name FROM diag d JOIN fl USING (project_key) WHERE d.status IN ('数据不足', '不适用') AND contains(fl.text, d.problem_name)""")
+UNION ALL SELECT d.project_key, 'omitted_problem_leaked', d.problem_name FROM diag d JOIN fl USING (project_key) WHERE d.status IN ('数据不足', '不适用') AND contains(fl.text, d.problem_name) AND NOT (d.problem_id = 'P013' AND {_LEN} % 3 = 0)
+UNION ALL SELECT project_key, 'missing_heading', '{text.RISK_HEADING}' FROM fl WHERE {_LEN} % 3 = 0 AND NOT contains(text, '{text.RISK_HEADING}') UNION ALL SELECT project_key, 'missing_report_element', '图 2-3' FROM fl WHERE NOT contains(text, '图 2-3') UNION ALL SELECT project_key, 'missing_report_element', '图 5-1' FROM fl WHERE {_LEN} % 2 = 0 AND NOT contains(text, '图 5-1')""")
 def report_lint_v2(spark, sf_dir):
-    """What the later lint finds: headings, elements, machine and priority language, leaked problems and measures."""
+    """What the later lint finds: headings and elements (some only if a report has risk evidence or a chart), machine and priority
+    language, leaked problems (P013 may be named where there is risk evidence) and measures."""
     state = _state(spark, sf_dir)
-    d = state.diagnoses.where(F.col("status").isin(rules.INSUFFICIENT, rules.NOT_APPLICABLE)).select(_KEY, F.lit("omitted_problem_leaked").alias("code"), F.col("problem_name").alias("phrase"))
+    has_risk = _len() % 3 == 0
+    needed = text.required(state.years().select(_KEY, has_risk.alias("has_risk"), F.when(_len() % 2 == 0, F.array(*map(F.lit, text.FIGURES))).otherwise(F.array(F.lit("figure-2-3"), F.lit("other"))).alias("charts")), [_KEY])
+    omitted = state.diagnoses.where(F.col("status").isin(rules.INSUFFICIENT, rules.NOT_APPLICABLE) & ~((F.col("problem_id") == "P013") & has_risk))
+    d = omitted.select(_KEY, F.lit("omitted_problem_leaked").alias("code"), F.col("problem_name").alias("phrase"))
     phrases = _unapproved(state).select(_KEY, F.lit("unapproved_measure").alias("code"), "phrase").unionByName(d)
-    return text.lint(_flawed(spark, sf_dir, state), [_KEY], text.lint_rules(2), phrases=phrases)
+    return text.lint(_flawed(spark, sf_dir, state), [_KEY], text.lint_rules(2), phrases=phrases, needed=needed)
 
 
 # --- drafts ---------------------------------------------------------------------------

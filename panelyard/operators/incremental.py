@@ -50,12 +50,22 @@ def intact(results: DataFrame, key: str, columns: Sequence[str], stored: str = "
     return results.where(same), results.where(~same).select(key)
 
 
-def batch_status(state: DataFrame, paused: bool = False) -> DataFrame:
-    """One row: how many are selected, succeeded, failed or pending, and the batch's status."""
-    n = state.agg(F.count("*").alias("selected"), F.count_if(F.col("status") == "succeeded").alias("succeeded"), F.count_if(F.col("status").isin("failed", "paused")).alias("failed"))
+def batch_status(state: DataFrame, paused: Column | bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """How many are selected, succeeded, failed or pending, and the status, of each batch (*by*; without it, of all as one);
+    *paused*: whether someone has paused it (of a batch, if any of its rows says so)."""
+    said = F.coalesce(F.bool_or(F.lit(paused) if isinstance(paused, bool) else paused), F.lit(False))
+    n = state.groupBy(*by).agg(F.count("*").alias("selected"), F.count_if(F.col("status") == "succeeded").alias("succeeded"), F.count_if(F.col("status").isin("failed", "paused")).alias("failed"), said.alias("k_paused"))
     n = n.withColumn("pending", F.col("selected") - F.col("succeeded") - F.col("failed"))
-    status = F.when(F.lit(paused), "paused").when(F.col("succeeded") == F.col("selected"), "complete").when(F.col("pending") > 0, "paused").otherwise("complete_with_failures")
-    return n.withColumn("status", status)
+    status = F.when(F.col("k_paused"), "paused").when(F.col("succeeded") == F.col("selected"), "complete").when(F.col("pending") > 0, "paused").otherwise("complete_with_failures")
+    return n.withColumn("status", status).drop("k_paused")
+
+
+def selected_runs(projects: DataFrame, project_type: str | None = None, numbers: DataFrame | None = None, keys: DataFrame | None = None, key: str = "project_key", number: str = "fid") -> DataFrame:
+    """The *projects* that a run is asked for: of a type, of some numbers (one column *number*) and of some keys (one column
+    *key*); what isn't given doesn't narrow the choice, an empty table chooses nothing."""
+    x = projects if project_type is None else projects.where(F.col("project_type") == project_type)
+    x = x if numbers is None else x.join(numbers.select(number).distinct(), number, "left_semi")
+    return (x if keys is None else x.join(keys.select(key).distinct(), key, "left_semi")).select(*projects.columns)
 
 
 def uuid5(key: Column, namespace: str = "6ba7b811-9dad-11d1-80b4-00c04fd430c8") -> Column:

@@ -189,3 +189,8 @@ def ordered(diagnoses: DataFrame) -> DataFrame:
     """Reportable problems with ``ord``: prominent ones first, then by id."""
     w = Window.partitionBy("project_key").orderBy((F.col("status") != PROMINENT).cast("int"), "problem_id")
     return reportable(diagnoses).withColumn("ord", F.row_number().over(w))
+
+
+def project_limitations(diagnoses: DataFrame, key: str = "project_key") -> DataFrame:
+    """(key, limitations): what limits any of a project's diagnoses, each once, sorted."""
+    return diagnoses.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("limitations")))).alias("limitations"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import quality, rules, text, trend
+from ..operators import incremental, quality, rules, text, trend
 from ..sources import sinks, tables
 from . import panel
 from .panel import FACTS_SQL, PANEL_SQL, table
@@ -168,6 +168,43 @@ def progress(spark, sf_dir):
     return sinks.progress(table(spark, sf_dir, "orders").select("o_orderkey", s.alias("status")))
 
 
+@query("""SELECT o_orderkey, status FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'paused' WHEN 2 THEN 'running' ELSE 'succeeded' END AS status FROM orders) WHERE status IN ('failed', 'paused')""")
+def run_failures(spark, sf_dir):
+    """K6: runs that failed or were paused."""
+    s = F.element_at(F.array(*map(F.lit, ("failed", "paused", "running", "succeeded"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return sinks.failures(table(spark, sf_dir, "orders").select("o_orderkey", s.alias("status")))
+
+
+@query(f"""WITH {PANEL_SQL}, {FACTS_SQL}, {DIAGNOSE_SQL}, l AS (SELECT project_key, '项目类型不适用' AS x FROM g WHERE NOT applies UNION SELECT project_key, '数据条件未满足：' || need FROM g WHERE applies AND NOT met UNION SELECT e2.project_key, '指标数据不足：' || indicator FROM e2 JOIN g ON g.project_key = e2.project_key AND g.problem_id = e2.problem_id WHERE applies AND NOT usable)
+SELECT p.project_key, coalesce(string_agg(x, '；' ORDER BY x), '') AS limitations FROM (SELECT DISTINCT project_key FROM diag) p LEFT JOIN l USING (project_key) GROUP BY 1""")
+def project_limitations(spark, sf_dir):
+    """What limits the diagnoses of every project."""
+    return rules.project_limitations(_diagnoses(spark, sf_dir)).withColumn("limitations", F.array_join("limitations", "；"))
+
+
+@query("""WITH s AS (SELECT o_custkey % 8 AS batch, o_custkey % 8 = 0 AND o_orderkey % 100 = 1 AS stop, CASE WHEN o_custkey % 8 IN (1, 2) THEN 'succeeded' WHEN o_custkey % 8 IN (3, 4) THEN CASE WHEN o_orderkey % 3 = 0 THEN 'failed' ELSE 'succeeded' END WHEN o_orderkey % 3 = 0 THEN 'running' WHEN o_orderkey % 3 = 1 THEN 'paused' ELSE 'succeeded' END AS status FROM orders),
+n AS (SELECT batch, count(*) AS selected, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status IN ('failed', 'paused')) AS failed, bool_or(stop) AS stop FROM s GROUP BY 1)
+SELECT batch, selected, succeeded, failed, selected - succeeded - failed AS pending, CASE WHEN stop THEN 'paused' WHEN succeeded = selected THEN 'complete' WHEN selected - succeeded - failed > 0 THEN 'paused' ELSE 'complete_with_failures' END AS status FROM n""")
+def batch_statuses(spark, sf_dir):
+    """Counts and status of eight batches of runs, whole, paused and with failures."""
+    b, k = F.col("o_custkey") % 8, F.col("o_orderkey")
+    s = F.when(b.isin(1, 2), "succeeded").when(b.isin(3, 4), F.when(k % 3 == 0, "failed").otherwise("succeeded")).when(k % 3 == 0, "running").when(k % 3 == 1, "paused").otherwise("succeeded")
+    runs = table(spark, sf_dir, "orders").select(b.alias("batch"), ((b == 0) & (k % 100 == 1)).alias("stop"), s.alias("status"))
+    return incremental.batch_status(runs, F.col("stop"), ["batch"])
+
+
+@query("""WITH p AS (SELECT DISTINCT c_custkey AS fid, ['coal', 'solar', 'wind'][c_custkey % 3 + 1] AS project_type FROM customer), f AS (SELECT o_custkey AS fid FROM orders GROUP BY 1 HAVING count(*) > 3), k AS (SELECT 'coal-' || lpad(c_custkey::VARCHAR, 4, '0') AS project_key FROM customer WHERE c_acctbal > 0)
+SELECT project_type || '-' || lpad(fid::VARCHAR, 4, '0') AS project_key, project_type, fid FROM p WHERE project_type = 'coal' AND fid IN (SELECT fid FROM f) AND project_type || '-' || lpad(fid::VARCHAR, 4, '0') IN (SELECT project_key FROM k)""")
+def run_selection(spark, sf_dir):
+    """The runs that are asked for by type, by a table of numbers and by a table of keys."""
+    c = table(spark, sf_dir, "customer")
+    kind = F.element_at(F.array(*map(F.lit, ("coal", "solar", "wind"))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    named = lambda k: F.format_string("%s-%04d", k, F.col("c_custkey"))
+    projects = c.select(named(kind).alias("project_key"), kind.alias("project_type"), F.col("c_custkey").alias("fid"))
+    numbers = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("fid")).count().where("count > 3")
+    return incremental.selected_runs(projects, "coal", numbers, c.where("c_acctbal > 0").select(named(F.lit("coal")).alias("project_key")))
+
+
 @query("""SELECT p_partkey, CASE WHEN (contains(p_name, 'red')::INT + contains(p_name, 'green')::INT + contains(p_name, 'blue')::INT) = 1 THEN CASE WHEN contains(p_name, 'red') THEN 'coal' WHEN contains(p_name, 'green') THEN 'solar' ELSE 'wind' END END AS kind, printf('%s-%04d', 'part', p_partkey) AS project_key FROM part""")
 def label_types(spark, sf_dir):
     """The type that exactly one token of a label gives, and entity keys."""

@@ -49,11 +49,6 @@ def project_key(kind: Column, number: Column) -> Column:
     return F.format_string("%s-%04d", kind, number)
 
 
-def json_dimension(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", "true")
-    return (reader.schema(schema) if schema else reader).json(path)
-
-
 def bundle(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """NDJSON rows."""
     return (spark.read.schema(schema) if schema else spark.read).json(path)

@@ -299,8 +299,8 @@ def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     """(ascending hashes, level): the shingles that recur most over all rows and how often, as a power of two.  They only say
     which shingles come last in the order of ``exact_pairs``; any order gives the same links.
 
-    A task counts its shingles and keeps those that make up a share of 2 / ORDER_SHINGLES of what it has seen; one that has
-    this share of all rows has it in a task, so none of these is missed, and a task sends ORDER_SHINGLES / 2 rows at most."""
+    A task counts its shingles and sends those that it has seen twice, or that make up a share of 1 / (16 ORDER_SHINGLES) of
+    what it has seen if that is more; so one with this share of all rows isn't missed, and what a task holds is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts, seen, new, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, [], 0
@@ -308,7 +308,7 @@ def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
         def merged() -> tuple[np.ndarray, np.ndarray]:
             h, at = np.unique(np.concatenate([held, *new]), return_inverse=True)
             n = np.bincount(at, weights=np.concatenate([counts, np.ones(size, np.int64)]), minlength=len(h)).astype(np.int64)
-            keep = n >= max(4, -(-2 * (seen + size) // ORDER_SHINGLES))
+            keep = n >= max(2, -(-(seen + size) // (16 * ORDER_SHINGLES)))
             return h[keep], n[keep]
 
         for batch in batches:
@@ -321,7 +321,7 @@ def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
         held, counts = merged()
         yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], names=["h", "n"])
 
-    found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
+    found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
     h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(h)
     return h[order], np.log2(n[order]).astype(np.uint64)

@@ -108,3 +108,14 @@ def test_op10_places(spark, texts):
 def test_op5_scores(spark, db, texts):
     got = {r.doc_id: r for r in rows(spark, "op5_quality_mil")}
     assert set(got) == set(texts) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_op5_on_held_out_documents(spark):
+    """What the classifier has never seen: its labels against the scores."""
+    sf = "/root/testdata/sf0.01"
+    label = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{sf}/labels.parquet'").fetchall())
+    seen = [(r.score, r.predicted, label[r.doc_id]) for r in queries.op5_quality_mil(spark, sf).collect() if r.held_out and r.doc_id in label]
+    good, bad = [s for s, _, y in seen if y], [s for s, _, y in seen if not y]
+    assert len(seen) > 50 and np.mean([p == y for _, p, y in seen]) >= 0.95
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad]) >= 0.98  # area under the curve

@@ -494,8 +494,8 @@ def risk_chart(spark, sf_dir):
     return j.select(_KEY, F.explode(both).alias("p")).select(_KEY, "p.part", "p.x", F.round("p.y", 9).alias("y"))
 
 
-@query(f"""WITH {PANEL_SQL}, pj AS (SELECT DISTINCT project_key FROM wide), ch AS (SELECT project_key, 1 AS k FROM long WHERE value IS NOT NULL AND indicator IN ('MEAN_NDVI', 'MEAN_NPP') GROUP BY 1 UNION ALL SELECT project_key, 2 FROM pj)
-SELECT 'project_report_id' AS "table", count(*) AS "rows", count(*) AS reports, true AS intact FROM pj UNION ALL SELECT 'report_entry', count(*), count(*), true FROM pj UNION ALL SELECT 'report_chart', count(*), count(DISTINCT project_key), true FROM ch""")
+@query(f"""WITH {PANEL_SQL}, {FACTS_SQL}, {DIAGNOSE_SQL}, pj AS (SELECT DISTINCT project_key FROM wide), chs AS (SELECT project_key, 1 AS k FROM long WHERE value IS NOT NULL AND indicator IN ('MEAN_NDVI', 'MEAN_NPP') GROUP BY 1 UNION ALL SELECT DISTINCT project_key, 2 FROM diag WHERE status NOT IN ('数据不足', '不适用'))
+SELECT 'project_report_id' AS "table", count(*) AS "rows", count(*) AS reports, true AS intact FROM pj UNION ALL SELECT 'report_entry', count(*), count(*), true FROM pj UNION ALL SELECT 'report_chart', count(*), count(DISTINCT project_key), true FROM chs""")
 def report_export(spark, sf_dir):
     """Reports, charts and ids in one write, with a manifest of every file's rows and digest; all of it is read back. The
     query writes the export when it is built."""

@@ -193,8 +193,8 @@ def batch_statuses(spark, sf_dir):
     return incremental.batch_status(runs, F.col("stop"), ["batch"])
 
 
-@query("""WITH p AS (SELECT DISTINCT c_custkey AS fid, ['coal', 'solar', 'wind'][c_custkey % 3 + 1] AS project_type FROM customer), f AS (SELECT o_custkey AS fid FROM orders GROUP BY 1 HAVING count(*) > 3), k AS (SELECT 'coal-' || lpad(c_custkey::VARCHAR, 4, '0') AS project_key FROM customer WHERE c_acctbal > 0)
-SELECT project_type || '-' || lpad(fid::VARCHAR, 4, '0') AS project_key, project_type, fid FROM p WHERE project_type = 'coal' AND fid IN (SELECT fid FROM f) AND project_type || '-' || lpad(fid::VARCHAR, 4, '0') IN (SELECT project_key FROM k)""")
+@query("""WITH p AS (SELECT DISTINCT c_custkey AS fid, ['coal', 'solar', 'wind'][c_custkey % 3 + 1] AS project_type FROM customer), f AS (SELECT o_custkey AS fid FROM orders GROUP BY 1 HAVING count(*) > 3), k AS (SELECT printf('%s-%04d', 'coal', c_custkey) AS project_key FROM customer WHERE c_acctbal > 0)
+SELECT printf('%s-%04d', project_type, fid) AS project_key, project_type, fid FROM p WHERE project_type = 'coal' AND fid IN (SELECT fid FROM f) AND printf('%s-%04d', project_type, fid) IN (SELECT project_key FROM k)""")
 def run_selection(spark, sf_dir):
     """The runs that are asked for by type, by a table of numbers and by a table of keys."""
     c = table(spark, sf_dir, "customer")

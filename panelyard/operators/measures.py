@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .substrings import contains_join, first_hits
+from .substrings import matches, small
 
 ML_PREFIX = "[ML推荐]"
 SPREAD = 64
@@ -76,19 +76,26 @@ def fragment_table(spark: SparkSession, prohibited: Mapping = PROHIBITED, unavai
 
 
 def audit_by_table(parts: DataFrame, keys: Sequence[str], fragments: DataFrame, project_type: str = "project_type", features: str | None = None) -> DataFrame:
-    """``audit`` with the fragments as a table (``fragment_table``): different texts meet them through an index of their pieces."""
-    hits = contains_join(parts.select("text").distinct(), ["text"], fragments)
-    first = first_hits(hits, ["text"], fragments, by=["kind", "scope"]).join(fragments.select("pattern_id", "name"), "pattern_id")
-    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("name")))
-    types = F.map_from_entries(F.collect_list(F.when(F.col("kind") == "type", F.struct("scope", "name"))))
-    said = first.groupBy("text").agg(types.alias("k_types"), of("rule").alias("k_rule"), of("watch").alias("k_watch"), of("site").alias("k_site"))
-    have = F.col(features) if features else F.array().cast("array<string>")
-    x = parts.join(said, "text", "left").withColumn("k_nth", F.row_number().over(Window.partitionBy(*keys, "text").orderBy("pos")))
+    """``audit`` with the fragments as a table (``fragment_table``; scopes count for the kind *type*), met through an index of
+    their pieces.  The exchange that finds duplicates is the only one that texts pass; their hits are gathered where they are."""
+    kinds = ("type", "rule", "watch", "site")
+    scope = F.when(F.col("kind") == "type", F.col("scope")).otherwise("").alias("k_scope")
+    of = fragments.select("pattern_id", F.col("kind").alias("k_kind"), scope, F.col("rank").alias("k_rank"), F.col("name").alias("k_name"))
+    x = parts.withColumn("k_nth", F.row_number().over(Window.partitionBy(*keys, "text").orderBy("pos")))
+    near = small(fragments)
+    hits = matches(x, fragments, outer=True).join(near(of.drop("k_name")), "pattern_id", "left")
+    applies = (F.col("k_kind") != "type") | (F.col("k_scope") == F.col(project_type))
+    first = hits.groupBy(*x.columns).agg(*[F.min(F.when(applies & (F.col("k_kind") == k), F.col("k_rank"))).alias(f"k_{k}") for k in kinds])
+    kind = F.coalesce(*[F.when(F.col(f"k_{k}").isNotNull(), k) for k in kinds])
+    first = first.withColumn("k_kind", kind).withColumn("k_rank", F.coalesce(*[f"k_{k}" for k in kinds])).withColumn("k_scope", F.when(kind == "type", F.col(project_type)).otherwise(""))
+    named = first.join(near(of.groupBy("k_kind", "k_scope", "k_rank").agg(F.min("k_name").alias("k_name"))), ["k_kind", "k_scope", "k_rank"], "left")
+    have = F.coalesce(F.array_contains(F.col(features) if features else F.array().cast("array<string>"), F.col("k_name")), F.lit(False))
+    said = {"type": "project_type_conflict:", "rule": "requires_unavailable_problem_rule:", "watch": "v1_monitoring_measure_excluded:"}
     reason = F.coalesce(
-        F.when(F.col("k_nth") > 1, "duplicate"), F.concat(F.lit("project_type_conflict:"), F.try_element_at("k_types", F.col(project_type))), F.concat(F.lit("requires_unavailable_problem_rule:"), "k_rule"),
-        F.concat(F.lit("v1_monitoring_measure_excluded:"), "k_watch"), F.when(~F.coalesce(F.array_contains(have, F.col("k_site")), F.lit(False)), F.concat(F.lit("requires_site_feature:"), "k_site")), F.lit("accepted"),
+        F.when(F.col("k_nth") > 1, "duplicate"), *[F.when(F.col("k_kind") == k, F.concat(F.lit(v), "k_name")) for k, v in said.items()],
+        F.when((F.col("k_kind") == "site") & ~have, F.concat(F.lit("requires_site_feature:"), "k_name")), F.lit("accepted"),
     )
-    return x.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted").select(*parts.columns, "reason", "accepted")
+    return named.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted").select(*parts.columns, "reason", "accepted")
 
 
 def match_knowledge(accepted: DataFrame, problems: DataFrame, knowledge: DataFrame, key: str = "project_key") -> DataFrame:
